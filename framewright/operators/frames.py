@@ -56,30 +56,61 @@ def throttle(
 
     With n the 0-based index of a frame, d the period and B the burst, a frame leaves at
     ``max(ts, (n + 1 - B) * d + max over frames so far of (ts - n * d))``, so the sequential
-    bucket becomes a running count and a running maximum. For a split key the chunk-local index
-    is too small by n0, which shifts the local maximum by ``-n0 * d``.
+    bucket becomes a running count and a running maximum.
+    """
+    paced = throttle_from(frames, None, period_seconds, burst, key, hot_rows)
+    return paced.select(*frames.columns, "n", "emit_ts")
+
+
+def throttle_from(
+    frames: DataFrame,
+    seed: DataFrame | None,
+    period_seconds: float,
+    burst: int,
+    key: str = "device",
+    hot_rows: int | None = None,
+) -> DataFrame:
+    """:func:`throttle` continued from a ``seed`` (per key: last ``ts`` and ``event_id``, ``n``, ``peak``).
+
+    A seed row enters the log as the key's earlier frames rolled into one. For a split key the
+    chunk-local index is too small by n0, which shifts the local maximum by ``-n0 * d``.
     """
     d = round(period_seconds * 1e9)
-    scan = KeyedScan(frames, [key], ["ts", "event_id"], hot_rows)
+    log = frames.withColumns(
+        {"seeded": F.lit(False), "_weight": F.lit(1).cast("bigint"), "_peak_in": F.lit(None).cast("bigint")}
+    )
+    if seed is not None:
+        earlier = seed.select(
+            key,
+            "ts",
+            "event_id",
+            F.lit(True).alias("seeded"),
+            (F.col("n") + 1).alias("_weight"),
+            F.col("peak").alias("_peak_in"),
+        )
+        log = log.unionByName(earlier, allowMissingColumns=True)
+    scan = KeyedScan(log, [key], ["ts", "event_id"], hot_rows)
     ns = micros(F.col("ts")) * 1000
-    rows = scan.rows.withColumn("_n", F.row_number().over(scan.window).cast("bigint") - 1)
-    rows = rows.withColumn("_lead", ns - F.col("_n") * d)
+    rows = scan.rows.withColumn("_n", F.sum("_weight").over(scan.window) - 1)
+    rows = rows.withColumn("_lead", F.coalesce("_peak_in", ns - F.col("_n") * d))
     rows = rows.withColumn("_peak", F.max("_lead").over(scan.window))
 
-    def earlier_chunks(chunks, earlier):
-        with_n0 = chunks.withColumn("_n0", F.coalesce(F.sum("_cnt").over(earlier), F.lit(0)))
-        return with_n0.withColumn("_peak0", F.max(F.col("_top") - F.col("_n0") * d).over(earlier))
+    def earlier_chunks(chunks, before):
+        with_n0 = chunks.withColumn("_n0", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))
+        return with_n0.withColumn("_peak0", F.max(F.col("_top") - F.col("_n0") * d).over(before))
 
     rows = scan.carry(
         rows,
-        [F.count(F.lit(1)).alias("_cnt"), F.max("_lead").alias("_top")],
+        [F.sum("_weight").alias("_cnt"), F.max("_lead").alias("_top")],
         earlier_chunks,
         {"_n0": F.lit(0).cast("bigint"), "_peak0": F.lit(None).cast("bigint")},
     )
-    n = F.col("_n") + F.col("_n0")
-    peak = F.greatest("_peak0", F.col("_peak") - F.col("_n0") * d)
-    rows = rows.withColumn("_emit", F.greatest(ns, (n + 1 - burst) * d + peak))
-    return rows.select(*frames.columns, n.alias("n"), from_micros(F.expr("_emit div 1000")).alias("emit_ts"))
+    rows = rows.withColumn("n", F.col("_n") + F.col("_n0"))
+    rows = rows.withColumn("peak", F.greatest("_peak0", F.col("_peak") - F.col("_n0") * d))
+    rows = rows.withColumn("_emit", F.greatest(ns, (F.col("n") + 1 - burst) * d + F.col("peak")))
+    return rows.select(
+        *frames.columns, "n", "peak", "seeded", from_micros(F.expr("_emit div 1000")).alias("emit_ts")
+    )
 
 
 def grouped_within(

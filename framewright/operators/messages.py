@@ -124,8 +124,27 @@ def chunk_roles(messages: DataFrame) -> DataFrame:
     return messages.withColumn("role", role).where(F.col("role").isNotNull())
 
 
-def chunk_stream_ids(log: DataFrame, hot_rows: int | None = None) -> DataFrame:
-    """Segment an ordered message log per connection into substreams.
+def chunk_rows(log: DataFrame) -> DataFrame:
+    """A role-marked log in the form substreams are computed on.
+
+    ``units``, ``n_rows`` and ``opened_by`` are what the row adds to its stream; the ``_in``
+    columns are only set on rows that stand for an earlier part of the log.
+    """
+    return log.select(
+        "conn",
+        "ts",
+        "event_id",
+        "role",
+        utf16_length(F.col("payload")).cast("bigint").alias("units"),
+        F.lit(1).cast("bigint").alias("n_rows"),
+        F.col("role").alias("opened_by"),
+        F.lit(None).cast("int").alias("open_in"),
+        F.lit(None).cast("bigint").alias("streams_in"),
+    )
+
+
+def chunk_stream_ids(rows: DataFrame, hot_rows: int | None = None) -> DataFrame:
+    """Segment an ordered message log (see :func:`chunk_rows`) per connection into substreams.
 
     A chunk (C) always leaves a stream open, an end (T) or another message (X) always leaves none
     open, an opener (O) opens when idle and aborts when open. So the open/closed state is the last
@@ -133,14 +152,15 @@ def chunk_stream_ids(log: DataFrame, hot_rows: int | None = None) -> DataFrame:
     outside any stream are dropped; ``open`` is the state after the row.
     """
     order = ["ts", "event_id"]
-    scan = KeyedScan(log, ["conn"], order, hot_rows)
+    scan = KeyedScan(rows, ["conn"], order, hot_rows)
     w = scan.window
-    forced = F.when(F.col("role") == "C", 1).when(F.col("role") != "O", 0)
-    rows = scan.rows.withColumn("_forced", forced)
-    rows = rows.withColumn("_openers", F.sum((F.col("role") == "O").cast("bigint")).over(w))
+    role = F.col("role")
+    forced = F.when(role == "C", 1).when(role == "S", F.col("open_in")).when(role != "O", 0)
+    marked = scan.rows.withColumn("_forced", forced)
+    marked = marked.withColumn("_openers", F.sum((role == "O").cast("bigint")).over(w))
     at_forced = F.when(F.col("_forced").isNotNull(), F.col("_openers"))
-    rows = rows.withColumn("_last_forced", F.last("_forced", True).over(w))
-    rows = rows.withColumn("_since", F.col("_openers") - F.coalesce(F.last(at_forced, True).over(w), F.lit(0)))
+    marked = marked.withColumn("_last_forced", F.last("_forced", True).over(w))
+    marked = marked.withColumn("_since", F.col("_openers") - F.coalesce(F.last(at_forced, True).over(w), F.lit(0)))
 
     def entry_state(chunks, earlier):
         total = chunks.withColumn("_sum0", F.coalesce(F.sum("_since_end").over(earlier), F.lit(0)))
@@ -150,8 +170,8 @@ def chunk_stream_ids(log: DataFrame, hot_rows: int | None = None) -> DataFrame:
         return total.withColumn("_entry", ((base + since) % 2).cast("int"))
 
     last_row = F.struct(*order)
-    rows = scan.carry(
-        rows,
+    marked = scan.carry(
+        marked,
         [
             F.max_by("_last_forced", last_row).alias("_forced_end"),
             F.max_by("_since", last_row).alias("_since_end"),
@@ -159,52 +179,55 @@ def chunk_stream_ids(log: DataFrame, hot_rows: int | None = None) -> DataFrame:
         entry_state,
         {"_entry": F.lit(0)},
     )
-    rows = rows.withColumn(
-        "open", ((F.coalesce("_last_forced", "_entry") + F.col("_since")) % 2).cast("int")
-    )
-    rows = rows.withColumn("_prev", F.coalesce(F.lag("open").over(w), F.col("_entry")))
+    state = ((F.coalesce("_last_forced", "_entry") + F.col("_since")) % 2).cast("int")
+    marked = marked.withColumn("open", state)
+    marked = marked.withColumn("_prev", F.coalesce(F.lag("open").over(w), F.col("_entry")))
     starts = ((F.col("_prev") == 0) & (F.col("open") == 1)).cast("bigint")
-    rows = rows.withColumn("_start", starts).withColumn("_id", F.sum("_start").over(w))
-    rows = scan.carry(
-        rows,
+    marked = marked.withColumn("_start", F.coalesce("streams_in", starts))
+    marked = marked.withColumn("_id", F.sum("_start").over(w))
+    marked = scan.carry(
+        marked,
         [F.sum("_start").alias("_starts")],
         lambda chunks, earlier: chunks.withColumn("_id0", F.sum("_starts").over(earlier)),
         {"_id0": F.lit(0).cast("bigint")},
     )
-    return rows.where((F.col("open") == 1) | (F.col("_prev") == 1)).select(
-        *log.columns, (F.col("_id") + F.col("_id0")).alias("stream"), "open"
+    return marked.where((F.col("open") == 1) | (F.col("_prev") == 1)).select(
+        *rows.columns, (F.col("_id") + F.col("_id0")).alias("stream"), "open"
     )
 
 
 def chunk_streams(segmented: DataFrame) -> DataFrame:
     """One row per substream: how it opened, how it ended, rows and payload length."""
     order = F.struct("ts", "event_id")
-    last = F.max_by(F.struct("role", "open"), order)
+    # the row that aborts a stream is lost; every other payload counts, the opener's included
+    counted = F.when((F.col("open") == 1) | (F.col("role") == "T"), F.col("units")).otherwise(0)
     streams = segmented.groupBy("conn", "stream").agg(
-        F.min_by("role", order).alias("opened_by"),
-        last.alias("_last"),
-        F.count(F.lit(1)).alias("n_rows"),
-        # the row that aborts a stream is lost, every other payload counts, the opener's included
-        F.sum(
-            F.when((F.col("open") == 1) | (F.col("role") == "T"), utf16_length(F.col("payload"))).otherwise(0)
-        ).alias("total"),
+        F.min_by("opened_by", order).alias("opened_by"),
+        F.max_by(F.struct("role", "open", "ts", "event_id"), order).alias("_last"),
+        F.sum("n_rows").alias("n_rows"),
+        F.sum(counted).alias("total"),
     )
     status = (
         F.when(F.col("_last.open") == 1, "unfinished")
         .when(F.col("_last.role") == "T", "completed")
         .otherwise("aborted")
     )
-    return streams.withColumn("status", status).drop("_last")
+    return streams.select(
+        "conn", "stream", "opened_by", "n_rows", "total", status.alias("status"), "_last.ts", "_last.event_id"
+    )
 
 
-def chunk_stream_total(log: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def size_replies(streams: DataFrame) -> DataFrame:
     """Replies to size commands: total payload of streams an opener began and an end completed."""
-    streams = chunk_streams(chunk_stream_ids(log, hot_rows))
     return streams.where((F.col("opened_by") == "O") & (F.col("status") == "completed")).select(
         "conn", "stream", "total", F.col("total").cast("string").alias("reply")
     )
 
 
+def chunk_stream_total(log: DataFrame, hot_rows: int | None = None) -> DataFrame:
+    return size_replies(chunk_streams(chunk_stream_ids(chunk_rows(log), hot_rows)))
+
+
 def _optional(df: DataFrame, name: str, type_name: str) -> Column:
     return F.col(name) if name in df.columns else F.lit(None).cast(type_name)
 

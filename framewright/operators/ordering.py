@@ -140,14 +140,23 @@ class KeyedScan:
 
 
 def with_group_index(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "idx", hot_rows: int | None = None
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    name: str = "idx",
+    hot_rows: int | None = None,
+    weight: str | None = None,
 ) -> DataFrame:
-    """0-based position of each row within its ``keys`` group in ``order``."""
+    """0-based position of each row within its ``keys`` group in ``order``.
+
+    A ``weight`` column lets one row stand for several earlier ones (a count carried over).
+    """
     scan = KeyedScan(df, keys, order, hot_rows)
-    rows = scan.rows.withColumn(name, F.row_number().over(scan.window).cast("bigint") - 1)
+    step = F.col(weight) if weight else F.lit(1)
+    rows = scan.rows.withColumn(name, F.sum(step).over(scan.window).cast("bigint") - 1)
     rows = scan.carry(
         rows,
-        [F.count(F.lit(1)).alias("_n")],
+        [F.sum(step).alias("_n")],
         lambda chunks, earlier: chunks.withColumn("_before", F.sum("_n").over(earlier)),
         {"_before": F.lit(0).cast("bigint")},
     )

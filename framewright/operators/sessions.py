@@ -6,6 +6,7 @@ message kind) and ``device_id`` (null for a resolve that names no device).
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Row
@@ -23,33 +24,42 @@ def _state(name: str, device: Column | None = None) -> Column:
     return F.struct(F.lit(name).alias("state"), device.alias("device_id"))
 
 
+def _here() -> Column:
+    return F.struct("ts", "event_id")
+
+
 def _base_change() -> Column:
-    """Session change of a non-timer row of a known address, ignoring repeated ``new``."""
+    """Session change of a resolve or reset row of a known address."""
     kind = F.col("kind")
     return F.when(
         (kind == "resolve") & F.col("device_id").isNotNull(), _state("Active", F.col("device_id"))
     ).when(kind == "reset", _state("Expired"))
 
 
-def with_timeout_events(events: DataFrame, timeout: float) -> DataFrame:
-    """Add one ``timer`` row per address at its first ``new`` plus the timeout.
+def _merge(new: DataFrame, prev: DataFrame | None, earlier_wins: Sequence[str], later_wins: Sequence[str]) -> DataFrame:
+    """Per-address facts of a batch with those of the batches before."""
+    if prev is None:
+        return new
+    names = [*earlier_wins, *later_wins]
+    old = prev.select("addr", *[F.col(c).alias(f"_old_{c}") for c in names])
+    joined = new.join(old, "addr", "full_outer")
+    merged = {c: F.coalesce(f"_old_{c}", c) for c in earlier_wins} | {c: F.coalesce(c, f"_old_{c}") for c in later_wins}
+    return joined.select("addr", *[column.alias(c) for c, column in merged.items()])
+
 
-    Only timers due by the last event of the input exist, as in a replayed stream.
+def _timers(events: DataFrame, timeout: float, seed: DataFrame | None, since: dt.datetime | None) -> DataFrame:
+    """One row per address whose resolve timeout falls due within these events.
+
+    Only timers due by the last event exist, as in a replayed stream.
     """
-    timers = (
-        events.where(F.col("kind") == "new")
-        .groupBy("addr")
-        .agg((F.min("ts") + seconds_interval(timeout)).alias("ts"))
-        .where(F.col("ts") <= events.agg(F.max("ts")).scalar())
-        .select(
-            "addr",
-            "ts",
-            F.lit(-1).cast("bigint").alias("event_id"),
-            F.lit("timer").alias("kind"),
-            F.lit(None).cast("string").alias("device_id"),
-        )
-    )
-    return events.select("addr", "ts", "event_id", "kind", "device_id").unionByName(timers)
+    first = events.where(F.col("kind") == "new")
+    if seed is not None:
+        first = first.join(seed.select("addr"), "addr", "left_anti")
+    due = first.groupBy("addr").agg((F.min("ts") + seconds_interval(timeout)).alias("ts"))
+    if seed is not None:
+        pending = seed.select("addr", F.col("due").alias("ts")).where(F.col("ts") > F.lit(since).cast("timestamp_ntz"))
+        due = due.unionByName(pending)
+    return due.where(F.col("ts") <= events.agg(F.max("ts")).scalar())
 
 
 def session_history(
@@ -58,14 +68,57 @@ def session_history(
     """Session state and device after every event from an address's first ``new`` on.
 
     First new -> Init; resolve with a device -> Active; reset -> Expired; a timer expires the
-    session unless a device is known by then. Each step is a running count or a running last
-    change over one window, so one shuffle serves all three.
+    session unless a device is known by then.
     """
-    log = with_timeout_events(events, timeout).withColumn("_late", (F.col("kind") == "timer").cast("int"))
+    return session_history_from(events, None, None, timeout, hot_rows).select(
+        "addr", "ts", "event_id", "kind", "state", "session_device"
+    )
+
+
+def session_history_from(
+    events: DataFrame,
+    seed: DataFrame | None,
+    since: dt.datetime | None,
+    timeout: float = RESOLVE_TIMEOUT,
+    hot_rows: int | None = None,
+) -> DataFrame:
+    """:func:`session_history` continued from a ``seed``: per address its last row and ``due``.
+
+    A seed row enters the log as a change to the state it holds; rows older than it drop out as
+    rows before the first ``new`` do. ``since`` is the last time the earlier batches saw. Each
+    step is a running count or a running last change over one window, so one shuffle serves all.
+    """
+    no_due = F.lit(None).cast("timestamp_ntz")
+    log = events.select(
+        "addr", "ts", "event_id", "kind", "device_id", F.lit(None).cast("string").alias("_seed"), no_due.alias("due")
+    ).unionByName(
+        _timers(events, timeout, seed, since).select(
+            "addr",
+            "ts",
+            F.lit(-1).cast("bigint").alias("event_id"),
+            F.lit("timer").alias("kind"),
+            F.lit(None).cast("string").alias("device_id"),
+            F.lit(None).cast("string").alias("_seed"),
+            no_due.alias("due"),
+        )
+    )
+    if seed is not None:
+        log = log.unionByName(
+            seed.select(
+                "addr",
+                "ts",
+                "event_id",
+                F.lit("seed").alias("kind"),
+                F.col("session_device").alias("device_id"),
+                F.col("state").alias("_seed"),
+                "due",
+            )
+        )
+    log = log.withColumn("_late", (F.col("kind") == "timer").cast("int"))
     scan = KeyedScan(log, ["addr"], ["ts", "_late", "event_id"], hot_rows)
     w = scan.window
     last_row = F.struct("ts", "_late", "event_id")
-    rows = scan.rows.withColumn("_news", F.sum((F.col("kind") == "new").cast("bigint")).over(w))
+    rows = scan.rows.withColumn("_news", F.sum(F.col("kind").isin("new", "seed").cast("bigint")).over(w))
     rows = scan.carry(
         rows,
         [F.max("_news").alias("_n")],
@@ -73,8 +126,12 @@ def session_history(
         {"_news0": F.lit(0).cast("bigint")},
     )
     rows = rows.withColumn("_news", F.col("_news") + F.col("_news0")).where(F.col("_news") > 0)
-    first = (F.col("kind") == "new") & (F.col("_news") == 1)
-    rows = rows.withColumn("_change", F.when(first, _state("Init")).otherwise(_base_change()))
+    change = (
+        F.when(F.col("kind") == "seed", F.struct(F.col("_seed").alias("state"), "device_id"))
+        .when((F.col("kind") == "new") & (F.col("_news") == 1), _state("Init"))
+        .otherwise(_base_change())
+    )
+    rows = rows.withColumn("_change", change)
     rows = rows.withColumn("_base", F.last("_change", True).over(w))
     none = F.lit(None).cast("struct<state:string,device_id:string>")
     rows = scan.carry(
@@ -100,51 +157,60 @@ def session_history(
         "kind",
         now["state"].alias("state"),
         now["device_id"].alias("session_device"),
+        "due",
     )
 
 
-def session_at(
-    events: DataFrame, at: DataFrame | None = None, timeout: float = RESOLVE_TIMEOUT, hot: Sequence[Row] = ()
+def session_facts(
+    events: DataFrame,
+    prev: DataFrame | None = None,
+    timeout: float = RESOLVE_TIMEOUT,
+    check_delay: float | None = None,
+    hot: Sequence[Row] = (),
 ) -> DataFrame:
-    """Session state per address, at the end of the log or at one probe time per address.
+    """What decides a session, one row per address, by map-side combined aggregations.
 
-    ``at`` has ``addr`` and ``probe_ts``. The state at a time needs only the last change before the
-    timer and the last one after it, so this is two map-side combined aggregations instead of a
-    history.
+    ``first_new``, ``due`` (the resolve timeout), ``reply`` (first uuid reply), ``probe_ts``
+    (reply + check delay; null without a delay), and the last change up to the timeout
+    (``early``) and after it (``late``), counting changes up to the probe only.
     """
-    horizon = events.agg(F.max("ts")).scalar()
-    firsts = (
-        events.where(F.col("kind") == "new")
+    firsts = events.where(F.col("kind") == "new").groupBy("addr").agg(F.min(_here()).alias("first_new"))
+    firsts = _merge(firsts, prev, ["first_new"], [])
+    resolves = events.where((F.col("kind") == "resolve") & F.col("device_id").isNotNull())
+    replies = (
+        lookup_join(resolves, firsts, "addr", hot=hot)
+        .where(_here() > F.col("first_new"))
         .groupBy("addr")
-        .agg(F.min(F.struct("ts", "event_id")).alias("_first"))
+        .agg(F.min(_here()).alias("reply"))
     )
-    if at is not None:
-        firsts = firsts.join(at, "addr")
-    due = F.col("_first.ts") + seconds_interval(timeout)
-    fires = F.col("_due") <= (F.least(horizon, F.col("probe_ts")) if at is not None else horizon)
-    firsts = firsts.withColumn("_due", due)
-    changes = (
-        events.where(F.col("kind").isin("resolve", "reset"))
-        .withColumn("_change", _base_change())
-        .where(F.col("_change").isNotNull())
+    replies = _merge(replies, prev, ["reply"], [])
+    probe = F.lit(None).cast("timestamp_ntz")
+    if check_delay is not None:
+        probe = F.col("reply.ts") + seconds_interval(check_delay)
+    times = (
+        firsts.join(replies, "addr", "left")
+        .withColumn("due", F.col("first_new.ts") + seconds_interval(timeout))
+        .withColumn("probe_ts", probe)
     )
-    rows = lookup_join(changes, firsts, "addr", hot=hot).where(F.struct("ts", "event_id") > F.col("_first"))
-    if at is not None:
-        rows = rows.where(F.col("ts") <= F.col("probe_ts"))
-    order = F.struct("ts", "event_id")
-    before = F.col("ts") <= F.col("_due")
-    ends = rows.groupBy("addr").agg(
-        F.max_by(F.when(before, F.col("_change")), F.when(before, order)).alias("_early"),
-        F.max_by(F.when(~before, F.col("_change")), F.when(~before, order)).alias("_late"),
+    changes = events.withColumn("_change", _base_change()).where(F.col("_change").isNotNull())
+    seen = lookup_join(changes, times, "addr", hot=hot).where(
+        (_here() > F.col("first_new")) & (F.col("probe_ts").isNull() | (F.col("ts") <= F.col("probe_ts")))
     )
-    early = F.coalesce("_early", _state("Init"))
-    state = (
-        F.when(F.col("_late").isNotNull(), F.col("_late"))
-        .when(fires & (early["state"] != "Active"), _state("Expired"))
-        .otherwise(early)
+    before = F.col("ts") <= F.col("due")
+    ends = seen.groupBy("addr").agg(
+        F.max_by(F.when(before, F.col("_change")), F.when(before, _here())).alias("early"),
+        F.max_by(F.when(~before, F.col("_change")), F.when(~before, _here())).alias("late"),
     )
-    return firsts.join(ends, "addr", "left").select(
-        "addr", state["state"].alias("state"), state["device_id"].alias("session_device")
+    return times.join(_merge(ends, prev, [], ["early", "late"]), "addr", "left")
+
+
+def _state_at(time: Column) -> Column:
+    """Session state of :func:`session_facts` at a time no earlier than its changes."""
+    early = F.coalesce("early", _state("Init"))
+    return (
+        F.when(F.col("late").isNotNull(), F.col("late"))
+        .when((F.col("due") <= time) & (early["state"] != "Active"), _state("Expired"))
+        .otherwise(early)
     )
 
 
@@ -152,34 +218,29 @@ def session_snapshot(
     events: DataFrame, probes: DataFrame, timeout: float = RESOLVE_TIMEOUT, hot_rows: int | None = None
 ) -> DataFrame:
     """Current state for each probed address; an unknown address counts as Expired."""
-    states = session_at(events, None, timeout, hot_keys(events, ["addr"], hot_rows))
-    return probes.join(states, "addr", "left").withColumn(
-        "state", F.coalesce("state", F.lit("Expired"))
-    )
+    facts = session_facts(events, None, timeout, None, hot_keys(events, ["addr"], hot_rows))
+    now = facts.withColumn("_now", events.agg(F.max("ts")).scalar()).withColumn("_state", _state_at(F.col("_now")))
+    states = now.select("addr", "_state.state", F.col("_state.device_id").alias("session_device"))
+    return probes.join(states, "addr", "left").withColumn("state", F.coalesce("state", F.lit("Expired")))
 
 
-def gate_verdicts(
-    events: DataFrame,
-    timeout: float = RESOLVE_TIMEOUT,
-    check_delay: float = CHECK_DELAY,
-    hot: Sequence[Row] = (),
-) -> DataFrame:
-    """Per address: first ``new``, first uuid reply r after it, and the state at r + delay."""
-    firsts = (
-        events.where(F.col("kind") == "new")
-        .groupBy("addr")
-        .agg(F.min(F.struct("ts", "event_id")).alias("first_new"))
+def judge_messages(events: DataFrame, facts: DataFrame, hot: Sequence[Row] = ()) -> DataFrame:
+    """Messages (everything but ``new`` and ``reset``) with ``passed`` and ``drop_reason``."""
+    messages = events.where(~F.col("kind").isin("new", "reset"))
+    gated = lookup_join(messages, facts, "addr", hot=hot).where(_here() > F.col("first_new"))
+    reply = F.col("reply")
+    waiting = reply.isNull() | (_here() < reply)
+    malformed = (F.col("kind") == "resolve") & F.col("device_id").isNull()
+    reason = (
+        F.when(waiting & malformed, "malformed uuid")
+        .when(waiting, "initialising")
+        .when(_here() == reply, "consumed")
+        .when(F.col("ts") <= F.col("probe_ts"), "checking")
+        .when(_state_at(F.col("probe_ts"))["state"] != "Active", "expired")
     )
-    resolves = events.where((F.col("kind") == "resolve") & F.col("device_id").isNotNull())
-    replies = (
-        lookup_join(resolves, firsts, "addr", hot=hot)
-        .where(F.struct("ts", "event_id") > F.col("first_new"))
-        .groupBy("addr")
-        .agg(F.min(F.struct("ts", "event_id")).alias("reply"))
-        .withColumn("probe_ts", F.col("reply.ts") + seconds_interval(check_delay))
+    return gated.withColumn("drop_reason", reason).select(
+        "addr", "ts", "event_id", "kind", F.col("drop_reason").isNull().alias("passed"), "drop_reason"
     )
-    states = session_at(events, replies.select("addr", "probe_ts"), timeout, hot)
-    return firsts.join(replies, "addr", "left").join(states.select("addr", "state"), "addr", "left")
 
 
 def session_gate(
@@ -188,26 +249,10 @@ def session_gate(
     check_delay: float = CHECK_DELAY,
     hot_rows: int | None = None,
 ) -> DataFrame:
-    """Messages (everything but ``new`` and ``reset``) with ``passed`` and ``drop_reason``.
+    """Which messages pass an address's gate.
 
     Until the first uuid reply a connection is initialising, then checking for ``check_delay``;
-    the keeper state at that moment decides once for everything later.
+    the session state at that moment decides once for everything later.
     """
-    messages = events.where(~F.col("kind").isin("new", "reset"))
     hot = hot_keys(events, ["addr"], hot_rows)
-    gated = lookup_join(messages, gate_verdicts(events, timeout, check_delay, hot), "addr", hot=hot)
-    here = F.struct("ts", "event_id")
-    reply = F.col("reply")
-    malformed = (F.col("kind") == "resolve") & F.col("device_id").isNull()
-    reason = (
-        F.when((reply.isNull() | (here < reply)) & malformed, "malformed uuid")
-        .when(reply.isNull() | (here < reply), "initialising")
-        .when(here == reply, "consumed")
-        .when(F.col("ts") <= F.col("probe_ts"), "checking")
-        .when(F.col("state") != "Active", "expired")
-    )
-    return (
-        gated.where(here > F.col("first_new"))
-        .withColumn("drop_reason", reason)
-        .select("addr", "ts", "event_id", "kind", F.col("drop_reason").isNull().alias("passed"), "drop_reason")
-    )
+    return judge_messages(events, session_facts(events, None, timeout, check_delay, hot), hot)

@@ -122,7 +122,7 @@ CHUNK_STREAMS_SQL = """
     with_views(CHUNK_STREAMS_SQL + "SELECT conn, event_id, role, stream, open FROM segmented", "chunks"),
 )
 def chunk_stream_ids(spark, sf_dir):
-    return ms.chunk_stream_ids(fx.chunk_log(spark, sf_dir)).select("conn", "event_id", "role", "stream", "open")
+    return ms.chunk_stream_ids(ms.chunk_rows(fx.chunk_log(spark, sf_dir))).select("conn", "event_id", "role", "stream", "open")
 
 
 @query(
@@ -130,7 +130,7 @@ def chunk_stream_ids(spark, sf_dir):
     with_views(CHUNK_STREAMS_SQL + "SELECT conn, stream, opened_by, n_rows, status, total FROM streams", "chunks"),
 )
 def chunk_streams(spark, sf_dir):
-    streams = ms.chunk_streams(ms.chunk_stream_ids(fx.chunk_log(spark, sf_dir)))
+    streams = ms.chunk_streams(ms.chunk_stream_ids(ms.chunk_rows(fx.chunk_log(spark, sf_dir))))
     return streams.select("conn", "stream", "opened_by", "n_rows", "status", "total")
 
 
