@@ -7,7 +7,7 @@ import importlib
 from framewright.plans.registry import ORACLES, QUERIES, Query
 from framewright.session import ship_package
 
-MODULES = ("frame", "message", "session", "detection", "dataset")
+MODULES = ("frame", "message", "session", "detection", "dataset", "stream", "source", "model")
 
 
 def _load() -> None:
