@@ -87,8 +87,13 @@ def fixed_batches(samples: DataFrame, size: int, seed: int = 0) -> DataFrame:
 
 def label_index(samples: DataFrame) -> DataFrame:
     """Class names to 0-based places in name order, joined back to the samples."""
-    names = with_global_index(samples.select("label").distinct(), ["label"], "label_idx")
-    return samples.join(names, "label")
+    names = sort_by_name(samples.select("label").distinct(), "label")
+    return samples.join(names.withColumnRenamed("place", "label_idx"), "label")
+
+
+def sort_by_name(classes: DataFrame, name: str) -> DataFrame:
+    """Distinct names in ascending order with their 0-based ``place``."""
+    return with_global_index(classes, [name], "place")
 
 
 def training_schedule(samples: DataFrame, batch_size: int, epochs: int, seed: int = 0) -> DataFrame:

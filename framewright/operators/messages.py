@@ -107,7 +107,13 @@ def concat_streams(*streams: DataFrame) -> DataFrame:
 
 
 def label_map_reply(labels: DataFrame) -> DataFrame:
-    """A label dimension as one map value (one row; the map is the message payload)."""
+    """A label dimension as one map value, the payload of one message.
+
+    A message is bounded, so a map that would not fit one is refused before anything is gathered.
+    """
+    size = labels.agg(F.sum(F.octet_length("display_name") + 4)).first()[0]
+    if size is not None and size > MAX_MESSAGE:
+        raise ValueError(f"a label map of {size} bytes does not fit a message")
     entries = F.sort_array(F.collect_list(F.struct("id", "display_name")))
     return labels.agg(F.map_from_entries(entries).alias("labels"))
 

@@ -46,10 +46,17 @@ def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None) ->
     """The keys (with their count ``_n``) holding more rows than one task should take.
 
     Counts combine map-side. At most ``MAX_HOT_KEYS`` keys return, the largest ones, so a key
-    left out holds less than 1/MAX_HOT_KEYS of the table.
+    left out holds less than 1/MAX_HOT_KEYS of the table. A compound key can only be hot when its
+    first part is, so that is counted first and usually ends the search.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     limit = hot_rows or hot_row_limit(df)
+    if len(keys) > 1:
+        coarse = hot_keys(df, keys[:1], limit)
+        if not coarse:
+            return []
+        table = _key_table(df, keys[:1], coarse)
+        df = df.join(table, _same_keys(df, table, keys[:1]), "left_semi")
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     return counts.where(F.col("_n") > limit).orderBy(F.desc("_n")).limit(MAX_HOT_KEYS).collect()
 
 

@@ -141,6 +141,16 @@ def label_index(spark, sf_dir):
     return ds.label_index(events).select("event_id", "label", "label_idx")
 
 
+@query(
+    "sort_by_name",
+    """SELECT name, CAST(row_number() OVER (ORDER BY name) - 1 AS BIGINT) AS place
+    FROM (SELECT DISTINCT p_name AS name FROM part)""",
+)
+def sort_by_name(spark, sf_dir):
+    names = fx.table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
+    return ds.sort_by_name(names, "name")
+
+
 @query(
     "zip_features_labels",
     with_views(

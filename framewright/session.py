@@ -49,6 +49,13 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def open_filesystem(path: str):
+    """The Arrow filesystem of a path or URI and the path within it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(path if path.split("/", 1)[0].endswith(":") else f"file://{path}")
+
+
 def pin(df: DataFrame) -> DataFrame:
     """Cut the lineage with a reliable checkpoint, so partition-dependent columns become data."""
     shared_dir(df.sparkSession)

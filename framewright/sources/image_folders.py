@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from framewright.session import open_filesystem
+
 
 def labelled_image_scan(spark: SparkSession, root: str, pattern: str = "*.jpg") -> DataFrame:
     """Every image below ``root``; its class is the name of its folder."""
@@ -58,9 +60,7 @@ def write_image_folders(images: DataFrame, root: str, height: int, width: int) -
     written by the tasks. Returns one row per file written, when evaluated."""
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyarrow import fs
-
-        filesystem, base = fs.FileSystem.from_uri(root if "://" in root else f"file://{root}")
+        filesystem, base = open_filesystem(root)
         for batch in batches:
             for label, name, data in zip(batch["label"], batch["name"], batch["data"]):
                 folder = f"{base}/{label}"

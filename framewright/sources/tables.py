@@ -26,7 +26,7 @@ def write_label_map(labels: DataFrame, path: str) -> None:
         F.coalesce(F.format_string("  id: %d\n", "id"), F.lit("")),
         F.coalesce(F.concat(F.lit('  display_name: "'), F.col("display_name"), F.lit('"\n')), F.lit("")),
     )
-    item = F.concat(F.lit("item {\n"), F.when(F.col("id").isNull(), "").otherwise(""), fields, F.lit("}"))
+    item = F.concat(F.lit("item {\n"), fields, F.lit("}"))
     labels.repartitionByRange("pos").sortWithinPartitions("pos").select(item).write.mode("overwrite").text(path)
 
 

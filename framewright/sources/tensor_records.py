@@ -17,17 +17,13 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from framewright.session import open_filesystem
+
 SCHEMA = "file string, record bigint, shape array<int>, data binary, label int"
 _UBYTE = 8
 _BATCH_BYTES = 8 << 20
 
 
-def _filesystem(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
-
-
 def idx_header(shape: tuple[int, ...]) -> bytes:
     return struct.pack(f">HBB{len(shape)}I", 0, _UBYTE, len(shape), *shape)
 
@@ -55,7 +51,7 @@ class TensorRecordReader(DataSourceReader):
     def partitions(self):
         from pyarrow import fs
 
-        filesystem, base = _filesystem(self.path)
+        filesystem, base = open_filesystem(self.path)
         ranges = []
         for info in sorted(filesystem.get_file_info(fs.FileSelector(base)), key=lambda i: i.path):
             if not info.path.endswith(".images"):
@@ -69,7 +65,7 @@ class TensorRecordReader(DataSourceReader):
 
     def read(self, partition: RecordRange) -> Iterator[pa.RecordBatch]:
         name, start, stop = partition.value
-        filesystem, _ = _filesystem(self.path)
+        filesystem, _ = open_filesystem(self.path)
         with (
             filesystem.open_input_file(f"{name}.images") as images,
             filesystem.open_input_file(f"{name}.labels") as labels,
@@ -108,7 +104,7 @@ class TensorRecordWriter(DataSourceArrowWriter):
         self.shape = tuple(int(n) for n in options["shape"].split("x"))
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
-        filesystem, base = _filesystem(self.path)
+        filesystem, base = open_filesystem(self.path)
         filesystem.create_dir(base, recursive=True)
         name = f"{base}/part-{uuid.uuid4().hex}"
         width = int(np.prod(self.shape, dtype=np.int64))
@@ -139,7 +135,7 @@ class TensorRecordWriter(DataSourceArrowWriter):
         return message
 
     def commit(self, messages: list[Written | None]) -> None:
-        filesystem, _ = _filesystem(self.path)
+        filesystem, _ = open_filesystem(self.path)
         for message in messages:
             if message is None:
                 continue
