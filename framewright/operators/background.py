@@ -51,37 +51,37 @@ class PixelMixture:
     def apply(self, pixels: np.ndarray) -> np.ndarray:
         """Classify a frame (1 = foreground) and learn from it."""
         p, alpha = self.params, self.params.rate()
+        weight, mean, var = self.weight, self.mean, self.var
         x = pixels.astype(np.float64)[:, None]
-        active = self.weight > 0
-        dist = (x - self.mean) ** 2
-        heavier = np.cumsum(self.weight, axis=1) - self.weight
-        behind = active & (heavier < p.background_ratio) & (dist < p.threshold * self.var)
-        foreground = ~behind.any(axis=1)
-
-        close = active & (dist < p.generation_threshold * self.var)
+        active = weight > 0
+        off = x - mean
+        dist = off * off
+        heavier = np.cumsum(weight, axis=1) - weight
+        behind = active & (heavier < p.background_ratio) & (dist < p.threshold * var)
+        close = active & (dist < p.generation_threshold * var)
         matched = close.any(axis=1)
-        rows = np.arange(len(x))
-        owner = close.argmax(axis=1)
-        own = np.zeros_like(close)
-        own[rows[matched], owner[matched]] = True
-        self.weight = np.where(active, self.weight + alpha * (own - self.weight) - alpha * p.complexity, 0.0)
-        np.maximum(self.weight, 0.0, out=self.weight)
-        step = np.where(own, alpha / np.where(self.weight > 0, self.weight, 1.0), 0.0)
-        step = np.minimum(step, 1.0)
-        self.mean += step * (x - self.mean)
-        self.var = np.where(own, np.clip(self.var + step * (dist - self.var), p.min_variance, p.max_variance), self.var)
-
-        new = rows[~matched]
-        slot = self.weight[new].argmin(axis=1)
-        self.weight[new, slot] = alpha
-        self.mean[new, slot] = x[new, 0]
-        self.var[new, slot] = p.initial_variance
-
-        self.weight /= self.weight.sum(axis=1, keepdims=True)
-        order = np.argsort(-self.weight, axis=1, kind="stable")
-        for name in ("weight", "mean", "var"):
-            setattr(self, name, np.take_along_axis(getattr(self, name), order, axis=1))
-        return foreground.astype(np.uint8)
+
+        # every component decays; the heaviest close one owns the sample and moves toward it
+        weight *= 1 - alpha
+        weight -= alpha * p.complexity * active
+        rows = np.flatnonzero(matched)
+        own = (rows, close[rows].argmax(axis=1))
+        weight[own] += alpha
+        np.maximum(weight, 0.0, out=weight)
+        step = np.minimum(alpha / weight[own], 1.0)
+        mean[own] += step * off[own]
+        var[own] = np.clip(var[own] + step * (dist[own] - var[own]), p.min_variance, p.max_variance)
+
+        new = np.flatnonzero(~matched)
+        if len(new):
+            slot = (new, weight[new].argmin(axis=1))
+            weight[slot], mean[slot], var[slot] = alpha, x[new, 0], p.initial_variance
+
+        weight /= weight.sum(axis=1, keepdims=True)
+        if (weight[:, 1:] > weight[:, :-1]).any():
+            order = np.argsort(-weight, axis=1, kind="stable")
+            self.weight, self.mean, self.var = (np.take_along_axis(a, order, axis=1) for a in (weight, mean, var))
+        return (~behind.any(axis=1)).astype(np.uint8)
 
 
 def tiles(frames: DataFrame, frame_pixels: int, tile_pixels: int) -> DataFrame:
@@ -145,7 +145,7 @@ def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
 
 
 def background_subtraction(
-    frames: DataFrame, frame_pixels: int, tile_pixels: int = 4096, params: MixtureParams = MixtureParams()
+    frames: DataFrame, frame_pixels: int, tile_pixels: int = 1024, params: MixtureParams = MixtureParams()
 ) -> DataFrame:
     """Foreground mask of every frame tile (``device``, ``tile``, ``ts``, ``event_id``, ``mask``)."""
     masks = subtract_tiles(tiles(frames, frame_pixels, tile_pixels), params)
@@ -157,7 +157,7 @@ def foreground_pixels(masks: DataFrame) -> DataFrame:
     return masks.groupBy("device", "ts", "event_id").agg(F.sum("foreground").alias("fg_pixels"))
 
 
-def motion_frames(frames: DataFrame, frame_pixels: int, tile_pixels: int = 4096, threshold: int = 5000,
+def motion_frames(frames: DataFrame, frame_pixels: int, tile_pixels: int = 1024, threshold: int = 5000,
                   params: MixtureParams = MixtureParams()) -> DataFrame:
     """Frames with strictly more than ``threshold`` foreground pixels."""
     counted = foreground_pixels(background_subtraction(frames, frame_pixels, tile_pixels, params))

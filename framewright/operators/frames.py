@@ -91,9 +91,9 @@ def throttle_from(
         log = log.unionByName(earlier, allowMissingColumns=True)
     scan = KeyedScan(log, [key], ["ts", "event_id"], hot_rows)
     ns = micros(F.col("ts")) * 1000
-    rows = scan.rows.withColumn("_n", F.sum("_weight").over(scan.window) - 1)
+    rows = scan.rows.withColumn("_n", F.sum("_weight").over(scan.running) - 1)
     rows = rows.withColumn("_lead", F.coalesce("_peak_in", ns - F.col("_n") * d))
-    rows = rows.withColumn("_peak", F.max("_lead").over(scan.window))
+    rows = rows.withColumn("_peak", F.max("_lead").over(scan.running))
 
     def earlier_chunks(chunks, before):
         with_n0 = chunks.withColumn("_n0", F.coalesce(F.sum("_cnt").over(before), F.lit(0)))

@@ -159,7 +159,7 @@ def chunk_stream_ids(rows: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """
     order = ["ts", "event_id"]
     scan = KeyedScan(rows, ["conn"], order, hot_rows)
-    w = scan.window
+    w = scan.running
     role = F.col("role")
     forced = F.when(role == "C", 1).when(role == "S", F.col("open_in")).when(role != "O", 0)
     marked = scan.rows.withColumn("_forced", forced)
@@ -187,7 +187,7 @@ def chunk_stream_ids(rows: DataFrame, hot_rows: int | None = None) -> DataFrame:
     )
     state = ((F.coalesce("_last_forced", "_entry") + F.col("_since")) % 2).cast("int")
     marked = marked.withColumn("open", state)
-    marked = marked.withColumn("_prev", F.coalesce(F.lag("open").over(w), F.col("_entry")))
+    marked = marked.withColumn("_prev", F.coalesce(F.lag("open").over(scan.window), F.col("_entry")))
     starts = ((F.col("_prev") == 0) & (F.col("open") == 1)).cast("bigint")
     marked = marked.withColumn("_start", F.coalesce("streams_in", starts))
     marked = marked.withColumn("_id", F.sum("_start").over(w))

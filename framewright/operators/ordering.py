@@ -85,8 +85,9 @@ def lookup_join(
 class KeyedScan:
     """Rows of ``df`` prepared for running computations per ``keys`` in ``order``.
 
-    ``rows`` is the input (plus a chunk column when some key was split) and ``window`` the window
-    to compute over. ``order`` must be unique within a key.
+    ``rows`` is the input (plus a chunk column when some key was split), ``window`` the ordered
+    window to compute over and ``running`` its frame up to the current row. ``order`` must be
+    unique within a key.
     """
 
     def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int | None = None):
@@ -98,6 +99,7 @@ class KeyedScan:
         if not self.split:
             self.rows = df
             self.window = Window.partitionBy(*self.keys).orderBy(*self.order)
+            self.running = self.window.rowsBetween(Window.unboundedPreceding, 0)
             return
         table = _key_table(df, self.keys, hot)
         n_chunks = min(MAX_CHUNKS, 1 + sum(r["_n"] for r in hot) // limit)
@@ -107,6 +109,7 @@ class KeyedScan:
         )
         self.rows = df.join(table, same, "left_anti").withColumn(_CHUNK, F.lit(0)).unionByName(chunked)
         self.window = Window.partitionBy(*self.keys, _CHUNK).orderBy(*self.order)
+        self.running = self.window.rowsBetween(Window.unboundedPreceding, 0)
 
     def carry(
         self,
@@ -160,7 +163,7 @@ def with_group_index(
     """
     scan = KeyedScan(df, keys, order, hot_rows)
     step = F.col(weight) if weight else F.lit(1)
-    rows = scan.rows.withColumn(name, F.sum(step).over(scan.window).cast("bigint") - 1)
+    rows = scan.rows.withColumn(name, F.sum(step).over(scan.running).cast("bigint") - 1)
     rows = scan.carry(
         rows,
         [F.sum(step).alias("_n")],

@@ -116,7 +116,7 @@ def session_history_from(
         )
     log = log.withColumn("_late", (F.col("kind") == "timer").cast("int"))
     scan = KeyedScan(log, ["addr"], ["ts", "_late", "event_id"], hot_rows)
-    w = scan.window
+    w = scan.running
     last_row = F.struct("ts", "_late", "event_id")
     rows = scan.rows.withColumn("_news", F.sum(F.col("kind").isin("new", "seed").cast("bigint")).over(w))
     rows = scan.carry(

@@ -22,7 +22,7 @@ def background_op(frame_pixels: int, tile_pixels: int, params: MixtureParams = M
 
 
 def stream_background_subtraction(
-    frames: DataFrame, frame_pixels: int, tile_pixels: int = 4096, params: MixtureParams = MixtureParams(),
+    frames: DataFrame, frame_pixels: int, tile_pixels: int = 1024, params: MixtureParams = MixtureParams(),
     path: str | None = None,
 ) -> DataFrame:
     """Foreground pixels per frame as frames arrive."""
