@@ -35,53 +35,58 @@ class MixtureParams:
 
 
 class PixelMixture:
-    """Weights, means and variances, shape (pixels, components), heaviest component first."""
+    """The mixtures of a tile: weights, means and variances, each (components, pixels).
+
+    Components are kept heaviest first; one with weight 0 is unused.
+    """
 
     def __init__(self, pixels: int, params: MixtureParams, packed: bytes | None = None):
         self.params = params
-        shape = (3, pixels, params.components)
-        if packed is None:
-            self.weight, self.mean, self.var = np.zeros(shape)
-        else:
-            self.weight, self.mean, self.var = np.frombuffer(packed, dtype=np.float64).reshape(shape).copy()
+        shape = (3, params.components, pixels)
+        self.model = np.zeros(shape) if packed is None else np.frombuffer(packed, dtype=np.float64).reshape(shape).copy()
 
     def pack(self) -> bytes:
-        return np.stack([self.weight, self.mean, self.var]).tobytes()
+        return self.model.tobytes()
 
     def apply(self, pixels: np.ndarray) -> np.ndarray:
         """Classify a frame (1 = foreground) and learn from it."""
         p, alpha = self.params, self.params.rate()
-        weight, mean, var = self.weight, self.mean, self.var
-        x = pixels.astype(np.float64)[:, None]
+        weight, mean, var = self.model
+        x = pixels.astype(np.float64)
         active = weight > 0
         off = x - mean
         dist = off * off
-        heavier = np.cumsum(weight, axis=1) - weight
+        heavier = weight.cumsum(axis=0) - weight
         behind = active & (heavier < p.background_ratio) & (dist < p.threshold * var)
         close = active & (dist < p.generation_threshold * var)
-        matched = close.any(axis=1)
+        matched = close.any(axis=0)
 
         # every component decays; the heaviest close one owns the sample and moves toward it
         weight *= 1 - alpha
         weight -= alpha * p.complexity * active
-        rows = np.flatnonzero(matched)
-        own = (rows, close[rows].argmax(axis=1))
-        weight[own] += alpha
+        owned = matched.nonzero()[0]
+        if len(owned):
+            own = (close.argmax(axis=0)[owned], owned)
+            weight[own] += alpha
+            step = np.minimum(alpha / weight[own], 1.0)
+            mean[own] += step * off[own]
+            moved = var[own]
+            moved += step * (dist[own] - moved)
+            var[own] = np.minimum(np.maximum(moved, p.min_variance), p.max_variance)
         np.maximum(weight, 0.0, out=weight)
-        step = np.minimum(alpha / weight[own], 1.0)
-        mean[own] += step * off[own]
-        var[own] = np.clip(var[own] + step * (dist[own] - var[own]), p.min_variance, p.max_variance)
-
-        new = np.flatnonzero(~matched)
-        if len(new):
-            slot = (new, weight[new].argmin(axis=1))
-            weight[slot], mean[slot], var[slot] = alpha, x[new, 0], p.initial_variance
-
-        weight /= weight.sum(axis=1, keepdims=True)
-        if (weight[:, 1:] > weight[:, :-1]).any():
-            order = np.argsort(-weight, axis=1, kind="stable")
-            self.weight, self.mean, self.var = (np.take_along_axis(a, order, axis=1) for a in (weight, mean, var))
-        return (~behind.any(axis=1)).astype(np.uint8)
+
+        if len(owned) < len(x):
+            new = (~matched).nonzero()[0]
+            slot = (weight[:, new].argmin(axis=0), new)
+            weight[slot], mean[slot], var[slot] = alpha, x[new], p.initial_variance
+
+        weight /= weight.sum(axis=0)
+        unsorted = (weight[1:] > weight[:-1]).any(axis=0).nonzero()[0]
+        if len(unsorted):
+            part = self.model[:, :, unsorted]
+            order = np.argsort(-part[0], axis=0, kind="stable")
+            self.model[:, :, unsorted] = part[:, order, np.arange(len(unsorted))]
+        return (~behind.any(axis=0)).astype(np.uint8)
 
 
 def tiles(frames: DataFrame, frame_pixels: int, tile_pixels: int) -> DataFrame:

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -205,8 +202,8 @@ def chunk_stream_ids(rows: DataFrame, hot_rows: int | None = None) -> DataFrame:
 def chunk_streams(segmented: DataFrame) -> DataFrame:
     """One row per substream: how it opened, how it ended, rows and payload length."""
     order = F.struct("ts", "event_id")
-    # the row that aborts a stream is lost; every other payload counts, the opener's included
-    counted = F.when((F.col("open") == 1) | (F.col("role") == "T"), F.col("units")).otherwise(0)
+    # the row that ends or aborts a stream is not part of it; the opener is
+    counted = F.when(F.col("open") == 1, F.col("units")).otherwise(0)
     streams = segmented.groupBy("conn", "stream").agg(
         F.min_by("opened_by", order).alias("opened_by"),
         F.max_by(F.struct("role", "open", "ts", "event_id"), order).alias("_last"),
@@ -302,57 +299,3 @@ def frame_bytes(messages: DataFrame) -> DataFrame:
 
 def valid_uuid(text: Column) -> Column:
     return parse_uuid(text).isNotNull()
-
-
-def split_frames(
-    segments: DataFrame, order: tuple[str, ...] = ("seq",), max_message: int = MAX_MESSAGE
-) -> DataFrame:
-    """Length-prefixed byte log per connection back to messages.
-
-    Segments (``conn``, order columns, ``data``) are cut anywhere. Rows of a connection are sorted
-    within a partition and read as a stream, so memory holds one batch and one unfinished message.
-    A length above ``max_message`` ends the connection with an error row; bytes left over at the
-    end give a ``truncated`` row.
-    """
-    schema = f"conn {segments.schema['conn'].dataType.simpleString()}, msg bigint, wire binary, error string"
-    return (
-        segments.select("conn", *order, "data")
-        .repartition("conn")
-        .sortWithinPartitions("conn", *order)
-        .select("conn", "data")
-        .mapInPandas(_SplitFrames(max_message), schema)
-    )
-
-
-class _SplitFrames:
-    def __init__(self, max_message: int):
-        self.max_message = max_message
-
-    def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        conn, buffer, count, failed, started = None, bytearray(), 0, False, False
-        for batch in batches:
-            out = []
-            for key, data in zip(batch["conn"].tolist(), batch["data"].tolist()):
-                if not started or key != conn:
-                    if started and buffer and not failed:
-                        out.append((conn, count, None, "truncated"))
-                    conn, buffer, count, failed, started = key, bytearray(), 0, False, True
-                if failed:
-                    continue
-                buffer += data
-                start = 0
-                while len(buffer) - start >= 4:
-                    size = int.from_bytes(buffer[start : start + 4], "big", signed=True)
-                    if size < 0 or size > self.max_message:
-                        out.append((conn, count, None, "too long"))
-                        failed = True
-                        break
-                    if len(buffer) - start - 4 < size:
-                        break
-                    out.append((conn, count, bytes(buffer[start + 4 : start + 4 + size]), None))
-                    count += 1
-                    start += 4 + size
-                del buffer[:start]
-            yield pd.DataFrame(out, columns=["conn", "msg", "wire", "error"])
-        if started and buffer and not failed:
-            yield pd.DataFrame([(conn, count, None, "truncated")], columns=["conn", "msg", "wire", "error"])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from framewright.operators import messages as ms
+from framewright.operators.framing import split_frames as split_frames_of
 from framewright.operators.ordering import with_global_index
 from framewright.plans import fixtures as fx
 from framewright.plans.fixtures import with_views
@@ -204,6 +205,6 @@ def split_frames(spark, sf_dir):
             )
         ).alias("piece", "data"),
     )
-    messages = ms.split_frames(pieces, ("ts", "event_id", "piece"))
+    messages = split_frames_of(pieces, ("ts", "event_id", "piece"))
     decoded = ms.decode_messages(messages.withColumnRenamed("error", "split_error"))
     return decoded.select("conn", "msg", "tag", "payload", F.coalesce("split_error", "error").alias("error"))

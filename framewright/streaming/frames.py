@@ -69,7 +69,7 @@ def grouped_within_op(size: int, window: str, key: str = "device") -> Carried:
         gone = still.where(F.col("closed")).select(key, "window_start", "window_end", F.col("n").alias("weight"))
         if buffer is not None:
             last = written.agg(F.max("window_end")).scalar()
-            counted = buffer.where((F.col("event_id") < 0) & (F.col("window_end") >= last))
+            counted = buffer.where((F.col("event_id") < 0) & (F.col("window_end") >= F.coalesce(last, F.col("window_end"))))
             gone = gone.unionByName(counted.select(key, "window_start", "window_end", "weight"))
         counts = gone.groupBy(key, "window_start", "window_end").agg(F.sum("weight").alias("weight"))
         one = F.lit(1).cast("bigint")
