@@ -37,37 +37,58 @@ def handler_consume_stream(
 ) -> DataFrame:
     """Rows to one row per key, by a fold in two steps.
 
-    ``partial`` folds the rows of a batch to one row per key, ``merge`` folds several partial rows
-    of one key to one. Partials are folded again per hash of their partition before the last
-    merge, so a key's final group holds at most ``MERGE_FANOUT`` rows.
+    ``partial`` folds a batch of rows to one row per key in it, ``merge`` folds partial rows the
+    same way. Every input partition is folded before the shuffle, so a key arrives as one row per
+    partition whatever its size; those rows are merged batch by batch in key order.
     """
-    folded = rows.mapInPandas(_Batches(partial), schema)
-    salted = folded.withColumn("_salt", F.spark_partition_id() % MERGE_FANOUT)
-    names = folded.columns
+    folded = rows.mapInPandas(_FoldPartition(partial, merge), schema)
+    by_key = folded.repartition(*keys).sortWithinPartitions(*keys)
+    return by_key.mapInPandas(_MergeSorted(list(keys), merge), schema)
 
-    def merge_salted(group: pd.DataFrame) -> pd.DataFrame:
-        return merge(group[names])
 
-    with_salt = f"{schema}, _salt int"
+class _FoldPartition:
+    """Fold batches into partial rows, letting go of them when they become too many to hold."""
 
-    def merge_keep_salt(group: pd.DataFrame) -> pd.DataFrame:
-        return merge(group[names]).assign(_salt=group["_salt"].iloc[0])
+    MAX_HELD = 100_000
 
-    once = salted.groupBy(*keys, "_salt").applyInPandas(merge_keep_salt, with_salt)
-    return once.groupBy(*keys).applyInPandas(merge_salted, schema)
+    def __init__(self, partial, merge):
+        self.partial = partial
+        self.merge = merge
 
+    def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            part = self.partial(batch)
+            held = part if held is None else self.merge(pd.concat([held, part], ignore_index=True))
+            if len(held) > self.MAX_HELD:
+                yield held
+                held = None
+        if held is not None:
+            yield held
 
-MERGE_FANOUT = 256
 
+class _MergeSorted:
+    """Merge partial rows sorted by key; the last key of a batch waits for the next one."""
 
-class _Batches:
-    def __init__(self, fold: Callable[[pd.DataFrame], pd.DataFrame]):
-        self.fold = fold
+    def __init__(self, keys: list[str], merge):
+        self.keys = keys
+        self.merge = merge
 
     def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
         for batch in batches:
-            if len(batch):
-                yield self.fold(batch)
+            if not len(batch):
+                continue
+            if held is not None:
+                batch = pd.concat([held, batch], ignore_index=True)
+            merged = self.merge(batch)
+            last = (merged[self.keys] == batch[self.keys].iloc[-1]).all(axis=1)
+            held = merged[last]
+            yield merged[~last]
+        if held is not None:
+            yield held
 
 
 def handler_process_stream(

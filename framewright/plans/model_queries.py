@@ -209,12 +209,11 @@ def handler_signal(spark, sf_dir):
     ),
 )
 def handler_consume_stream(spark, sf_dir):
-    def partial(batch: pd.DataFrame) -> pd.DataFrame:
-        sized = batch.assign(n=1, total=batch["payload"].str.len())
-        return sized.groupby("conn", as_index=False)[["n", "total"]].sum()
+    def merge(parts: pd.DataFrame) -> pd.DataFrame:
+        return parts.groupby("conn", as_index=False)[["n", "total"]].sum()
 
-    def merge(group: pd.DataFrame) -> pd.DataFrame:
-        return group.groupby("conn", as_index=False)[["n", "total"]].sum()
+    def partial(batch: pd.DataFrame) -> pd.DataFrame:
+        return merge(batch.assign(n=1, total=batch["payload"].str.len()))
 
     chunks = fx.messages(spark, sf_dir).where(F.col("tag") == 3).select("conn", "payload")
     return ha.handler_consume_stream(chunks, ["conn"], partial, merge, "conn bigint, n bigint, total bigint")

@@ -101,7 +101,7 @@ def tensor_record_scan(spark, sf_dir):
     tensor_records.register(spark)
     images = fx.images(spark, sf_dir).select(image_bytes(F.col("pixels")).alias("data"), "label")
     images.write.format("tensor_records").mode("append").option("shape", "8x8").save(path)
-    records = spark.read.format("tensor_records").option("splitBytes", 4096).load(path)
+    records = spark.read.format("tensor_records").load(path)
     digits = F.transform(
         F.sequence(F.lit(1), F.octet_length("data")),
         lambda i: F.conv(F.hex(F.substring(F.col("data"), i, F.lit(1))), 16, 10),
