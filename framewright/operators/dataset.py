@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framewright.operators.ordering import seeded_order, with_global_index, with_group_index
 
 SPLITS = ("train", "validation", "test")
+MAX_CLASSES = 10_000
 
 
 def class_counts(samples: DataFrame) -> DataFrame:
@@ -22,30 +25,58 @@ def class_counts_min(samples: DataFrame) -> DataFrame:
     return counts.withColumn("n_min", counts.agg(F.min("n")).scalar())
 
 
-def _shuffled_index(samples: DataFrame, seed: int, hot_rows: int | None) -> DataFrame:
-    keyed = samples.withColumn("_key", seeded_order(seed, "id"))
-    return with_group_index(keyed, ["label"], ["_key", "id"], "idx", hot_rows).drop("_key")
+def _smallest_class(samples: DataFrame) -> int:
+    return class_counts(samples).agg(F.min("n")).first()[0] or 0
+
+
+def _likely_first(keyed: DataFrame, k: int) -> DataFrame:
+    """Leave out rows that cannot be among the first ``k`` of their class by ``_key``.
+
+    Keys are uniform hashes, so the first k of n lie below about k/n of the key range; a margin of
+    eight deviations is kept and then checked by counting, so no class ever comes out short. Used
+    only where it at least halves the rows and there are few enough classes to broadcast.
+    """
+    sizes = class_counts(keyed).limit(MAX_CLASSES + 1).collect()
+    if len(sizes) > MAX_CLASSES or sum(r["n"] for r in sizes) < 2 * k * len(sizes):
+        return keyed
+    bounds = [(r["label"], min(1.0, (k + 8 * math.sqrt(k) + 16) / r["n"])) for r in sizes]
+    label = keyed.schema["label"]
+    table = keyed.sparkSession.createDataFrame(
+        bounds, T.StructType([T.StructField("_label", label.dataType), T.StructField("_bound", T.DoubleType())])
+    )
+    place = F.conv(F.substring("_key", 1, 8), 16, 10).cast("bigint") / float(1 << 32)
+    kept = (
+        keyed.join(F.broadcast(table), F.col("label").eqNullSafe(F.col("_label")))
+        .where(place < F.col("_bound"))
+        .select(*keyed.columns)
+    )
+    fewest = class_counts(kept).agg(F.min("n"), F.count(F.lit(1))).first()
+    return kept if fewest[1] == len(sizes) and fewest[0] >= k else keyed
+
+
+def _balanced(samples: DataFrame, k: int, seed: int, hot_rows: int | None) -> DataFrame:
+    keyed = _likely_first(samples.withColumn("_key", seeded_order(seed, "id")), k)
+    indexed = with_group_index(keyed, ["label"], ["_key", "id"], "idx", hot_rows)
+    return indexed.drop("_key").where(F.col("idx") < k)
 
 
 def balanced_sample(samples: DataFrame, seed: int = 0, hot_rows: int | None = None) -> DataFrame:
     """From each class, in seeded order, as many samples as the smallest class has."""
-    smallest = class_counts(samples).agg(F.min("n")).scalar()
-    return _shuffled_index(samples, seed, hot_rows).where(F.col("idx") < smallest)
+    return _balanced(samples, _smallest_class(samples), seed, hot_rows)
 
 
 def percent_split(
-    samples: DataFrame, percents: Sequence[int], seed: int = 0, hot_rows: int | None = None
+    samples: DataFrame, percents: Sequence[float], seed: int = 0, hot_rows: int | None = None
 ) -> DataFrame:
     """Balanced sample cut per class into consecutive percentage ranges; the remainder is dropped."""
-    balanced = balanced_sample(samples, seed, hot_rows).withColumn(
-        "_n", class_counts(samples).agg(F.min("n")).scalar()
-    )
-    dataset, start = F.lit(None).cast("string"), F.lit(0)
+    k = _smallest_class(samples)
+    dataset, start = F.lit(None).cast("string"), 0
     for name, percent in zip(SPLITS, percents):
-        end = start + F.floor(F.col("_n") * (percent / 100.0)).cast("int")
+        end = start + int(percent / 100.0 * k)
         dataset = F.coalesce(dataset, F.when((F.col("idx") >= start) & (F.col("idx") < end), name))
         start = end
-    return balanced.withColumn("dataset", dataset).where(F.col("dataset").isNotNull()).drop("_n")
+    balanced = _balanced(samples, k, seed, hot_rows)
+    return balanced.withColumn("dataset", dataset).where(F.col("dataset").isNotNull())
 
 
 def seeded_shuffle(samples: DataFrame, seed: int = 0) -> DataFrame:
@@ -70,9 +101,9 @@ def balanced_ratio_split(
     samples: DataFrame, ratio: float, seed: int = 0, hot_rows: int | None = None
 ) -> DataFrame:
     """The same ratio inside every class of a balanced sample."""
-    size = class_counts(samples).agg(F.floor(F.min("n") * ratio)).scalar()
-    return balanced_sample(samples, seed, hot_rows).withColumn(
-        "dataset", F.when(F.col("idx") < size, "train").otherwise("test")
+    k = _smallest_class(samples)
+    return _balanced(samples, k, seed, hot_rows).withColumn(
+        "dataset", F.when(F.col("idx") < int(k * ratio), "train").otherwise("test")
     )
 
 

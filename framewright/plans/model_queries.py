@@ -81,7 +81,28 @@ def score_stream(spark, sf_dir):
     return replay_to_table(_scored(_features(arriving))).drop("batch_id")
 
 
-@query("batch_inference_conv")
+CONV_SQL = with_views(
+    """WITH filtered AS (
+      SELECT vec_id, label, r, c, o, list_sum(list_transform(range(9), lambda t:
+        px[CAST((r + t // 3) * 8 + c + t % 3 + 1 AS BIGINT)]
+        * ((((t // 3) * 3 + (t % 3) * 5 + o * 7) % 9 - 4) / 9.0::DOUBLE))) AS v
+      FROM imgs, (SELECT unnest(range(6)) AS r), (SELECT unnest(range(6)) AS c), (SELECT unnest(range(4)) AS o)),
+    pooled AS (
+      SELECT vec_id, label, (r // 2 * 3 + c // 2) * 4 + o AS i,
+        max(CASE WHEN v > 0 THEN v ELSE 0.1::DOUBLE * v END) AS v
+      FROM filtered GROUP BY vec_id, label, r // 2, c // 2, o),
+    scored AS (
+      SELECT vec_id, label, k, sum(v * (((i * 3 + k * 5) % 13 - 6) / 13.0::DOUBLE)) AS z
+      FROM pooled, (SELECT unnest(range(10)) AS k) GROUP BY vec_id, label, k),
+    listed AS (SELECT vec_id, label, list(z ORDER BY k) AS z FROM scored GROUP BY vec_id, label)
+    SELECT vec_id, label, CAST(list_position(z, list_max(z)) - 1 AS INTEGER) AS pred,
+      round(1.0::DOUBLE / list_sum(list_transform(z, lambda x: exp(x - list_max(z)))), 6) AS probability FROM listed""",
+    "emb",
+    "imgs",
+)
+
+
+@query("batch_inference_conv", CONV_SQL)
 def batch_inference_conv(spark, sf_dir):
     images = fx.images(spark, sf_dir).select("vec_id", "label", F.col("pixels").cast("array<double>").alias("features"))
     model = so.layer_stack(conv_layers, [8, 8, 1])

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import random
 
 import numpy as np
@@ -11,6 +12,7 @@ from compare import spark_rows
 from pyspark.sql import functions as F
 
 from framewright.operators import background as bg
+from framewright.operators import dataset as ds
 from framewright.operators import frames as fr
 from framewright.operators import framing as fm
 from framewright.operators import handlers as ha
@@ -19,7 +21,7 @@ from framewright.operators import messages as ms
 from framewright.operators import scoring as so
 from framewright.operators import sessions as se
 from framewright.operators.images import bilinear
-from framewright.operators.ordering import with_global_index, with_group_index
+from framewright.operators.ordering import seeded_order, with_global_index, with_group_index
 from framewright.plans.model_queries import conv_layers
 
 START = dt.datetime(2024, 1, 1)
@@ -384,3 +386,30 @@ def test_merge_eager_ends_with_the_first_input(spark):
     a = spark.createDataFrame([(at(t), t) for t in (1, 5, 9)], "ts timestamp_ntz, v int")
     b = spark.createDataFrame([(at(t), t) for t in (2, 6)], "ts timestamp_ntz, v int")
     assert [r[1] for r in spark_rows(ms.merge_streams_eager(a, b))[1]] == [1, 2, 5, 6]
+
+
+@pytest.mark.parametrize("sizes", [{0: 900, 1: 40, 2: 300}, {0: 10, 1: 10}, {0: 5000, None: 3}])
+def test_balanced_sample_takes_the_first_of_each_class(spark, hot_rows, sizes):
+    rows = [(n * 10_000 + i, label) for n, (label, size) in enumerate(sizes.items()) for i in range(size)]
+    samples = spark.createDataFrame(rows, "id bigint, label int")
+    k = min(sizes.values())
+    expected = set()
+    for label in sizes:
+        ids = sorted((i for i, c in rows if c == label), key=lambda i: (hashlib.md5(f"7:{i}".encode()).hexdigest(), i))
+        expected |= {(i, label, n) for n, i in enumerate(ids[:k])}
+    got = ds.balanced_sample(samples, 7, hot_rows and 400)
+    assert {(r.id, r.label, r.idx) for r in got.collect()} == expected
+
+
+def test_balanced_sample_shuffles_only_likely_rows(spark):
+    samples = spark.range(20_000).select("id", F.when(F.col("id") < 100, 0).otherwise(1).alias("label"))
+    keyed = samples.withColumn("_key", seeded_order(0, "id"))
+    assert ds._likely_first(keyed, 100).count() < 500
+    even = keyed.withColumn("label", (F.col("id") % 2).cast("int"))
+    assert ds._likely_first(even, 10_000) is even
+
+
+def test_percent_split_drops_the_remainder(spark):
+    samples = spark.range(33).select("id", (F.col("id") % 3).cast("int").alias("label"))
+    got = ds.percent_split(samples, (70, 0, 20)).groupBy("label", "dataset").count().collect()
+    assert sorted(map(tuple, got)) == [(c, d, n) for c in range(3) for d, n in (("test", 2), ("train", 7))]
