@@ -53,14 +53,11 @@ def scale_pixels(pixels: Column, low: float | Column = 0.0, high: float | Column
     return F.transform(pixels, lambda x: (x - low_c) / (high_c - low_c))
 
 
-def flatten_cast(image: Column) -> Column:
-    """A 2-D image as one float vector."""
-    return F.flatten(image).cast("array<float>")
-
-
-def flatten3(image: Column) -> Column:
-    """A rows x columns x channels image as one float vector."""
-    return F.flatten(F.flatten(image)).cast("array<float>")
+def flatten_cast(image: Column, dimensions: int = 2) -> Column:
+    """A nested image (rows, columns and perhaps channels) as one float vector."""
+    for _ in range(dimensions - 1):
+        image = F.flatten(image)
+    return image.cast("array<float>")
 
 
 def count_nonzero(mask: Column) -> Column:

@@ -17,15 +17,11 @@ def be_int32(value: Column) -> Column:
     return F.unhex(_hex_digits(value, 8))
 
 
-def be_int64(value: Column) -> Column:
-    """Eight big-endian bytes of a long."""
-    return F.unhex(_hex_digits(value, 16))
-
-
 def read_be_int32(data: Column, position: int) -> Column:
     """Signed big-endian int at a 1-based byte position; null when fewer than 4 bytes are left."""
     raw = F.conv(F.hex(F.substring(data, position, 4)), 16, 10).cast("bigint")
-    signed = F.when(raw >= 1 << 31, raw - (1 << 32)).otherwise(raw).cast("int")
+    # flipping the sign bit and taking it off again extends the sign with one use of ``raw``
+    signed = (raw.bitwiseXOR(F.lit(1 << 31)) - (1 << 31)).cast("int")
     return F.when(F.octet_length(data) >= position + 3, signed)
 
 

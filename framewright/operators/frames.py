@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewright.functions.arrays import count_nonzero
-from framewright.functions.scalar import from_micros, micros, seconds_interval
+from framewright.functions.scalar import from_micros, micros
 from framewright.operators.ordering import KeyedScan, with_group_index
 
 MOTION_THRESHOLD = 5000
@@ -142,7 +142,3 @@ def quarantine(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
 def take_n(df: DataFrame, n: int, *order: str) -> DataFrame:
     """First ``n`` rows in order (a top-n, not a sort of everything)."""
     return df.orderBy(*order).limit(n)
-
-
-def shift(ts: str, seconds: float) -> Column:
-    return F.col(ts) + seconds_interval(seconds)

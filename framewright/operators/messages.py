@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from framewright.functions.scalar import be_int32, parse_uuid, read_be_int32, utf16_length, uuid_text
+from framewright.functions.scalar import be_int32, read_be_int32, utf16_length, uuid_text
 from framewright.operators.ordering import KeyedScan
 
 # Fixed values of the message protocol.
@@ -118,17 +118,18 @@ def label_map_reply(labels: DataFrame) -> DataFrame:
 def chunk_roles(messages: DataFrame) -> DataFrame:
     """Role of each routed message for substreams: open, chunk, end, other; ignored ones leave."""
     action = F.col("action")
+    heard = messages.where(action != "Ignore")
     role = (
         F.when(action == "ConsumeStream", "O")
         .when(action == "ConsumeStreamChunk", "C")
         .when(action == "EndStream", "T")
-        .when(action != "Ignore", "X")
+        .otherwise("X")
     )
-    return messages.withColumn("role", role).where(F.col("role").isNotNull())
+    return heard.withColumn("role", role)
 
 
-def chunk_rows(log: DataFrame) -> DataFrame:
-    """A role-marked log in the form substreams are computed on.
+def chunk_rows(log: DataFrame, *keep: str) -> DataFrame:
+    """A role-marked log in the form substreams are computed on, with the columns to ``keep``.
 
     ``units``, ``n_rows`` and ``opened_by`` are what the row adds to its stream; the ``_in``
     columns are only set on rows that stand for an earlier part of the log.
@@ -143,16 +144,17 @@ def chunk_rows(log: DataFrame) -> DataFrame:
         F.col("role").alias("opened_by"),
         F.lit(None).cast("int").alias("open_in"),
         F.lit(None).cast("bigint").alias("streams_in"),
+        *keep,
     )
 
 
-def chunk_stream_ids(rows: DataFrame, hot_rows: int | None = None) -> DataFrame:
-    """Segment an ordered message log (see :func:`chunk_rows`) per connection into substreams.
+def segment_chunks(rows: DataFrame, hot_rows: int | None = None) -> DataFrame:
+    """Mark each row of an ordered log (see :func:`chunk_rows`) with its substream.
 
     A chunk (C) always leaves a stream open, an end (T) or another message (X) always leaves none
     open, an opener (O) opens when idle and aborts when open. So the open/closed state is the last
-    non-O effect plus the parity of openers since, and stream ids count the 0 -> 1 steps. Rows
-    outside any stream are dropped; ``open`` is the state after the row.
+    non-O effect plus the parity of openers since, and stream ids count the 0 -> 1 steps.
+    ``open`` is the state after the row; ``stream`` is null for rows outside any stream.
     """
     order = ["ts", "event_id"]
     scan = KeyedScan(rows, ["conn"], order, hot_rows)
@@ -194,9 +196,13 @@ def chunk_stream_ids(rows: DataFrame, hot_rows: int | None = None) -> DataFrame:
         lambda chunks, earlier: chunks.withColumn("_id0", F.sum("_starts").over(earlier)),
         {"_id0": F.lit(0).cast("bigint")},
     )
-    return marked.where((F.col("open") == 1) | (F.col("_prev") == 1)).select(
-        *rows.columns, (F.col("_id") + F.col("_id0")).alias("stream"), "open"
-    )
+    inside = (F.col("open") == 1) | (F.col("_prev") == 1)
+    return marked.select(*rows.columns, F.when(inside, F.col("_id") + F.col("_id0")).alias("stream"), "open")
+
+
+def chunk_stream_ids(rows: DataFrame, hot_rows: int | None = None) -> DataFrame:
+    """Rows of an ordered log that belong to a substream, with its id."""
+    return segment_chunks(rows, hot_rows).where(F.col("stream").isNotNull())
 
 
 def chunk_streams(segmented: DataFrame) -> DataFrame:
@@ -222,13 +228,15 @@ def chunk_streams(segmented: DataFrame) -> DataFrame:
 
 def size_replies(streams: DataFrame) -> DataFrame:
     """Replies to size commands: total payload of streams an opener began and an end completed."""
-    return streams.where((F.col("opened_by") == "O") & (F.col("status") == "completed")).select(
-        "conn", "stream", "total", F.col("total").cast("string").alias("reply")
+    return streams.where((F.col("opened_by") == "O") & (F.col("status") == "completed")).withColumn(
+        "reply", F.col("total").cast("string")
     )
 
 
 def chunk_stream_total(log: DataFrame, hot_rows: int | None = None) -> DataFrame:
-    return size_replies(chunk_streams(chunk_stream_ids(chunk_rows(log), hot_rows)))
+    """Size replies of a role-marked log (``conn``, ``ts``, ``event_id``, ``role``, ``payload``)."""
+    streams = chunk_streams(chunk_stream_ids(chunk_rows(log), hot_rows))
+    return size_replies(streams).select("conn", "stream", "total", "reply")
 
 
 def _optional(df: DataFrame, name: str, type_name: str) -> Column:
@@ -255,47 +263,32 @@ def encode_messages(messages: DataFrame) -> DataFrame:
 
 
 def decode_messages(wire: DataFrame, tags: tuple[int, ...] = SERVER_TAGS, data: str = "wire") -> DataFrame:
-    """Bytes to message rows; an unknown tag or short body is named in ``error``."""
-    raw = F.col(data)
+    """Bytes to message rows; an unknown tag or short body is named in ``error``.
+
+    The tag leaves through ``inline``, so every later use reads a column instead of repeating its
+    extraction, also in filters pushed down from further up.
+    """
+    raw, tag = F.col(data), F.col("tag")
     size = F.octet_length(raw)
 
     def text_from(position: int) -> Column:
         return F.decode(F.substring(raw, position, 1 << 30), "UTF-8")
 
-    tag = F.col("tag")
-    out = wire.withColumn("tag", read_be_int32(raw, 1))
-    short = ((tag == TAG_COMMAND) & (size < 8)) | ((tag == TAG_FRAMES) & (size < 20))
-    error = F.when(tag.isNull() | short, "short message").when(~tag.isin(*tags), "unknown tag")
-    return (
-        out.withColumn("error", error)
-        .withColumn("cmd", F.when(F.col("error").isNull() & (tag == TAG_COMMAND), read_be_int32(raw, 5)))
-        .withColumn(
-            "payload",
-            F.when(
-                F.col("error").isNull(),
-                F.when(tag == TAG_COMMAND, text_from(9)).when(
-                    tag.isin(TAG_REPLY, TAG_CHUNK, TAG_ERROR), text_from(5)
-                ),
-            ),
-        )
-        .withColumn(
-            "client_uuid",
-            F.when(F.col("error").isNull() & (tag == TAG_FRAMES), uuid_text(F.hex(F.substring(raw, 5, 16)))),
-        )
-        .withColumn(
-            "body",
-            F.when(
-                F.col("error").isNull(),
-                F.when(tag == TAG_FRAMES, text_from(21)).when(tag == TAG_LABELS, text_from(5)),
-            ),
-        )
+    tagged = wire.select("*", F.inline(F.array(F.struct(read_be_int32(raw, 1).alias("tag")))))
+    short = tag.isNull() | ((tag == TAG_COMMAND) & (size < 8)) | ((tag == TAG_FRAMES) & (size < 20))
+    checked = tagged.withColumn("error", F.when(short, "short message").when(~tag.isin(*tags), "unknown tag"))
+    good = F.col("error").isNull()
+    texts = tag.isin(TAG_REPLY, TAG_CHUNK, TAG_ERROR)
+    return checked.withColumns(
+        {
+            "cmd": F.when(good & (tag == TAG_COMMAND), read_be_int32(raw, 5)),
+            "payload": F.when(good & (tag == TAG_COMMAND), text_from(9)).when(good & texts, text_from(5)),
+            "client_uuid": F.when(good & (tag == TAG_FRAMES), uuid_text(F.hex(F.substring(raw, 5, 16)))),
+            "body": F.when(good & (tag == TAG_FRAMES), text_from(21)).when(good & (tag == TAG_LABELS), text_from(5)),
+        }
     )
 
 
 def frame_bytes(messages: DataFrame) -> DataFrame:
     """Prefix each encoded message with its big-endian length, as on the socket."""
     return messages.withColumn("data", F.concat(be_int32(F.octet_length("wire")), F.col("wire")))
-
-
-def valid_uuid(text: Column) -> Column:
-    return parse_uuid(text).isNotNull()

@@ -243,6 +243,12 @@ def judge_messages(events: DataFrame, facts: DataFrame, hot: Sequence[Row] = ())
     )
 
 
+def gate_open(facts: DataFrame) -> DataFrame:
+    """Addresses whose gate opens, with the time after which their messages pass (``open_ts``)."""
+    active = _state_at(F.col("probe_ts"))["state"] == "Active"
+    return facts.where(F.col("reply").isNotNull() & active).select("addr", F.col("probe_ts").alias("open_ts"))
+
+
 def session_gate(
     events: DataFrame,
     timeout: float = RESOLVE_TIMEOUT,

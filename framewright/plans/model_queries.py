@@ -18,6 +18,7 @@ from framewright.plans.registry import query
 from framewright.plans.source_queries import image_bytes
 from framewright.plans.stream_queries import events_stream
 from framewright.sources.frames import frame_stream_scan
+from framewright.sources.sinks import notification_messages
 from framewright.streaming.background import stream_background_subtraction
 from framewright.streaming.runner import replay_to_table
 
@@ -197,9 +198,12 @@ def background_subtraction(spark, sf_dir):
     return masks.select("device", "tile", "ts", "event_id", F.hex("mask").alias("mask"), "foreground")
 
 
-@query("motion_pipeline")
-def motion_pipeline(spark, sf_dir):
-    return bg.motion_frames(_video(fx.video(spark, sf_dir)), FRAME_PIXELS, TILE_PIXELS, MOTION_PIXELS)
+@query("motion_alerts")
+def motion_alerts(spark, sf_dir):
+    """Background model, motion filter and outgoing notifications in one plan."""
+    moving = bg.motion_frames(_video(fx.video(spark, sf_dir)), FRAME_PIXELS, TILE_PIXELS, MOTION_PIXELS)
+    sent = notification_messages(moving, fx.client_uuid(F.col("device")), fx.BATCH_SIZE, fx.BATCH_WINDOW)
+    return sent.select("conn", "window_start", "batch", F.hex("data").alias("data"))
 
 
 @query("stream_background_subtraction")

@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from framewright.operators import hosts as ho
 from framewright.operators import sessions as se
+from framewright.operators.messages import SERVER_UUID, encode_messages
+from framewright.operators.serving import serve_messages
 from framewright.plans import fixtures as fx
 from framewright.plans.fixtures import with_views
+from framewright.plans.message_queries import CHUNK_STREAMS_SQL
 from framewright.plans.registry import query
 
 HISTORY_CTES = """
@@ -158,3 +161,41 @@ def request_reply_fifo(spark, sf_dir):
 )
 def active_subscriptions(spark, sf_dir):
     return ho.active_subscriptions(fx.subscriptions(spark, sf_dir))
+
+
+SERVE_SQL = with_views(
+    HISTORY_CTES
+    + """, firsts AS (SELECT addr, min((ts, event_id)) AS first_new FROM sess WHERE kind = 'new' GROUP BY addr),
+    answered AS (
+      SELECT s.addr, min(s.ts) + INTERVAL 1 HOUR AS probe FROM sess s JOIN firsts f ON s.addr = f.addr
+      WHERE kind = 'resolve' AND device_id IS NOT NULL AND (s.ts, s.event_id) > f.first_new GROUP BY s.addr),
+    opened AS (
+      SELECT a.addr, a.probe FROM answered a JOIN history h ON a.addr = h.addr AND h.ts <= a.probe
+      GROUP BY a.addr, a.probe HAVING arg_max(h.state, (h.ts, h.late, h.event_id)) = 'Active'),
+    chunks AS (
+      SELECT conn, ts, event_id, payload, tag, cmd, CASE
+        WHEN tag = 3 AND length(payload) > 0 THEN 'C' WHEN tag = 3 THEN 'T' WHEN tag = 1 AND cmd = 2 THEN 'O'
+        WHEN tag IN (4, 10) OR (tag = 1 AND cmd IN (3, 4, 5, 99)) THEN 'X' END AS role
+      FROM msgs JOIN opened ON conn = addr AND ts > probe
+      WHERE NOT (tag = 2 OR (tag = 1 AND cmd = 1))),"""
+    + CHUNK_STREAMS_SQL.strip().removeprefix("WITH")
+    + f""", ends AS (
+      SELECT conn, stream, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id FROM segmented GROUP BY conn, stream),
+    replies AS (
+      SELECT conn, ts, event_id, CASE cmd WHEN 3 THEN payload WHEN 4 THEN '{SERVER_UUID}' ELSE 'PONG' END AS reply
+      FROM chunks WHERE tag = 1 AND cmd IN (3, 4, 99)
+        AND NOT EXISTS (SELECT 1 FROM segmented g WHERE g.conn = chunks.conn AND g.event_id = chunks.event_id)
+      UNION ALL SELECT s.conn, e.ts, e.event_id, CAST(total AS VARCHAR) FROM streams s
+      JOIN ends e ON s.conn = e.conn AND s.stream = e.stream WHERE opened_by = 'O' AND status = 'completed')
+    SELECT conn, ts, event_id, reply, '00000002' || hex(encode(reply)) AS wire FROM replies""",
+    "sess",
+    "msgs",
+)
+
+
+@query("serve_messages", SERVE_SQL)
+def serve(spark, sf_dir):
+    """Messages of open sessions in, encoded replies out."""
+    wire = encode_messages(fx.messages(spark, sf_dir)).select("conn", "ts", "event_id", "wire")
+    out = serve_messages(wire, fx.session_events(spark, sf_dir), fx.SESSION_TIMEOUT, fx.CHECK_DELAY)
+    return out.select("conn", "ts", "event_id", F.col("payload").alias("reply"), F.hex("wire").alias("wire"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from framewright.plans import fixtures as fx
 from framewright.plans.fixtures import with_views
-from framewright.plans.frame_queries import _BATCHES_SQL, THROTTLE_SQL
+from framewright.plans.frame_queries import THROTTLE_SQL
 from framewright.plans.message_queries import CHUNK_TOTAL_SQL
 from framewright.plans.registry import ORACLES, query
 from framewright.plans.session_queries import GATE_SQL, HISTORY_SQL

@@ -45,7 +45,7 @@ def chunk_total_op() -> Carried:
 def stream_chunk_total(log: DataFrame, path: str | None = None) -> DataFrame:
     """Size replies as their streams complete."""
     streams, _ = run_carried(log, chunk_total_op(), path)
-    return ms.size_replies(streams)
+    return ms.size_replies(streams).select("conn", "stream", "total", "reply")
 
 
 def stream_failure_breaker(failures: DataFrame, max_failures: int, period: str, path: str | None = None) -> DataFrame:
