@@ -85,7 +85,7 @@ def motion_filter(spark, sf_dir):
           CASE WHEN tag NOT IN (1, 2, 3, 4) THEN 'unknown tag' WHEN coalesce(payload, '') = '' THEN 'empty payload'
                WHEN try_cast(regexp_extract(payload, '([0-9]+)', 1) AS INTEGER) % 10 = 0 THEN 'bad value' END AS error,
           CASE WHEN tag IN (1, 2, 3, 4) AND coalesce(payload, '') <> ''
-               THEN try_cast(regexp_extract(payload, '([0-9]+)', 1) AS INTEGER) END AS k
+               THEN try_cast(regexp_extract(payload, '([0-9]+)', 1) AS INTEGER) ELSE -1 END AS k
         FROM msgs""",
         "msgs",
     ),
@@ -102,7 +102,7 @@ def quarantine_bad_rows(spark, sf_dir):
         },
     )
     usable = F.col("error").isNull() | (F.col("error") == "bad value")
-    return checked.select("event_id", "conn", "error", F.when(usable, F.col("k")).alias("k"))
+    return checked.select("event_id", "conn", "error", F.when(usable, F.col("k")).otherwise(-1).alias("k"))
 
 
 @query(

@@ -167,7 +167,7 @@ def encode_messages(spark, sf_dir):
     with_views(
         """SELECT event_id, CASE WHEN event_id % 97 = 0 THEN 7 ELSE tag END AS tag,
           CASE WHEN event_id % 97 = 0 THEN 'unknown tag' END AS error,
-          CASE WHEN event_id % 97 <> 0 THEN cmd END AS cmd,
+          coalesce(CASE WHEN event_id % 97 <> 0 THEN cmd END, -1) AS cmd,
           CASE WHEN event_id % 97 <> 0 THEN payload END AS payload,
           CASE WHEN event_id % 97 <> 0 THEN client_uuid END AS client_uuid,
           CASE WHEN event_id % 97 <> 0 THEN body END AS body FROM msgs""",
@@ -179,7 +179,8 @@ def decode_messages(spark, sf_dir):
     wire = ms.encode_messages(fx.messages(spark, sf_dir))
     spoiled = F.concat(F.lit(b"\x00\x00\x00\x07"), F.substring("wire", 5, 1 << 30))
     broken = wire.select("event_id", F.when(F.col("event_id") % 97 == 0, spoiled).otherwise(F.col("wire")).alias("wire"))
-    return ms.decode_messages(broken).select("event_id", "tag", "error", "cmd", "payload", "client_uuid", "body")
+    cmd = F.coalesce("cmd", F.lit(-1)).alias("cmd")
+    return ms.decode_messages(broken).select("event_id", "tag", "error", cmd, "payload", "client_uuid", "body")
 
 
 @query(

@@ -136,11 +136,11 @@ FIFO_SQL = with_views(
         row_number() OVER (PARTITION BY conn ORDER BY ts, event_id) - 1 AS seq FROM cmds WHERE conn % 10 <> 0),
       r AS (SELECT conn, event_id AS reply_id, ts AS reply_ts,
         row_number() OVER (PARTITION BY conn ORDER BY ts, event_id) - 1 AS seq FROM replies)
-    SELECT c.conn, CAST(c.seq AS BIGINT) AS seq, cmd_id, cmd_ts, reply_id, reply_ts,
+    SELECT c.conn, CAST(c.seq AS BIGINT) AS seq, cmd_id, cmd_ts, coalesce(reply_id, -1) AS reply_id, reply_ts,
       CASE WHEN reply_id IS NULL THEN 'failed' ELSE 'answered' END AS status,
       CASE WHEN reply_id IS NULL THEN 'ConnectionClosed' END AS reason
     FROM c LEFT JOIN r ON c.conn = r.conn AND c.seq = r.seq
-    UNION ALL SELECT conn, NULL, event_id, ts, NULL, NULL, 'failed', 'NoConnectionsAvailable'
+    UNION ALL SELECT conn, -1, event_id, ts, -1, NULL, 'failed', 'NoConnectionsAvailable'
     FROM cmds WHERE conn % 10 = 0""",
     "cmds",
     "replies",
@@ -150,7 +150,13 @@ FIFO_SQL = with_views(
 @query("request_reply_fifo", FIFO_SQL)
 def request_reply_fifo(spark, sf_dir):
     events = fx.table(spark, sf_dir, "events")
-    return ho.request_reply_fifo(fx.commands_view(events), fx.replies_view(events), fx.live_conns_view(events))
+    matched = ho.request_reply_fifo(fx.commands_view(events), fx.replies_view(events), fx.live_conns_view(events))
+    return known_ids(matched)
+
+
+def known_ids(matched):
+    """Missing numbers as -1."""
+    return matched.withColumns({c: F.coalesce(c, F.lit(-1).cast("bigint")) for c in ("seq", "reply_id")})
 
 
 @query(

@@ -9,7 +9,7 @@ from framewright.plans.fixtures import with_views
 from framewright.plans.frame_queries import THROTTLE_SQL
 from framewright.plans.message_queries import CHUNK_TOTAL_SQL
 from framewright.plans.registry import ORACLES, query
-from framewright.plans.session_queries import GATE_SQL, HISTORY_SQL
+from framewright.plans.session_queries import GATE_SQL, HISTORY_SQL, known_ids
 from framewright.session import work_path
 from framewright.sources.frames import frame_stream_scan
 from framewright.streaming import frames as sf
@@ -117,7 +117,7 @@ def two_sided(events):
             row_number() OVER (PARTITION BY conn ORDER BY ts, event_id) - 1 AS seq FROM cmds),
           r AS (SELECT conn, event_id AS reply_id, ts AS reply_ts,
             row_number() OVER (PARTITION BY conn ORDER BY ts, event_id) - 1 AS seq FROM replies)
-        SELECT c.conn, CAST(c.seq AS BIGINT) AS seq, cmd_id, cmd_ts, reply_id, reply_ts,
+        SELECT c.conn, CAST(c.seq AS BIGINT) AS seq, cmd_id, cmd_ts, coalesce(reply_id, -1) AS reply_id, reply_ts,
           CASE WHEN reply_id IS NULL THEN 'failed' ELSE 'answered' END AS status,
           CASE WHEN reply_id IS NULL THEN 'ConnectionClosed' END AS reason
         FROM c LEFT JOIN r ON c.conn = r.conn AND c.seq = r.seq""",
@@ -126,7 +126,7 @@ def two_sided(events):
     ),
 )
 def stream_request_reply(spark, sf_dir):
-    return sm.stream_request_reply(two_sided(events_stream(spark, sf_dir)))
+    return known_ids(sm.stream_request_reply(two_sided(events_stream(spark, sf_dir))))
 
 
 @query(
