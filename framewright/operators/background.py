@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class MixtureParams:
+    """The first three as the motion detector is configured, the rest as published."""
+
     history: int = 200
     threshold: float = 20.0  # squared distance, in variances, up to which a pixel is background
     learning_rate: float = 0.1

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from framewright.functions.scalar import caption, truncate_product
 
+# Detections must score above the cut; the label of a class without a name.
 SCORE_CUT = 0.5
 UNKNOWN = "unknown"
 

@@ -9,7 +9,7 @@ from framewright.functions.arrays import count_nonzero
 from framewright.functions.scalar import from_micros, micros
 from framewright.operators.ordering import KeyedScan, with_group_index
 
-MOTION_THRESHOLD = 5000
+MOTION_THRESHOLD = 5000  # fixed value: foreground pixels that count as motion
 
 
 def frame_envelope(frames: DataFrame, client_uuid: Column) -> DataFrame:
@@ -89,7 +89,7 @@ def throttle_from(
             F.col("peak").alias("_peak_in"),
         )
         log = log.unionByName(earlier, allowMissingColumns=True)
-    scan = KeyedScan(log, [key], ["ts", "event_id"], hot_rows)
+    scan = KeyedScan(log, [key], ["ts", "event_id"], hot_rows, frames)
     ns = micros(F.col("ts")) * 1000
     rows = scan.rows.withColumn("_n", F.sum("_weight").over(scan.running) - 1)
     rows = rows.withColumn("_lead", F.coalesce("_peak_in", ns - F.col("_n") * d))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from framewright.functions.scalar import seconds_interval
 from framewright.operators.ordering import with_group_index
 
+# Fixed values of the client's connection settings.
 RECOVERY_PERIOD = "4 seconds"
 MAX_FAILURES = 1
 RECONNECT_DELAY = 2.0

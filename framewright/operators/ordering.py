@@ -87,14 +87,22 @@ class KeyedScan:
 
     ``rows`` is the input (plus a chunk column when some key was split), ``window`` the ordered
     window to compute over and ``running`` its frame up to the current row. ``order`` must be
-    unique within a key.
+    unique within a key. Keys are counted in ``counted``, the cheaper table most of ``df`` is made
+    from, where given.
     """
 
-    def __init__(self, df: DataFrame, keys: Sequence[str], order: Sequence[str], hot_rows: int | None = None):
+    def __init__(
+        self,
+        df: DataFrame,
+        keys: Sequence[str],
+        order: Sequence[str],
+        hot_rows: int | None = None,
+        counted: DataFrame | None = None,
+    ):
         self.keys = list(keys)
         self.order = list(order)
         limit = hot_rows or hot_row_limit(df)
-        hot = hot_keys(df, self.keys, limit)
+        hot = hot_keys(df if counted is None else counted, self.keys, limit)
         self.split = bool(hot)
         if not self.split:
             self.rows = df

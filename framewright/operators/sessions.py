@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from framewright.functions.scalar import seconds_interval
 from framewright.operators.ordering import KeyedScan, hot_keys, lookup_join
 
+# Seconds to name a device, seconds until a reply is checked.
 RESOLVE_TIMEOUT = 5.0
 CHECK_DELAY = 1.0
 
@@ -115,7 +116,7 @@ def session_history_from(
             )
         )
     log = log.withColumn("_late", (F.col("kind") == "timer").cast("int"))
-    scan = KeyedScan(log, ["addr"], ["ts", "_late", "event_id"], hot_rows)
+    scan = KeyedScan(log, ["addr"], ["ts", "_late", "event_id"], hot_rows, events)
     w = scan.running
     last_row = F.struct("ts", "_late", "event_id")
     rows = scan.rows.withColumn("_news", F.sum(F.col("kind").isin("new", "seed").cast("bigint")).over(w))

@@ -13,6 +13,7 @@ THROTTLE_PERIOD = 20 * 3600.0
 THROTTLE_BURST = 3
 BATCH_WINDOW = "1 day"
 BATCH_SIZE = 5
+BATCH_TIMER = 12 * 3600.0
 SESSION_TIMEOUT = 6 * 3600.0
 CHECK_DELAY = 3600.0
 BREAKER_WINDOW = "1 day"
@@ -201,7 +202,7 @@ def video(spark: SparkSession, sf_dir: str) -> DataFrame:
     return video_view(table(spark, sf_dir, "events"))
 
 
-_UUID_SQL = "'00000000-0000-4000-8000-' || lpad(lower(to_hex({0})), 12, '0')"
+UUID_SQL = "'00000000-0000-4000-8000-' || lpad(lower(to_hex({0})), 12, '0')"
 
 CTES: dict[str, str] = {
     "frames": "SELECT user_id AS device, ts, event_id, value FROM events",
@@ -214,7 +215,7 @@ CTES: dict[str, str] = {
           END AS cmd,
           CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN NULL
                WHEN event_type IN ('click', 'view') AND event_id % 5 = 0 THEN '' ELSE props END AS payload,
-          CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN {_UUID_SQL.format('user_id')} END AS client_uuid,
+          CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN {UUID_SQL.format('user_id')} END AS client_uuid,
           CASE WHEN event_type = 'error' AND event_id % 3 = 0 THEN props END AS body
         FROM events""",
     "chunks": """
@@ -226,7 +227,7 @@ CTES: dict[str, str] = {
         SELECT user_id AS addr, ts, event_id,
           CASE event_type WHEN 'click' THEN 'new' WHEN 'signup' THEN 'resolve'
                           WHEN 'error' THEN 'reset' ELSE 'message' END AS kind,
-          CASE WHEN event_type = 'signup' AND event_id % 4 <> 0 THEN {_UUID_SQL.format('event_id')} END AS device_id
+          CASE WHEN event_type = 'signup' AND event_id % 4 <> 0 THEN {UUID_SQL.format('event_id')} END AS device_id
         FROM events""",
     "cmds": "SELECT user_id AS conn, ts, event_id, value FROM events WHERE event_type = 'purchase'",
     "replies": """

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from framewright.operators import frames as fr
+from framewright.operators.batching import grouped_within_timer
 from framewright.plans import fixtures as fx
 from framewright.plans.fixtures import with_views
 from framewright.plans.registry import query
@@ -13,7 +14,7 @@ from framewright.plans.registry import query
 @query(
     "frame_envelope",
     with_views(
-        f"""SELECT device, ts, event_id, {fx._UUID_SQL.format('device')} AS client_uuid FROM frames""", "frames"
+        f"""SELECT device, ts, event_id, {fx.UUID_SQL.format('device')} AS client_uuid FROM frames""", "frames"
     ),
 )
 def frame_envelope(spark, sf_dir):
@@ -55,6 +56,48 @@ def grouped_within(spark, sf_dir):
     )
 
 
+# one step per frame of a client, for all clients at once; 43,200,000,000 us = 12 h
+TIMED_BATCHES_SQL = (
+    "WITH RECURSIVE "
+    + with_views(
+        """WITH numbered AS (
+      SELECT *, epoch_us(ts) AS us, row_number() OVER (PARTITION BY device ORDER BY ts, event_id) AS rn FROM frames),
+    walk AS (
+      SELECT device, rn, ts, event_id, us, 0 AS batch, 1 AS held, us + 43200000000 AS deadline, 0 AS open_batch
+      FROM numbered WHERE rn = 1
+      UNION ALL
+      SELECT device, rn, ts, event_id, us, batch, CASE WHEN held0 = 4 THEN 0 ELSE held0 + 1 END,
+        CASE WHEN held0 = 4 THEN us + 43200000000 ELSE deadline0 END, CASE WHEN held0 = 4 THEN batch + 1 ELSE batch END
+      FROM (
+        SELECT n.device, n.rn, n.ts, n.event_id, n.us,
+          CASE WHEN n.us >= w.deadline AND w.held > 0 THEN w.open_batch + 1 ELSE w.open_batch END AS batch,
+          CASE WHEN n.us >= w.deadline THEN 0 ELSE w.held END AS held0,
+          CASE WHEN n.us >= w.deadline THEN w.deadline + ((n.us - w.deadline) // 43200000000 + 1) * 43200000000
+               ELSE w.deadline END AS deadline0
+        FROM walk w JOIN numbered n ON n.device = w.device AND n.rn = w.rn + 1) stepped)
+    SELECT device, CAST(batch AS BIGINT) AS batch, CAST(count(*) AS BIGINT) AS n, min(ts) AS first_ts, max(ts) AS last_ts,
+      string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY rn) AS ids FROM walk GROUP BY device, batch""",
+        "frames",
+    ).removeprefix("WITH ")
+)
+
+
+def batch_summary(batches):
+    return batches.select(
+        "device",
+        "batch",
+        "n",
+        F.col("frames")[0]["ts"].alias("first_ts"),
+        F.element_at("frames", -1)["ts"].alias("last_ts"),
+        F.array_join(F.col("frames.event_id").cast("array<string>"), ",").alias("ids"),
+    )
+
+
+@query("grouped_within_timer", TIMED_BATCHES_SQL)
+def timed(spark, sf_dir):
+    return batch_summary(grouped_within_timer(fx.frames(spark, sf_dir), fx.BATCH_SIZE, fx.BATCH_TIMER))
+
+
 @query(
     "frame_seq_flatten",
     with_views(

@@ -188,20 +188,20 @@ def resize_bilinear_query(spark, sf_dir):
     return images.select("vec_id", F.hex(resized).alias("pixels"))
 
 
-def _video(frames):
+def video_bytes(frames):
     return frames.select("device", "ts", "event_id", image_bytes(F.col("pixels")).alias("data"))
 
 
 @query("background_subtraction")
 def background_subtraction(spark, sf_dir):
-    masks = bg.background_subtraction(_video(fx.video(spark, sf_dir)), FRAME_PIXELS, TILE_PIXELS)
+    masks = bg.background_subtraction(video_bytes(fx.video(spark, sf_dir)), FRAME_PIXELS, TILE_PIXELS)
     return masks.select("device", "tile", "ts", "event_id", F.hex("mask").alias("mask"), "foreground")
 
 
 @query("motion_alerts")
 def motion_alerts(spark, sf_dir):
     """Background model, motion filter and outgoing notifications in one plan."""
-    moving = bg.motion_frames(_video(fx.video(spark, sf_dir)), FRAME_PIXELS, TILE_PIXELS, MOTION_PIXELS)
+    moving = bg.motion_frames(video_bytes(fx.video(spark, sf_dir)), FRAME_PIXELS, TILE_PIXELS, MOTION_PIXELS)
     sent = notification_messages(moving, fx.client_uuid(F.col("device")), fx.BATCH_SIZE, fx.BATCH_WINDOW)
     return sent.select("conn", "window_start", "batch", F.hex("data").alias("data"))
 
@@ -209,7 +209,7 @@ def motion_alerts(spark, sf_dir):
 @query("stream_background_subtraction")
 def stream_background_subtraction_query(spark, sf_dir):
     return stream_background_subtraction(
-        _video(fx.video_view(events_stream(spark, sf_dir))), FRAME_PIXELS, TILE_PIXELS
+        video_bytes(fx.video_view(events_stream(spark, sf_dir))), FRAME_PIXELS, TILE_PIXELS
     )
 
 

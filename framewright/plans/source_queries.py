@@ -174,7 +174,7 @@ def fan_out_sinks(spark, sf_dir):
         f"""WITH numbered AS (
           SELECT *, row_number() OVER (PARTITION BY device, date_trunc('day', ts) ORDER BY ts, event_id) - 1 AS rn FROM frames)
         SELECT device AS conn, date_trunc('day', ts) AS window_start, CAST(rn // 5 AS BIGINT) AS batch,
-          {fx._UUID_SQL.format('device')} AS client_uuid,
+          {fx.UUID_SQL.format('device')} AS client_uuid,
           string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY rn) AS ids
         FROM numbered GROUP BY device, date_trunc('day', ts), rn // 5""",
         "frames",

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from framewright.plans import fixtures as fx
 from framewright.plans.fixtures import with_views
-from framewright.plans.frame_queries import THROTTLE_SQL
+from framewright.plans.frame_queries import THROTTLE_SQL, TIMED_BATCHES_SQL, batch_summary
 from framewright.plans.message_queries import CHUNK_TOTAL_SQL
 from framewright.plans.registry import ORACLES, query
 from framewright.plans.session_queries import GATE_SQL, HISTORY_SQL, known_ids
@@ -75,6 +75,12 @@ def stream_grouped_within(spark, sf_dir):
     )
 
 
+@query("stream_grouped_within_timer", TIMED_BATCHES_SQL)
+def stream_grouped_within_timer(spark, sf_dir):
+    frames = fx.frames_view(events_stream(spark, sf_dir))
+    return batch_summary(sf.stream_grouped_within_timer(frames, fx.BATCH_SIZE, fx.BATCH_TIMER))
+
+
 @query("stream_session_machine", HISTORY_SQL)
 def stream_session_machine(spark, sf_dir):
     return ss.stream_session_machine(fx.session_events_view(events_stream(spark, sf_dir)), fx.SESSION_TIMEOUT)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.operators import frames as fr
+from framewright.operators.batching import collect_batches, timed_batches
 from framewright.operators.ordering import with_group_index
 from framewright.streaming.runner import Carried, latest_per_key, replay_to_table, run_carried
 
@@ -96,3 +97,20 @@ def stream_grouped_within(
         .where(F.col("n") > 0)
     )
     return rows.where("closed").select(*columns).unionByName(tail.select(*columns))
+
+
+def timed_batches_op(size: int, seconds: float) -> Carried:
+    """State per client: frames held, when the timer fires next and the open batch's number."""
+
+    def state(rows: DataFrame, _prev: DataFrame | None) -> DataFrame:
+        columns = ["ts", "event_id", "held", "deadline", "open_batch"]
+        last = F.max_by(F.struct(*columns), F.struct("ts", "event_id"))
+        return rows.groupBy("device").agg(last.alias("_l")).select("device", "_l.*")
+
+    return Carried(lambda batch, seed, _since: timed_batches(batch, seed, size, seconds), state, True)
+
+
+def stream_grouped_within_timer(frames: DataFrame, size: int, seconds: float, path: str | None = None) -> DataFrame:
+    """Batches of a stream; the frames of one batch may come in several micro-batches."""
+    rows, _ = run_carried(frames, timed_batches_op(size, seconds), path)
+    return collect_batches(rows)

@@ -20,6 +20,7 @@ from framewright.operators import hosts as ho
 from framewright.operators import messages as ms
 from framewright.operators import scoring as so
 from framewright.operators import sessions as se
+from framewright.operators.batching import grouped_within_timer
 from framewright.operators.images import bilinear
 from framewright.operators.ordering import seeded_order, with_global_index, with_group_index
 from framewright.plans.model_queries import conv_layers
@@ -413,3 +414,23 @@ def test_percent_split_drops_the_remainder(spark):
     samples = spark.range(33).select("id", (F.col("id") % 3).cast("int").alias("label"))
     got = ds.percent_split(samples, (70, 0, 20)).groupBy("label", "dataset").count().collect()
     assert sorted(map(tuple, got)) == [(c, d, n) for c in range(3) for d, n in (("test", 2), ("train", 7))]
+
+
+def test_timer_batches(spark):
+    rows = skewed(300, seed=11)
+    frames = spark.createDataFrame([(k, at(t), i) for k, t, i in rows], "device int, ts timestamp_ntz, event_id bigint")
+    expected, held, fires = [], {}, {}
+    for k, t, i in rows:
+        us = round(t * 1e6)
+        fires.setdefault(k, us + 1_000_000)
+        while us >= fires[k]:  # every firing in between, also the idle ones
+            if held.get(k):
+                expected.append((k, held.pop(k)))
+            fires[k] += 1_000_000
+        held.setdefault(k, []).append(i)
+        if len(held[k]) == 3:
+            expected.append((k, held.pop(k)))
+            fires[k] = us + 1_000_000
+    expected += list(held.items())
+    got = grouped_within_timer(frames.repartition(4), 3, 1.0).collect()
+    assert sorted((r.device, [f.event_id for f in r.frames]) for r in got) == sorted(expected)

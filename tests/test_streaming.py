@@ -13,8 +13,9 @@ from framewright.operators import frames as fr
 from framewright.operators import hosts as ho
 from framewright.operators import messages as ms
 from framewright.operators import sessions as se
+from framewright.operators.batching import grouped_within_timer
 from framewright.plans import fixtures as fx
-from framewright.plans.model_queries import _video
+from framewright.plans.model_queries import video_bytes
 from framewright.plans.stream_queries import EVENTS_SCHEMA, two_sided
 from framewright.session import work_path
 from framewright.sources.frames import frame_stream_scan
@@ -83,6 +84,13 @@ def test_grouped_within(stream, events, window):
     same(actual.select(*columns), expected.select(*columns))
 
 
+def test_grouped_within_timer(stream, events):
+    expected = grouped_within_timer(fx.frames_view(events), 3, 30 * 3600.0)
+    actual = sf.stream_grouped_within_timer(fx.frames_view(stream), 3, 30 * 3600.0)
+    columns = ["device", "batch", "n", F.to_json("frames").alias("frames")]
+    same(actual.select(*columns), expected.select(*columns))
+
+
 def test_session_machine(stream, events):
     expected = se.session_history(fx.session_events_view(events), fx.SESSION_TIMEOUT)
     assert expected.where("kind = 'timer'").count() > 0
@@ -126,9 +134,9 @@ def test_request_reply(spark, events):
 
 
 def test_background_subtraction(stream, events):
-    frames = _video(fx.video_view(events))
+    frames = video_bytes(fx.video_view(events))
     expected = bg.foreground_pixels(bg.background_subtraction(frames, 16, 8))
-    same(stream_background_subtraction(_video(fx.video_view(stream)), 16, 8), expected)
+    same(stream_background_subtraction(video_bytes(fx.video_view(stream)), 16, 8), expected)
 
 
 def test_split_keys_in_a_stream(stream, events, split_all):
