@@ -119,10 +119,16 @@ def grouped_within(
     window: str = "1 second",
     key: str = "device",
     hot_rows: int | None = None,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Batches of at most ``size`` frames of one client within one time window, in frame order."""
-    keyed = frames.withColumn("window_start", F.window("ts", window)["start"])
-    indexed = with_group_index(keyed, [key, "window_start"], ["ts", "event_id"], "_i", hot_rows)
+    start = F.window("ts", window)["start"]
+    keyed = frames.withColumn("window_start", start)
+    if counted is not None:
+        counted = counted.withColumn("window_start", start)
+    indexed = with_group_index(
+        keyed, [key, "window_start"], ["ts", "event_id"], "_i", hot_rows, counted=counted
+    )
     payload = F.struct("ts", "event_id", *[c for c in frames.columns if c not in (key, "ts", "event_id")])
     return (
         indexed.groupBy(key, "window_start", F.floor(F.col("_i") / size).cast("bigint").alias("batch"))

@@ -148,7 +148,9 @@ def chunk_rows(log: DataFrame, *keep: str) -> DataFrame:
     )
 
 
-def segment_chunks(rows: DataFrame, hot_rows: int | None = None) -> DataFrame:
+def segment_chunks(
+    rows: DataFrame, hot_rows: int | None = None, counted: DataFrame | None = None
+) -> DataFrame:
     """Mark each row of an ordered log (see :func:`chunk_rows`) with its substream.
 
     A chunk (C) always leaves a stream open, an end (T) or another message (X) always leaves none
@@ -157,7 +159,7 @@ def segment_chunks(rows: DataFrame, hot_rows: int | None = None) -> DataFrame:
     ``open`` is the state after the row; ``stream`` is null for rows outside any stream.
     """
     order = ["ts", "event_id"]
-    scan = KeyedScan(rows, ["conn"], order, hot_rows)
+    scan = KeyedScan(rows, ["conn"], order, hot_rows, counted)
     w = scan.running
     role = F.col("role")
     forced = F.when(role == "C", 1).when(role == "S", F.col("open_in")).when(role != "O", 0)

@@ -87,8 +87,8 @@ class KeyedScan:
 
     ``rows`` is the input (plus a chunk column when some key was split), ``window`` the ordered
     window to compute over and ``running`` its frame up to the current row. ``order`` must be
-    unique within a key. Keys are counted in ``counted``, the cheaper table most of ``df`` is made
-    from, where given.
+    unique within a key. Keys are counted in ``counted``, where given: a cheaper table ``df`` is
+    made from, with at least about as many rows per key.
     """
 
     def __init__(
@@ -164,12 +164,13 @@ def with_group_index(
     name: str = "idx",
     hot_rows: int | None = None,
     weight: str | None = None,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """0-based position of each row within its ``keys`` group in ``order``.
 
     A ``weight`` column lets one row stand for several earlier ones (a count carried over).
     """
-    scan = KeyedScan(df, keys, order, hot_rows)
+    scan = KeyedScan(df, keys, order, hot_rows, counted)
     step = F.col(weight) if weight else F.lit(1)
     rows = scan.rows.withColumn(name, F.sum(step).over(scan.running).cast("bigint") - 1)
     rows = scan.carry(

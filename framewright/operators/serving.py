@@ -29,7 +29,7 @@ def serve_messages(
     decoded = ms.decode_messages(wire).where(F.col("error").isNull())
     passed = lookup_join(decoded, opened, "conn", hot=[_as_conn(r) for r in hot]).where(F.col("ts") > F.col("open_ts"))
     routed = ms.chunk_roles(ms.route_extended(passed))
-    segmented = ms.segment_chunks(ms.chunk_rows(routed, "tag", "cmd", "payload"), hot_rows)
+    segmented = ms.segment_chunks(ms.chunk_rows(routed, "tag", "cmd", "payload"), hot_rows, wire)
     single = ms.command_replies(segmented.where(F.col("stream").isNull()))
     sizes = ms.size_replies(ms.chunk_streams(segmented.where(F.col("stream").isNotNull())))
     columns = ["conn", "ts", "event_id", "reply"]

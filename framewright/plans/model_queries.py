@@ -201,8 +201,11 @@ def background_subtraction(spark, sf_dir):
 @query("motion_alerts")
 def motion_alerts(spark, sf_dir):
     """Background model, motion filter and outgoing notifications in one plan."""
-    moving = bg.motion_frames(video_bytes(fx.video(spark, sf_dir)), FRAME_PIXELS, TILE_PIXELS, MOTION_PIXELS)
-    sent = notification_messages(moving, fx.client_uuid(F.col("device")), fx.BATCH_SIZE, fx.BATCH_WINDOW)
+    frames = fx.video(spark, sf_dir)
+    moving = bg.motion_frames(video_bytes(frames), FRAME_PIXELS, TILE_PIXELS, MOTION_PIXELS)
+    sent = notification_messages(
+        moving, fx.client_uuid(F.col("device")), fx.BATCH_SIZE, fx.BATCH_WINDOW, frames
+    )
     return sent.select("conn", "window_start", "batch", F.hex("data").alias("data"))
 
 

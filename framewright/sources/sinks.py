@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewright.operators.frames import grouped_within
@@ -36,9 +36,18 @@ def fan_out_sinks(stream: DataFrame, path: str, n: int) -> list[DataFrame]:
     return [stream.sparkSession.read.parquet(f"{path}/sink{i}") for i in range(n)]
 
 
-def notification_messages(frames: DataFrame, client_uuid, size: int = 5, window: str = "1 second") -> DataFrame:
-    """Frame batches as framed bytes of frame-sequence messages, one row per message."""
-    batches = grouped_within(frames, size, window)
+def notification_messages(
+    frames: DataFrame,
+    client_uuid: Column,
+    size: int = 5,
+    window: str = "1 second",
+    counted: DataFrame | None = None,
+) -> DataFrame:
+    """Frame batches as framed bytes of frame-sequence messages, one row per message.
+
+    ``counted`` is the table to look for hot clients in where ``frames`` is costly to compute.
+    """
+    batches = grouped_within(frames, size, window, counted=counted)
     messages = batches.select(
         F.col("device").alias("conn"),
         "window_start",
@@ -52,7 +61,7 @@ def notification_messages(frames: DataFrame, client_uuid, size: int = 5, window:
     return frame_bytes(encode_messages(messages)).select("conn", "window_start", "batch", "data")
 
 
-def notification_sink(path: str, client_uuid, size: int = 5, window: str = "1 second") -> Sink:
+def notification_sink(path: str, client_uuid: Column, size: int = 5, window: str = "1 second") -> Sink:
     """Sink of outgoing notifications, idempotent by batch id; a failed write fails the batch."""
 
     def send(batch: DataFrame, batch_id: int) -> None:
