@@ -22,7 +22,7 @@ from framewright.sources.sinks import notification_messages
 from framewright.streaming.background import stream_background_subtraction
 from framewright.streaming.runner import replay_to_table
 
-FRAME_PIXELS, TILE_PIXELS = 16, 8
+FRAME_PIXELS, TILE_PIXELS = 16, 16
 MOTION_PIXELS = 4
 
 
