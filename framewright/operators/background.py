@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framewright.operators.ordering import sorted_by_key
+
 
 @dataclass(frozen=True)
 class MixtureParams:
@@ -114,8 +116,7 @@ def subtract_tiles(
     log = tiled.withColumn("model", F.lit(None).cast("binary")).select(*columns)
     if seed is not None:
         log = log.unionByName(seed.select("device", "tile", "ts", "event_id", "model"), allowMissingColumns=True)
-    by_time = log.repartition("device", "tile").sortWithinPartitions("device", "tile", "ts", "event_id")
-    return by_time.mapInPandas(_SubtractTiles(params), _OUTPUT)
+    return sorted_by_key(log, ["device", "tile"], ["ts", "event_id"]).mapInPandas(_SubtractTiles(params), _OUTPUT)
 
 
 class _SubtractTiles:

@@ -9,7 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framewright.operators.ordering import seeded_order, with_global_index, with_group_index
+from framewright.operators.ordering import (
+    broadcast_if_small,
+    seeded_order,
+    with_global_index,
+    with_group_index,
+)
 
 SPLITS = ("train", "validation", "test")
 MAX_CLASSES = 10_000
@@ -119,7 +124,7 @@ def fixed_batches(samples: DataFrame, size: int, seed: int = 0) -> DataFrame:
 def label_index(samples: DataFrame) -> DataFrame:
     """Class names to 0-based places in name order, joined back to the samples."""
     names = sort_by_name(samples.select("label").distinct(), "label")
-    return samples.join(names.withColumnRenamed("place", "label_idx"), "label")
+    return samples.join(broadcast_if_small(names.withColumnRenamed("place", "label_idx")), "label")
 
 
 def sort_by_name(classes: DataFrame, name: str) -> DataFrame:

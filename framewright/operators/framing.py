@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from framewright.operators.messages import CLIENT_TAGS, MAX_MESSAGE, SERVER_TAGS
-from framewright.operators.ordering import KeyedScan
+from framewright.operators.ordering import KeyedScan, sorted_by_key
 
 _KNOWN_TAGS = frozenset(SERVER_TAGS) | frozenset(CLIENT_TAGS)
 _LOOK_AHEAD = 1 << 16
@@ -216,12 +216,8 @@ def split_frames(
     schema = f"conn {conn_type}, msg bigint, wire binary, error string"
     scan = KeyedScan(segments.select("conn", *order, "data"), ["conn"], order, hot_rows)
     cold = scan.rows.where(F.col("_chunk") == 0) if scan.split else scan.rows
-    whole = (
-        cold.repartition("conn")
-        .sortWithinPartitions("conn", *order)
-        .select("conn", "data")
-        .mapInPandas(_Whole(max_message), schema)
-    )
+    in_order = sorted_by_key(cold, ["conn"], order).select("conn", "data")
+    whole = in_order.mapInPandas(_Whole(max_message), schema)
     if not scan.split:
         return whole
     hot = scan.rows.where(F.col("_chunk") > 0).withColumnRenamed("_chunk", "chunk")
@@ -255,12 +251,10 @@ def split_frames(
 def _by_chunk(hot: DataFrame, entries: DataFrame, order: Sequence[str]) -> DataFrame:
     """Chunk rows with their entry, each chunk in order within one partition."""
     same = hot["conn"].eqNullSafe(entries["conn"]) & (hot["chunk"] == entries["chunk"])
-    return (
-        hot.join(F.broadcast(entries), same)
-        .select(hot["conn"], hot["chunk"], *[hot[c] for c in order], "data", "head", "due", "base")
-        .repartition("conn", "chunk")
-        .sortWithinPartitions("conn", "chunk", *order)
+    entered = hot.join(F.broadcast(entries), same).select(
+        hot["conn"], hot["chunk"], *[hot[c] for c in order], "data", "head", "due", "base"
     )
+    return sorted_by_key(entered, ["conn", "chunk"], order)
 
 
 def _resolve_entries(hot: DataFrame, order: Sequence[str], limit: int, conn_type: str) -> DataFrame:

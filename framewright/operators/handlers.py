@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framewright.operators.ordering import sorted_by_key
+
 
 def handler_signal(rows: DataFrame, handler: Callable[..., pd.Series], inputs: Sequence[str], output: str,
                    type_name: str) -> DataFrame:
@@ -42,8 +44,7 @@ def handler_consume_stream(
     partition whatever its size; those rows are merged batch by batch in key order.
     """
     folded = rows.mapInPandas(_FoldPartition(partial, merge), schema)
-    by_key = folded.repartition(*keys).sortWithinPartitions(*keys)
-    return by_key.mapInPandas(_MergeSorted(list(keys), merge), schema)
+    return sorted_by_key(folded, keys).mapInPandas(_MergeSorted(list(keys), merge), schema)
 
 
 class _FoldPartition:
@@ -99,8 +100,7 @@ def handler_process_stream(
     schema: str,
 ) -> DataFrame:
     """Rows to rows per key in order: ``handler(key, batches)`` sees a key's rows as sorted batches."""
-    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, *order)
-    return ordered.mapInPandas(_PerKey(list(keys), handler), schema)
+    return sorted_by_key(rows, keys, order).mapInPandas(_PerKey(list(keys), handler), schema)
 
 
 class _PerKey:

@@ -30,6 +30,16 @@ def hot_row_limit(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.framewright.hotRows", str(HOT_ROWS)))
 
 
+def sorted_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+    """Rows of a key together in one partition and in order, to be read as a stream.
+
+    The partition count is fixed, because what follows is Python work, which adaptive coalescing
+    by bytes would squeeze into too few tasks.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys).sortWithinPartitions(*keys, *order)
+
+
 def _same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
     condition = F.lit(True)
     for key in keys:
@@ -82,6 +92,11 @@ def lookup_join(
     )
 
 
+def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
+    """Mark a table for broadcast after counting it; a larger one joins by shuffle."""
+    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
 class KeyedScan:
     """Rows of ``df`` prepared for running computations per ``keys`` in ``order``.
 
