@@ -154,9 +154,12 @@ class KeyedScan:
             Window.partitionBy(*self.keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
         )
         by = [*self.keys, _CHUNK]
-        carried = fold(per_chunk, earlier).select(
-            *[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)],
-            *[F.col(name).alias(f"_v_{name}") for name in defaults],
+        # pinned, so that the next carry's plan does not contain this one's twice
+        carried = pin(
+            fold(per_chunk, earlier).select(
+                *[F.col(c).alias(f"_k{i}") for i, c in enumerate(by)],
+                *[F.col(name).alias(f"_v_{name}") for name in defaults],
+            )
         )
         condition = F.lit(True)
         for i, name in enumerate(by):
