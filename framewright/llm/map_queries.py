@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from framewright.llm.bpe import encode_decode
+from framewright.llm.extraction import extract_text
 from framewright.llm.pii import BASE, KINDS, personal_data
 from framewright.llm.registry import query, read
 
@@ -54,3 +55,9 @@ def op10_pii(spark, sf_dir):
         F.sha2(span_text(F.filter("spans", lambda s: s.kind.isin(*BASE))), 256).alias("base_sha256"),
         span_text(F.col("spans")).alias("spans"),
     )
+
+
+@query("op1_html_extraction")
+def op1_html_extraction(spark, sf_dir):
+    pages = extract_text(read(spark, sf_dir, "pages"))
+    return pages.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
