@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from framewright.llm.bpe import encode_decode
+from framewright.llm.decontaminate import overlaps
 from framewright.llm.extraction import extract_text
 from framewright.llm.pii import BASE, KINDS, personal_data
 from framewright.llm.registry import query, read
@@ -61,3 +62,9 @@ def op10_pii(spark, sf_dir):
 def op1_html_extraction(spark, sf_dir):
     pages = extract_text(read(spark, sf_dir, "pages"))
     return pages.select("page_id", "url", "text", F.char_length("text").cast("bigint").alias("n_chars"))
+
+
+@query("op3_decontamination")
+def op3_decontamination(spark, sf_dir):
+    """The passages found; a document without any has no row."""
+    return overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
