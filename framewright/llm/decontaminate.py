@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framewright.llm.components import bit_filter, probes, unpacked
 from framewright.llm.text import Words, mix, text_slices
 from framewright.session import pin
 
@@ -46,10 +47,6 @@ def _seeds(words: Words, masks: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(hashes), np.concatenate(starts)
 
 
-def _probes(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    return hashes & np.uint64(bits - 1), (hashes >> np.uint64(32)) & np.uint64(bits - 1)
-
-
 def _table(frame: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return frame.select(frame[id_column].alias("id"), frame[text_column].cast("string").alias("text"))
 
@@ -68,13 +65,13 @@ def _seed_rows(frame: DataFrame, masks: tuple[str, ...], wanted=None) -> DataFra
     kind = frame.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = None if wanted is None else np.unpackbits(wanted.value, bitorder="little").view(bool)
+        bits = None if wanted is None else unpacked(wanted.value)
         for batch in batches:
             for first, data, offsets in text_slices(batch):
                 words = Words(data, offsets, lower=True)
                 hashes, at = _seeds(words, masks)
                 if bits is not None:
-                    a, b = _probes(hashes, len(bits))
+                    a, b = probes(hashes, len(bits))
                     passed = bits[a] & bits[b]
                     hashes, at = hashes[passed], at[passed]
                 order = np.argsort(at, kind="stable")
@@ -94,26 +91,6 @@ def _seed_rows(frame: DataFrame, masks: tuple[str, ...], wanted=None) -> DataFra
     return frame.mapInArrow(run, f"id {kind}, words binary, hits {_HITS}")
 
 
-def _filter(seeds: DataFrame, bits: int) -> np.ndarray:
-    """A bit array of ``bits`` bits that holds every seed of the benchmark, merged from the partitions' arrays."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = np.zeros(bits, bool)
-        for batch in batches:
-            hashes = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            for probe in _probes(hashes, bits):
-                own[probe] = True
-        set_ = np.flatnonzero(np.packbits(own, bitorder="little"))
-        values = np.packbits(own, bitorder="little")[set_]
-        yield pa.RecordBatch.from_arrays([pa.array(set_.astype(np.int64)), pa.array(values.astype(np.int64))], ["at", "bits"])
-
-    merged = np.zeros(bits // 8, np.uint8)
-    cells = seeds.select("hash").mapInArrow(run, "at bigint, bits bigint").groupBy("at").agg(F.bit_or("bits").alias("bits"))
-    found = cells.toArrow()
-    merged[found.column("at").to_numpy()] = found.column("bits").to_numpy().astype(np.uint8)
-    return merged
-
-
 def best_overlap(doc: np.ndarray, item: np.ndarray, shift: int, share: float) -> tuple[int, int, int]:
     """Of doc[shift + j] against item[j], the stretch of items words [start, end) with the most equal words
     among those whose share of equal words is at least ``share``; and that number of equal words."""
@@ -155,7 +132,7 @@ def overlaps(
     spark = docs.sparkSession
     items = pin(_seed_rows(_table(benchmark, item_column, item_text_column), masks))
     item_seeds = items.select(F.col("id").alias("item_id"), F.inline("hits")).withColumnRenamed("pos", "item_pos").distinct()
-    wanted = spark.sparkContext.broadcast(_filter(item_seeds, filter_bits))
+    wanted = spark.sparkContext.broadcast(bit_filter(item_seeds, filter_bits))
     found = _seed_rows(_table(docs, id_column, text_column), masks, wanted)
     found = pin(found.withColumn("row", F.monotonically_increasing_id()))
     hits = found.select("row", F.inline("hits"))
