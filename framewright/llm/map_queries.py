@@ -8,11 +8,12 @@ import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from framewright.llm.bpe import encode_decode
+from framewright.llm.bpe import encode_decode, vocabulary
 from framewright.llm.decontaminate import overlaps
 from framewright.llm.extraction import extract_text
 from framewright.llm.pii import BASE, KINDS, personal_data
 from framewright.llm.registry import query, read
+from framewright.llm.shards import training_order
 
 DECIMAL = [str(i) for i in range(1 << 16)]
 
@@ -68,3 +69,17 @@ def op1_html_extraction(spark, sf_dir):
 def op3_decontamination(spark, sf_dir):
     """The passages found; a document without any has no row."""
     return overlaps(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+TRAINING_KEY = 20260101
+
+
+def multilingual_encoder():
+    return vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).encode
+
+
+@query("op7_token_shards")
+def op7_token_shards(spark, sf_dir):
+    """Writes the shards to the shared folder; one row a sequence with its slot."""
+    index, _ = training_order(read(spark, sf_dir, "documents"), multilingual_encoder, TRAINING_KEY)
+    return index
