@@ -12,6 +12,7 @@ from framewright.llm.bpe import encode_decode, vocabulary
 from framewright.llm.decontaminate import overlaps
 from framewright.llm.extraction import extract_text
 from framewright.llm.pii import BASE, KINDS, personal_data
+from framewright.llm.quality import quality_scores, train
 from framewright.llm.registry import query, read
 from framewright.llm.shards import training_order
 
@@ -83,3 +84,12 @@ def op7_token_shards(spark, sf_dir):
     """Writes the shards to the shared folder; one row a sequence with its slot."""
     index, _ = training_order(read(spark, sf_dir, "documents"), multilingual_encoder, TRAINING_KEY)
     return index
+
+
+META = ["lang", "source", "n_chars"]
+
+
+@query("op6_quality_classifier")
+def op6_quality_classifier(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return quality_scores(docs, train(docs, read(spark, sf_dir, "labels"), META), META)
