@@ -220,14 +220,17 @@ def train(
     picked = F.broadcast(chosen.union(pool))
     sample = _featured(named.join(picked.select("key"), "key", "left_semi"), names).join(picked, "key")
     rows = sample.dropDuplicates(["key"]).select("key", "y", "tx", "mx").toArrow().sort_by("key")
+    if not rows.num_rows:
+        return Model(None, None, 1.0, names)
     y = rows.column("y").to_numpy(zero_copy_only=False).astype(float)
-    keys = rows.column("key").to_numpy(zero_copy_only=False)
     views = [np.array(rows.column(c).to_pylist(), float).reshape(len(y), -1) for c in ("tx", "mx")]
     has = ~np.isnan(y)
-    held = np.arange(int(has.sum())) % FOLDS == 0
     good = y[has]
+    held = np.zeros(len(good), bool)
+    for value in (0, 1):
+        held[np.flatnonzero(good == value)[::FOLDS]] = True
     prior = float(np.clip((good.sum() + 1) / (len(good) + 1) if len(good) else 1.0, 0, 1))
-    if len(keys) == 0 or any(len(set(part.tolist())) < 2 for part in (good[held], good[~held])):
+    if any(len(set(part.tolist())) < 2 for part in (good[held], good[~held])):
         return Model(None, None, prior, names)
     fitted = co_train([v[has] for v in views], good, held, [v[~has] for v in views], rounds)
     return Model(fitted[0], fitted[1], float(np.clip(good.mean(), 1e-3, 1 - 1e-3)), names)
