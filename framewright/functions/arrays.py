@@ -25,15 +25,18 @@ def cross_entropy(logits: Column, label: Column) -> Column:
     return F.log(total) - (F.get(logits, label) - top)
 
 
+def places(n: int) -> Column:
+    """The array 0..n-1; empty for n = 0, where ``sequence`` would count down."""
+    return F.sequence(F.lit(0), F.lit(n - 1)) if n > 0 else F.array().cast("array<int>")
+
+
 def one_hot(label: Column, n_classes: int) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(n_classes - 1)), lambda i: (i == label).cast("int"))
+    return F.transform(places(n_classes), lambda i: (i == label).cast("int"))
 
 
 def reshape(values: Column, rows: int, width: int) -> Column:
     """A flat array as ``rows`` arrays of ``width`` elements."""
-    return F.transform(
-        F.sequence(F.lit(0), F.lit(rows - 1)), lambda r: F.slice(values, r * width + 1, F.lit(width))
-    )
+    return F.transform(places(rows), lambda r: F.slice(values, r * width + 1, F.lit(width)))
 
 
 def flip_horizontal(image: Column) -> Column:

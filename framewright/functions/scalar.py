@@ -44,8 +44,22 @@ def uuid_from_longs(high: Column, low: Column) -> Column:
 
 
 def parse_uuid(text: Column) -> Column:
-    """The text when it is a well-formed UUID, else null."""
-    return F.when(text.rlike(UUID_PATTERN), F.lower(text))
+    """A well-formed UUID with each part padded to its full length, else null."""
+    parts = F.split(F.lower(text), "-")
+    padded = [F.lpad(F.get(parts, F.lit(i)), n, "0") for i, n in enumerate((8, 4, 4, 4, 12))]
+    return F.when(text.rlike(UUID_PATTERN), F.concat_ws("-", *padded))
+
+
+def longs_from_uuid(text: Column) -> tuple[Column, Column]:
+    """The two signed 64-bit halves of a UUID; null when it is not well-formed."""
+    digits = F.replace(parse_uuid(text), F.lit("-"), F.lit(""))
+
+    def half(position: int) -> Column:
+        high = F.conv(F.substring(digits, position, 8), 16, 10).cast("bigint")
+        low = F.conv(F.substring(digits, position + 8, 8), 16, 10).cast("bigint")
+        return F.shiftleft(high, 32).bitwiseOR(low)
+
+    return half(1), half(17)
 
 
 def utf16_length(text: Column) -> Column:
@@ -67,14 +81,22 @@ def truncate_product(fraction: Column, extent: int) -> Column:
     return (fraction * F.lit(extent)).cast("int")
 
 
+def _epoch() -> Column:
+    return F.lit("1970-01-01").cast("timestamp_ntz")
+
+
 def micros(ts: Column) -> Column:
-    """Microseconds since the epoch of a zoneless timestamp (read in the session zone)."""
-    return F.unix_micros(ts.cast("timestamp"))
+    """Microseconds since the epoch of a zoneless timestamp, whatever the session's zone."""
+    since = ts.cast("timestamp_ntz") - _epoch()
+    days, hours, minutes = (F.extract(F.lit(unit), since).cast("bigint") for unit in ("DAY", "HOUR", "MINUTE"))
+    seconds = (F.extract(F.lit("SECOND"), since) * 1_000_000).cast("bigint")
+    return ((days * 24 + hours) * 60 + minutes) * 60_000_000 + seconds
 
 
 def from_micros(value: Column) -> Column:
     """Inverse of :func:`micros`."""
-    return F.timestamp_micros(value).cast("timestamp_ntz")
+    none, seconds = F.lit(0), (value / F.lit(1_000_000).cast("decimal(7,0)")).cast("decimal(18,6)")
+    return _epoch() + F.make_dt_interval(none, none, none, seconds)
 
 
 def seconds_interval(seconds: float) -> Column:

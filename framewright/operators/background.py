@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framewright.functions.arrays import places
 from framewright.operators.ordering import sorted_by_key
 
 
@@ -96,7 +97,7 @@ class PixelMixture:
 def tiles(frames: DataFrame, frame_pixels: int, tile_pixels: int) -> DataFrame:
     """One row per frame and tile; ``data`` holds the tile's bytes."""
     n = -(-frame_pixels // tile_pixels)
-    return frames.withColumn("tile", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn(
+    return frames.withColumn("tile", F.explode(places(n))).withColumn(
         "data", F.substring(F.col("data"), F.col("tile") * tile_pixels + 1, F.lit(tile_pixels))
     )
 
@@ -167,6 +168,6 @@ def foreground_pixels(masks: DataFrame) -> DataFrame:
 
 def motion_frames(frames: DataFrame, frame_pixels: int, tile_pixels: int = 1024, threshold: int = 5000,
                   params: MixtureParams = MixtureParams()) -> DataFrame:
-    """Frames with strictly more than ``threshold`` foreground pixels."""
+    """Frames, as they came, with strictly more than ``threshold`` foreground pixels."""
     counted = foreground_pixels(background_subtraction(frames, frame_pixels, tile_pixels, params))
-    return counted.where(F.col("fg_pixels") > threshold)
+    return frames.join(counted.where(F.col("fg_pixels") > threshold), ["device", "ts", "event_id"])

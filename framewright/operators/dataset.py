@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from framewright.functions.arrays import places
 from framewright.operators.ordering import (
-    broadcast_if_small,
     seeded_order,
     with_global_index,
     with_group_index,
@@ -122,9 +122,9 @@ def fixed_batches(samples: DataFrame, size: int, seed: int = 0) -> DataFrame:
 
 
 def label_index(samples: DataFrame) -> DataFrame:
-    """Class names to 0-based places in name order, joined back to the samples."""
-    names = sort_by_name(samples.select("label").distinct(), "label")
-    return samples.join(broadcast_if_small(names.withColumnRenamed("place", "label_idx")), "label")
+    """Class names to 0-based places in name order, joined back to the samples; no label has no place."""
+    names = sort_by_name(samples.select("label").where("label is not null").distinct(), "label")
+    return samples.join(names.withColumnRenamed("place", "label_idx"), "label", "left")
 
 
 def sort_by_name(classes: DataFrame, name: str) -> DataFrame:
@@ -135,15 +135,19 @@ def sort_by_name(classes: DataFrame, name: str) -> DataFrame:
 def training_schedule(samples: DataFrame, batch_size: int, epochs: int, seed: int = 0) -> DataFrame:
     """Full batches numbered as training steps: floor(N / batch) steps per epoch.
 
-    Each row carries its ``step`` in every epoch; epochs are exploded from a literal sequence.
+    One row a step of every epoch, with the ids of its samples in shuffled order.
     """
     per_epoch = samples.agg(F.floor(F.count(F.lit(1)) / batch_size)).scalar()
     indexed = seeded_shuffle(samples, seed).withColumn("batch", F.floor(F.col("idx") / batch_size).cast("bigint"))
     full = indexed.withColumn("_per_epoch", per_epoch).where(F.col("batch") < F.col("_per_epoch"))
     return (
         full.groupBy("batch", "_per_epoch")
-        .agg(F.count(F.lit(1)).alias("n"), F.min("idx").alias("first_idx"))
-        .withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+        .agg(
+            F.count(F.lit(1)).alias("n"),
+            F.min("idx").alias("first_idx"),
+            F.transform(F.sort_array(F.collect_list(F.struct("idx", "id"))), lambda s: s["id"]).alias("ids"),
+        )
+        .withColumn("epoch", F.explode(places(epochs)))
         .withColumn("step", F.col("epoch") * F.col("_per_epoch") + F.col("batch"))
         .drop("_per_epoch")
     )

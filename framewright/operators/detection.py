@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from framewright.functions.scalar import caption, truncate_product
 
-# Detections must score above the cut; the label of a class without a name.
+# Detections must score above the cut; the label of a class without a name; where a caption starts
+# from the box corner, in pixels.
 SCORE_CUT = 0.5
 UNKNOWN = "unknown"
+CAPTION_X = 4
+CAPTION_Y = 36
 
 
 def detection_filter(detections: DataFrame, cut: float = SCORE_CUT) -> DataFrame:
@@ -57,10 +60,12 @@ def scale_boxes(detections: DataFrame, width: int, height: int) -> DataFrame:
 def annotations(
     detections: DataFrame, labels: DataFrame, width: int = 640, height: int = 480, cut: float = SCORE_CUT
 ) -> DataFrame:
-    """What would be drawn on each frame: caption, its anchor and the box corners."""
+    """What would be drawn on each frame: caption, its anchor and the box corners; nothing without any label."""
+    some = labels.limit(1).agg(F.count(F.lit(1)) > 0).scalar()
     found = label_lookup(scale_boxes(detection_filter(detections, cut), width, height), labels)
     return (
-        found.withColumn("caption", caption(F.col("label"), F.col("score")))
-        .withColumn("text_x", F.col("xmin") + 4)
-        .withColumn("text_y", F.col("ymin") + 36)
+        found.where(some)
+        .withColumn("caption", caption(F.col("label"), F.col("score")))
+        .withColumn("text_x", F.col("xmin") + CAPTION_X)
+        .withColumn("text_y", F.col("ymin") + CAPTION_Y)
     )

@@ -242,7 +242,7 @@ def split_frames(
     across = joined.select(
         "conn",
         "msg",
-        F.when(F.col("ended"), F.substring(raw, 5, 1 << 30)).alias("wire"),
+        F.when(F.col("ended"), F.substr(raw, F.lit(5))).alias("wire"),
         F.when(F.col("failed"), "too long").when(~F.col("ended"), "truncated").alias("error"),
     )
     return whole.unionByName(inside).unionByName(across)

@@ -93,9 +93,10 @@ def merge_streams(*streams: DataFrame) -> DataFrame:
 
 
 def merge_streams_eager(*streams: DataFrame) -> DataFrame:
-    """Union that ends when the first input ends: rows up to the earliest last timestamp."""
+    """Union that ends when the first input ends: rows up to the earliest last timestamp; none if an input is empty."""
     ends = merge_streams(*[s.agg(F.max("ts").alias("ts")) for s in streams])
-    return merge_streams(*streams).where(F.col("ts") <= ends.agg(F.min("ts")).scalar())
+    end = F.when(F.count("ts") == len(streams), F.min("ts"))
+    return merge_streams(*streams).where(F.col("ts") <= ends.agg(end).scalar())
 
 
 def concat_streams(*streams: DataFrame) -> DataFrame:
@@ -265,7 +266,7 @@ def encode_messages(messages: DataFrame) -> DataFrame:
 
 
 def decode_messages(wire: DataFrame, tags: tuple[int, ...] = SERVER_TAGS, data: str = "wire") -> DataFrame:
-    """Bytes to message rows; an unknown tag or short body is named in ``error``.
+    """Bytes to message rows; an unknown tag, a short body or text that is no UTF-8 is named in ``error``.
 
     The tag leaves through ``inline``, so every later use reads a column instead of repeating its
     extraction, also in filters pushed down from further up.
@@ -274,11 +275,14 @@ def decode_messages(wire: DataFrame, tags: tuple[int, ...] = SERVER_TAGS, data:
     size = F.octet_length(raw)
 
     def text_from(position: int) -> Column:
-        return F.decode(F.substring(raw, position, 1 << 30), "UTF-8")
+        return F.substr(raw, F.lit(position)).cast("string")
 
     tagged = wire.select("*", F.inline(F.array(F.struct(read_be_int32(raw, 1).alias("tag")))))
     short = tag.isNull() | ((tag == TAG_COMMAND) & (size < 8)) | ((tag == TAG_FRAMES) & (size < 20))
-    checked = tagged.withColumn("error", F.when(short, "short message").when(~tag.isin(*tags), "unknown tag"))
+    start = F.when(tag == TAG_COMMAND, 9).when(tag == TAG_FRAMES, 21).otherwise(5)
+    garbled = ~F.is_valid_utf8(F.substr(raw, start).cast("string"))
+    error = F.when(short, "short message").when(~tag.isin(*tags), "unknown tag").when(garbled, "bad text")
+    checked = tagged.withColumn("error", error)
     good = F.col("error").isNull()
     texts = tag.isin(TAG_REPLY, TAG_CHUNK, TAG_ERROR)
     return checked.withColumns(

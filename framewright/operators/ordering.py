@@ -4,22 +4,21 @@ A SQL window puts all rows of a key into one task. ``KeyedScan`` keeps that plan
 keys (one shuffle, no extra pass over the rows) and cuts only the *hot* keys, found by a counting
 pre-pass, into contiguous ordered chunks by a range partitioning on (key, order). An operator
 then runs the same window expression per (key, chunk) and corrects it with what the earlier
-chunks of the key contribute, which is one row per (hot key, chunk): a table bounded by
-``MAX_HOT_KEYS + MAX_CHUNKS`` rows, hence safe to broadcast.
+chunks of the key contribute, which is one row per (hot key, chunk). Hot keys and these rows stay
+tables of any size; Catalyst decides from their size how to join them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Row, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from framewright.session import pin
 
 HOT_ROWS = 2_000_000
-MAX_HOT_KEYS = 10_000
-MAX_CHUNKS = 10_000
 
 _CHUNK = "_chunk"
 _POSITION_BITS = (1 << 33) - 1  # low bits of monotonically_increasing_id: position in the partition
@@ -52,51 +51,52 @@ def _range_chunks(df: DataFrame, by: Sequence[Column], n: int) -> DataFrame:
     return pin(df.repartitionByRange(n, *by).withColumn(_CHUNK, F.spark_partition_id() + 1))
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> list[Row]:
-    """The keys (with their count ``_n``) holding more rows than one task should take.
+@dataclass
+class HotKeys:
+    """Keys that hold more rows than one task should take: a pinned table of them, and how many chunks they fill."""
 
-    Counts combine map-side. At most ``MAX_HOT_KEYS`` keys return, the largest ones, so a key
-    left out holds less than 1/MAX_HOT_KEYS of the table. A compound key can only be hot when its
-    first part is, so that is counted first and usually ends the search.
+    table: DataFrame
+    chunks: int
+
+    def renamed(self, **names: Column) -> HotKeys:
+        """The same keys under other names or forms."""
+        return HotKeys(self.table.select(*[c.alias(n) for n, c in names.items()]), self.chunks)
+
+
+def hot_keys(df: DataFrame, keys: Sequence[str], hot_rows: int | None = None) -> HotKeys | None:
+    """The keys holding more rows than one task should take; None, as a rule, if there is none.
+
+    Counts combine map-side. A compound key can only be hot when its first part is, so that is
+    counted first and usually ends the search.
     """
     limit = hot_rows or hot_row_limit(df)
     if len(keys) > 1:
         coarse = hot_keys(df, keys[:1], limit)
-        if not coarse:
-            return []
-        table = _key_table(df, keys[:1], coarse)
-        df = df.join(table, _same_keys(df, table, keys[:1]), "left_semi")
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    return counts.where(F.col("_n") > limit).orderBy(F.desc("_n")).limit(MAX_HOT_KEYS).collect()
-
-
-def _key_table(df: DataFrame, keys: Sequence[str], rows: Sequence[Row]) -> DataFrame:
-    """Hot keys as a table to broadcast (at most ``MAX_HOT_KEYS`` rows)."""
-    schema = df.select(*keys).schema
-    return F.broadcast(df.sparkSession.createDataFrame([tuple(r[k] for k in keys) for r in rows], schema))
+        if coarse is None:
+            return None
+        df = df.join(coarse.table, _same_keys(df, coarse.table, keys[:1]), "left_semi")
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > limit)
+    found, rows = counts.agg(F.count(F.lit(1)), F.sum("_n")).first()
+    return HotKeys(pin(counts.select(*keys)), 1 + rows // limit) if found else None
 
 
 def lookup_join(
-    rows: DataFrame, per_key: DataFrame, key: str, how: str = "inner", hot: Sequence[Row] = ()
+    rows: DataFrame, per_key: DataFrame, key: str, how: str = "inner", hot: HotKeys | None = None
 ) -> DataFrame:
-    """Join rows to a table with one row per key, keeping hot keys out of the shuffle.
+    """Join rows to a table with one row per key, so that the rows of a hot key spread over tasks.
 
-    Rows of ``hot`` keys meet a broadcast of just those keys' entries; all others join as usual.
+    Rows of ``hot`` keys are salted, and just those keys' entries are repeated for every salt; all others join as usual.
     """
-    if not hot:
+    if hot is None:
         return rows.join(per_key, key, how)
-    table = _key_table(rows, [key], hot)
-    few = per_key.join(table, key, "left_semi")
-    return rows.join(table, key, "left_semi").join(F.broadcast(few), key, how).unionByName(
-        rows.join(table, key, "left_anti").join(per_key, key, how)
+    salts = F.lit(hot.chunks)
+    few = per_key.join(hot.table, key, "left_semi").withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    salted = rows.join(hot.table, key, "left_semi").withColumn("_salt", F.pmod(F.hash(*rows.columns), salts))
+    return salted.join(few, [key, "_salt"], how).drop("_salt").unionByName(
+        rows.join(hot.table, key, "left_anti").join(per_key, key, how)
     )
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = 1_000_000) -> DataFrame:
-    """Mark a table for broadcast after counting it; a larger one joins by shuffle."""
-    return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
-
-
 class KeyedScan:
     """Rows of ``df`` prepared for running computations per ``keys`` in ``order``.
 
@@ -118,17 +118,16 @@ class KeyedScan:
         self.order = list(order)
         limit = hot_rows or hot_row_limit(df)
         hot = hot_keys(df if counted is None else counted, self.keys, limit)
-        self.split = bool(hot)
+        self.split = hot is not None
         if not self.split:
             self.rows = df
             self.window = Window.partitionBy(*self.keys).orderBy(*self.order)
             self.running = self.window.rowsBetween(Window.unboundedPreceding, 0)
             return
-        table = _key_table(df, self.keys, hot)
-        n_chunks = min(MAX_CHUNKS, 1 + sum(r["_n"] for r in hot) // limit)
+        table = hot.table
         same = _same_keys(df, table, self.keys)
         chunked = _range_chunks(
-            df.join(table, same, "left_semi"), [F.col(c) for c in self.keys + self.order], n_chunks
+            df.join(table, same, "left_semi"), [F.col(c) for c in self.keys + self.order], hot.chunks
         )
         self.rows = df.join(table, same, "left_anti").withColumn(_CHUNK, F.lit(0)).unionByName(chunked)
         self.window = Window.partitionBy(*self.keys, _CHUNK).orderBy(*self.order)
@@ -164,7 +163,7 @@ class KeyedScan:
         condition = F.lit(True)
         for i, name in enumerate(by):
             condition = condition & F.col(name).eqNullSafe(F.col(f"_k{i}"))
-        joined = rows.join(F.broadcast(carried), condition, "left")
+        joined = rows.join(carried, condition, "left")
         return joined.select(
             *rows.columns,
             *[F.coalesce(F.col(f"_v_{name}"), default).alias(name) for name, default in defaults.items()],

@@ -139,7 +139,8 @@ def detect_objects(
     """Images to annotations; pixels are dropped before the label join."""
     found = images.withColumn("_d", model(F.col(pixels))).drop(pixels)
     n = F.size("_d.scores")
-    boxes = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.slice(F.col("_d.boxes"), i * 4 + 1, F.lit(4)))
+    numbers = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    boxes = F.transform(numbers, lambda i: F.slice(F.col("_d.boxes"), i * 4 + 1, F.lit(4)))
     raw = found.select(
         *[c for c in found.columns if c != "_d"], boxes.alias("boxes"), "_d.scores", "_d.classes"
     )

@@ -27,7 +27,7 @@ def serve_messages(
     facts = session_facts(session_events, None, timeout, check_delay, hot)
     opened = gate_open(facts).withColumnRenamed("addr", "conn")
     decoded = ms.decode_messages(wire).where(F.col("error").isNull())
-    passed = lookup_join(decoded, opened, "conn", hot=[_as_conn(r) for r in hot]).where(F.col("ts") > F.col("open_ts"))
+    passed = lookup_join(decoded, opened, "conn", hot=hot and hot.renamed(conn=F.col("addr"))).where(F.col("ts") > F.col("open_ts"))
     routed = ms.chunk_roles(ms.route_extended(passed))
     segmented = ms.segment_chunks(ms.chunk_rows(routed, "tag", "cmd", "payload"), hot_rows, wire)
     single = ms.command_replies(segmented.where(F.col("stream").isNull()))
@@ -38,7 +38,3 @@ def serve_messages(
         {"tag": F.lit(ms.TAG_REPLY), "cmd": F.lit(None).cast("int")}
     )
     return ms.encode_messages(answers)
-
-
-def _as_conn(row):
-    return {"conn": row["addr"]}

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from framewright.functions.scalar import seconds_interval
-from framewright.operators.ordering import KeyedScan, hot_keys, lookup_join
+from framewright.operators.ordering import HotKeys, KeyedScan, hot_keys, lookup_join
 
 # Seconds to name a device, seconds until a reply is checked.
 RESOLVE_TIMEOUT = 5.0
@@ -167,7 +167,7 @@ def session_facts(
     prev: DataFrame | None = None,
     timeout: float = RESOLVE_TIMEOUT,
     check_delay: float | None = None,
-    hot: Sequence[Row] = (),
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """What decides a session, one row per address, by map-side combined aggregations.
 
@@ -225,7 +225,7 @@ def session_snapshot(
     return probes.join(states, "addr", "left").withColumn("state", F.coalesce("state", F.lit("Expired")))
 
 
-def judge_messages(events: DataFrame, facts: DataFrame, hot: Sequence[Row] = ()) -> DataFrame:
+def judge_messages(events: DataFrame, facts: DataFrame, hot: HotKeys | None = None) -> DataFrame:
     """Messages (everything but ``new`` and ``reset``) with ``passed`` and ``drop_reason``."""
     messages = events.where(~F.col("kind").isin("new", "reset"))
     gated = lookup_join(messages, facts, "addr", hot=hot).where(_here() > F.col("first_new"))

@@ -119,16 +119,18 @@ def fixed_batches(spark, sf_dir):
     with_views(
         _SHUFFLED
         + """, batches AS (
-          SELECT CAST(idx // 64 AS BIGINT) AS batch, CAST(count(*) AS BIGINT) AS n, CAST(min(idx) AS BIGINT) AS first_idx
+          SELECT CAST(idx // 64 AS BIGINT) AS batch, CAST(count(*) AS BIGINT) AS n, CAST(min(idx) AS BIGINT) AS first_idx,
+            string_agg(CAST(id AS VARCHAR), ',' ORDER BY idx) AS ids
           FROM shuffled WHERE idx // 64 < n // 64 GROUP BY idx // 64)
-        SELECT batch, n, first_idx, CAST(epoch AS INTEGER) AS epoch,
+        SELECT batch, n, first_idx, ids, CAST(epoch AS INTEGER) AS epoch,
           CAST(epoch * (SELECT count(*) // 64 FROM samples) + batch AS BIGINT) AS step
         FROM batches, (SELECT unnest(range(3)) AS epoch)""",
         "samples",
     ),
 )
 def training_schedule(spark, sf_dir):
-    return ds.training_schedule(fx.samples(spark, sf_dir), 64, 3, SEED)
+    steps = ds.training_schedule(fx.samples(spark, sf_dir), 64, 3, SEED)
+    return steps.withColumn("ids", F.array_join(F.col("ids").cast("array<string>"), ","))
 
 
 @query(

@@ -177,7 +177,7 @@ def encode_messages(spark, sf_dir):
 def decode_messages(spark, sf_dir):
     """Round trip, with an unknown tag in some messages."""
     wire = ms.encode_messages(fx.messages(spark, sf_dir))
-    spoiled = F.concat(F.lit(b"\x00\x00\x00\x07"), F.substring("wire", 5, 1 << 30))
+    spoiled = F.concat(F.lit(b"\x00\x00\x00\x07"), F.substr(F.col("wire"), F.lit(5)))
     broken = wire.select("event_id", F.when(F.col("event_id") % 97 == 0, spoiled).otherwise(F.col("wire")).alias("wire"))
     cmd = F.coalesce("cmd", F.lit(-1)).alias("cmd")
     return ms.decode_messages(broken).select("event_id", "tag", "error", cmd, "payload", "client_uuid", "body")
@@ -202,7 +202,7 @@ def split_frames(spark, sf_dir):
         F.posexplode(
             F.array(
                 F.substring(F.col("data"), F.lit(1), cut),
-                F.substring(F.col("data"), cut + 1, F.lit(1 << 30)),
+                F.substr(F.col("data"), cut + 1),
             )
         ).alias("piece", "data"),
     )

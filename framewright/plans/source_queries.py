@@ -187,7 +187,7 @@ def notification_sink(spark, sf_dir):
     sink = sinks.notification_sink(f"{path}/out", fx.client_uuid(F.col("device")), fx.BATCH_SIZE, fx.BATCH_WINDOW)
     replay(frames, sink, f"{path}/checkpoint")
     sent = spark.read.parquet(f"{path}/out")
-    decoded = ms.decode_messages(sent.withColumn("wire", F.substring("data", 5, 1 << 30)))
+    decoded = ms.decode_messages(sent.withColumn("wire", F.substr(F.col("data"), F.lit(5))))
     frame = "array<struct<ts:string,event_id:bigint,value:double>>"
     ids = F.from_json("body", frame)["event_id"].cast("array<string>")
     return decoded.select("conn", "window_start", "batch", "client_uuid", F.array_join(ids, ",").alias("ids"))

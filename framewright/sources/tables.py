@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -20,11 +20,25 @@ def write_csv_features(rows: DataFrame, path: str, features: Sequence[str], labe
     rows.select(*features, label).write.mode("overwrite").option("header", True).csv(path)
 
 
+# A quoted name: what stands between quotes of one kind, where a backslash takes the next character along.
+_QUOTED = r""""(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'"""
+_ITEM = rf"""(?s)item\s*\{{((?:[^{{}}"']|{_QUOTED})*)\}}"""
+
+
+def _escaped(name: Column) -> Column:
+    return F.replace(F.replace(name, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+
+
+def _unescaped(quoted: Column) -> Column:
+    """The text of a quoted name without its quotes and backslashes."""
+    return F.regexp_replace(F.expr("substring(_q, 2, char_length(_q) - 2)"), r"(?s)\\(.)", "$1")
+
+
 def write_label_map(labels: DataFrame, path: str) -> None:
     """Labels (``pos``, ``id``, ``display_name``; null fields are left out) as pbtxt items in order."""
     fields = F.concat(
         F.coalesce(F.format_string("  id: %d\n", "id"), F.lit("")),
-        F.coalesce(F.concat(F.lit('  display_name: "'), F.col("display_name"), F.lit('"\n')), F.lit("")),
+        F.coalesce(F.concat(F.lit('  display_name: "'), _escaped(F.col("display_name")), F.lit('"\n')), F.lit("")),
     )
     item = F.concat(F.lit("item {\n"), fields, F.lit("}"))
     labels.repartitionByRange("pos").sortWithinPartitions("pos").select(item).write.mode("overwrite").text(path)
@@ -33,18 +47,18 @@ def write_label_map(labels: DataFrame, path: str) -> None:
 def label_map_scan(spark: SparkSession, path: str) -> DataFrame:
     """pbtxt items to (id, display_name); incomplete items are dropped, the last of an id wins.
 
-    Reading up to each closing brace keeps the file splittable. Item order is (file, block,
-    position in the block).
+    A label map describes the classes of one model, so each file is read whole; names may hold braces
+    and either quote. Item order is (file, position).
     """
+    files = spark.read.text(path, wholetext=True).select("_metadata.file_path", "value")
+    found = files.select("file_path", F.posexplode(F.regexp_extract_all("value", F.lit(_ITEM), F.lit(1))).alias("at", "item"))
+    bare = F.regexp_replace("item", F.lit(_QUOTED), F.lit('""'))
     items = (
-        spark.read.option("lineSep", "}")
-        .text(path)
+        found.withColumn("_q", F.regexp_extract("item", rf"(?s)\bdisplay_name\s*:\s*({_QUOTED})", 1))
         .select(
-            F.struct(
-                "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row")
-            ).alias("pos"),
-            F.regexp_extract("value", r"\bid:\s*(\d+)", 1).try_cast("int").alias("id"),
-            F.regexp_extract("value", r'\bdisplay_name:\s*["\']([^"\']*)["\']', 1).alias("display_name"),
+            F.struct("file_path", "at").alias("pos"),
+            F.regexp_extract(bare, r"\bid\s*:\s*(\d+)", 1).try_cast("int").alias("id"),
+            _unescaped(F.col("_q")).alias("display_name"),
         )
     )
     complete = items.where(F.col("id").isNotNull() & (F.col("display_name") != ""))
