@@ -22,7 +22,7 @@ _SCHEMA = (
 )
 
 
-class _TimedBatches:
+class WalkBatches:
     """Numbers the batch of each frame; ``held``, ``deadline`` and ``open_batch`` are the state after it."""
 
     def __init__(self, size: int, interval: int):
@@ -73,7 +73,7 @@ def timed_batches(frames: DataFrame, seed: DataFrame | None, size: int, seconds:
     else:
         log = log.withColumns({c: F.lit(None).cast("bigint") for c in ("held", "deadline", "open_batch")})
     schema = _SCHEMA.format(key=frames.schema["device"].dataType.simpleString())
-    handler = _TimedBatches(size, round(seconds * 1e6))
+    handler = WalkBatches(size, round(seconds * 1e6))
     return handler_process_stream(
         log.withColumn("us", micros(F.col("ts"))), ["device"], ["ts", "event_id"], handler, schema
     )

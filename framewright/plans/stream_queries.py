@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewright.plans import fixtures as fx
@@ -22,9 +23,34 @@ EVENTS_SCHEMA = (
 )
 
 
-def events_stream(spark, sf_dir):
-    # the trailing glob lets the source take a single file as well as a folder
-    return frame_stream_scan(spark, f"{sf_dir}/events.parquet*", EVENTS_SCHEMA, ("ts", "event_id"))
+def land(rows: DataFrame, groups: Column | None = None) -> str:
+    """Write a table as the files of a stream and return their folder.
+
+    First comes a file whose only row has no time, so a micro-batch that is empty once filtered. Then the
+    rows in time order: without ``groups`` in three files, with it in two halves of a file for either group. Each
+    key's rows stay in time order, which is the order that the SQL assumes; between keys they do not.
+    """
+    path = work_path(rows.sparkSession, "landed")
+    first, last = rows.agg(F.min("ts"), F.max("ts")).first()
+    files = [rows.limit(1).withColumn("ts", F.lit(None).cast("timestamp_ntz"))]
+    parts = 3 if groups is None else 2
+    for i in range(parts):
+        part = rows
+        if i > 0:
+            part = part.where(F.col("ts") >= first + i * (last - first) / parts)
+        if i < parts - 1:
+            part = part.where(F.col("ts") < first + (i + 1) * (last - first) / parts)
+        files += [part] if groups is None else [part.where(groups), part.where(~groups)]
+    for file in files:
+        file.coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def events_stream(spark, sf_dir, in_order=False):
+    """The events as a stream of one file a micro-batch; two device groups take turns unless ``in_order``."""
+    groups = None if in_order else F.col("user_id") % 2 == 0
+    path = land(fx.table(spark, sf_dir, "events"), groups)
+    return frame_stream_scan(spark, path, EVENTS_SCHEMA, ("ts", "event_id"), max_files=1)
 
 
 @query(
@@ -83,12 +109,13 @@ def stream_grouped_within_timer(spark, sf_dir):
 
 @query("stream_session_machine", HISTORY_SQL)
 def stream_session_machine(spark, sf_dir):
-    return ss.stream_session_machine(fx.session_events_view(events_stream(spark, sf_dir)), fx.SESSION_TIMEOUT)
+    events = fx.session_events_view(events_stream(spark, sf_dir, in_order=True))
+    return ss.stream_session_machine(events, fx.SESSION_TIMEOUT)
 
 
 @query("stream_session_gate", GATE_SQL)
 def stream_session_gate(spark, sf_dir):
-    events = fx.session_events_view(events_stream(spark, sf_dir))
+    events = fx.session_events_view(events_stream(spark, sf_dir, in_order=True))
     return ss.stream_session_gate(events, fx.SESSION_TIMEOUT, fx.CHECK_DELAY)
 
 
@@ -97,17 +124,9 @@ def stream_chunk_total(spark, sf_dir):
     return sm.stream_chunk_total(fx.chunk_log_view(events_stream(spark, sf_dir)))
 
 
-@query(
-    "stream_failure_breaker",
-    with_views(
-        """SELECT host, date_trunc('day', ts) AS window_start, CAST(count(*) AS BIGINT) AS failures,
-          CAST(count(*) // 6 AS BIGINT) AS downs
-        FROM host_ev GROUP BY host, date_trunc('day', ts) HAVING count(*) >= 6""",
-        "host_ev",
-    ),
-)
+@query("stream_failure_breaker", ORACLES["host_failure_breaker"])
 def stream_failure_breaker(spark, sf_dir):
-    failures = fx.host_failures_view(events_stream(spark, sf_dir))
+    failures = fx.host_failures_view(events_stream(spark, sf_dir, in_order=True))
     return sm.stream_failure_breaker(failures, fx.BREAKER_MAX, fx.BREAKER_WINDOW)
 
 
@@ -132,7 +151,9 @@ def two_sided(events):
     ),
 )
 def stream_request_reply(spark, sf_dir):
-    return known_ids(sm.stream_request_reply(two_sided(events_stream(spark, sf_dir))))
+    path = land(two_sided(fx.table(spark, sf_dir, "events")), F.col("conn") % 2 == 0)
+    schema = "conn bigint, ts timestamp_ntz, event_id bigint, side string"
+    return known_ids(sm.stream_request_reply(frame_stream_scan(spark, path, schema, ("ts",), max_files=1)))
 
 
 @query(
@@ -141,6 +162,6 @@ def stream_request_reply(spark, sf_dir):
 )
 def stream_resume(spark, sf_dir):
     """Two runs over one checkpoint: the second must add nothing twice."""
-    path = work_path(spark, "resume")
-    sf.stream_frame_counters(fx.frames_view(events_stream(spark, sf_dir)), path)
-    return sf.stream_frame_counters(fx.frames_view(events_stream(spark, sf_dir)), path)
+    path, events = work_path(spark, "resume"), events_stream(spark, sf_dir)
+    sf.stream_frame_counters(fx.frames_view(events), path)
+    return sf.stream_frame_counters(fx.frames_view(events), path)

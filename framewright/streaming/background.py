@@ -4,27 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from framewright.operators.background import MixtureParams, foreground_pixels, subtract_tiles, tiles
-from framewright.streaming.runner import Carried, run_carried
-
-
-def background_op(frame_pixels: int, tile_pixels: int, params: MixtureParams = MixtureParams()) -> Carried:
-    """State per (device, tile): its mixture and the last frame it saw."""
-
-    def rows(frames: DataFrame, seed: DataFrame | None, _since) -> DataFrame:
-        return subtract_tiles(tiles(frames, frame_pixels, tile_pixels), params, seed)
-
-    def state(written: DataFrame, _prev: DataFrame | None) -> DataFrame:
-        return written.where(F.col("model").isNotNull()).select("device", "tile", "ts", "event_id", "model")
-
-    return Carried(rows, state, True)
+from framewright.operators.background import MixtureParams, foreground_pixels, tiles
+from framewright.streaming import keyed as kd
 
 
 def stream_background_subtraction(
     frames: DataFrame, frame_pixels: int, tile_pixels: int = 1024, params: MixtureParams = MixtureParams(),
     path: str | None = None,
 ) -> DataFrame:
-    """Foreground pixels per frame as frames arrive."""
-    rows, _ = run_carried(frames, background_op(frame_pixels, tile_pixels, params), path)
-    return foreground_pixels(rows.where(F.col("mask").isNotNull()))
+    """Foreground pixels per frame as frames arrive; the state per device and tile is its mixture."""
+    tiled = tiles(frames, frame_pixels, tile_pixels).select("device", "tile", "ts", "event_id", "data")
+    out = T.StructType([*kd._fields(tiled, "device", "ts", "event_id"), T.StructField("foreground", T.IntegerType())])
+    step = kd.Background(params)
+    path = kd.fresh(frames.sparkSession, path, "background")
+    return foreground_pixels(kd.run_keyed(tiled, ["device", "tile"], step, out, step.state, path))

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from framewright.functions.scalar import from_micros
 from framewright.operators import frames as fr
-from framewright.operators.batching import collect_batches, timed_batches
-from framewright.operators.ordering import with_group_index
-from framewright.streaming.runner import Carried, latest_per_key, replay_to_table, run_carried
+from framewright.operators.batching import collect_batches
+from framewright.streaming import keyed as kd
+from framewright.streaming.runner import latest_per_key, replay_to_table
 
 
 def stream_frame_counters(frames: DataFrame, path: str | None = None, key: str = "device") -> DataFrame:
@@ -16,101 +18,51 @@ def stream_frame_counters(frames: DataFrame, path: str | None = None, key: str =
     return latest_per_key(replay_to_table(fr.client_frame_counters(frames, key), path, "update"), key)
 
 
-def throttle_op(period_seconds: float, burst: int, key: str = "device") -> Carried:
-    def state(rows: DataFrame, _prev: DataFrame | None) -> DataFrame:
-        return rows.groupBy(key).agg(
-            F.max("ts").alias("ts"),
-            F.max_by("event_id", F.struct("ts", "event_id")).alias("event_id"),
-            F.max("n").alias("n"),
-            F.max("peak").alias("peak"),
-        )
-
-    return Carried(lambda batch, seed, _since: fr.throttle_from(batch, seed, period_seconds, burst, key), state, True)
-
-
-def stream_throttle(frames: DataFrame, period_seconds: float, burst: int, path: str | None = None) -> DataFrame:
-    """Paced frames; the state per client is its frame count and running maximum."""
-    rows, _ = run_carried(frames, throttle_op(period_seconds, burst), path)
-    return rows.where(~F.col("seeded")).select(*frames.columns, "n", "emit_ts")
-
-
-def grouped_within_op(size: int, window: str, key: str = "device") -> Carried:
-    """Batches that are full or whose window has passed leave; the rest stays buffered.
-
-    The buffer holds fewer than ``size`` frames per client and open window, plus a row counting
-    the frames that already left.
-    """
-
-    def rows(batch: DataFrame, buffer: DataFrame | None, _since) -> DataFrame:
-        one = F.lit(1).cast("bigint")
-        log = batch.select(
-            key, F.window("ts", window)["start"].alias("window_start"),
-            F.window("ts", window)["end"].alias("window_end"), "ts", "event_id", one.alias("weight"),
-        )
-        if buffer is not None:
-            log = log.unionByName(buffer)
-        indexed = with_group_index(log, [key, "window_start"], ["ts", "event_id"], "_i", weight="weight")
-        frames = F.when(F.col("event_id") >= 0, F.struct("ts", "event_id"))
-        grouped = indexed.groupBy(
-            key, "window_start", "window_end", F.floor(F.col("_i") / size).cast("bigint").alias("batch")
-        ).agg(F.sort_array(F.collect_list(frames)).alias("frames"))
-        passed = F.col("window_end") <= batch.agg(F.max("ts")).scalar()
-        return (
-            grouped.where(F.size("frames") > 0)
-            .withColumn("n", F.size("frames").cast("bigint"))
-            .withColumn("closed", (F.col("n") == size) | F.coalesce(passed, F.lit(False)))
-            .withColumn("passed", F.coalesce(passed, F.lit(False)))
-        )
-
-    def state(written: DataFrame, buffer: DataFrame | None) -> DataFrame:
-        still = written.where(~F.col("passed"))
-        waiting = still.where(~F.col("closed")).select(
-            key, "window_start", "window_end", F.explode("frames").alias("f")
-        )
-        gone = still.where(F.col("closed")).select(key, "window_start", "window_end", F.col("n").alias("weight"))
-        if buffer is not None:
-            last = written.agg(F.max("window_end")).scalar()
-            counted = buffer.where((F.col("event_id") < 0) & (F.col("window_end") >= F.coalesce(last, F.col("window_end"))))
-            gone = gone.unionByName(counted.select(key, "window_start", "window_end", "weight"))
-        counts = gone.groupBy(key, "window_start", "window_end").agg(F.sum("weight").alias("weight"))
-        one = F.lit(1).cast("bigint")
-        return counts.select(
-            key, "window_start", "window_end", F.col("window_start").alias("ts"),
-            F.lit(-1).cast("bigint").alias("event_id"), "weight",
-        ).unionByName(waiting.select(key, "window_start", "window_end", "f.ts", "f.event_id", one.alias("weight")))
-
-    return Carried(rows, state, True)
+def stream_throttle(
+    frames: DataFrame, period_seconds: float, burst: int, path: str | None = None, key: str = "device"
+) -> DataFrame:
+    """Paced frames; the state per client is its frame count and running maximum. Nothing is dropped."""
+    fields = [*frames.schema.fields, T.StructField("n", T.LongType()), T.StructField("emit_ts", T.TimestampNTZType())]
+    step = kd.Throttle(period_seconds, burst)
+    return kd.run_keyed(frames, [key], step, T.StructType(fields), step.state, kd.fresh(frames.sparkSession, path, "throttle"))
 
 
 def stream_grouped_within(
     frames: DataFrame, size: int, window: str, path: str | None = None, key: str = "device"
 ) -> DataFrame:
-    """Batches in the order they close; what is still buffered at the end leaves as short batches."""
-    rows, buffer = run_carried(frames, grouped_within_op(size, window, key), path)
-    columns = [key, "window_start", "batch", "n", "frames"]
-    counted = F.sum(F.when(F.col("event_id") < 0, F.col("weight")).otherwise(0))
-    waiting = F.when(F.col("event_id") >= 0, F.struct("ts", "event_id"))
-    tail = (
-        buffer.groupBy(key, "window_start")
-        .agg(F.floor(counted / size).cast("bigint").alias("batch"), F.sort_array(F.collect_list(waiting)).alias("frames"))
-        .withColumn("n", F.size("frames").cast("bigint"))
-        .where(F.col("n") > 0)
-    )
-    return rows.where("closed").select(*columns).unionByName(tail.select(*columns))
-
+    """Batches in the order they close; what still waits at the end leaves as short batches.
 
-def timed_batches_op(size: int, seconds: float) -> Carried:
-    """State per client: frames held, when the timer fires next and the open batch's number."""
-
-    def state(rows: DataFrame, _prev: DataFrame | None) -> DataFrame:
-        columns = ["ts", "event_id", "held", "deadline", "open_batch"]
-        last = F.max_by(F.struct(*columns), F.struct("ts", "event_id"))
-        return rows.groupBy("device").agg(last.alias("_l")).select("device", "_l.*")
-
-    return Carried(lambda batch, seed, _since: timed_batches(batch, seed, size, seconds), state, True)
+    A client's window closes when a frame of a later one comes. A frame of a window that has closed is not
+    dropped: it leaves at once, in a batch whose number is null.
+    """
+    spark = frames.sparkSession
+    path = kd.fresh(spark, path, "grouped")
+    width = spark.range(1).select(F.expr(f"timestampdiff(MICROSECOND, timestamp_seconds(0), timestamp_seconds(0) + interval {window})")).first()[0]
+    step = kd.GroupedWithin(key, size, width)
+    fields = [
+        *kd._fields(frames, key),
+        T.StructField("window_start", T.TimestampNTZType()),
+        T.StructField("batch", T.LongType()),
+        T.StructField("frames", T.StringType()),
+    ]
+    slim = frames.select(key, "ts", "event_id")
+    closed = kd.run_keyed(slim, [key], step, T.StructType(fields), step.state, path)
+    closed = closed.withColumn("frames", F.from_json("frames", "array<struct<ts: bigint, event_id: bigint>>"))
+    tail = kd.open_windows(path, spark, key).select(
+        F.col(key).cast(frames.schema[key].dataType).alias(key),
+        from_micros(F.col("s.start")).alias("window_start"),
+        F.col("s.batch").alias("batch"),
+        F.transform("s.frames", lambda f: F.struct(f[0].alias("ts"), f[1].alias("event_id"))).alias("frames"),
+    )
+    rows = closed.unionByName(tail).withColumn("n", F.size("frames").cast("bigint"))
+    timed = F.transform("frames", lambda f: F.struct(from_micros(f["ts"]).alias("ts"), f["event_id"].alias("event_id")))
+    return rows.select(key, "window_start", "batch", "n", timed.alias("frames"))
 
 
 def stream_grouped_within_timer(frames: DataFrame, size: int, seconds: float, path: str | None = None) -> DataFrame:
     """Batches of a stream; the frames of one batch may come in several micro-batches."""
-    rows, _ = run_carried(frames, timed_batches_op(size, seconds), path)
-    return collect_batches(rows)
+    slim = frames.select("device", "ts", "event_id")
+    step = kd.TimedBatches(size, seconds)
+    out = T.StructType([*kd._fields(slim, "device", "ts", "event_id"), T.StructField("batch", T.LongType())])
+    numbered = kd.run_keyed(slim, ["device"], step, out, step.state, kd.fresh(frames.sparkSession, path, "timer"))
+    return collect_batches(numbered.withColumn("seeded", F.lit(False)))

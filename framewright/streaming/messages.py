@@ -4,114 +4,51 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from framewright.functions.scalar import utf16_length
 from framewright.operators import messages as ms
-from framewright.operators.ordering import with_group_index
-from framewright.streaming.runner import Carried, latest_per_key, replay_to_table, run_carried
-
-
-def chunk_total_op() -> Carried:
-    """State per connection: streams so far and the open stream's opener, rows and total."""
-
-    def rows(log: DataFrame, seed: DataFrame | None, _since) -> DataFrame:
-        marked = ms.chunk_rows(log)
-        if seed is not None:
-            marked = marked.unionByName(
-                seed.select(
-                    "conn",
-                    "ts",
-                    "event_id",
-                    F.lit("S").alias("role"),
-                    F.col("total").alias("units"),
-                    "n_rows",
-                    "opened_by",
-                    (F.col("status") == "unfinished").cast("int").alias("open_in"),
-                    F.col("stream").alias("streams_in"),
-                )
-            )
-        return ms.chunk_streams(ms.chunk_stream_ids(marked))
-
-    def state(streams: DataFrame, prev: DataFrame | None) -> DataFrame:
-        columns = ["conn", "stream", "opened_by", "n_rows", "total", "status", "ts", "event_id"]
-        known = streams.select(*columns)
-        if prev is not None:
-            known = known.unionByName(prev.select(*columns))
-        newest = F.max_by(F.struct(*columns[1:]), F.struct("stream", "ts", "event_id"))
-        return known.groupBy("conn").agg(newest.alias("_s")).select("conn", "_s.*")
-
-    return Carried(rows, state, True)
+from framewright.streaming import keyed as kd
+
+_LONG, _TEXT, _TIME = T.LongType(), T.StringType(), T.TimestampNTZType()
+
+
+def _struct(*fields: tuple[str, T.DataType]) -> T.StructType:
+    return T.StructType([T.StructField(n, t) for n, t in fields])
+
+
+def stream_chunk_streams(log: DataFrame, path: str | None = None) -> DataFrame:
+    """Substreams of a role-marked log as they end; the state per connection is its open stream."""
+    rows = log.select("conn", "ts", "event_id", "role", utf16_length(F.col("payload")).cast("bigint").alias("units"))
+    out = _struct(
+        ("conn", log.schema["conn"].dataType), ("stream", _LONG), ("opened_by", _TEXT), ("n_rows", _LONG),
+        ("total", _LONG), ("status", _TEXT), ("ts", _TIME), ("event_id", _LONG),
+    )
+    step = kd.ChunkStreams()
+    return kd.run_keyed(rows, ["conn"], step, out, step.state, kd.fresh(log.sparkSession, path, "chunks"))
 
 
 def stream_chunk_total(log: DataFrame, path: str | None = None) -> DataFrame:
     """Size replies as their streams complete."""
-    streams, _ = run_carried(log, chunk_total_op(), path)
-    return ms.size_replies(streams).select("conn", "stream", "total", "reply")
+    return ms.size_replies(stream_chunk_streams(log, path)).select("conn", "stream", "total", "reply")
 
 
-def stream_failure_breaker(failures: DataFrame, max_failures: int, period: str, path: str | None = None) -> DataFrame:
-    """Failures and host drops per host and recovery period, as counts reach the limit.
+def stream_failure_breaker(
+    failures: DataFrame, max_failures: int, period: str, path: str | None = None, delay: str = "0 seconds"
+) -> DataFrame:
+    """Host drops: the time of every ``max_failures``-th failure of a host within a recovery period.
 
-    Update mode, so a drop shows in the micro-batch that causes it; the watermark only frees
-    periods that have passed.
+    A failure of a period that the watermark, the latest time less ``delay``, has passed is late: Spark drops it and
+    counts it in the query's progress (numRowsDroppedByWatermark).
     """
-    timed = failures.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", "0 seconds")
-    counts = timed.groupBy("host", F.window("ts", period)).agg(F.count(F.lit(1)).alias("failures"))
-    updates = counts.select(
-        "host", F.col("window.start").cast("timestamp_ntz").alias("window_start"), "failures"
-    )
-    latest = latest_per_key(replay_to_table(updates, path, "update"), "host", "window_start")
-    downs = F.floor(F.col("failures") / max_failures).cast("bigint")
-    return latest.withColumn("downs", downs).where(F.col("downs") > 0)
-
-
-def request_reply_op() -> Carried:
-    """State: per connection and side how many rows came, and the rows still without partner."""
-    pair = ["conn", "seq", "cmd_id", "cmd_ts", "reply_id", "reply_ts", "weight", "side"]
-
-    def rows(log: DataFrame, prev: DataFrame | None, _since) -> DataFrame:
-        one = F.lit(1).cast("bigint")
-        entries = log.select("conn", "side", "ts", "event_id", one.alias("weight"))
-        if prev is not None:
-            counters = prev.where(F.col("weight") > 0)
-            entries = entries.unionByName(
-                counters.select(
-                    "conn",
-                    "side",
-                    F.lit("0001-01-01").cast("timestamp_ntz").alias("ts"),
-                    F.lit(-1).cast("bigint").alias("event_id"),
-                    "weight",
-                )
-            )
-        indexed = with_group_index(entries, ["conn", "side"], ["ts", "event_id"], "seq", weight="weight")
-        is_cmd, is_reply = F.col("side") == "cmd", F.col("side") == "reply"
-        single = indexed.where(F.col("event_id") >= 0).select(
-            "conn",
-            "seq",
-            F.when(is_cmd, F.col("event_id")).alias("cmd_id"),
-            F.when(is_cmd, F.col("ts")).alias("cmd_ts"),
-            F.when(is_reply, F.col("event_id")).alias("reply_id"),
-            F.when(is_reply, F.col("ts")).alias("reply_ts"),
-        )
-        if prev is not None:
-            single = single.unionByName(prev.where(F.col("weight") == 0).select(*pair[:6]))
-        # a pair is two rows with one (conn, seq): grouping joins the sides without a join
-        return single.groupBy("conn", "seq").agg(*[F.max(c).alias(c) for c in pair[2:6]])
-
-    def state(paired: DataFrame, prev: DataFrame | None) -> DataFrame:
-        def count(column: str, side: str) -> DataFrame:
-            seen = paired.where(F.col(column).isNotNull())
-            counts = seen.groupBy("conn").agg((F.max("seq") + 1).alias("weight"))
-            return counts.withColumn("side", F.lit(side))
-
-        counters = count("cmd_id", "cmd").unionByName(count("reply_id", "reply"))
-        if prev is not None:
-            counters = counters.unionByName(prev.where(F.col("weight") > 0).select("conn", "weight", "side"))
-        counters = counters.groupBy("conn", "side").agg(F.max("weight").alias("weight"))
-        waiting = paired.where(F.col("cmd_id").isNull() | F.col("reply_id").isNull())
-        waiting = waiting.withColumn("weight", F.lit(0).cast("bigint")).withColumn("side", F.lit(None).cast("string"))
-        return waiting.select(*pair).unionByName(counters, allowMissingColumns=True)
-
-    return Carried(rows, state)
+    timed = failures.select("host", "event_id", F.col("ts").alias("at"), F.col("ts").cast("timestamp").alias("ts"))
+    framed = timed.withWatermark("ts", delay).withColumn("_w", F.window("ts", period))
+    start, end = F.col("_w.start").cast("timestamp_ntz"), F.unix_millis("_w.end")
+    keyed = framed.select("host", "event_id", "at", "ts", start.alias("start"), end.alias("end_ms"))
+    out = _struct(("host", failures.schema["host"].dataType), ("window_start", _TIME), ("down_ts", _TIME), ("nth", _LONG))
+    step = kd.FailureBreaker(max_failures)
+    path = kd.fresh(failures.sparkSession, path, "breaker")
+    return kd.run_keyed(keyed, ["host", "start"], step, out, step.state, path, watermark=True)
 
 
 def stream_request_reply(log: DataFrame, path: str | None = None) -> DataFrame:
@@ -119,13 +56,17 @@ def stream_request_reply(log: DataFrame, path: str | None = None) -> DataFrame:
 
     ``log`` is the union of both streams with ``side`` = ``cmd`` or ``reply``.
     """
-    paired, state = run_carried(log, request_reply_op(), path)
-    columns = ["conn", "seq", "cmd_id", "cmd_ts", "reply_id", "reply_ts"]
-    answered = paired.where(F.col("cmd_id").isNotNull() & F.col("reply_id").isNotNull())
-    leftover = state.where((F.col("weight") == 0) & F.col("cmd_id").isNotNull())
-    return (
-        answered.select(*columns, F.lit("answered").alias("status"), F.lit(None).cast("string").alias("reason"))
-        .unionByName(
-            leftover.select(*columns, F.lit("failed").alias("status"), F.lit("ConnectionClosed").alias("reason"))
-        )
+    out = _struct(
+        ("conn", log.schema["conn"].dataType), ("seq", _LONG), ("cmd_id", _LONG), ("cmd_ts", _TIME),
+        ("reply_id", _LONG), ("reply_ts", _TIME),
+    )
+    step = kd.RequestReply()
+    rows = log.select("conn", "ts", "event_id", "side")
+    seen = kd.run_keyed(rows, ["conn"], step, out, step.state, kd.fresh(log.sparkSession, path, "replies"))
+    answered = seen.where(F.col("reply_id").isNotNull())
+    done = answered.select(F.col("conn").alias("_conn"), F.col("seq").alias("_seq"))
+    waiting = seen.where(F.col("reply_id").isNull())
+    left = waiting.join(done, F.col("conn").eqNullSafe(F.col("_conn")) & (F.col("seq") == F.col("_seq")), "left_anti")
+    return answered.select("*", F.lit("answered").alias("status"), F.lit(None).cast("string").alias("reason")).unionByName(
+        left.select("*", F.lit("failed").alias("status"), F.lit("ConnectionClosed").alias("reason"))
     )

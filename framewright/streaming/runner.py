@@ -14,7 +14,8 @@ import datetime as dt
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -71,8 +72,20 @@ class Carried:
     drop_late: bool = False
 
 
+def late_rows(spark: SparkSession, path: str) -> DataFrame | None:
+    """What a carried run under ``path`` set aside as late; None if it had no second micro-batch."""
+    try:
+        return spark.read.parquet(f"{path}/late")
+    except AnalysisException:
+        return None
+
+
 def run_carried(stream: DataFrame, op: Carried, path: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Replay a stream through a carried operator; the rows of all batches and the last state."""
+    """Replay a stream through a carried operator; the rows of all batches and the last state.
+
+    Only for operators whose rule is a clock common to all keys (sessions that time out); the others use
+    Spark's keyed state, see ``keyed``.
+    """
     spark = stream.sparkSession
     path = path or work_path(spark, "carried")
 
@@ -82,7 +95,7 @@ def run_carried(stream: DataFrame, op: Carried, path: str | None = None) -> tupl
         if batch_id > 0:
             state = session.read.parquet(f"{path}/state/batch_id={batch_id - 1}")
             since = session.read.parquet(f"{path}/clock/batch_id={batch_id - 1}").first()["ts"]
-            if op.drop_late:
+            if op.drop_late and since is not None:
                 on_time = F.col("ts") >= F.lit(since).cast("timestamp_ntz")
                 write_batch(batch.where(~on_time), f"{path}/late", batch_id)
                 batch = batch.where(on_time)

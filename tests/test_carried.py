@@ -7,18 +7,11 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
-from test_models import SESSION_SCHEMA, at, sequential_sessions, sequential_streams, session_log, skewed
+from test_models import SESSION_SCHEMA, sequential_sessions, session_log
 
-from framewright.operators import frames as fr
-from framewright.operators.batching import timed_batches
 from framewright.session import work_path
-from framewright.streaming import frames as sf
-from framewright.streaming import messages as sm
 from framewright.streaming import sessions as ss
 
-FRAMES = "device int, ts timestamp_ntz, event_id bigint"
-CHUNKS = "conn int, ts timestamp_ntz, event_id bigint, role string, payload string"
-
 
 @pytest.fixture(params=[(1, "6"), (2, "1000")], ids=["split keys", "whole keys"])
 def rng(spark, request):
@@ -58,21 +51,3 @@ def test_sessions(spark, rng):
     rows = carry(spark, ss.session_machine_op(5.0), batches(spark, log, SESSION_SCHEMA, rng))
     got = tuples(rows.where("kind <> 'seed'"), "addr", "ts", "event_id", "state", "session_device")
     assert got == sequential_sessions(log, 5.0)
-
-
-def test_chunk_streams(spark, rng):
-    log = [(k, at(t), i, rng.choice("OCCCTX"), "x" * rng.randrange(1, 9)) for k, t, i in skewed(200, seed=3)]
-    rows = carry(spark, sm.chunk_total_op(), batches(spark, log, CHUNKS, rng))
-    ended = rows.where("status <> 'unfinished'")
-    expected = [s for s in sequential_streams(log) if s[-1] != "unfinished"]
-    assert tuples(ended, "conn", "stream", "opened_by", "n_rows", "total", "status") == expected
-
-
-def test_throttle_and_timed_batches(spark, rng):
-    frames = [(k, at(t), i) for k, t, i in skewed(200, seed=rng.randrange(100))]
-    whole, parts = spark.createDataFrame(frames, FRAMES), batches(spark, frames, FRAMES, rng)
-    paced = carry(spark, sf.throttle_op(0.3, 2), parts).where("not seeded")
-    columns = ["event_id", "n", "emit_ts"]
-    assert tuples(paced, *columns) == tuples(fr.throttle(whole, 0.3, 2), *columns)
-    numbered = carry(spark, sf.timed_batches_op(3, 1.0), parts).where("not seeded")
-    assert tuples(numbered, "event_id", "batch") == tuples(timed_batches(whole, None, 3, 1.0), "event_id", "batch")
