@@ -102,7 +102,7 @@ def tiles(frames: DataFrame, frame_pixels: int, tile_pixels: int) -> DataFrame:
     )
 
 
-_OUTPUT = "device bigint, tile int, ts timestamp_ntz, event_id bigint, mask binary, foreground int, model binary"
+_OUTPUT = "device string, tile int, ts timestamp_ntz, event_id bigint, mask binary, foreground int, model binary"
 
 
 def subtract_tiles(
@@ -117,7 +117,10 @@ def subtract_tiles(
     log = tiled.withColumn("model", F.lit(None).cast("binary")).select(*columns)
     if seed is not None:
         log = log.unionByName(seed.select("device", "tile", "ts", "event_id", "model"), allowMissingColumns=True)
-    return sorted_by_key(log, ["device", "tile"], ["ts", "event_id"]).mapInPandas(_SubtractTiles(params), _OUTPUT)
+    kind = log.schema["device"].dataType
+    in_order = sorted_by_key(log, ["device", "tile"], ["ts", "event_id"]).withColumn("device", F.col("device").cast("string"))
+    rows = in_order.mapInPandas(_SubtractTiles(params), _OUTPUT)
+    return rows.withColumn("device", F.col("device").cast(kind))
 
 
 class _SubtractTiles:

@@ -212,6 +212,14 @@ def split_frames(
     A length above ``max_message`` ends the connection with an error row; bytes left over at the
     end give a ``truncated`` row. ``order`` must be unique within a connection.
     """
+    kind = segments.schema["conn"].dataType
+    # as text through Python, where large integers beside a null would be rounded
+    texts = segments.withColumn("conn", F.col("conn").cast("string"))
+    messages = _split(texts, order, max_message, hot_rows)
+    return messages.withColumn("conn", F.col("conn").cast(kind))
+
+
+def _split(segments: DataFrame, order: Sequence[str], max_message: int, hot_rows: int | None) -> DataFrame:
     conn_type = segments.schema["conn"].dataType.simpleString()
     schema = f"conn {conn_type}, msg bigint, wire binary, error string"
     scan = KeyedScan(segments.select("conn", *order, "data"), ["conn"], order, hot_rows)
@@ -251,7 +259,7 @@ def split_frames(
 def _by_chunk(hot: DataFrame, entries: DataFrame, order: Sequence[str]) -> DataFrame:
     """Chunk rows with their entry, each chunk in order within one partition."""
     same = hot["conn"].eqNullSafe(entries["conn"]) & (hot["chunk"] == entries["chunk"])
-    entered = hot.join(F.broadcast(entries), same).select(
+    entered = hot.join(entries, same).select(
         hot["conn"], hot["chunk"], *[hot[c] for c in order], "data", "head", "due", "base"
     )
     return sorted_by_key(entered, ["conn", "chunk"], order)

@@ -12,9 +12,13 @@ from collections.abc import Callable, Iterator, Sequence
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from framewright.operators.ordering import sorted_by_key
 
+#: Stands for a null key where pandas would not tell it from others.
+NO_KEY = "\0"
+
 
 def handler_signal(rows: DataFrame, handler: Callable[..., pd.Series], inputs: Sequence[str], output: str,
                    type_name: str) -> DataFrame:
@@ -41,14 +45,24 @@ def handler_consume_stream(
 
     ``partial`` folds a batch of rows to one row per key in it, ``merge`` folds partial rows the
     same way. Every input partition is folded before the shuffle, so a key arrives as one row per
-    partition whatever its size; those rows are merged batch by batch in key order.
+    partition whatever its size; those rows are merged batch by batch in key order. Both see integer
+    keys as text and a null key as NO_KEY, for pandas would round large integers beside a null.
     """
-    folded = rows.mapInPandas(_FoldPartition(partial, merge), schema)
-    return sorted_by_key(folded, keys).mapInPandas(_MergeSorted(list(keys), merge), schema)
+    out = T.StructType.fromDDL(schema)
+    texts = [k for k in keys if isinstance(rows.schema[k].dataType, (T.IntegralType, T.StringType))]
+    inside = T.StructType([T.StructField(f.name, T.StringType() if f.name in texts else f.dataType) for f in out])
+    keyed = rows.withColumns({k: F.coalesce(F.col(k).cast("string"), F.lit(NO_KEY)) for k in texts})
+    folded = keyed.mapInPandas(_FoldPartition(partial, merge), inside)
+    merged = sorted_by_key(folded, keys).mapInPandas(_MergeSorted(list(keys), merge), inside)
+    back = {f.name: F.nullif(F.col(f.name), F.lit(NO_KEY)).cast(f.dataType) for f in out if f.name in texts}
+    return merged.withColumns(back)
 
 
 class _FoldPartition:
-    """Fold batches into partial rows, letting go of them when they become too many to hold."""
+    """Fold batches into partial rows, passing them on when they become too many to hold.
+
+    ``MAX_HELD`` bounds memory only: rows passed on early meet again after the shuffle, so the result is the same.
+    """
 
     MAX_HELD = 100_000
 
@@ -99,16 +113,23 @@ def handler_process_stream(
     handler: Callable[[tuple, Iterator[pd.DataFrame]], Iterator[pd.DataFrame]],
     schema: str,
 ) -> DataFrame:
-    """Rows to rows per key in order: ``handler(key, batches)`` sees a key's rows as sorted batches."""
-    return sorted_by_key(rows, keys, order).mapInPandas(_PerKey(list(keys), handler), schema)
+    """Rows to rows per key in order: ``handler(key, batches)`` sees a key's rows as sorted batches.
+
+    The handler is arbitrary and ordered, so a key's rows are in one task, as a stream. Integer keys cross to
+    Python as text and reach the handler as whole numbers, null as None.
+    """
+    whole = [k for k in keys if isinstance(rows.schema[k].dataType, T.IntegralType)]
+    in_order = sorted_by_key(rows, keys, order).withColumns({k: F.col(k).cast("string") for k in whole})
+    return in_order.mapInPandas(_PerKey(list(keys), handler, whole), schema)
 
 
 class _PerKey:
     """Cuts a partition sorted by key into one batch stream per key."""
 
-    def __init__(self, keys: list[str], handler):
+    def __init__(self, keys: list[str], handler, whole: Sequence[str] = ()):
         self.keys = keys
         self.handler = handler
+        self.whole = set(whole)
 
     def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pieces = self._pieces(batches)
@@ -133,6 +154,14 @@ class _PerKey:
         for batch in batches:
             if not len(batch):
                 continue
-            run = (batch[self.keys] != batch[self.keys].shift()).any(axis=1).cumsum()
+            known = batch[self.keys].astype(object).where(batch[self.keys].notna(), NO_KEY)
+            run = (known != known.shift()).any(axis=1).cumsum()
             for _, piece in batch.groupby(run, sort=False):
-                yield tuple(piece[self.keys].iloc[0]), piece
+                key = tuple(self._value(k, piece[k].iloc[0]) for k in self.keys)
+                restored = {k: pd.array([v] * len(piece), "Int64") for k, v in zip(self.keys, key, strict=True) if k in self.whole}
+                yield key, piece.assign(**restored)
+
+    def _value(self, name: str, value):
+        if pd.isna(value):
+            return None
+        return int(value) if name in self.whole else value

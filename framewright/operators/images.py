@@ -6,6 +6,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+#: Numbers of output worked on at once: 32 MB in double precision, whatever the batch holds.
+SLICE = 4 << 20
+
 
 def bilinear(images: np.ndarray, rows: int, columns: int) -> np.ndarray:
     """Resize (batch, rows, columns, channels); output pixel i samples input place i * in / out."""
@@ -22,18 +25,21 @@ def bilinear(images: np.ndarray, rows: int, columns: int) -> np.ndarray:
 def resize_bilinear(rows: int = 250, columns: int = 250):
     """A column function: (height, width, channels, bytes) to the resized image's bytes.
 
-    Images of one size are resized together; values are truncated to bytes.
+    Images of one size are resized together, as many as SLICE numbers of output hold; values are truncated to bytes.
     """
 
     @F.pandas_udf("binary")
     def resize(height: pd.Series, width: pd.Series, channels: pd.Series, data: pd.Series) -> pd.Series:
-        out = pd.Series([None] * len(data), dtype=object)
+        out, images = [None] * len(data), data.tolist()
         sizes = pd.DataFrame({"h": height, "w": width, "c": channels})
         for (h, w, c), places in sizes.groupby(["h", "w", "c"]).indices.items():
-            stacked = np.frombuffer(b"".join(data.iloc[places]), dtype=np.uint8).reshape(len(places), h, w, c)
-            resized = bilinear(stacked.astype(np.float64), rows, columns).astype(np.uint8)
-            for place, image in zip(places, resized):
-                out.iloc[place] = image.tobytes()
-        return out
+            many = max(1, SLICE // (max(rows * columns, h * w) * c))
+            for i in range(0, len(places), many):
+                some = places[i : i + many]
+                stacked = np.frombuffer(b"".join(images[p] for p in some), dtype=np.uint8).reshape(len(some), h, w, c)
+                resized = bilinear(stacked.astype(np.float64), rows, columns).astype(np.uint8)
+                for place, image in zip(some, resized, strict=True):
+                    out[place] = image.tobytes()
+        return pd.Series(out, dtype=object)
 
     return resize

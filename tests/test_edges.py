@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,7 +15,9 @@ from framewright.operators import background as bg
 from framewright.operators import dataset as ds
 from framewright.operators import detection as de
 from framewright.operators import frames as fr
+from framewright.operators import handlers as ha
 from framewright.operators import messages as ms
+from framewright.operators.framing import split_frames
 from framewright.operators.ordering import hot_keys, lookup_join, with_group_index
 from framewright.sources.tables import label_map_scan, write_label_map
 
@@ -107,6 +111,55 @@ def test_motion_keeps_the_frame(spark):
     assert moving and all(bytes(r.data) == rows[r.event_id][3] for r in moving)
 
 
+BIG = 2**53
+
+
+def test_connections_beside_a_null_stay_apart(spark):
+    """Large neighbouring ids and null ones, whole and split."""
+    message = b"\0\0\0\x06\0\0\0\x02ab"
+    rows = [(c, i, message[i * 5 : i * 5 + 5]) for c in (BIG, BIG + 1, None) for i in range(2)]
+    segments = table(spark, rows, "conn bigint, seq int, data binary")
+    for limit in (None, 1):
+        found = sorted(((r.conn or 0, r.msg, bytes(r.wire), r.error) for r in split_frames(segments, hot_rows=limit).collect()))
+        assert found == [(c, 0, message[4:], None) for c in (0, BIG, BIG + 1)]
+
+
+def test_handlers_see_whole_keys(spark):
+    rows = table(spark, [(c, i) for c in (BIG, BIG + 1, None) for i in range(3)], "conn bigint, i bigint").repartition(3)
+
+    def number(key, pieces):
+        n = 0
+        for p in pieces:
+            yield pd.DataFrame({"conn": [key[0]] * len(p), "i": p["i"], "n": range(n + 1, n + 1 + len(p))})
+            n += len(p)
+
+    ordered = ha.handler_process_stream(rows, ["conn"], ["i"], number, "conn bigint, i bigint, n bigint")
+    assert sorted((r.conn or 0, r.n) for r in ordered.collect()) == [(c, n) for c in (0, BIG, BIG + 1) for n in (1, 2, 3)]
+
+    def count(p):
+        return p.assign(n=1).groupby("conn", as_index=False)["n"].sum()
+
+    def add(p):
+        return p.groupby("conn", as_index=False)["n"].sum()
+
+    folded = ha.handler_consume_stream(rows, ["conn"], count, add, "conn bigint, n bigint")
+    assert sorted((r.conn or 0, r.n) for r in folded.collect()) == [(c, 3) for c in (0, BIG, BIG + 1)]
+
+
+def test_resize_in_slices(monkeypatch):
+    from framewright.operators import images as im
+
+    monkeypatch.setattr(im, "SLICE", 100)
+    rng = np.random.default_rng(1)
+    sizes = [(4, 6, 1), (3, 3, 3)] * 5
+    data = [rng.integers(0, 256, h * w * c, np.uint8).tobytes() for h, w, c in sizes]
+    h, w, c = (pd.Series(x) for x in zip(*sizes, strict=True))
+    out = im.resize_bilinear(5, 7).func(h, w, c, pd.Series(data))
+    for (a, b, d), raw, got in zip(sizes, data, out, strict=True):
+        one = im.bilinear(np.frombuffer(raw, np.uint8).reshape(1, a, b, d).astype(float), 5, 7)
+        assert got == one.astype(np.uint8).tobytes()
+
+
 def test_many_hot_keys_are_all_found(spark):
     """No cap on hot keys: each of 300 is split, also compound ones beyond the largest first parts."""
     rows = spark.range(300 * 12).select((F.col("id") % 300).alias("k"), (F.col("id") % 600).alias("w"), F.col("id"))
