@@ -145,6 +145,19 @@ def quarantine(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
     return df.withColumn("error", error)
 
 
+def drop_n(df: DataFrame, n: int, *order: str) -> DataFrame:
+    """All rows but the first ``n`` in order, without sorting the rest: only rows up to the n-th key are left out.
+
+    ``order`` must be unique. A table of at most ``n`` rows gives none.
+    """
+    if n <= 0:
+        return df
+    key = F.struct(*order)
+    last = df.select(key.alias("_key")).orderBy("_key").limit(n).agg(F.count("*").alias("n"), F.max("_key").alias("k"))
+    bound = F.when(F.col("n") == n, F.col("k"))
+    return df.where(key > last.select(bound).scalar())
+
+
 def take_n(df: DataFrame, n: int, *order: str) -> DataFrame:
     """First ``n`` rows in order (a top-n, not a sort of everything)."""
     return df.orderBy(*order).limit(n)

@@ -73,12 +73,21 @@ def route_client(messages: DataFrame) -> DataFrame:
     )
 
 
-def command_replies(messages: DataFrame, server_uuid: str = SERVER_UUID) -> DataFrame:
-    """Immediate replies of single commands; commands without one are dropped."""
-    cmd = F.col("cmd")
+def command_replies(
+    messages: DataFrame, server_uuid: str = SERVER_UUID, labels: DataFrame | None = None
+) -> DataFrame:
+    """Immediate replies of single commands; commands without one are dropped.
+
+    With ``labels`` a request for the label map is answered by the map as JSON text. The reply to a size
+    request comes when its substream completes, see :func:`size_replies`.
+    """
+    cmd, answered = F.col("cmd"), [ECHO, UUID, CHECK_PING]
     reply = F.when(cmd == ECHO, F.col("payload")).when(cmd == UUID, server_uuid).when(cmd == CHECK_PING, "PONG")
+    if labels is not None:
+        answered.append(LABEL_MAP)
+        reply = reply.when(cmd == LABEL_MAP, label_map_reply(labels).select(F.to_json("labels")).scalar())
     return (
-        messages.where((F.col("tag") == TAG_COMMAND) & cmd.isin(ECHO, UUID, CHECK_PING))
+        messages.where((F.col("tag") == TAG_COMMAND) & cmd.isin(*answered))
         .withColumn("reply", reply)
         .where(F.col("reply").isNotNull())
     )
@@ -105,15 +114,17 @@ def concat_streams(*streams: DataFrame) -> DataFrame:
 
 
 def label_map_reply(labels: DataFrame) -> DataFrame:
-    """A label dimension as one map value, the payload of one message.
+    """A label dimension as one map value, the payload of one message, and ``error``.
 
-    A message is bounded, so a map that would not fit one is refused before anything is gathered.
+    A message is bounded. A map whose JSON text with its tag does not fit one is not gathered: ``labels`` is null and
+    ``error`` says so, as for a message that is too long on the wire.
     """
-    size = labels.agg(F.sum(F.octet_length("display_name") + 4)).first()[0]
-    if size is not None and size > MAX_MESSAGE:
-        raise ValueError(f"a label map of {size} bytes does not fit a message")
+    entry = F.octet_length(F.to_json(F.create_map("id", "display_name")))
+    size = labels.agg(F.sum(entry - 1)).first()[0] or 1
+    if size + 1 + 4 > MAX_MESSAGE:
+        return labels.agg(F.lit(None).cast("map<int,string>").alias("labels"), F.lit("too long").alias("error"))
     entries = F.sort_array(F.collect_list(F.struct("id", "display_name")))
-    return labels.agg(F.map_from_entries(entries).alias("labels"))
+    return labels.agg(F.map_from_entries(entries).alias("labels"), F.lit(None).cast("string").alias("error"))
 
 
 def chunk_roles(messages: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ def serve_messages(
     timeout: float = RESOLVE_TIMEOUT,
     check_delay: float = CHECK_DELAY,
     hot_rows: int | None = None,
+    labels: DataFrame | None = None,
 ) -> DataFrame:
     """Replies to encoded messages (``conn``, ``ts``, ``event_id``, ``wire``) of open sessions.
 
@@ -30,7 +31,7 @@ def serve_messages(
     passed = lookup_join(decoded, opened, "conn", hot=hot and hot.renamed(conn=F.col("addr"))).where(F.col("ts") > F.col("open_ts"))
     routed = ms.chunk_roles(ms.route_extended(passed))
     segmented = ms.segment_chunks(ms.chunk_rows(routed, "tag", "cmd", "payload"), hot_rows, wire)
-    single = ms.command_replies(segmented.where(F.col("stream").isNull()))
+    single = ms.command_replies(segmented.where(F.col("stream").isNull()), labels=labels)
     sizes = ms.size_replies(ms.chunk_streams(segmented.where(F.col("stream").isNotNull())))
     columns = ["conn", "ts", "event_id", "reply"]
     replies = ms.merge_streams(single.select(*columns), sizes.select(*columns))

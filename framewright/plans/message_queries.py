@@ -45,13 +45,19 @@ def route_messages_client(spark, sf_dir):
 @query(
     "command_replies",
     with_views(
-        f"""SELECT event_id, conn, cmd, CASE cmd WHEN 3 THEN payload WHEN 4 THEN '{ms.SERVER_UUID}' ELSE 'PONG' END
-        AS reply FROM msgs WHERE tag = 1 AND cmd IN (3, 4, 99)""",
+        f"""SELECT event_id, conn, cmd, CASE cmd WHEN 3 THEN payload WHEN 4 THEN '{ms.SERVER_UUID}' WHEN 5 THEN
+          (SELECT '{{' || string_agg('"' || id || '":"' || display_name || '"', ',' ORDER BY id) || '}}' FROM label_map)
+          ELSE 'PONG' END AS reply FROM msgs WHERE tag = 1 AND cmd IN (3, 4, 5, 99)""",
         "msgs",
+        "label_map",
     ),
 )
 def command_replies(spark, sf_dir):
-    return ms.command_replies(fx.messages(spark, sf_dir)).select("event_id", "conn", "cmd", "reply")
+    replies = ms.command_replies(fx.messages(spark, sf_dir), labels=fx.label_map(spark, sf_dir))
+    return replies.select("event_id", "conn", "cmd", "reply")
+
+
+KINDS = ("signup", "purchase", "click", "view", "error")
 
 
 def _typed(spark, sf_dir, kind):
@@ -61,30 +67,29 @@ def _typed(spark, sf_dir, kind):
 
 @query(
     "merge_streams",
-    "SELECT event_id, ts, user_id, event_type FROM events WHERE event_type IN ('click', 'view', 'purchase')",
+    "SELECT event_id, ts, user_id, event_type FROM events",
 )
 def merge_streams(spark, sf_dir):
-    return ms.merge_streams(*[_typed(spark, sf_dir, k) for k in ("click", "view", "purchase")])
+    return ms.merge_streams(*[_typed(spark, sf_dir, k) for k in KINDS])
 
 
 @query(
     "merge_streams_eager",
-    """SELECT event_id, ts, user_id, event_type FROM events WHERE event_type IN ('click', 'view')
-    AND ts <= (SELECT min(m) FROM (SELECT max(ts) AS m FROM events WHERE event_type IN ('click', 'view')
-               GROUP BY event_type))""",
+    """SELECT event_id, ts, user_id, event_type FROM events
+    WHERE ts <= (SELECT min(m) FROM (SELECT max(ts) AS m FROM events GROUP BY event_type))""",
 )
 def merge_streams_eager(spark, sf_dir):
-    return ms.merge_streams_eager(_typed(spark, sf_dir, "click"), _typed(spark, sf_dir, "view"))
+    return ms.merge_streams_eager(*[_typed(spark, sf_dir, k) for k in KINDS])
 
 
 @query(
     "concat_streams",
     """SELECT event_id, ts, ordinal, CAST(row_number() OVER (ORDER BY ordinal, ts, event_id) - 1 AS BIGINT) AS idx
-    FROM (SELECT event_id, ts, CASE event_type WHEN 'signup' THEN 0 ELSE 1 END AS ordinal
-          FROM events WHERE event_type IN ('signup', 'purchase'))""",
+    FROM (SELECT event_id, ts, CASE event_type WHEN 'signup' THEN 0 WHEN 'purchase' THEN 1 WHEN 'click' THEN 2
+            WHEN 'view' THEN 3 ELSE 4 END AS ordinal FROM events)""",
 )
 def concat_streams(spark, sf_dir):
-    joined = ms.concat_streams(_typed(spark, sf_dir, "signup"), _typed(spark, sf_dir, "purchase"))
+    joined = ms.concat_streams(*[_typed(spark, sf_dir, k) for k in KINDS])
     return with_global_index(joined, ["ordinal", "ts", "event_id"]).select("event_id", "ts", "ordinal", "idx")
 
 

@@ -73,6 +73,14 @@ def test_times_need_no_zone(spark, new_york):
     assert [r.emit_ts for r in paced] == times[:2]
 
 
+def test_drop_n(spark):
+    rows = table(spark, [(i % 3, i) for i in range(20)], "a int, b int")
+    left = [(r.a, r.b) for r in fr.drop_n(rows, 5, "a", "b").orderBy("a", "b").collect()]
+    assert left == sorted((i % 3, i) for i in range(20))[5:]
+    assert fr.drop_n(rows, 0, "a", "b").count() == 20 and fr.drop_n(rows, 20, "a", "b").count() == 0
+    assert fr.drop_n(rows, 50, "a", "b").count() == 0
+
+
 def test_zero_counts(spark):
     one = table(spark, [(1,)], "x int")
     assert one.select(ar.one_hot(F.col("x"), 0).alias("a"), ar.reshape(F.array("x"), 0, 3).alias("b")).first() == ([], [])

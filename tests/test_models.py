@@ -361,8 +361,8 @@ def test_decode_quarantines_bad_messages(spark):
 
 def test_label_map_must_fit_a_message(spark):
     labels = spark.range(3).select(F.col("id").cast("int"), F.expr("repeat('x', 2000000)").alias("display_name"))
-    with pytest.raises(ValueError):
-        ms.label_map_reply(labels)
+    assert ms.label_map_reply(labels).first().asDict() == {"labels": None, "error": "too long"}
+    assert ms.label_map_reply(labels.limit(2)).first().error is None
 
 
 def test_handler_sees_each_key_once_and_in_order(spark):
