@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +34,11 @@ def _smallest_class(samples: DataFrame) -> int:
     return class_counts(samples).agg(F.min("n")).first()[0] or 0
 
 
+def _place() -> Column:
+    """Where the hash ``_key`` stands among all hashes, from 0 up to 1."""
+    return F.conv(F.substring("_key", 1, 8), 16, 10).cast("bigint") / float(1 << 32)
+
+
 def _likely_first(keyed: DataFrame, k: int) -> DataFrame:
     """Leave out rows that cannot be among the first ``k`` of their class by ``_key``.
 
@@ -49,10 +54,9 @@ def _likely_first(keyed: DataFrame, k: int) -> DataFrame:
     table = keyed.sparkSession.createDataFrame(
         bounds, T.StructType([T.StructField("_label", label.dataType), T.StructField("_bound", T.DoubleType())])
     )
-    place = F.conv(F.substring("_key", 1, 8), 16, 10).cast("bigint") / float(1 << 32)
     kept = (
         keyed.join(F.broadcast(table), F.col("label").eqNullSafe(F.col("_label")))
-        .where(place < F.col("_bound"))
+        .where(_place() < F.col("_bound"))
         .select(*keyed.columns)
     )
     fewest = class_counts(kept).agg(F.min("n"), F.count(F.lit(1))).first()
@@ -85,8 +89,20 @@ def percent_split(
 
 
 def seeded_shuffle(samples: DataFrame, seed: int = 0) -> DataFrame:
-    """Every sample with its place ``idx`` in a reproducible shuffle."""
-    return with_global_index(samples.withColumn("_key", seeded_order(seed, "id")), ["_key", "id"]).drop("_key")
+    """Every sample with its place ``idx`` in a reproducible shuffle.
+
+    The keys are uniform hashes, so ranges of equal width hold about equally many rows: a row's range follows
+    from its key alone, no bounds are drawn and nothing is written. The ranges' counts give each its first place.
+    """
+    n = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = F.coalesce(seeded_order(seed, "id"), F.lit("0"))
+    keyed = samples.withColumn("_key", key).withColumn("_range", F.floor(_place() * n).cast("int"))
+    earlier = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = keyed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    firsts = counts.select("_range", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_first"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy("_key", "id")) - 1
+    placed = keyed.withColumn("_i", inside).join(firsts, "_range")
+    return placed.withColumn("idx", (F.col("_first") + F.col("_i")).cast("bigint")).drop("_key", "_range", "_i", "_first")
 
 
 def take_drop_split(samples: DataFrame, k: int, seed: int = 0) -> DataFrame:
