@@ -192,7 +192,61 @@ def video_bytes(frames):
     return frames.select("device", "ts", "event_id", image_bytes(F.col("pixels")).alias("data"))
 
 
-@query("background_subtraction")
+def mixture_sql(params: bg.MixtureParams = bg.MixtureParams()) -> str:
+    """Every pixel's mixture as a recursive query over its device's frames, in the order of operations of the
+    model; gives (device, pixel, n, fg) for the n-th frame of each device."""
+    ks = range(params.components)
+    alpha, half = params.rate(), "::DOUBLE"
+
+    def each(form: str, sep: str = ", ") -> str:
+        return sep.join(form.format(k=k, up=" + ".join(f"w{i}" for i in range(k + 1)), at=k + 1) for k in ks)
+
+    owner = "CASE " + " ".join(f"WHEN a{k} AND d{k} < {params.generation_threshold}{half} * v{k} THEN {k}" for k in ks) + " ELSE -1 END"
+    least = "CASE WHEN own >= 0 THEN -1 " + " ".join(
+        f"WHEN {' AND '.join(f'g{k} <= g{i}' for i in ks)} THEN {k}" for k in ks
+    ) + " END"
+    return f"""
+      WITH px AS (
+        SELECT device, row_number() OVER (PARTITION BY device ORDER BY ts, event_id) - 1 AS n,
+          unnest(range({FRAME_PIXELS})) AS pixel, unnest(px)::DOUBLE AS x FROM video),
+      st AS (
+        SELECT DISTINCT device, pixel, CAST(-1 AS BIGINT) AS n, CAST(0 AS INTEGER) AS fg,
+          {each("0" + half + " AS w{k}, 0" + half + " AS m{k}, 0" + half + " AS v{k}")} FROM px
+        UNION ALL
+        SELECT device, pixel, n, CASE WHEN behind THEN 0 ELSE 1 END,
+          {each("-c[{at}].w, c[{at}].m, c[{at}].v")}
+        FROM (SELECT *, list_sort([{each("{{'w': -(w{k} / total), 'i': {k}, 'm': m{k}, 'v': v{k}}}")}]) AS c
+        FROM (SELECT *, {each("w{k}", " + ")} AS total
+        FROM (SELECT device, pixel, n, behind,
+          {each(f"CASE WHEN slot = {{k}} THEN {alpha}{half} ELSE g{{k}} END AS w{{k}}")},
+          {each("CASE WHEN slot = {k} THEN x ELSE m{k} END AS m{k}")},
+          {each(f"CASE WHEN slot = {{k}} THEN {params.initial_variance}{half} ELSE v{{k}} END AS v{{k}}")}
+        FROM (SELECT *, {least} AS slot
+        FROM (SELECT device, pixel, n, x, behind, own, {each("greatest(u{k}, 0" + half + ") AS g{k}")},
+          {each("CASE WHEN own = {k} THEN m{k} + s{k} * o{k} ELSE m{k} END AS m{k}")},
+          {each(f"CASE WHEN own = {{k}} THEN least(greatest(v{{k}} + s{{k}} * (d{{k}} - v{{k}}), {params.min_variance}{half}), {params.max_variance}{half}) ELSE v{{k}} END AS v{{k}}")}
+        FROM (SELECT *, {each(f"CASE WHEN own = {{k}} THEN least({alpha}{half} / u{{k}}, 1{half}) END AS s{{k}}")}
+        FROM (SELECT *, {each(f"w{{k}} * {1 - alpha}{half} - CASE WHEN a{{k}} THEN {alpha * params.complexity}{half} ELSE 0{half} END + CASE WHEN own = {{k}} THEN {alpha}{half} ELSE 0{half} END AS u{{k}}")}
+        FROM (SELECT *, {owner} AS own,
+          {each(f"(a{{k}} AND h{{k}} < {params.background_ratio}{half} AND d{{k}} < {params.threshold}{half} * v{{k}})", " OR ")} AS behind
+        FROM (SELECT *, {each("w{k} > 0 AS a{k}, x - m{k} AS o{k}, (x - m{k}) * (x - m{k}) AS d{k}, ({up}) - w{k} AS h{k}")}
+        FROM (SELECT st.* EXCLUDE (n, fg), p.n, p.x FROM st JOIN px p
+          ON p.device = st.device AND p.pixel = st.pixel AND p.n = st.n + 1))))))))))),
+      seen AS (
+        SELECT device, ts, event_id, row_number() OVER (PARTITION BY device ORDER BY ts, event_id) - 1 AS n FROM video)"""
+
+
+def background_sql(select: str) -> str:
+    return with_views(mixture_sql() + select, "video").replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query(
+    "background_subtraction",
+    background_sql(f"""
+      SELECT device, CAST(pixel // {TILE_PIXELS} AS INTEGER) AS tile, ts, event_id,
+        string_agg('0' || fg, '' ORDER BY pixel) AS mask, CAST(sum(fg) AS INTEGER) AS foreground
+      FROM st JOIN seen USING (device, n) GROUP BY ALL"""),
+)
 def background_subtraction(spark, sf_dir):
     masks = bg.background_subtraction(video_bytes(fx.video(spark, sf_dir)), FRAME_PIXELS, TILE_PIXELS)
     return masks.select("device", "tile", "ts", "event_id", F.hex("mask").alias("mask"), "foreground")
@@ -209,7 +263,10 @@ def motion_alerts(spark, sf_dir):
     return sent.select("conn", "window_start", "batch", F.hex("data").alias("data"))
 
 
-@query("stream_background_subtraction")
+@query(
+    "stream_background_subtraction",
+    background_sql(" SELECT device, ts, event_id, CAST(sum(fg) AS BIGINT) AS fg_pixels FROM st JOIN seen USING (device, n) GROUP BY ALL"),
+)
 def stream_background_subtraction_query(spark, sf_dir):
     return stream_background_subtraction(
         video_bytes(fx.video_view(events_stream(spark, sf_dir))), FRAME_PIXELS, TILE_PIXELS
