@@ -14,13 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from framewright.llm.bpe import encode_decode
-from framewright.llm.components import stored
+from framewright.llm.components import prepare, stored
 from framewright.llm.decontaminate import decontaminated
 from framewright.llm.jaccard import jaccard_components
 from framewright.llm.pii import redact
 from framewright.llm.quality import accepted_documents, train
 from framewright.llm.registry import read
-from framewright.session import ship_package
 
 META = ["lang", "source", "n_chars"]
 
@@ -79,7 +78,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what each returns is written to the shared folder and read again."""
-    ship_package(spark)
+    prepare(spark)
     docs = read(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -10,6 +10,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from framewright.llm.components import prepare
+
 #: Characters of a leaf, which the library encodes at once.
 LEAF = 4096
 #: Characters each side of a joint that the first re-encoded window looks at.
@@ -101,6 +103,7 @@ def encode_decode(
     ids and bytes of some rows into the columns of ``schema``, so that what only a digest is wanted
     of need not leave the worker. Rows are worked on one by one: memory holds one slice of rows.
     """
+    prepare(docs.sparkSession)
     source = docs.select(docs[id_column].alias("doc_id"), docs[text_column].cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,10 +6,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from framewright.session import work_path
+from framewright.session import ship_package, work_path
+
+#: What of a table crosses to a Python worker at once, at most: long texts make the default of 10,000 rows large on
+#: both sides. It bounds memory and changes no result.
+BATCH_ROWS, BATCH_BYTES = 2_000, 4 << 20
+
+
+def prepare(spark: SparkSession) -> None:
+    """Give the workers this package and bound the batches that they get."""
+    ship_package(spark)
+    rows, size = (f"spark.sql.execution.arrow.{name}" for name in ("maxRecordsPerBatch", "maxBytesPerBatch"))
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, str(BATCH_ROWS))
+    if spark.conf.get(size) == "67108864b":  # as Spark has it by default
+        spark.conf.set(size, str(BATCH_BYTES))
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -100,5 +114,10 @@ def probes(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes & np.uint64(bits - 1), (hashes >> np.uint64(32)) & np.uint64(bits - 1)
 
 
-def unpacked(packed: np.ndarray) -> np.ndarray:
-    return np.unpackbits(packed, bitorder="little").view(bool)
+def in_filter(packed: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes have both their bits set."""
+    found = np.ones(len(hashes), bool)
+    for probe in probes(hashes, len(packed) * 8):
+        at = probe.astype(np.int64)
+        found &= (packed[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+    return found

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.components import bit_filter, probes, unpacked
+from framewright.llm.components import bit_filter, in_filter, prepare
 from framewright.llm.text import Words, mix, text_slices
 from framewright.session import pin
 
@@ -65,14 +65,12 @@ def _seed_rows(frame: DataFrame, masks: tuple[str, ...], wanted=None) -> DataFra
     kind = frame.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = None if wanted is None else unpacked(wanted.value)
         for batch in batches:
             for first, data, offsets in text_slices(batch):
                 words = Words(data, offsets, lower=True)
                 hashes, at = _seeds(words, masks)
-                if bits is not None:
-                    a, b = probes(hashes, len(bits))
-                    passed = bits[a] & bits[b]
+                if wanted is not None:
+                    passed = in_filter(wanted.value, hashes)
                     hashes, at = hashes[passed], at[passed]
                 order = np.argsort(at, kind="stable")
                 hashes, at = hashes[order], at[order]
@@ -130,6 +128,7 @@ def overlaps(
     give no row. Repeated rows each give their own rows; an item that two ids share gives rows for both.
     """
     spark = docs.sparkSession
+    prepare(spark)
     items = pin(_seed_rows(_table(benchmark, item_column, item_text_column), masks))
     item_seeds = items.select(F.col("id").alias("item_id"), F.inline("hits")).withColumnRenamed("pos", "item_pos").distinct()
     wanted = spark.sparkContext.broadcast(bit_filter(item_seeds, filter_bits))

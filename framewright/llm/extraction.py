@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framewright.llm.components import prepare
+
 #: Elements that end the line before and after them.
 BLOCKS = frozenset(
     "address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure "
@@ -194,6 +196,8 @@ def extract_text(pages: DataFrame, html_column: str = "html", out: str = "text")
     events come; repeated rows stay; a column named like ``out`` is replaced. Rows are independent: no shuffle.
     """
 
+    prepare(pages.sparkSession)
+
     @F.pandas_udf("string")
     def text(pages: pd.Series) -> pd.Series:
         return pages.map(main_text)

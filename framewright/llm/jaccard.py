@@ -10,20 +10,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.components import bit_filter, components, probes, stored, unpacked
+from framewright.llm.components import bit_filter, components, in_filter, prepare, stored
+from framewright.llm.countmin import cells_for, may_repeat, merged, partition_sketches, text_bytes
 from framewright.llm.text import Words, mix, text_slices, window_hash
-from framewright.session import ship_package
 
 #: Words of a shingle and the similarity of a link, in hundredths.
 SHINGLE = 3
 PERCENT = 90
 #: Cells of the frequency table that orders shingles: one for so many shingles, and at most so many (one byte each
 #: in its broadcast form). It decides only which shingles come first, never which documents link.
-SHINGLES_PER_CELL = 32
+SHINGLES_PER_CELL = 128
 MAX_CELLS = 1 << 24
 BLOCK = 1 << 15
+#: Cells of the sketch per prefix shingle. A fuller sketch than usual: a shingle it lets through costs one short row.
+CELLS_PER_ITEM = 2
 #: Bits of the filter of documents that have a candidate; a fuller one only lets more sets be stored.
-FILTER_BITS = 1 << 26
+FILTER_BITS = 1 << 25
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,51 +86,59 @@ def _frequencies(texts: DataFrame, size: int, cells: int) -> np.ndarray:
     return out
 
 
-def frequency_cells(texts: DataFrame) -> int:
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+def frequency_cells(size: int) -> int:
     return 1 << min(max(int(size / 6 / SHINGLES_PER_CELL), 1 << 12).bit_length(), MAX_CELLS.bit_length() - 1)
 
 
-def _prefixes(texts: DataFrame, size: int, percent: int, frequencies) -> DataFrame:
-    """Per row doc_id, the size of its set, 128 bits of the whole set, and its prefix: the rarest shingles, so many
-    that two documents which link have one in common."""
+def _ranked(data: np.ndarray, offsets: np.ndarray, size: int, percent: int, scale: np.ndarray):
+    """The sets of some texts and their prefixes: (hashes, bounds, prefix shingles, their positions, prefix lengths)."""
+    hashes, bounds = shingle_sets(data, offsets, size)
+    n = np.diff(bounds)
+    rows = np.repeat(np.arange(len(n)), n)
+    order = np.lexsort((hashes, scale[hashes & np.uint64(len(scale) - 1)], rows))
+    rank = np.arange(len(hashes)) - np.repeat(bounds[:-1], n)
+    length = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
+    first = rank < np.repeat(length, n)
+    return hashes, bounds, hashes[order][first], rank[first], length
+
+
+def _prefixes(texts: DataFrame, size: int, percent: int, frequencies, sketch) -> DataFrame:
+    """Per row doc_id, the size of its set, 128 bits of the whole set, 64 bits of its prefix, and of the prefix what
+    another document may have, with positions.
+
+    The prefix is the rarest shingles, so many that two documents which link have one in common.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scale = frequencies.value
         for batch in batches:
             for first, data, offsets in text_slices(batch):
-                hashes, bounds = shingle_sets(data, offsets, size)
-                n = np.diff(bounds)
-                rows = np.repeat(np.arange(len(n)), n)
-                order = np.lexsort((hashes, scale[hashes & np.uint64(len(scale) - 1)], rows))
-                rank = np.arange(len(hashes)) - np.repeat(bounds[:-1], n)
-                length = np.where(n > 0, n - (percent * n + 99) // 100 + 1, 0)
-                prefix = hashes[order][rank < np.repeat(length, n)]
-                a, b = (np.zeros(len(n) + 1, np.uint64) for _ in range(2))
-                sums = []
-                for values in (mix(hashes), mix(hashes ^ np.uint64(0x6C62272E07BB0142))):
+                hashes, bounds, prefix, at, length = _ranked(data, offsets, size, percent, frequencies.value)
+                n, ends = np.diff(bounds), np.concatenate([[0], np.cumsum(length)])
+                columns = [batch.column(0).slice(first, len(n)), pa.array(n.astype(np.int64))]
+                for values, cuts in (
+                    (mix(hashes), bounds),
+                    (mix(hashes ^ np.uint64(0x6C62272E07BB0142)), bounds),
+                    (mix(prefix ^ np.uint64(0x27D4EB2F165667C5)), ends),
+                ):
                     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)])
-                    sums.append((total[bounds[1:]] - total[bounds[:-1]]).view(np.int64))
-                lists = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate([[0], np.cumsum(length)]).astype(np.int32)), pa.array(prefix.view(np.int64))
-                )
-                ids = batch.column(0).slice(first, len(n))
-                yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(n.astype(np.int64)), *map(pa.array, sums), lists], ["doc_id", "n", "s1", "s2", "prefix"]
-                )
+                    columns.append(pa.array((total[cuts[1:]] - total[cuts[:-1]]).view(np.int64)))
+                kept = may_repeat(prefix, sketch.value)
+                starts = np.concatenate([[0], np.cumsum(kept)])[ends].astype(np.int32)
+                pairs = [pa.array(at[kept].astype(np.int64)), pa.array(prefix[kept].view(np.int64))]
+                lists = pa.ListArray.from_arrays(pa.array(starts), pa.StructArray.from_arrays(pairs, ["pos", "token"]))
+                yield pa.RecordBatch.from_arrays([*columns, lists], ["doc_id", "n", "s1", "s2", "p", "prefix"])
 
-    return texts.mapInArrow(run, "doc_id bigint, n bigint, s1 bigint, s2 bigint, prefix array<bigint>")
+    schema = "doc_id bigint, n bigint, s1 bigint, s2 bigint, p bigint, prefix array<struct<pos: bigint, token: bigint>>"
+    return texts.mapInArrow(run, schema)
 
 
 def _sets(texts: DataFrame, size: int, wanted) -> DataFrame:
     """The sets of the documents that pass the filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = unpacked(wanted.value)
         for batch in batches:
             keys = mix(batch.column(0).fill_null(-1).to_numpy(zero_copy_only=False).view(np.uint64))
-            a, b = probes(keys, len(bits))
-            some = batch.filter(pa.array(bits[a] & bits[b]))
+            some = batch.filter(pa.array(in_filter(wanted.value, keys)))
             for first, data, offsets in text_slices(some):
                 hashes, bounds = shingle_sets(data, offsets, size)
                 lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(hashes.view(np.int64)))
@@ -156,8 +166,11 @@ def _may_link(a: str, b: str, percent: int):
     return (F.least(an, bn) * 100 >= F.greatest(an, bn) * percent) & (least * (100 + percent) >= (an + bn) * percent)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b) those that link, by the exact sizes of their sets."""
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Of the pairs (a, b) those that link, by their sets. Only documents of a pair are cut into shingles again."""
+    either = pairs.select(F.col("a").alias("id")).union(pairs.select("b"))
+    wanted = texts.sparkSession.sparkContext.broadcast(bit_filter(_mixed(either, "id"), FILTER_BITS))
+    sets = _sets(texts, size, wanted)
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(left, "a").join(right, "b")
@@ -190,21 +203,24 @@ def jaccard_components(
     with nothing. Rows that share an id are one vertex. Ids are integers; other columns are left out.
     """
     spark = docs.sparkSession
-    ship_package(spark)
+    prepare(spark)
     texts = docs.select(docs[id_column].cast("bigint").alias("doc_id"), docs[text_column].cast("string").alias("text"))
-    frequencies = spark.sparkContext.broadcast(_frequencies(texts, size, cells or frequency_cells(texts)))
-    base = stored(_prefixes(texts, size, percent, frequencies), "prefixes")
-
-    distinct = base.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2")
-    ones = distinct.agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix"))
-    ones = stored(ones.withColumn("p", F.xxhash64("n", "prefix")), "distinct")
+    octets = text_bytes(texts)
+    frequencies = spark.sparkContext.broadcast(_frequencies(texts, size, cells or frequency_cells(octets)))
+    ranked = lambda data, offsets: _ranked(data, offsets, size, percent, frequencies.value)[2]
+    lines = cells_for(octets / 6 * (1 - percent / 100) * 1.2, CELLS_PER_ITEM)
+    sketch = spark.sparkContext.broadcast(merged(partition_sketches(texts, ranked, lines), lines))
+    base = stored(_prefixes(texts, size, percent, frequencies, sketch), "prefixes")
+
+    distinct = base.where("n > 0 and doc_id is not null").groupBy("n", "s1", "s2", "p")
+    ones = stored(distinct.agg(F.min("doc_id").alias("rep"), F.first("prefix").alias("prefix")), "distinct")
     groups = ones.groupBy("n", "p").agg(F.min("rep").alias("g"), F.first("prefix").alias("prefix"))
-    members = ones.join(groups.select("n", "p", "g"), ["n", "p"]).select("rep", "g")
-    postings = groups.select("g", "n", F.posexplode("prefix").alias("pos", "token"))
+    members = ones.select("n", "p", "rep").join(groups.select("n", "p", "g"), ["n", "p"])
+    postings = groups.select("g", "n", F.inline("prefix"))
     centres = postings.groupBy("token").agg(
         F.count("*").alias("many"), F.min(F.struct("pos", "g", "n")).alias("c")
     ).where("many > 1")
-    # Only shingles that two groups share are kept; most have none.
+    # Only shingles that two groups share are kept.
     shared = stored(
         postings.join(centres, "token").select("token", "g", "n", "pos", *(F.col(f"c.{x}").alias(f"c_{x}") for x in ("g", "n", "pos"))),
         "postings",
@@ -214,15 +230,14 @@ def jaccard_components(
     chosen = votes.groupBy("g").agg(F.max(F.struct("votes", "c_g")).alias("v"))
     stars = chosen.select(F.col("g").alias("a"), F.col("v.c_g").alias("b"))
     inner = members.where("rep != g").select(F.col("rep").alias("a"), F.col("g").alias("b"))
-
-    in_lists = shared.select("g").distinct()
-    wanted = members.join(in_lists, "g", "left_semi").select("rep").union(inner.select("a")).union(inner.select("b"))
-    bits = spark.sparkContext.broadcast(bit_filter(_mixed(wanted, "rep"), FILTER_BITS))
-    sets = stored(_sets(texts, size, bits), "sets")
-    first = stored(_verified(stars.union(inner), sets, percent), "links")
+    first = stored(_verified(stored(stars.union(inner), "pairs"), texts, size, percent), "links")
     known = stored(components(first), "components")
 
-    listed = shared.select("token", "g", "n", "pos").join(members, "g").join(known, F.col("rep") == F.col("vertex"), "left")
+    listed = shared.select("token", "g", "n", "pos").join(members.select("g", "rep"), "g")
+    # The members of a group have a list of their own, for they need not share a shingle with another group.
+    own = inner.select(F.col("b").alias("g")).distinct().join(members, "g")
+    own = own.select(F.xxhash64("n", "p").alias("token"), "rep", "n", F.lit(0).cast("bigint").alias("pos"))
+    listed = listed.select("token", "rep", "n", "pos").union(own).join(known, F.col("rep") == F.col("vertex"), "left")
     listed = listed.select("token", "rep", "n", "pos", F.coalesce("component", "rep").alias("k"))
     per = listed.groupBy("token", "k").agg(F.count("*").alias("c"))
     major = per.groupBy("token").agg(F.count("*").alias("kinds"), F.max(F.struct("c", "k")).alias("m")).where("kinds > 1")
@@ -232,7 +247,7 @@ def jaccard_components(
     once = F.col("y_major") | (F.col("x_rep") < F.col("y_rep"))
     met = x.join(y, "token").where(F.col("x_k") != F.col("y_k")).where(once).where(_may_link("x_", "y_", percent))
     rest = met.select(F.least("x_rep", "y_rep").alias("a"), F.greatest("x_rep", "y_rep").alias("b")).distinct()
-    links = first.union(_verified(rest, sets, percent))
+    links = first.union(_verified(stored(rest, "pairs"), texts, size, percent))
     reached = components(links)
 
     least = ones.select("n", "s1", "s2", "rep").join(reached, F.col("rep") == F.col("vertex"), "left")

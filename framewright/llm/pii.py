@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framewright.llm.components import prepare
+
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 BASE = KINDS[:4]
 
@@ -134,6 +136,8 @@ def personal_data(docs: DataFrame, text_column: str = "text", out: str = "spans"
     linear in the text. Repeated rows stay; a column named like ``out`` is replaced.
     """
 
+    prepare(docs.sparkSession)
+
     @F.pandas_udf(SPANS)
     def spans(texts: pd.Series) -> pd.Series:
         return texts.map(find)
@@ -147,6 +151,8 @@ def redact(docs: DataFrame, text_column: str = "text") -> DataFrame:
     Of overlapping spans the one that starts first is named and the whole overlap is replaced.
     """
 
+    prepare(docs.sparkSession)
+
     @F.pandas_udf("string")
     def cleaned(texts: pd.Series) -> pd.Series:
         def clean(text):

@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from framewright.llm.components import prepare
 from framewright.llm.text import _SPACE, Words, text_slices
-from framewright.session import ship_package
 
 #: Rows the classifiers are fitted on, at most: labelled ones, and unlabelled ones to exchange guesses about.
 #: Which ones is decided by a hash of their ids.
@@ -209,6 +209,7 @@ def train(
     An id with several labels has their rounded mean; null labels and ids are left out. With only one class, or too
     few rows to hold some back, the model scores every document with the share of good ones (1 without labels).
     """
+    prepare(docs.sparkSession)
     named, names = _named(docs, id_column, text_column, meta_columns)
     given = labels.where(labels[label_column].isNotNull() & labels[id_column].isNotNull())
     given = given.groupBy(given[id_column].cast("bigint").alias("key")).agg(F.round(F.avg(label_column)).cast("int").alias("y"))
@@ -245,7 +246,7 @@ def quality_scores(
     A null text counts as empty and a null metadata value as a value of its own; such rows are scored like any other.
     Whole texts are read, row by row; repeated rows each get theirs.
     """
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     named, names = _named(docs, id_column, text_column, meta_columns)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return _featured(named, names, shared, threshold).withColumnRenamed("key", id_column)
@@ -253,7 +254,7 @@ def quality_scores(
 
 def accepted_documents(docs: DataFrame, model: Model, meta_columns: list[str], text_column: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The rows that ``quality_scores`` accepts, all columns as they are, in one pass without a shuffle."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,20 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from framewright.llm.components import prepare
+from framewright.llm.countmin import cells_for, may_repeat, merged, partition_sketches, text_bytes
 from framewright.llm.text import Words, mix, text_slices, whole_windows, window_hash
-from framewright.session import ship_package
 
 #: Words of a window.
 WIDTH = 50
-#: Rows of the sketch, cells per expected item, and the most cells of a row: its broadcast form takes
-#: ``SKETCH_ROWS`` bits a cell, so never more than 64 MB. A fuller sketch only lets more windows through.
-SKETCH_ROWS = 2
-CELLS_PER_ITEM = 8
-MAX_CELLS = 1 << 28
-#: Cells of a block, the unit in which partition sketches are merged.
-BLOCK = 1 << 16
 #: Windows a task gathers before it combines them and sends them on.
-GATHER = 1 << 22
+GATHER = 1 << 20
 _SECOND_BASE = 0xA24BAED4963EE407
 
 
@@ -50,10 +43,6 @@ def anchors(words: Words, width: int) -> np.ndarray:
     return np.minimum(least[: len(least) - rest], least[rest:]) if rest else least
 
 
-def _cells(items: np.ndarray, row: int, cells: int) -> np.ndarray:
-    return (mix(items + np.uint64((row + 1) * 0x9E3779B97F4A7C15 % 2**64)) & np.uint64(cells - 1)).astype(np.int64)
-
-
 def _distinct_per_text(words: Words, ok: np.ndarray, values: np.ndarray) -> np.ndarray:
     """The anchors of each text, each once."""
     rows, values = words.row[: len(ok)][ok], values[ok]
@@ -66,63 +55,10 @@ def _distinct_per_text(words: Words, ok: np.ndarray, values: np.ndarray) -> np.n
     return values[np.r_[True, (values[1:] != values[:-1]) | (rows[1:] != rows[:-1])]]
 
 
-def _sketch_parts(texts: DataFrame, width: int, cells: int) -> DataFrame:
-    """The sketch of each partition in blocks: counts up to 2, packed."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = []
-        for batch in batches:
-            for _, data, offsets in text_slices(batch):
-                words = Words(data, offsets)
-                items.append(_distinct_per_text(words, whole_windows(words, width), anchors(words, width)))
-        items = np.concatenate(items) if items else np.zeros(0, np.uint64)
-        for row in range(SKETCH_ROWS):
-            at, counts = np.unique(_cells(items, row, cells), return_counts=True)
-            counts = np.minimum(counts, 2).astype(np.uint8)
-            blocks, first = np.unique(at // BLOCK, return_index=True)
-            bounds = [*first.tolist(), len(at)]
-            payloads = []
-            for i, block in enumerate(blocks.tolist()):
-                dense = np.zeros(min(BLOCK, cells), np.uint8)
-                dense[at[bounds[i] : bounds[i + 1]] - block * BLOCK] = counts[bounds[i] : bounds[i + 1]]
-                payloads.append(zlib.compress(dense.tobytes(), 1))
-            if payloads:
-                keys = pa.array(np.full(len(blocks), row, np.int32)), pa.array(blocks.astype(np.int64))
-                yield pa.RecordBatch.from_arrays([*keys, pa.array(payloads, pa.binary())], ["line", "block", "part"])
-
-    return texts.mapInArrow(run, "line int, block bigint, part binary")
-
-
-def _merged(parts: DataFrame, cells: int) -> np.ndarray:
-    """One bit a cell: whether its count over all partitions is 2 or more."""
-    size = min(BLOCK, cells)
-
-    def run(group: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, key = np.zeros(size, np.uint8), None
-        for batch in group:
-            key = key or batch.slice(0, 1)
-            for part in batch.column(2):
-                total = np.minimum(total + np.frombuffer(zlib.decompress(part.as_py()), np.uint8), 2)
-        bits = np.packbits(total == 2, bitorder="little").tobytes()
-        yield pa.RecordBatch.from_arrays([key.column(0), key.column(1), pa.array([bits], pa.binary())], ["line", "block", "bits"])
-
-    def merge(table: pa.Table) -> pa.Table:
-        return pa.Table.from_batches(run(iter(table.to_batches())))
-
-    found = parts.groupBy("line", "block").applyInArrow(merge, "line int, block bigint, bits binary").toArrow()
-    merged = np.zeros((SKETCH_ROWS, cells // 8), np.uint8)
-    for line, block, bits in zip(*(found.column(i).to_pylist() for i in range(3)), strict=True):
-        merged[line, block * size // 8 : (block + 1) * size // 8] = np.frombuffer(bits, np.uint8)
-    return merged
-
-
-def _estimated_repeated(items: np.ndarray, sketch: np.ndarray) -> np.ndarray:
-    cells = sketch.shape[1] * 8
-    passed = np.ones(len(items), bool)
-    for row in range(SKETCH_ROWS):
-        at = _cells(items, row, cells)
-        passed &= (sketch[row][at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-    return passed
+def counted_anchors(data: np.ndarray, offsets: np.ndarray, width: int) -> np.ndarray:
+    """What the sketch counts of some texts: the anchors of each, each once."""
+    words = Words(data, offsets)
+    return _distinct_per_text(words, whole_windows(words, width), anchors(words, width))
 
 
 def _combine(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
@@ -148,7 +84,7 @@ def _window_rows(docs: DataFrame, width: int, sketch) -> DataFrame:
                 if not ok.any():
                     continue
                 passed = np.flatnonzero(ok)
-                passed = passed[_estimated_repeated(anchors(words, width)[passed], sketch.value)]
+                passed = passed[may_repeat(anchors(words, width)[passed], sketch.value)]
                 doc = ids[first + words.row[passed]]
                 gathered.append((window_hash(words.hash, width)[passed], _second(words, width)[passed], doc))
                 size += len(passed)
@@ -162,10 +98,8 @@ def _window_rows(docs: DataFrame, width: int, sketch) -> DataFrame:
 
 
 def sketch_cells(texts: DataFrame, width: int) -> int:
-    """Cells of a sketch row, a power of two that follows the size of all texts."""
-    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    items = size / 6 * 2 / (width - width // 3 + 1)
-    return 1 << min(max(int(items * CELLS_PER_ITEM), 1 << 12).bit_length(), MAX_CELLS.bit_length() - 1)
+    """Cells of a sketch line, a power of two that follows the size of all texts."""
+    return cells_for(text_bytes(texts) / 6 * 2 / (width - width // 3 + 1))
 
 
 def remove_repeats(
@@ -183,12 +117,13 @@ def remove_repeats(
     document to the windows and each gets its own row. A text of fewer than ``width`` words is kept whole.
     """
     spark = docs.sparkSession
-    ship_package(spark)
+    prepare(spark)
     texts = docs.select(docs[id_column].cast("bigint").alias("doc_id"), docs[text_column].cast("string").alias("text"))
     largest = (1 << 63) - 1
     keyed = texts.select(F.coalesce("doc_id", F.lit(largest)).alias("doc_id"), "text")
     cells = cells or sketch_cells(texts, width)
-    sketch = spark.sparkContext.broadcast(_merged(_sketch_parts(texts.select("text"), width, cells), cells))
+    parts = partition_sketches(texts, lambda data, offsets: counted_anchors(data, offsets, width), cells)
+    sketch = spark.sparkContext.broadcast(merged(parts, cells))
     rows = _window_rows(keyed, width, sketch)
     # Rows already known to be repeated pass the shuffle on a key of their own.
     same = Window.partitionBy("h1", "h2", F.when(F.col("known"), F.col("doc")))

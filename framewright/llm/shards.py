@@ -11,9 +11,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from framewright.llm.components import stored
+from framewright.llm.components import prepare, stored
 from framewright.llm.text import mix
-from framewright.session import open_filesystem, ship_package, work_path
+from framewright.session import open_filesystem, work_path
 
 #: Ids of a sequence and bytes of a shard, about.
 LENGTH = 512
@@ -128,7 +128,7 @@ def training_order(
     span at most 2**62 divided by the most sequences of a document, else ValueError. ``folder`` must be shared.
     """
     spark = docs.sparkSession
-    ship_package(spark)
+    prepare(spark)
     folder = folder or work_path(spark, "training-order")
     texts = docs.select(docs[id_column].cast("bigint").alias("doc_id"), docs[text_column].cast("string").alias("text"))
     texts = texts.where("doc_id is not null and text != ''")

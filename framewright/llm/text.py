@@ -16,8 +16,8 @@ _LOWER[65:91] += 32
 _SEED = np.random.default_rng(20260101)
 _BYTE = _SEED.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_SLICE = 2 << 20
-_BLOCK = 1 << 20
+_SLICE = 1 << 20
+_BLOCK = 1 << 18
 
 
 def mix(h: np.ndarray) -> np.ndarray:

@@ -10,8 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.components import components, stored
-from framewright.session import ship_package
+from framewright.llm.components import components, prepare, stored
 
 COSINE = 0.9
 #: Dimensions of a block of the rotated vectors.
@@ -169,7 +168,7 @@ def near_vectors(
     component is null), link with nothing. Rows that share an id are one vertex; links count different vectors.
     """
     spark = rows.sparkSession
-    ship_package(spark)
+    prepare(spark)
     named = rows.select(rows[id_column].cast("bigint").alias("vec_id"), rows[vector_column].cast("array<double>").alias("embedding"))
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
     valid = named.where(

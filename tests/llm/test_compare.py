@@ -11,6 +11,7 @@ from brute import Parts, corpus, frame, jaccard, lowered, repeats, sha, words
 from pyspark.sql import functions as F
 
 from framewright.llm import components as cc
+from framewright.llm import countmin as cm
 from framewright.llm import decontaminate as de
 from framewright.llm import jaccard as ja
 from framewright.llm import repeats as re_
@@ -35,7 +36,8 @@ def test_repeated_windows(spark, seed, cells):
 
 def test_sketch_never_underestimates(spark):
     rows = [(i, t) for i, t in corpus(3) if t]
-    sketch = re_._merged(re_._sketch_parts(frame(spark, rows).select("text").repartition(7), 8, 1 << 12), 1 << 12)
+    parts = cm.partition_sketches(frame(spark, rows).repartition(7), lambda d, o: re_.counted_anchors(d, o, 8), 1 << 12)
+    sketch = cm.merged(parts, 1 << 12)
     seen = {}
     for i, t in rows:
         data = np.frombuffer(t.encode(), np.uint8)
@@ -43,7 +45,7 @@ def test_sketch_never_underestimates(spark):
         for key, anchor in zip(zip(*(w.hash[k : len(w) - 7 + k].tolist() for k in range(8)), strict=True), re_.anchors(w, 8), strict=True):
             seen.setdefault(key, set()).add((i, int(anchor)))
     shared = {a for holders in seen.values() if len({i for i, _ in holders}) > 1 for _, a in holders}
-    assert len(shared) > 50 and re_._estimated_repeated(np.array(list(shared), np.uint64), sketch).all()
+    assert len(shared) > 50 and cm.may_repeat(np.array(list(shared), np.uint64), sketch).all()
 
 
 def test_repeats_edges(spark):
@@ -86,6 +88,16 @@ def test_large_group_of_near_copies(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == jaccard(rows, 3, 90)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_links_within_a_group_of_equal_prefixes(spark, seed):
+    """With a single cell all shingles count as equally frequent, so many near copies have the same prefix."""
+    rng = random.Random(seed)
+    base = [f"b{i}" for i in range(40)]
+    rows = [(i, " ".join(base[: 40 - rng.randrange(8)] + [f"e{rng.randrange(3)}"] * rng.randrange(5))) for i in range(60)]
+    found = ja.jaccard_components(docs_of(spark, rows), cells=1 << 12, size=1, percent=90).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == jaccard(rows, 1, 90)
+
+
 def test_jaccard_edges(spark):
     rows = [(3, "a b c d"), (3, "a b c d"), (2, "A B  C\nD"), (None, "a b c d"), (7, None), (8, ""), (9, "hi"), (10, "HI"), (11, "x y"), (12, "y x")]
     out = ja.jaccard_components(docs_of(spark, rows)).collect()
