@@ -8,7 +8,6 @@ import random
 import numpy as np
 import pytest
 from brute import Parts, corpus, frame, jaccard, lowered, repeats, sha, words
-from pyspark.sql import functions as F
 
 from framewright.llm import components as cc
 from framewright.llm import countmin as cm
