@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from framewright.functions.arrays import one_hot
 from framewright.operators import background as bg
 from framewright.operators import dataset as ds
 from framewright.operators import handlers as ha
@@ -165,6 +166,23 @@ def mlp_train_predict_events(spark, sf_dir):
     return tr.mlp_train_predict(rows, [4, 10, 5], max_iter=15)
 
 
+@query(
+    "mlp_train_predict_separable",
+    """SELECT CASE WHEN event_id % 3 <> 0 THEN 'train' ELSE 'test' END AS dataset, CAST(count(*) AS BIGINT) AS n,
+      CAST(1 AS DOUBLE) AS accuracy FROM events GROUP BY 1""",
+)
+def mlp_train_predict_separable(spark, sf_dir):
+    """A target that its features give away, so a trained network must get every row right."""
+    kinds = F.array(*[F.lit(k) for k in ("click", "error", "purchase", "signup", "view")])
+    label = (F.array_position(kinds, F.col("event_type")) - 1).cast("int")
+    rows = fx.table(spark, sf_dir, "events").select(
+        one_hot(label, 5).cast("array<double>").alias("features"),
+        label.alias("label"),
+        F.when(F.col("event_id") % 3 != 0, "train").otherwise("test").alias("dataset"),
+    )
+    return tr.mlp_train_predict(rows, [5, 8, 5], max_iter=100)
+
+
 @query(
     "resize_bilinear",
     with_views(
