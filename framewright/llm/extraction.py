@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html.parser import HTMLParser
 
 import numpy as np
@@ -23,10 +24,10 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that never hold main text.
 LEFT_OUT = frozenset(
-    "head title script style noscript template nav header footer aside form menu button select option textarea "
+    "head title script style noscript template nav header footer aside menu button select option textarea "
     "label iframe object svg canvas audio video dialog".split()
 )
-#: Words of class, id and role that mark an element as no main text.
+#: Words of class, id and role that speak against an element's lines. Forms are marked too: some pages stand in one.
 MARKS = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments cookie "
     "cookies consent disclaimer disqus footer form header login masthead menu modal nav navbar navigation newsletter "
@@ -37,25 +38,43 @@ MARKS = frozenset(
 #: Elements and roles that a page declares as its content.
 DECLARED = frozenset(("article", "main"))
 _REGIONS = frozenset("article main section div td body".split())
+_LISTS = frozenset("ul ol dl table".split())
 _WORD = re.compile(r"[a-z]+")
 #: Standard deviation, in lines, of the smoothing, and how far from a line it reaches.
 SIGMA = 1.0
 REACH = 2
+#: What the smoothed ratio of a marked line is multiplied by, and how many characters at least a marked element has to hold
+#: for being taken as the page's text.
+MARKED = 0.25
+LEAST = 20
+
+
+@dataclass
+class Line:
+    text: str
+    tags: int
+    region: int
+    part: int  # innermost region or list
+    mark: int  # innermost marked element, -1 without
+    linked: int  # characters inside links
 
 
 class Lines(HTMLParser):
-    """Collects lines of text, each with the tags it holds and the regions it stands in, from parser events."""
+    """Collects lines of text, each with the tags it holds and the elements it stands in, from parser events."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, int]] = []  # element, whether left out, region
+        self.stack: list[tuple[str, bool, int, int, int]] = []  # element, whether left out; region, part and mark around it
         self.open: Counter = Counter()
         self.out = 0
-        self.regions: list[tuple[int, bool]] = [(-1, False)]  # parent, whether declared
-        self.region = 0
+        self.regions: list[tuple[int, bool, bool]] = [(-1, False, False)]  # parent, whether declared, whether inside one
+        self.region = self.part = self.parts = 0
+        self.marks: list[int] = []  # marked elements: the marked one around each
+        self.mark = -1
+        self.framed: set[int] = set()  # marked elements that hold a declared region and stand in none
         self.text: list[str] = []
-        self.tags = 0
-        self.lines: list[tuple[str, int, int]] = []  # text, tags, region
+        self.tags = self.linked = 0
+        self.lines: list[Line] = []
 
     def updatepos(self, i: int, j: int) -> int:
         """Line numbers are not wanted, so nothing is counted."""
@@ -64,9 +83,9 @@ class Lines(HTMLParser):
     def flush(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append((text, self.tags, self.region))
+            self.lines.append(Line(text, self.tags, self.region, self.part, self.mark, self.linked))
             self.tags = 0
-        self.text = []
+        self.text, self.linked = [], 0
 
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
@@ -74,11 +93,11 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             return
-        left_out, declared = tag in LEFT_OUT, tag in DECLARED
+        left_out, declared, marked = tag in LEFT_OUT, tag in DECLARED, tag == "form"
         for name, value in attrs:
             if name in ("class", "id", "role") and value:
                 words = _WORD.findall(value.lower())
-                left_out |= not MARKS.isdisjoint(words) and tag not in ("html", "body") and not declared
+                marked |= not MARKS.isdisjoint(words)
                 declared |= name == "role" and value in DECLARED
             elif name == "hidden" or (name == "aria-hidden" and value == "true"):
                 left_out = True
@@ -86,12 +105,24 @@ class Lines(HTMLParser):
                 left_out = True
         if tag in BLOCKS and self.open["p"]:
             self._close_paragraph()
-        self.stack.append((tag, left_out, self.region))
+        self.stack.append((tag, left_out, self.region, self.part, self.mark))
         self.open[tag] += 1
         self.out += left_out
+        if marked and not declared and tag not in ("html", "body"):
+            self.marks.append(self.mark)
+            self.mark = len(self.marks) - 1
         if tag in _REGIONS or declared:
-            self.regions.append((self.region, declared))
+            inside = self.regions[self.region][2]
+            if declared and not inside and not self.out:
+                at = self.mark
+                while at >= 0 and at not in self.framed:
+                    self.framed.add(at)
+                    at = self.marks[at]
+            self.regions.append((self.region, declared, declared or inside))
             self.region = len(self.regions) - 1
+        if tag in _REGIONS or tag in _LISTS or declared:
+            self.parts += 1
+            self.part = self.parts
 
     def handle_startendtag(self, tag, attrs):
         if tag in BLOCKS:
@@ -108,7 +139,7 @@ class Lines(HTMLParser):
                 pass
 
     def _pop(self) -> str:
-        tag, left_out, self.region = self.stack.pop()
+        tag, left_out, self.region, self.part, self.mark = self.stack.pop()
         self.open[tag] -= 1
         self.out -= left_out
         return tag
@@ -126,6 +157,25 @@ class Lines(HTMLParser):
     def handle_data(self, data):
         if not self.out:
             self.text.append(data)
+            if self.open["a"]:
+                self.linked += len(data.strip())
+
+    def marked(self) -> np.ndarray:
+        """Which lines stand in a marked element that holds neither a declared region nor most of the page's text."""
+        held = [0] * len(self.marks)
+        for line in self.lines:
+            if line.mark >= 0:
+                held[line.mark] += len(line.text)
+        for i in range(len(held) - 1, -1, -1):  # an element comes after the one around it
+            if self.marks[i] >= 0:
+                held[self.marks[i]] += held[i]
+        total = sum(len(line.text) for line in self.lines)
+        holds: list[bool] = []
+        for i, around in enumerate(self.marks):
+            own = i not in self.framed and not (2 * held[i] > total and held[i] >= LEAST)
+            holds.append(own or (around >= 0 and holds[around]))
+        found = np.array([line.mark >= 0 and holds[line.mark] for line in self.lines], bool)
+        return found & (not found.all() or total < LEAST)
 
 
 def smooth(values: np.ndarray, sigma: float = SIGMA, reach: int = REACH) -> np.ndarray:
@@ -135,9 +185,9 @@ def smooth(values: np.ndarray, sigma: float = SIGMA, reach: int = REACH) -> np.n
     return np.convolve(values, kernel)[reach:-reach] / weight
 
 
-def content_lines(ratios: np.ndarray) -> np.ndarray:
+def content_lines(ratios: np.ndarray, weights: np.ndarray | float = 1.0) -> np.ndarray:
     """Which lines belong to the upper of two clusters, split where the between-cluster variance is largest."""
-    smoothed = smooth(ratios)
+    smoothed = smooth(ratios) * weights
     order = np.sort(smoothed)
     if order[0] == order[-1]:
         return np.ones(len(ratios), bool)
@@ -153,8 +203,10 @@ def main_text(html: str | None) -> str:
     """The main text of one page.
 
     Regions (articles, divisions and so on) that hold a line of the upper ratio cluster are kept whole, so
-    that short paragraphs between long ones stay; where the page declares articles or a main element,
-    only those can be kept, and without a clustered line in them the one with the most text.
+    that short paragraphs between long ones stay. Where the page declares articles or a main element, these are the
+    regions: others are not kept, and if none of them holds a line of the upper cluster, their own lines are clustered.
+    Inside a declared region a part (division, list and so on) without a line of the upper cluster goes if most of its text
+    is links. Marked lines weigh less and stay only if they are in the upper cluster themselves.
     """
     if not html:
         return ""
@@ -164,7 +216,10 @@ def main_text(html: str | None) -> str:
     page.flush()
     if not page.lines:
         return ""
-    declared = {i for i, (_, d) in enumerate(page.regions) if d}
+    marked = page.marked()
+    if marked.all():
+        return ""
+    declared = {i for i, (_, d, _) in enumerate(page.regions) if d}
     outer: dict[int, int] = {}
 
     def root(region: int) -> int:
@@ -177,16 +232,26 @@ def main_text(html: str | None) -> str:
             outer[region] = found
         return outer[region]
 
-    roots = np.array([root(r) for _, _, r in page.lines])
-    lengths = np.array([len(t) for t, _, _ in page.lines], float)
-    ratios = lengths / np.maximum([t for _, t, _ in page.lines], 1)
-    candidates = roots >= 0
+    roots = np.array([root(x.region) for x in page.lines])
+    lengths = np.array([len(x.text) for x in page.lines], float)
+    ratios = lengths / np.maximum([x.tags for x in page.lines], 1)
+    weights = np.where(marked, MARKED, 1.0)
+    inside = roots >= 0
+    candidates = inside
     if not candidates.any():
-        roots, candidates = np.array([r for _, _, r in page.lines]), np.ones(len(roots), bool)
-    kept = set(roots[content_lines(ratios) & candidates].tolist())
-    if not kept:
-        kept = {max(set(roots[candidates].tolist()), key=lambda r: (lengths[roots == r].sum(), -r))}
-    return " ".join(t for (t, _, _), r in zip(page.lines, roots.tolist(), strict=True) if r in kept)
+        roots, candidates = np.array([x.region for x in page.lines]), np.ones(len(roots), bool)
+    upper = content_lines(ratios, weights) & candidates
+    if not upper.any():
+        upper[candidates] = content_lines(ratios[candidates], weights[candidates])
+    kept = np.isin(roots, roots[upper])
+    if declared and inside.any():
+        parts = np.array([x.part for x in page.lines])
+        linked = np.array([x.linked for x in page.lines], float)
+        size, of = (np.bincount(parts, values, minlength=page.parts + 1) for values in (linked, lengths))
+        links = 2 * size > of
+        links[parts[upper]] = False
+        kept &= ~links[parts]
+    return " ".join(x.text for x, k in zip(page.lines, (kept & ~marked | upper).tolist(), strict=True) if k)
 
 
 def extract_text(pages: DataFrame, html_column: str = "html", out: str = "text") -> DataFrame:
@@ -211,5 +276,5 @@ def page_lines(html: str) -> Iterator[tuple[str, float]]:
     page.feed(html)
     page.close()
     page.flush()
-    for text, tags, _ in page.lines:
-        yield text, len(text) / max(tags, 1)
+    for line in page.lines:
+        yield line.text, len(line.text) / max(line.tags, 1)

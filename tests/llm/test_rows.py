@@ -155,6 +155,26 @@ def test_small_pages(page, text):
     assert extraction.main_text(page) == text
 
 
+ONCE = " ".join(LONG.split())
+LINKS = "".join(f'<li><a href="/{i}">More about subject {i}</a></li>' for i in range(6))
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        (f'<div class="content has-sidebar"><article><p>{LONG}</p></article></div>', ONCE),
+        (f'<div id="search-wrap"><div class="widget"><main><p>{LONG}</p></main></div></div><p>out</p>', ONCE),
+        (f'<form id="page"><article><p>{LONG}</p></article></form>', ONCE),
+        (f'<div class="no-sidebar related"><h2>Title</h2><p>{LONG}</p><p>{LONG}</p></div><div>x</div>', f"Title {ONCE} {ONCE}"),
+        (f'<article><p>{LONG * 3}</p><p>Short.</p><div id="comments"><article>Nice</article></div></article>', f"{' '.join([ONCE] * 3)} Short."),
+        (f"<article><p>{LONG}</p><p>{LONG}</p><section><p>Short.</p></section><ul>{LINKS}</ul></article>", f"{ONCE} {ONCE} Short."),
+        (f"<article><p>{LONG}</p><p>{LONG}</p><ul><li>Milk</li><li>Eggs</li></ul></article>", f"{ONCE} {ONCE} Milk Eggs"),
+    ],
+)
+def test_class_words_only_weigh(page, text):
+    assert extraction.main_text(page) == text
+
+
 @pytest.mark.parametrize("page", ["<b>" * 20_000 + "</i>" * 20_000, "<div>" * 20_000, "<" * 20_000, "&" * 50_000])
 def test_broken_markup_takes_linear_time(page):
     extraction.main_text(page)
