@@ -2,25 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from framewright.llm.components import prepare
+from framewright.llm.components import prepare, stored
 from framewright.llm.text import _SPACE, Words, text_slices
 
-#: Rows the classifiers are fitted on, at most: labelled ones, and unlabelled ones to exchange guesses about.
-#: Which ones is decided by a hash of their ids.
+#: Labelled rows the classifiers are fitted on, at most; which ones is decided by a hash of their ids.
 LABELLED_ROWS = 20_000
-UNLABELLED_ROWS = 10_000
 ROUNDS = 3
-#: A view passes on a guess from this confidence, and each round the surest so many of a class at most.
+#: A view passes on a guess from this confidence.
 CONFIDENCE = 0.95
-PASSED_ON = 1_000
 #: Of five labelled rows, the part that calibrates and is never fitted on.
 FOLDS = 5
 #: Documents that score below are rejected.
@@ -88,6 +86,10 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
+#: The sum over all rows of the pool of what a function makes of both views' features.
+Total = Callable[[Callable[[list[np.ndarray]], np.ndarray]], np.ndarray | None]
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
     """Weights of a logistic regression by Newton's method with a ridge on all but the constant."""
     w, penalty = np.zeros(x.shape[1]), np.full(x.shape[1], ridge)
@@ -118,16 +120,6 @@ class View:
         return self.line[0] + self.line[1] * raw
 
 
-def fit_view(x: np.ndarray, y: np.ndarray, held_x: np.ndarray, held_y: np.ndarray) -> View:
-    mean, scale = x.mean(axis=0), x.std(axis=0)
-    mean[0], scale[0] = 0, 1
-    scale[scale < 1e-9] = 1
-    view = View(mean, scale, fit_logistic((x - mean) / scale, y), np.array([0.0, 1.0]))
-    raw = view.odds(held_x)
-    view.line = fit_logistic(np.column_stack([np.ones(len(raw)), raw]), held_y, ridge=1e-3)
-    return view
-
-
 @dataclass
 class Model:
     """Two calibrated views; their log-odds add up, the share of good documents counted once."""
@@ -146,24 +138,130 @@ class Model:
         return sigmoid(a), sigmoid(b), sigmoid(a + b - start)
 
 
-def co_train(views: list[np.ndarray], labels: np.ndarray, held: np.ndarray, pools: list[np.ndarray], rounds: int = ROUNDS) -> list[View]:
-    """Fit both views on labelled rows, then let each label the pool rows it is surest of for the other."""
-    taught = [(np.zeros(0, int), np.zeros(0)) for _ in views]
-    for turn in range(rounds + 1):
-        fitted = []
-        for k, x in enumerate(views):
-            rows, guesses = taught[k]
-            own_x = np.concatenate([x[~held], pools[k][rows]])
-            own_y = np.concatenate([labels[~held], guesses])
-            fitted.append(fit_view(own_x, own_y, x[held], labels[held]))
-        if turn == rounds or not len(pools[0]):
-            return fitted
-        for k, view in enumerate(fitted):
-            p = sigmoid(view.odds(pools[k]))
-            sure = [np.flatnonzero(p >= CONFIDENCE), np.flatnonzero(p <= 1 - CONFIDENCE)]
-            most = PASSED_ON * (turn + 1)
-            good, bad = (rows[np.argsort(-np.abs(p[rows] - 0.5), kind="stable")][:most] for rows in sure)
-            taught[1 - k] = (np.concatenate([good, bad]), np.concatenate([np.ones(len(good)), np.zeros(len(bad))]))
+def _taught(x: list[np.ndarray], teachers: list[View]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each view the rows that the other one is sure of, and its guesses."""
+    for k in range(len(x)):
+        p = sigmoid(teachers[1 - k].odds(x[1 - k]))
+        sure = (p >= CONFIDENCE) | (p <= 1 - CONFIDENCE)
+        yield x[k][sure], (p[sure] >= 0.5).astype(float)
+
+
+def _moments(x: np.ndarray, shift: np.ndarray) -> np.ndarray:
+    """Number of rows, then sums and sums of squares about ``shift``."""
+    away = x - shift
+    return np.concatenate([[len(x)], away.sum(axis=0), (away**2).sum(axis=0)])
+
+
+def _slope(x: np.ndarray, y: np.ndarray, view: View) -> np.ndarray:
+    """Gradient and curvature of the logistic loss, and the loss."""
+    scaled = (x - view.mean) / view.scale
+    odds = scaled @ view.weights
+    p = sigmoid(odds)
+    curve = (scaled * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ scaled
+    return np.concatenate([scaled.T @ (p - y), curve.ravel(), [(np.logaddexp(0, odds) - y * odds).sum()]])
+
+
+def _each(x: list[np.ndarray], teachers: list[View], f: Callable, given: list) -> np.ndarray:
+    return np.concatenate([f(own, y, at) for (own, y), at in zip(_taught(x, teachers), given, strict=True)])
+
+
+def fit_views(
+    views: list[np.ndarray], labels: np.ndarray, held: np.ndarray, teachers: list[View] | None, total: Total, ridge: float = 1.0, steps: int = 50
+) -> list[View] | None:
+    """Both views fitted by Newton's method, with a ridge on all but the constant, on the labelled rows and, with
+    ``teachers``, on every row of the pool that the other view is sure of. None if there is no such row."""
+    own, y = [x[~held] for x in views], labels[~held]
+
+    def summed(f: Callable, given: list) -> list[np.ndarray]:
+        """Per view the sums of f over its rows."""
+        parts = [f(x, y, at) for x, at in zip(own, given, strict=True)]
+        ends = np.cumsum([len(p) for p in parts])[:-1]
+        more = total(lambda x: _each(x, teachers, f, given)) if teachers else None
+        return parts if more is None else [p + m for p, m in zip(parts, np.split(more, ends), strict=True)]
+
+    shifts = [x.mean(axis=0) for x in own]
+    fitted = []
+    for k, found in enumerate(sums := summed(lambda x, _, at: _moments(x, at), shifts)):
+        n, (first, second) = found[0], np.split(found[1:], 2)
+        mean, scale = shifts[k] + first / n, np.sqrt(np.maximum(second / n - (first / n) ** 2, 0))
+        mean[0], scale[0] = 0, 1
+        scale[scale < 1e-9] = 1
+        fitted.append(View(mean, scale, np.zeros(len(mean)), np.array([0.0, 1.0])))
+    if teachers and all(found[0] == len(y) for found in sums):
+        return None
+    best: list[tuple[float, np.ndarray, np.ndarray]] = [(np.inf, v.weights, v.weights) for v in fitted]  # loss, weights, step from there
+    for _ in range(steps):
+        for k, (view, found) in enumerate(zip(fitted, summed(_slope, fitted), strict=True)):
+            d = len(view.weights)
+            penalty = np.full(d, ridge)
+            penalty[0] = 1e-6
+            loss = found[-1] + 0.5 * penalty @ view.weights**2
+            if loss > best[k][0] * (1 + 1e-9):  # too far
+                best[k] = (best[k][0], best[k][1], best[k][2] / 2)
+            else:
+                curve = found[d:-1].reshape(d, d) + np.diag(penalty)
+                step = np.linalg.solve(curve, found[:d] + penalty * view.weights)
+                best[k] = (loss, view.weights, step / max(1.0, np.abs(step).max() / 5))
+            view.weights = best[k][1] - best[k][2]
+        if max(np.abs(step).max() for _, _, step in best) < 1e-6:
+            break
+    for view, x in zip(fitted, views, strict=True):
+        raw = view.odds(x[held])
+        view.line = fit_logistic(np.column_stack([np.ones(len(raw)), raw]), labels[held], ridge=1e-3)
+    return fitted
+
+
+def co_train(views: list[np.ndarray], labels: np.ndarray, held: np.ndarray, pools: list[np.ndarray] | Total, rounds: int = ROUNDS) -> list[View]:
+    """Fit both views on labelled rows, then let each label every pool row it is sure of for the other.
+
+    The pool is given by both views' features or by sums over it.
+    """
+    total = pools if callable(pools) else lambda f: f(pools)
+    fitted = fit_views(views, labels, held, None, total)
+    for _ in range(rounds):
+        more = fit_views(views, labels, held, fitted, total)
+        if more is None:
+            break
+        fitted = more
+    return fitted
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def summed_over(pool: DataFrame) -> Total:
+    """Sums over the rows of (tx, mx), added up by partition in a fixed order.
+
+    With many partitions groups of them are added up first, so that what the driver gets stays small.
+    """
+
+    n = pool.rdd.getNumPartitions()
+    groups = n if n <= 256 else int(n**0.5)
+
+    def total(f: Callable[[list[np.ndarray]], np.ndarray]) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = None
+            for batch in batches:
+                if batch.num_rows:
+                    part = f([_matrix(batch.column(0)), _matrix(batch.column(1))])
+                    found = part if found is None else found + part
+            if found is not None:
+                at = TaskContext.get().partitionId()
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([np.asarray(found, float)])], ["part", "sums"])
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rows = sorted((at, sums) for b in batches for at, sums in zip(*(c.to_pylist() for c in b.columns), strict=True))
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array([rows[0][0]], pa.int32()), pa.array([np.sum([x for _, x in rows], axis=0)])], ["part", "sums"])
+
+        sums = pool.mapInArrow(run, "part int, sums array<double>")
+        if groups < n:
+            sums = sums.repartition(groups, F.col("part") % groups).mapInArrow(add, sums.schema)
+        rows = sums.toArrow().sort_by("part").column("sums").to_pylist()
+        return np.sum(rows, axis=0) if rows else None
+
+    return total
 
 
 def _featured(docs: DataFrame, columns: list[str], model=None, threshold: float = THRESHOLD) -> DataFrame:
@@ -201,39 +299,37 @@ def train(
     text_column: str = "text",
     label_column: str = "quality",
     labelled_rows: int = LABELLED_ROWS,
-    unlabelled_rows: int = UNLABELLED_ROWS,
     rounds: int = ROUNDS,
 ) -> Model:
-    """The model of labelled documents (label 1 good, 0 bad) and a pool of unlabelled ones, each a bounded sample by hash.
+    """The model of labelled documents (label 1 good, 0 bad), a bounded sample by hash, and of all unlabelled ones.
 
-    An id with several labels has their rounded mean; null labels and ids are left out. With only one class, or too
+    Both views' features are computed once and stored; each round takes some passes over those of the unlabelled rows.
+    Rows that share an id and rows without one count each. An id with several labels has their rounded mean; null labels and ids are left out. With only one class, or too
     few rows to hold some back, the model scores every document with the share of good ones (1 without labels).
     """
     prepare(docs.sparkSession)
     named, names = _named(docs, id_column, text_column, meta_columns)
     given = labels.where(labels[label_column].isNotNull() & labels[id_column].isNotNull())
     given = given.groupBy(given[id_column].cast("bigint").alias("key")).agg(F.round(F.avg(label_column)).cast("int").alias("y"))
-    known = named.select("key").where("key is not null").distinct()
+    # A null id meets no label; its features spread such rows over the tasks of the join.
+    found = _featured(named, names).withColumn("at", F.coalesce("key", F.xxhash64("tx", "mx")))
+    given = given.withColumnRenamed("key", "labelled")
+    found = found.join(given, (found["at"] == given["labelled"]) & found["key"].isNotNull(), "left")
+    found = stored(found.select("key", "y", "tx", "mx"), "quality")
     order = [F.xxhash64("key"), F.col("key")]
-    chosen = given.join(known, "key", "left_semi").orderBy(*order).limit(labelled_rows)
-    pool = known.join(given, "key", "left_anti").orderBy(*order).limit(unlabelled_rows).withColumn("y", F.lit(None).cast("int"))
-    # At most labelled_rows + unlabelled_rows small rows: every side that is sent around is bounded.
-    picked = F.broadcast(chosen.union(pool))
-    sample = _featured(named.join(picked.select("key"), "key", "left_semi"), names).join(picked, "key")
-    rows = sample.dropDuplicates(["key"]).select("key", "y", "tx", "mx").toArrow().sort_by("key")
+    chosen = found.where("y is not null").dropDuplicates(["key"]).orderBy(*order).limit(labelled_rows)
+    rows = chosen.toArrow().sort_by("key")
     if not rows.num_rows:
         return Model(None, None, 1.0, names)
-    y = rows.column("y").to_numpy(zero_copy_only=False).astype(float)
-    views = [np.array(rows.column(c).to_pylist(), float).reshape(len(y), -1) for c in ("tx", "mx")]
-    has = ~np.isnan(y)
-    good = y[has]
+    good = rows.column("y").to_numpy(zero_copy_only=False).astype(float)
+    views = [np.array(rows.column(c).to_pylist(), float).reshape(len(good), -1) for c in ("tx", "mx")]
     held = np.zeros(len(good), bool)
     for value in (0, 1):
         held[np.flatnonzero(good == value)[::FOLDS]] = True
-    prior = float(np.clip((good.sum() + 1) / (len(good) + 1) if len(good) else 1.0, 0, 1))
+    prior = float(np.clip((good.sum() + 1) / (len(good) + 1), 0, 1))
     if any(len(set(part.tolist())) < 2 for part in (good[held], good[~held])):
         return Model(None, None, prior, names)
-    fitted = co_train([v[has] for v in views], good, held, [v[~has] for v in views], rounds)
+    fitted = co_train(views, good, held, summed_over(found.where("y is null").select("tx", "mx")), rounds)
     return Model(fitted[0], fitted[1], float(np.clip(good.mean(), 1e-3, 1 - 1e-3)), names)
 
 

@@ -251,6 +251,45 @@ def test_views_teach_each_other():
     assert np.mean(with_) > np.mean(without) + 0.01 and np.mean(with_) > 0.94
 
 
+def test_every_unlabelled_row_takes_part(spark):
+    """More sure guesses than a round once passed on, and rows beyond the pool there once was: all are summed over."""
+    rng = np.random.default_rng(5)
+    y = rng.integers(0, 2, 13_000).astype(float)
+    views = [np.column_stack([np.ones(13_000), 6 * (y[:, None] - 0.5) + rng.normal(size=(13_000, 2))]) for _ in range(2)]
+    held = np.arange(200) % 5 == 0
+    pools = [v[200:] for v in views]
+    rows = [(list(map(float, a)), list(map(float, b))) for a, b in zip(*pools, strict=True)]
+    pool = frame(spark, rows, "tx array<double>, mx array<double>").repartition(7)
+    local = quality.co_train([v[:200] for v in views], y[:200], held, pools)
+    total = quality.summed_over(pool)
+    assert total(lambda x: np.array([len(x[0])])) == [12_800]
+    assert quality.summed_over(pool.repartition(300))(lambda x: np.array([len(x[0])])) == [12_800]
+    assert quality.summed_over(pool.limit(0))(lambda x: np.array([len(x[0])])) is None
+    spread = quality.co_train([v[:200] for v in views], y[:200], held, total)
+    taught = [x for x, _ in quality._taught(pools, local)]
+    assert min(map(len, taught)) > 10_000
+    for a, b, x in zip(local, spread, views, strict=True):
+        assert np.allclose(a.odds(x), b.odds(x), atol=1e-3)
+        whole = np.concatenate([x[:200][~held], pools[0 if x is views[0] else 1]])
+        assert np.abs(a.mean - whole.mean(axis=0))[1:].max() < 0.2
+
+
+def test_quality_pool_is_the_corpus(spark):
+    """A document's score follows every unlabelled document: none is left out of the pool."""
+    seen = []
+    folder = "/root/testdata/sf0.001"
+    docs, labels = read(spark, folder, "documents"), read(spark, folder, "labels")
+    rows = docs.union(docs.limit(3).withColumn("doc_id", F.lit(None).cast("bigint")))
+    rows = rows.crossJoin(spark.range(60).withColumnRenamed("id", "n")).withColumn("doc_id", F.expr("doc_id + n * 1000000"))
+    real, quality.co_train = quality.co_train, lambda *a: seen.append(a[3](lambda x: np.array([len(x[0])])).tolist()) or real(*a[:3], [x[:0] for x in a[0]], 0)
+    try:
+        quality.train(rows.drop("n"), labels, META)
+    finally:
+        quality.co_train = real
+    known = docs.join(labels, "doc_id", "left_semi").count()
+    assert seen == [[rows.count() - known]] and seen[0][0] > 10_000
+
+
 def test_quality_edges(spark):
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, key int"
     rows = [(1, None, None, None, None, 1), (1, None, None, None, None, 1), (None, "", "en", "s", 0, 1), (3, "x " * 50_000, "en", None, -5, 2)]
