@@ -24,7 +24,19 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _SEPARATORS = str.maketrans("", "", " -.()+")
 # Added kinds.
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]){11,30}))")
+_WORD_END = re.compile(r"(?<=[A-Z0-9])(?![A-Za-z0-9])")
+#: Characters of an account number by its country.
+_LENGTHS = {
+    country: int(length)
+    for length, countries in (
+        line.split(":")
+        for line in "15:NO 16:BE 18:DK,FI,FK,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA "
+        "23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM "
+        "28:AL,AZ,BY,CY,DO,GT,HN,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU".split()
+    )
+    for country in countries.split(",")
+}
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 #: Words whose presence within CONTEXT characters before a span speaks for its kind.
 WORDS = {
@@ -97,12 +109,24 @@ def find_base(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def _accounts(text: str) -> Iterator[tuple[int, int]]:
+    """From each start the span to the end of a word that passes the checksum: one of its country's length, or else the
+    longest. Without one the search goes on behind the start, which has read 64 characters at most."""
+    m = _IBAN.search(text)
+    while m:
+        start, at = m.start(), m.end()
+        ends = [e.end() for e in _WORD_END.finditer(text, at, min(len(text), m.end(1) + 1)) if e.end() <= m.end(1)]
+        plain = {end: text[start:end].replace(" ", "") for end in ends}
+        for end in sorted(ends, key=lambda e: (len(plain[e]) != _LENGTHS.get(m[0][:2]), -e)):
+            if len(plain[end]) >= 15 and mod97(plain[end]):
+                yield start, end
+                at = end
+                break
+        m = _IBAN.search(text, at)
+
+
 def find_added(text: str) -> list[tuple[str, int, int]]:
-    found = []
-    for m in _IBAN.finditer(text):
-        plain = m[0].replace(" ", "")
-        if 15 <= len(plain) <= 34 and mod97(plain):
-            found.append(("iban", *m.span()))
+    found = [("iban", *span) for span in _accounts(text)]
     found += [("ssn", *m.span()) for m in _SSN.finditer(text)]
     return found
 

@@ -106,6 +106,36 @@ def test_added_kinds_need_checksum_or_context():
     assert kinds("social security 123-45-6789") == ["ssn"]
 
 
+@pytest.mark.parametrize(
+    ("text", "spans"),
+    [
+        ("DE89 3704 0044 0532 0130 00 BIC COBADEFF now", ["DE89 3704 0044 0532 0130 00"]),
+        ("DE89370400440532013000 EUR 100", ["DE89370400440532013000"]),
+        ("AB12 DE89370400440532013000 GB82 WEST 1234 5698 7654 32 OK", ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"]),
+        ("DE89370400440532013000 " + "9" * 40, ["DE89370400440532013000"]),
+        ("NO9386011117947", ["NO9386011117947"]),
+        ("DE89370400440532013000x DE89370400440532013001 A1", []),
+        ("XX89 3704 0044 0532 0130 00 BIC", []),
+    ],
+)
+def test_account_numbers_end_where_their_checksum_holds(text, spans):
+    assert [text[s:e] for k, s, e in pii.find_added(text) if k == "iban"] == spans
+
+
+def test_account_numbers_before_any_word():
+    """Whatever follows, the number is found with its own end, and nothing that was found before is lost."""
+    rng = random.Random(8)
+    for _ in range(3000):
+        country, length = rng.choice(list(pii._LENGTHS.items()))
+        body = "".join(rng.choice("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(length - 4))
+        check = 98 - int("".join(str(int(c, 36)) for c in f"{body}{country}00")) % 97
+        plain = f"{country}{check:02d}{body}"
+        written = rng.choice([plain, " ".join(plain[i : i + 4] for i in range(0, length, 4))])
+        tail = " ".join("".join(rng.choice("AB01") for _ in range(rng.randint(1, 9))) for _ in range(rng.randint(0, 5)))
+        text = f"to {written} {tail}".rstrip() + rng.choice(["", ".", " now", ", then"])
+        assert ("iban", 3, 3 + len(written)) in pii.find_added(text)
+
+
 def test_personal_data_rows(spark):
     text = "mail é bo@x.org or 10.0.0.1"
     rows = [(1, text, 1), (1, text, 1), (2, None, 2), (3, "", 3), (None, "x" * 100_000, 4)]
