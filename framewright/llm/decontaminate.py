@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +20,9 @@ MASKS = ("1000110111", "1011001011", "1110100011", "1110101001")
 #: Words that must agree in the overlap around a hit, and their least share of it.
 MIN_MATCHES = 10
 MIN_SHARE = 0.8
+#: Items shorter than the masks are looked for as they are: anywhere from this many words, and below, where they are common
+#: phrases, as whole documents.
+PHRASE = 5
 #: Bits of the filter that goes to every task: a fixed size, whatever the benchmark's.
 FILTER_BITS = 1 << 24
 
@@ -35,8 +39,9 @@ def masked(words: np.ndarray, mask: str, number: int) -> np.ndarray:
     return mix(total)
 
 
-def _seeds(words: Words, masks: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all windows within one text, under every mask, and the word each starts at."""
+def _seeds(words: Words, masks: tuple[str, ...], lengths: Sequence[int], phrase: int) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all windows within one text, under every mask, and the word each starts at; and of all
+    windows of the given lengths, those of fewer than ``phrase`` words only if they are the whole text."""
     hashes, starts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for number, mask in enumerate(masks):
         h = masked(words.hash, mask, number)
@@ -44,6 +49,14 @@ def _seeds(words: Words, masks: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray
             at = np.flatnonzero(words.row[: len(h)] == words.row[len(mask) - 1 :])
             hashes.append(h[at])
             starts.append(at)
+    counts = np.diff(words.first)
+    for length in lengths:
+        h = masked(words.hash, "1" * length, len(masks) + length)
+        if len(h):
+            row = words.row[: len(h)]
+            at = np.flatnonzero((row == words.row[length - 1 :]) & ((counts[row] == length) | (length >= phrase)))
+            hashes.append(h[at])
+            starts.append(at)
     return np.concatenate(hashes), np.concatenate(starts)
 
 
@@ -60,7 +73,7 @@ def _hit_struct(hashes: np.ndarray, pos: np.ndarray, counts: np.ndarray) -> pa.A
     return pa.ListArray.from_arrays(pa.array(offsets), pairs)
 
 
-def _seed_rows(frame: DataFrame, masks: tuple[str, ...], wanted=None) -> DataFrame:
+def _seed_rows(frame: DataFrame, masks: tuple[str, ...], lengths: Sequence[int], phrase: int, wanted=None) -> DataFrame:
     """Per row with seeds its id, the hashes of its words and its seeds; only seeds that pass the filter, if given."""
     kind = frame.schema["id"].dataType.simpleString()
 
@@ -68,7 +81,7 @@ def _seed_rows(frame: DataFrame, masks: tuple[str, ...], wanted=None) -> DataFra
         for batch in batches:
             for first, data, offsets in text_slices(batch):
                 words = Words(data, offsets, lower=True)
-                hashes, at = _seeds(words, masks)
+                hashes, at = _seeds(words, masks, lengths, phrase)
                 if wanted is not None:
                     passed = in_filter(wanted.value, hashes)
                     hashes, at = hashes[passed], at[passed]
@@ -122,17 +135,21 @@ def overlaps(
     Both sides' windows are hashed under the masks. The benchmark's hashes fill a bit array of fixed size, which
     lets each task drop nearly all hashes of documents; what is left joins the benchmark's hashes
     as a table of any size. Each alignment that a hit proposes is verified word by word: the overlap
-    counts if at least ``min_matches`` words agree and they are at least ``min_share`` of it.
+    counts if at least ``min_matches`` words agree (``min_share`` of an item's words, if that is fewer) and they are at
+    least ``min_share`` of it. An item shorter than the masks has the hash of all its words instead, and all must agree; one
+    of fewer than ``PHRASE`` words is found only as a whole document.
 
-    Words are compared with A-Z lowered. Null or empty texts, items and documents shorter than a mask, and empty tables
-    give no row. Repeated rows each give their own rows; an item that two ids share gives rows for both.
+    Words are compared with A-Z lowered. Null or empty texts and empty tables give no row. Repeated rows each give their own rows; an item that two ids share gives rows for both.
     """
     spark = docs.sparkSession
     prepare(spark)
-    items = pin(_seed_rows(_table(benchmark, item_column, item_text_column), masks))
+    span = min(map(len, masks))
+    items = pin(_seed_rows(_table(benchmark, item_column, item_text_column), masks, range(1, span), span))
+    sizes = items.select((F.octet_length("words") / 8).cast("int").alias("n")).where(F.col("n") < span).distinct()
+    lengths = sorted(r.n for r in sizes.collect())
     item_seeds = items.select(F.col("id").alias("item_id"), F.inline("hits")).withColumnRenamed("pos", "item_pos").distinct()
     wanted = spark.sparkContext.broadcast(bit_filter(item_seeds, filter_bits))
-    found = _seed_rows(_table(docs, id_column, text_column), masks, wanted)
+    found = _seed_rows(_table(docs, id_column, text_column), masks, lengths, PHRASE, wanted)
     found = pin(found.withColumn("row", F.monotonically_increasing_id()))
     hits = found.select("row", F.inline("hits"))
     aligned = hits.join(item_seeds, "hash").select("row", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"))
@@ -150,7 +167,7 @@ def overlaps(
                 item = np.frombuffer(theirs[i].as_buffer(), np.uint64)
                 shift = shifts[i].as_py()
                 start, end, matched = best_overlap(doc, item, shift, min_share)
-                if matched >= min_matches:
+                if matched >= (len(item) if len(item) < span else min(min_matches, math.ceil(min_share * len(item) - 1e-9))):
                     kept.append(i)
                     rows.append((start + shift, end + shift, start, end, matched))
             if kept:

@@ -229,6 +229,17 @@ def test_overlap_edges(spark):
     assert len(de.decontaminated(docs, bench.limit(0)).collect()) == 4
 
 
+def test_short_items_are_found(spark):
+    nine, five, two = "One two three four five six seven eight nine", "what is the capital city", "yes no"
+    ten = "the quick brown fox jumps over lazy dogs every morning"
+    bench = frame(spark, [(1, nine), (2, five), (3, two), (4, ""), (5, None), (6, ten)], "item_id bigint, text string")
+    docs = [(1, nine.upper()), (2, f"before {nine} after"), (3, f"so {five} of it"), (4, two), (5, f"say {two} now"), (6, "what is the capital")]
+    docs += [(7, nine.replace("four", "x")), (8, ten.replace("quick", "x").replace("brown", "y"))]
+    found = {(r.doc_id, r.item_id, r.doc_start, r.doc_end, r.n_matched) for r in de.overlaps(docs_of(spark, docs), bench).collect()}
+    assert found == {(1, 1, 0, 9, 9), (2, 1, 1, 10, 9), (3, 2, 1, 6, 5), (4, 3, 0, 2, 2), (8, 6, 0, 10, 8)}
+    assert {r.doc_id for r in de.decontaminated(docs_of(spark, docs), bench).collect()} == {5, 6, 7}
+
+
 def test_registered_overlaps(spark, sf_dir):
     """Every item that a document holds ten words of in a row is found, and nothing else."""
     bench = [(r.item_id, lowered(r.text)) for r in read(spark, sf_dir, "benchmark").collect()]
