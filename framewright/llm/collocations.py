@@ -21,15 +21,13 @@ from pyspark.sql import functions as F
 
 from framewright.llm.components import prepare, stored
 from framewright.llm.text import text_slices
+from framewright.llm.tokens import binary_array, lower_runs
 
 #: What parts words, and what ends a piece of text besides.
 _GAP = np.zeros(256, bool)
 _GAP[[0x20, 0x09]] = True
 _STOP = np.zeros(256, bool)
 _STOP[[*b".,;:!?", 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-
 #: Bytes of text whose phrases a task counts before it hands them on. It bounds memory and changes no result.
 CHUNK_BYTES = 16 << 20
 #: Phrases drawn for each range of an order; they only deal rows out evenly.
@@ -41,29 +39,10 @@ STREAM_ROWS = 1 << 16
 _END = b"\t"
 
 
-def _binary(lengths: np.ndarray, data: np.ndarray) -> pa.Array:
-    offsets = np.zeros(len(lengths) + 1, np.int32)
-    np.cumsum(lengths, out=offsets[1:])
-    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-
-
 def piece_words(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
     """The lower-cased words of some texts, and of each whether the next one follows in the same piece."""
     stop = _STOP[data]
-    word = ~(stop | _GAP[data])
-    begins = word.copy()
-    begins[1:] &= ~word[:-1]
-    cuts = offsets[:-1]
-    cuts = cuts[cuts < len(data)]
-    begins[cuts] = word[cuts]
-    start = np.flatnonzero(begins)
-    ends = word.copy()
-    ends[:-1] &= ~word[1:]
-    cuts = offsets[1:]
-    cuts = cuts[cuts > 0] - 1
-    ends[cuts] = word[cuts]
-    end = np.flatnonzero(ends) + 1
-    words = _binary(end - start, _LOWER[data[word]])
+    start, end, words = lower_runs(data, offsets, ~(stop | _GAP[data]))
     joined = np.zeros(len(start), bool)
     if len(start) > 1:
         stops = np.cumsum(stop, dtype=np.int32)
@@ -232,7 +211,7 @@ class _Runs:
 def _prefix_change(keys: pa.Array, lengths: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Where the first ``lengths`` bytes of a key differ from those of the key before; the first counts as different."""
     inside = np.arange(len(data)) - np.repeat(offsets[:-1], np.diff(offsets)) < np.repeat(lengths, np.diff(offsets))
-    return _change(_binary(lengths, data[inside]))
+    return _change(binary_array(lengths, data[inside]))
 
 
 def _change(values: pa.Array) -> np.ndarray:
