@@ -6,7 +6,7 @@ import importlib
 
 from framewright.llm.registry import ORACLES, QUERIES, Query
 
-MODULES = ("map_queries", "url_queries", "dedup_queries", "ranking_queries")
+MODULES = ("map_queries", "url_queries", "dedup_queries", "ranking_queries", "chat_queries")
 
 
 def _load() -> None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from framewright.llm.collocations import collocations
+from framewright.llm.lexical import ranked_search
 from framewright.llm.registry import query, read
 
 COLLOCATIONS_SQL = r"""
@@ -42,3 +43,29 @@ FROM ranked r JOIN words w ON w.lang = r.lang WHERE rank <= 2000
 @query("op11_collocations", COLLOCATIONS_SQL)
 def op11_collocations(spark, sf_dir):
     return collocations(read(spark, sf_dir, "documents"))
+
+
+SEARCH_SQL = r"""
+WITH terms AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+lengths AS (SELECT doc_id, count(*) AS n FROM terms GROUP BY doc_id),
+sizes AS (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM lengths),
+postings AS (SELECT term, doc_id, count(*) AS tf FROM terms GROUP BY ALL),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w
+  FROM postings, sizes GROUP BY term, docs),
+asked AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+scored AS (
+  SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // words))))::BIGINT AS score
+  FROM asked JOIN postings USING (term) JOIN weights USING (term) JOIN lengths USING (doc_id), sizes GROUP BY item_id, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@query("op13_lexical_search", SEARCH_SQL)
+def op13_lexical_search(spark, sf_dir):
+    return ranked_search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
