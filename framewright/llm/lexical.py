@@ -162,7 +162,7 @@ def _rank(index: DataFrame, queries: list[tuple[object, list[int]]], item_type:
                 m = 10 + (90 * words.to_numpy(zero_copy_only=False) * n_docs) // n_words
                 adds = weights[term] * ((1_000_000_000 * tf) // (1000 * tf + 8 * m[doc]))
                 new = np.flatnonzero(np.r_[True, term[1:] != term[:-1]]) if len(term) else np.zeros(0, np.int64)
-                ends = np.r_[new[1:], len(term)]
+                ends = np.r_[new[1:], len(term)][: len(new)]
                 lists = {int(t): (doc[a:b], adds[a:b]) for t, a, b in zip(term[new].tolist(), new.tolist(), ends.tolist(), strict=True)}
                 for own, (_, terms) in zip(best, queries, strict=True):
                     bar = own.bar()
