@@ -124,16 +124,16 @@ def _drawn_bounds(keys: DataFrame, parts: int) -> list[tuple[str, str]]:
 
 
 def phrase_bounds(docs: DataFrame, parts: int) -> list[tuple[str, str]]:
-    """Bounds of ranges of phrases, from every eighth phrase of some texts drawn at random."""
+    """Bounds of ranges of phrases, from some phrases of some texts drawn at random."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         random = np.random.default_rng(1)
         for lang, words, joined, _ in _language_slices(batches):
             found = Phrases([words], [joined])
-            at = random.integers(0, len(found), len(found) // 8 + 1)
+            at = random.integers(0, len(found), len(found) // 128 + 1)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), found.text(0, len(found)).take(pa.array(at))], ["lang", "key"])
 
-    share = min(1.0, DRAWS * parts / 16 / max(docs.count(), 1))
+    share = min(1.0, DRAWS * parts / max(docs.count(), 1))
     return _drawn_bounds(_texts(docs).sample(share, 1).mapInArrow(run, "lang string, key string"), parts)
 
 
