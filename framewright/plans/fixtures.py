@@ -93,6 +93,7 @@ def session_events_view(events: DataFrame) -> DataFrame:
         F.when(kind == "click", "new")
         .when(kind == "signup", "resolve")
         .when(kind == "error", "reset")
+        .when(kind == "tick", "tick")
         .otherwise("message")
         .alias("kind"),
         F.when((kind == "signup") & (F.col("event_id") % 4 != 0), client_uuid(F.col("event_id"))).alias("device_id"),

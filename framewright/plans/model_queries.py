@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from framewright.functions.arrays import one_hot
 from framewright.operators import background as bg
+from framewright.operators import messages as ms
 from framewright.operators import dataset as ds
 from framewright.operators import handlers as ha
 from framewright.operators import scoring as so
@@ -270,15 +271,35 @@ def background_subtraction(spark, sf_dir):
     return masks.select("device", "tile", "ts", "event_id", F.hex("mask").alias("mask"), "foreground")
 
 
-@query("motion_alerts")
-def motion_alerts(spark, sf_dir):
+def _motion_notifications(spark, sf_dir):
     """Background model, motion filter and outgoing notifications in one plan."""
     frames = fx.video(spark, sf_dir)
     moving = bg.motion_frames(video_bytes(frames), FRAME_PIXELS, TILE_PIXELS, MOTION_PIXELS)
-    sent = notification_messages(
-        moving, fx.client_uuid(F.col("device")), fx.BATCH_SIZE, fx.BATCH_WINDOW, frames
-    )
-    return sent.select("conn", "window_start", "batch", F.hex("data").alias("data"))
+    return notification_messages(moving, fx.client_uuid(F.col("device")), fx.BATCH_SIZE, fx.BATCH_WINDOW, frames)
+
+
+@query("motion_alerts")
+def motion_alerts(spark, sf_dir):
+    """The notifications as they go out."""
+    return _motion_notifications(spark, sf_dir).select("conn", "window_start", "batch", F.hex("data").alias("data"))
+
+
+@query(
+    "motion_pipeline",
+    background_sql(f""", moving AS (
+        SELECT device, ts, event_id FROM st JOIN seen USING (device, n) GROUP BY ALL HAVING sum(fg) > {MOTION_PIXELS}),
+      placed AS (
+        SELECT *, row_number() OVER (PARTITION BY device, date_trunc('day', ts) ORDER BY ts, event_id) - 1 AS rn FROM moving)
+      SELECT device AS conn, date_trunc('day', ts) AS window_start, CAST(rn // {fx.BATCH_SIZE} AS BIGINT) AS batch,
+        {fx.UUID_SQL.format('device')} AS client_uuid, string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY rn) AS ids
+      FROM placed GROUP BY device, date_trunc('day', ts), rn // {fx.BATCH_SIZE}"""),
+)
+def motion_pipeline(spark, sf_dir):
+    """The notifications of frames with motion, decoded as the server would."""
+    sent = _motion_notifications(spark, sf_dir)
+    decoded = ms.decode_messages(sent.withColumn("wire", F.substr(F.col("data"), F.lit(5))))
+    ids = F.from_json("body", "array<struct<event_id:bigint>>")["event_id"].cast("array<string>")
+    return decoded.select("conn", "window_start", "batch", "client_uuid", F.array_join(ids, ",").alias("ids"))
 
 
 @query(

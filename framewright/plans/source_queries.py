@@ -10,10 +10,9 @@ from framewright.plans import fixtures as fx
 from framewright.plans.dataset_queries import PERCENT_SPLIT_SQL, SEED
 from framewright.plans.fixtures import with_views
 from framewright.plans.registry import query
-from framewright.plans.stream_queries import events_stream
+from framewright.plans.stream_queries import DELAY, WINDOW_DELAY, events_stream
 from framewright.session import work_path
 from framewright.sources import image_folders, sinks, tables, tensor_records
-from framewright.streaming.runner import replay
 
 
 def image_bytes(pixels):
@@ -182,11 +181,9 @@ def fan_out_sinks(spark, sf_dir):
 )
 def notification_sink(spark, sf_dir):
     """Frames out as framed messages, then decoded as the server would."""
-    path = work_path(spark, "notify")
-    frames = fx.frames_view(events_stream(spark, sf_dir))
-    sink = sinks.notification_sink(f"{path}/out", fx.client_uuid(F.col("device")), fx.BATCH_SIZE, fx.BATCH_WINDOW)
-    replay(frames, sink, f"{path}/checkpoint")
-    sent = spark.read.parquet(f"{path}/out")
+    frames = fx.frames_view(events_stream(spark, sf_dir, delay=WINDOW_DELAY))
+    uuid = fx.client_uuid(F.col("device"))
+    sent = sinks.notification_sink(frames, work_path(spark, "notify"), uuid, fx.BATCH_SIZE, fx.BATCH_WINDOW, DELAY)
     decoded = ms.decode_messages(sent.withColumn("wire", F.substr(F.col("data"), F.lit(5))))
     frame = "array<struct<ts:string,event_id:bigint,value:double>>"
     ids = F.from_json("body", frame)["event_id"].cast("array<string>")

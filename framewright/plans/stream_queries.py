@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from framewright.operators import frames as fr
 from framewright.plans import fixtures as fx
 from framewright.plans.fixtures import with_views
 from framewright.plans.frame_queries import THROTTLE_SQL, TIMED_BATCHES_SQL, batch_summary
@@ -16,23 +17,36 @@ from framewright.sources.frames import frame_stream_scan
 from framewright.streaming import frames as sf
 from framewright.streaming import messages as sm
 from framewright.streaming import sessions as ss
-from framewright.streaming.runner import replay_to_table
+from framewright.streaming.runner import replay_stopping, replay_to_table, write_batch
 
 EVENTS_SCHEMA = (
     "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 )
 
 
-def land(rows: DataFrame, groups: Column | None = None) -> str:
+#: Rows of a landed file, about.
+FILE_ROWS = 4_000_000
+#: How far behind the newest row a group of devices may land: half of the table's thirty days, and some.
+DELAY = "16 days"
+#: The last event's window, a day at most, ends within this.
+WINDOW_DELAY = "17 days"
+#: No connection is silent for so long; so all are open until the closing row.
+PATIENCE = "40 days"
+
+
+def land(rows: DataFrame, groups: Column | None = None, delay: str | None = None) -> str:
     """Write a table as the files of a stream and return their folder.
 
     First comes a file whose only row has no time, so a micro-batch that is empty once filtered. Then the
-    rows in time order: without ``groups`` in three files, with it in two halves of a file for either group. Each
-    key's rows stay in time order, which is the order that the SQL assumes; between keys they do not.
+    rows in time order: without ``groups`` in three slices, with it in two halves of a slice for either group. Each
+    key's rows stay in time order, which is the order that the SQL assumes; between keys they do not. With a
+    ``delay`` the last file has one row of type ``tick``, so much later than the last event that nothing waits any more.
+    A slice is a file for every FILE_ROWS rows of it.
     """
     path = work_path(rows.sparkSession, "landed")
-    first, last = rows.agg(F.min("ts"), F.max("ts")).first()
-    files = [rows.limit(1).withColumn("ts", F.lit(None).cast("timestamp_ntz"))]
+    first, last, n = rows.agg(F.min("ts"), F.max("ts"), F.count("*")).first()
+    nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in rows.schema]
+    files = [rows.limit(1).select(nothing)]
     parts = 3 if groups is None else 2
     for i in range(parts):
         part = rows
@@ -41,15 +55,20 @@ def land(rows: DataFrame, groups: Column | None = None) -> str:
         if i < parts - 1:
             part = part.where(F.col("ts") < first + (i + 1) * (last - first) / parts)
         files += [part] if groups is None else [part.where(groups), part.where(~groups)]
-    for file in files:
-        file.coalesce(1).write.mode("append").parquet(path)
+    if delay is not None:
+        later = F.lit(last).cast("timestamp_ntz") + F.expr(f"INTERVAL {delay}") + F.expr("INTERVAL 1 MILLISECOND")
+        tick = {"ts": later, "event_id": F.lit(-1).cast("bigint"), "event_type": F.lit("tick")}
+        files.append(files[0].withColumns({c: v for c, v in tick.items() if c in rows.columns}))
+    for i, file in enumerate(files):
+        share = n // (len(files) * FILE_ROWS) + 1 if 0 < i else 1
+        file.repartition(share).write.mode("append").parquet(path)
     return path
 
 
-def events_stream(spark, sf_dir, in_order=False):
+def events_stream(spark, sf_dir, in_order=False, delay=None):
     """The events as a stream of one file a micro-batch; two device groups take turns unless ``in_order``."""
     groups = None if in_order else F.col("user_id") % 2 == 0
-    path = land(fx.table(spark, sf_dir, "events"), groups)
+    path = land(fx.table(spark, sf_dir, "events"), groups, delay)
     return frame_stream_scan(spark, path, EVENTS_SCHEMA, ("ts", "event_id"), max_files=1)
 
 
@@ -87,9 +106,8 @@ def stream_throttle(spark, sf_dir):
     ORACLES["grouped_within"],
 )
 def stream_grouped_within(spark, sf_dir):
-    batches = sf.stream_grouped_within(
-        fx.frames_view(events_stream(spark, sf_dir)), fx.BATCH_SIZE, fx.BATCH_WINDOW
-    )
+    frames = fx.frames_view(events_stream(spark, sf_dir, delay=WINDOW_DELAY))
+    batches = sf.stream_grouped_within(frames, fx.BATCH_SIZE, fx.BATCH_WINDOW, delay=DELAY)
     return batches.select(
         "device",
         "window_start",
@@ -109,14 +127,14 @@ def stream_grouped_within_timer(spark, sf_dir):
 
 @query("stream_session_machine", HISTORY_SQL)
 def stream_session_machine(spark, sf_dir):
-    events = fx.session_events_view(events_stream(spark, sf_dir, in_order=True))
-    return ss.stream_session_machine(events, fx.SESSION_TIMEOUT)
+    events = fx.session_events_view(events_stream(spark, sf_dir, delay=DELAY))
+    return ss.stream_session_machine(events, fx.SESSION_TIMEOUT, delay=DELAY)
 
 
 @query("stream_session_gate", GATE_SQL)
 def stream_session_gate(spark, sf_dir):
-    events = fx.session_events_view(events_stream(spark, sf_dir, in_order=True))
-    return ss.stream_session_gate(events, fx.SESSION_TIMEOUT, fx.CHECK_DELAY)
+    events = fx.session_events_view(events_stream(spark, sf_dir, delay=DELAY))
+    return ss.stream_session_gate(events, fx.SESSION_TIMEOUT, fx.CHECK_DELAY, delay=DELAY)
 
 
 @query("stream_chunk_total", CHUNK_TOTAL_SQL)
@@ -126,8 +144,8 @@ def stream_chunk_total(spark, sf_dir):
 
 @query("stream_failure_breaker", ORACLES["host_failure_breaker"])
 def stream_failure_breaker(spark, sf_dir):
-    failures = fx.host_failures_view(events_stream(spark, sf_dir, in_order=True))
-    return sm.stream_failure_breaker(failures, fx.BREAKER_MAX, fx.BREAKER_WINDOW)
+    failures = fx.host_failures_view(events_stream(spark, sf_dir))
+    return sm.stream_failure_breaker(failures, fx.BREAKER_MAX, fx.BREAKER_WINDOW, delay=DELAY)
 
 
 def two_sided(events):
@@ -151,9 +169,10 @@ def two_sided(events):
     ),
 )
 def stream_request_reply(spark, sf_dir):
-    path = land(two_sided(fx.table(spark, sf_dir, "events")), F.col("conn") % 2 == 0)
+    path = land(two_sided(fx.table(spark, sf_dir, "events")), F.col("conn") % 2 == 0, "57 days")
     schema = "conn bigint, ts timestamp_ntz, event_id bigint, side string"
-    return known_ids(sm.stream_request_reply(frame_stream_scan(spark, path, schema, ("ts",), max_files=1)))
+    log = frame_stream_scan(spark, path, schema, ("ts",), max_files=1)
+    return known_ids(sm.stream_request_reply(log, close_after=PATIENCE, delay=DELAY))
 
 
 @query(
@@ -161,7 +180,9 @@ def stream_request_reply(spark, sf_dir):
     ORACLES["client_frame_counters"],
 )
 def stream_resume(spark, sf_dir):
-    """Two runs over one checkpoint: the second must add nothing twice."""
+    """A run that stops in mid-stream, one that goes on to the end, and one that must add nothing."""
     path, events = work_path(spark, "resume"), events_stream(spark, sf_dir)
+    counters = fr.client_frame_counters(fx.frames_view(events))
+    replay_stopping(counters, lambda b, i: write_batch(b, f"{path}/out", i), f"{path}/checkpoint", 2, "update")
     sf.stream_frame_counters(fx.frames_view(events), path)
     return sf.stream_frame_counters(fx.frames_view(events), path)

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from framewright.functions.scalar import from_micros
 from framewright.operators import frames as fr
 from framewright.operators.batching import collect_batches
 from framewright.streaming import keyed as kd
@@ -27,36 +26,40 @@ def stream_throttle(
     return kd.run_keyed(frames, [key], step, T.StructType(fields), step.state, kd.fresh(frames.sparkSession, path, "throttle"))
 
 
-def stream_grouped_within(
-    frames: DataFrame, size: int, window: str, path: str | None = None, key: str = "device"
-) -> DataFrame:
-    """Batches in the order they close; what still waits at the end leaves as short batches.
+#: Times inside a batch keep their microseconds.
+_JSON = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
 
-    A client's window closes when a frame of a later one comes. A frame of a window that has closed is not
-    dropped: it leaves at once, in a batch whose number is null.
+def grouped_batches(frames: DataFrame, size: int, window: str, key: str = "device", delay: str = "0 seconds") -> DataFrame:
+    """A stream of batches, each at most ``size`` frames of one client within one time window, numbered in the window.
+
+    Full batches leave at once, what else waits when the watermark, the latest time less ``delay``, passes the window's end;
+    that needs no later frame of the client. Frames that come after their window has closed are dropped and counted.
     """
     spark = frames.sparkSession
-    path = kd.fresh(spark, path, "grouped")
     width = spark.range(1).select(F.expr(f"timestampdiff(MICROSECOND, timestamp_seconds(0), timestamp_seconds(0) + interval {window})")).first()[0]
-    step = kd.GroupedWithin(key, size, width)
+    rest = [c for c in frames.columns if c not in (key, "ts", "event_id")]
+    payload = F.struct("ts", "event_id", *rest)
+    slim = frames.select(key, F.col("ts").cast("timestamp").alias("ts"), "event_id", F.to_json(payload, _JSON).alias("payload"))
     fields = [
         *kd._fields(frames, key),
         T.StructField("window_start", T.TimestampNTZType()),
         T.StructField("batch", T.LongType()),
         T.StructField("frames", T.StringType()),
     ]
-    slim = frames.select(key, "ts", "event_id")
-    closed = kd.run_keyed(slim, [key], step, T.StructType(fields), step.state, path)
-    closed = closed.withColumn("frames", F.from_json("frames", "array<struct<ts: bigint, event_id: bigint>>"))
-    tail = kd.open_windows(path, spark, key).select(
-        F.col(key).cast(frames.schema[key].dataType).alias(key),
-        from_micros(F.col("s.start")).alias("window_start"),
-        F.col("s.batch").alias("batch"),
-        F.transform("s.frames", lambda f: F.struct(f[0].alias("ts"), f[1].alias("event_id"))).alias("frames"),
-    )
-    rows = closed.unionByName(tail).withColumn("n", F.size("frames").cast("bigint"))
-    timed = F.transform("frames", lambda f: F.struct(from_micros(f["ts"]).alias("ts"), f["event_id"].alias("event_id")))
-    return rows.select(key, "window_start", "batch", "n", timed.alias("frames"))
+    step = kd.GroupedWithin(key, size, width)
+    batches = kd.keyed(slim.withWatermark("ts", delay), [key], step, T.StructType(fields), step.state, watermark=True)
+    kind = f"array<{frames.select(payload.alias('p')).schema['p'].dataType.simpleString()}>"
+    batches = batches.withColumn("frames", F.from_json("frames", kind, _JSON))
+    return batches.select(key, "window_start", "batch", F.size("frames").cast("bigint").alias("n"), "frames")
+
+
+def stream_grouped_within(
+    frames: DataFrame, size: int, window: str, path: str | None = None, key: str = "device", delay: str = "0 seconds"
+) -> DataFrame:
+    """The batches of ``grouped_batches`` as a table."""
+    path = kd.fresh(frames.sparkSession, path, "grouped")
+    return replay_to_table(grouped_batches(frames, size, window, key, delay), path).drop("batch_id")
 
 
 def stream_grouped_within_timer(frames: DataFrame, size: int, seconds: float, path: str | None = None) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Each operator is a function of one key's new rows and its state, which Spark keeps in its RocksDB store: a
 micro-batch touches the state of the keys it holds and no other. Rows of a key are taken in the order they
-arrive, inside a micro-batch by (ts, event_id); nothing is late and nothing is dropped. A key's rows
+arrive, inside a micro-batch by (ts, event_id). Without a timer nothing is late and nothing is dropped; operators with
+one follow the watermark, and rows that it has passed are dropped and counted. A key's rows
 of one micro-batch are in one task: ``max_files`` of the source bounds them.
 """
 
@@ -16,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from framewright.operators.background import MixtureParams, PixelMixture
@@ -39,18 +41,44 @@ def _whole_numbers_as_text(df: DataFrame, spare: Sequence[str] = ("event_id",))
     )
 
 
-def run_keyed(
-    stream: DataFrame, keys: Sequence[str], step: Step, out: T.StructType, state: str, path: str, watermark: bool = False
-) -> DataFrame:
-    """Replay a stream through ``step`` and return the rows of all micro-batches in the types of ``out``."""
-    spark = stream.sparkSession
-    ship_package(spark)
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
+def keyed(stream: DataFrame, keys: Sequence[str], step: Step, out: T.StructType, state: str, watermark: bool = False) -> DataFrame:
+    """A stream through ``step``, in the types of ``out``. With ``watermark`` a key may set an event-time timer."""
+    spark = _prepared(stream)
     guarded = _whole_numbers_as_text(spark.createDataFrame([], out)).schema
     timeout = GroupStateTimeout.EventTimeTimeout if watermark else GroupStateTimeout.NoTimeout
     rows = _whole_numbers_as_text(stream).groupBy(*keys).applyInPandasWithState(step, guarded, state, "append", timeout)
-    written = replay_to_table(rows, path)
-    return written.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in out])
+    return _typed(rows, out)
+
+
+def processed(stream: DataFrame, keys: Sequence[str], processor: StatefulProcessor, out: T.StructType) -> DataFrame:
+    """A stream with a watermark through a processor with states and timers of its own, in the types of ``out``."""
+    spark = _prepared(stream)
+    guarded = _whole_numbers_as_text(spark.createDataFrame([], out)).schema
+    rows = _whole_numbers_as_text(stream).groupBy(*keys).transformWithStateInPandas(processor, guarded, "append", "EventTime")
+    return _typed(rows, out)
+
+
+def _prepared(stream: DataFrame):
+    spark = stream.sparkSession
+    ship_package(spark)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
+    return spark
+
+
+def _typed(rows: DataFrame, out: T.StructType) -> DataFrame:
+    return rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in out])
+
+
+def run_keyed(
+    stream: DataFrame, keys: Sequence[str], step: Step, out: T.StructType, state: str, path: str, watermark: bool = False
+) -> DataFrame:
+    """Replay a stream through ``step`` and return the rows of all micro-batches."""
+    return replay_to_table(keyed(stream, keys, step, out, state, watermark), path).select(*out.names)
+
+
+def timeout_ms(state: GroupState, us: int) -> None:
+    """Let the key be called once the watermark has reached a time in microseconds."""
+    state.setTimeoutTimestamp(max(-(-us // 1000) - 1, state.getCurrentWatermarkMs()))
 
 
 def _fields(df: DataFrame, *names: str) -> list[T.StructField]:
@@ -93,7 +121,8 @@ class Throttle:
 
 
 class GroupedWithin:
-    """State: the open window, how many of its batches left, and its waiting frames, fewer than a batch, as JSON."""
+    """State: the open windows as JSON, each with the number of its next batch and its waiting frames, fewer than a
+    batch. The key's timer is the end of the first open window; it flushes the frames that wait."""
 
     state = "open string"
 
@@ -101,34 +130,36 @@ class GroupedWithin:
         self.key, self.size, self.width = key, size, width
 
     def __call__(self, key, pieces, state):
-        rows = _in_order(pieces)
-        us, ids = _us(rows["ts"]), rows["event_id"].to_numpy()
-        start = us // self.width * self.width
-        held = json.loads(state.get[0]) if state.exists else None
-        last = int(start.max()) if held is None else max(int(start.max()), held["start"])
+        held = json.loads(state.get[0]) if state.exists else {}
         out = []
-        for window in sorted({*start.tolist(), *([held["start"]] if held else [])}):
-            mine = start == window
-            frames = list(zip(us[mine].tolist(), ids[mine].tolist(), strict=True))
-            number: int | None = 0
-            if held is not None and window == held["start"]:
-                number, frames = held["batch"], [tuple(f) for f in held["frames"]] + frames
-            elif held is not None and window < held["start"]:
-                number = None  # its window has passed: such frames leave at once, in batches without a number
-            full = len(frames) if window < last else len(frames) // self.size * self.size
-            for i in range(0, full, self.size):
-                out.append((window, None if number is None else number + i // self.size, frames[i : min(i + self.size, full)]))
-            if window == last:
-                held_next = {"start": window, "batch": (number or 0) + full // self.size, "frames": frames[full:]}
-        state.update((json.dumps(held_next),))
-        yield pd.DataFrame(
-            {
-                self.key: [key[0]] * len(out),
-                "window_start": _times(np.array([w for w, _, _ in out], np.int64)),
-                "batch": [None if b is None else str(b) for _, b, _ in out],
-                "frames": [json.dumps([{"ts": t, "event_id": e} for t, e in f]) for _, _, f in out],
-            }
-        )
+        if not state.hasTimedOut:
+            rows = _in_order(pieces)
+            start, payloads = _us(rows["ts"]) // self.width * self.width, rows["payload"].to_numpy(object)
+            for window in np.unique(start).tolist():
+                entry = held.setdefault(str(window), [0, []])
+                entry[1] += payloads[start == window].tolist()
+                while len(entry[1]) >= self.size:
+                    out.append((window, entry[0], entry[1][: self.size]))
+                    entry[0], entry[1] = entry[0] + 1, entry[1][self.size :]
+        now = state.getCurrentWatermarkMs() * 1000
+        for window in sorted(w for w in map(int, held) if w + self.width <= now):
+            number, frames = held.pop(str(window))
+            if frames:
+                out.append((window, number, frames))
+        if held:
+            state.update((json.dumps(held),))
+            timeout_ms(state, min(map(int, held)) + self.width)
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(
+                {
+                    self.key: [key[0]] * len(out),
+                    "window_start": _times(np.array([w for w, _, _ in out], np.int64)),
+                    "batch": [str(b) for _, b, _ in out],
+                    "frames": ["[" + ",".join(f) + "]" for _, _, f in out],
+                }
+            )
 
 
 class TimedBatches:
@@ -197,43 +228,80 @@ class ChunkStreams:
         )
 
 
-class RequestReply:
-    """State: commands and replies so far, and the rows of the side that is ahead, packed.
+class RequestReply(StatefulProcessor):
+    """State per connection: how many commands and replies came, and those of the side that is ahead by their number.
 
-    Gives each command once when it waits beyond its micro-batch, and once when it is answered.
+    A micro-batch writes what begins or ends to wait in it, and no more. Only what comes in different micro-batches is
+    stored at all. A connection without rows for ``close_after`` of event time closes: its unanswered commands
+    fail, and replies without a command go.
     """
 
-    state = "n_cmd bigint, n_reply bigint, ids binary, times binary"
-
-    def __call__(self, key, pieces, state):
-        rows = _in_order(pieces)
-        n_cmd, n_reply, ids, times = state.get if state.exists else (0, 0, b"", b"")
-        held = np.frombuffer(ids, np.int64), np.frombuffer(times, np.int64)
-        none = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        sides = {"cmd": held if n_cmd > n_reply else none, "reply": held if n_reply > n_cmd else none}
-        for side, (i, t) in sides.items():
-            own = rows[rows["side"] == side]
-            sides[side] = np.concatenate([i, own["event_id"].to_numpy(np.int64)]), np.concatenate([t, _us(own["ts"])])
-        (ci, ct), (ri, rt) = sides["cmd"], sides["reply"]
-        done = min(int(n_cmd), int(n_reply))
-        k = min(len(ci), len(ri))
-        already = max(0, int(n_cmd) - int(n_reply))
-        new = np.arange(max(k, already), len(ci))
-        seq = done + np.r_[np.arange(k), new].astype(np.int64)
-        rest = (ci[k:], ct[k:]) if len(ci) > k else (ri[k:], rt[k:])
-        state.update((done + len(ci), done + len(ri), rest[0].tobytes(), rest[1].tobytes()))
-        gap = [None] * len(new)
-        yield pd.DataFrame(
+    def __init__(self, close_after_ms: int):
+        self.close_after = close_after_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.counts = handle.getValueState("counts", "n_cmd bigint, n_reply bigint, closes bigint")
+        self.waiting = handle.getMapState("waiting", "seq bigint", "id bigint, us bigint")
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803
+        rows = _in_order(rows)
+        n_cmd, n_reply, closes = map(int, self.counts.get()) if self.counts.exists() else (0, 0, 0)
+        first = {"cmd": n_cmd, "reply": n_reply}
+        new, us = {}, _us(rows["ts"])
+        for side in first:
+            own = (rows["side"] == side).to_numpy()
+            new[side] = list(zip(rows["event_id"][own].tolist(), us[own].tolist(), strict=True))
+        end = {side: first[side] + len(new[side]) for side in first}
+
+        def take(side: str, seq: int):
+            if seq >= first[side]:
+                return new[side][seq - first[side]]
+            found = self.waiting.getValue((seq,))
+            self.waiting.removeKey((seq,))
+            return tuple(map(int, found))
+
+        done = range(min(first.values()), min(end.values()))
+        pairs = [(seq, *take("cmd", seq), *take("reply", seq)) for seq in done]
+        for side in first:
+            for seq in range(max(first[side], done.stop), end[side]):
+                self.waiting.updateValue((seq,), new[side][seq - first[side]])
+        later = max(closes, (int(us.max()) if len(us) else 0) // 1000 + self.close_after)
+        self.counts.update((end["cmd"], end["reply"], later))
+        if later != closes:
+            if closes:
+                self.handle.deleteTimer(closes)
+            self.handle.registerTimer(later)
+        if pairs:
+            yield self.frame(key, pairs, "answered", None)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        n_cmd, n_reply, _ = map(int, self.counts.get())
+        left = [(seq, *map(int, self.waiting.getValue((seq,)))) for seq in range(n_reply, n_cmd)]
+        self.waiting.clear()
+        last = max(n_cmd, n_reply)
+        self.counts.update((last, last, 0))
+        if left:
+            yield self.frame(key, [(*x, None, None) for x in left], "failed", "ConnectionClosed")
+
+    def frame(self, key, rows, status, reason):
+        seq, cmd, cmd_us, reply, reply_us = zip(*rows, strict=True)
+        return pd.DataFrame(
             {
                 "conn": [key[0]] * len(seq),
-                "seq": seq.astype(str),
-                "cmd_id": np.r_[ci[:k], ci[new]].astype(str),
-                "cmd_ts": _times(np.r_[ct[:k], ct[new]]),
-                "reply_id": [*ri[:k].astype(str), *gap],
-                "reply_ts": pd.Series([*_times(rt[:k]), *gap], dtype="datetime64[ns]"),
+                "seq": [str(s) for s in seq],
+                "cmd_id": [str(c) for c in cmd],
+                "cmd_ts": _times(np.array(cmd_us, np.int64)),
+                "reply_id": [None if r is None else str(r) for r in reply],
+                "reply_ts": pd.Series([None if t is None else pd.Timestamp(t, unit="us") for t in reply_us], dtype="datetime64[ns]"),
+                "status": status,
+                "reason": pd.Series([reason] * len(seq), dtype=object),
             }
         )
 
+    def close(self) -> None:
+        pass
+
 
 class FailureBreaker:
     """State per host and period: failures so far. It goes when the watermark passes the period."""
@@ -293,13 +361,5 @@ class Background:
         )
 
 
-def open_windows(path: str, spark, key: str) -> DataFrame:
-    """The waiting frames of a grouped stream, read from Spark's state store."""
-    state = spark.read.format("statestore").load(f"{path}/checkpoint")
-    text = F.col("value.groupState.open")
-    kind = "struct<start: bigint, batch: bigint, frames: array<array<bigint>>>"
-    return state.select(F.col(f"key.{key}").alias(key), F.from_json(text, kind).alias("s")).where("size(s.frames) > 0")
-
-
 def fresh(spark, path: str | None, name: str) -> str:
     return path or work_path(spark, name)

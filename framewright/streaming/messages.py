@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from framewright.functions.scalar import utf16_length
 from framewright.operators import messages as ms
 from framewright.streaming import keyed as kd
+from framewright.streaming.runner import replay_to_table
 
 _LONG, _TEXT, _TIME = T.LongType(), T.StringType(), T.TimestampNTZType()
 
@@ -51,22 +52,21 @@ def stream_failure_breaker(
     return kd.run_keyed(keyed, ["host", "start"], step, out, step.state, path, watermark=True)
 
 
-def stream_request_reply(log: DataFrame, path: str | None = None) -> DataFrame:
-    """Answered commands as replies come; commands left at the end fail.
+def stream_request_reply(
+    log: DataFrame, path: str | None = None, close_after: str = "4 seconds", delay: str = "0 seconds"
+) -> DataFrame:
+    """Commands as they are answered, first in first out, or fail.
 
-    ``log`` is the union of both streams with ``side`` = ``cmd`` or ``reply``.
+    ``log`` is the union of both streams with ``side`` = ``cmd`` or ``reply``; rows of another side only carry time on.
+    When a connection has had no row for ``close_after``, by the latest time less ``delay``, it closes and its unanswered
+    commands fail. Rows later than ``delay`` are dropped and counted.
     """
     out = _struct(
         ("conn", log.schema["conn"].dataType), ("seq", _LONG), ("cmd_id", _LONG), ("cmd_ts", _TIME),
-        ("reply_id", _LONG), ("reply_ts", _TIME),
+        ("reply_id", _LONG), ("reply_ts", _TIME), ("status", _TEXT), ("reason", _TEXT),
     )
-    step = kd.RequestReply()
-    rows = log.select("conn", "ts", "event_id", "side")
-    seen = kd.run_keyed(rows, ["conn"], step, out, step.state, kd.fresh(log.sparkSession, path, "replies"))
-    answered = seen.where(F.col("reply_id").isNotNull())
-    done = answered.select(F.col("conn").alias("_conn"), F.col("seq").alias("_seq"))
-    waiting = seen.where(F.col("reply_id").isNull())
-    left = waiting.join(done, F.col("conn").eqNullSafe(F.col("_conn")) & (F.col("seq") == F.col("_seq")), "left_anti")
-    return answered.select("*", F.lit("answered").alias("status"), F.lit(None).cast("string").alias("reason")).unionByName(
-        left.select("*", F.lit("failed").alias("status"), F.lit("ConnectionClosed").alias("reason"))
-    )
+    spark = log.sparkSession
+    patience = spark.range(1).select(F.expr(f"timestampdiff(MILLISECOND, timestamp_seconds(0), timestamp_seconds(0) + interval {close_after})")).first()[0]
+    rows = log.select("conn", F.col("ts").cast("timestamp").alias("ts"), "event_id", "side").withWatermark("ts", delay)
+    answered = kd.processed(rows, ["conn"], kd.RequestReply(patience), out)
+    return replay_to_table(answered, kd.fresh(spark, path, "replies")).select(*out.names)

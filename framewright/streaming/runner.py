@@ -1,23 +1,13 @@
-"""Running streams into tables, with or without state carried between micro-batches.
-
-Stateful operators here are the batch operators applied to each micro-batch, continued from a
-state table: batch N reads the state version N-1 and writes its rows and state version N, each
-under its batch id in the shared folder. A replayed batch overwrites its own versions, so the
-result is exactly-once, and a hot key is split inside a micro-batch as it is in batch. Nothing is
-cached: a micro-batch has fixed offsets, and reading a few columns again costs less than storing
-all of them on the executors.
-"""
+"""Running streams into tables."""
 
 from __future__ import annotations
 
-import datetime as dt
+import time
 from collections.abc import Callable
-from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from framewright.session import work_path
 
@@ -27,16 +17,51 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
-def replay(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
-    """Feed everything now available through ``sink`` and return when it is done."""
-    query: StreamingQuery = (
-        stream.writeStream.foreachBatch(sink)
-        .outputMode(mode)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+def run(writer: DataStreamWriter, checkpoint: str) -> int:
+    """Run a stream over everything now available; how many of its rows the watermark had passed and dropped."""
+    query = started(writer.option("checkpointLocation", checkpoint).trigger(availableNow=True))
     query.awaitTermination()
+    return late_rows(query)
+
+
+def started(writer: DataStreamWriter) -> StreamingQuery:
+    """Start a stream that remembers the progress of all its micro-batches."""
+    SparkSession.active().conf.set("spark.sql.streaming.numRecentProgressUpdates", str(1 << 20))
+    return writer.start()
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that the stateful operators of a query dropped because the watermark had passed them."""
+    operators = [o for p in query.recentProgress for o in p["stateOperators"]]
+    return sum(o["numRowsDroppedByWatermark"] for o in operators)
+
+
+def replay(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> int:
+    """Feed everything now available through ``sink`` and return when it is done: how many rows were late."""
+    return run(stream.writeStream.foreachBatch(sink).outputMode(mode), checkpoint)
+
+
+def replay_stopping(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, after: int, mode: str = "append") -> int:
+    """As ``replay``, but stop the query between two micro-batches once ``after`` of them are done; how many were.
+
+    What it has not seen is left for another run over the same checkpoint.
+    """
+    writer = stream.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", checkpoint)
+    done = 0
+    while done < after:
+        query = started(writer.trigger(processingTime="1 day"))  # a micro-batch at once, the next one a day later
+        while query.isActive and not any(p["numInputRows"] for p in query.recentProgress):
+            if query.status["message"].startswith("Waiting for next trigger") or query.exception():
+                break
+            time.sleep(0.02)
+        query.stop()
+        failed = query.exception()
+        if failed:
+            raise failed
+        if not any(p["numInputRows"] for p in query.recentProgress):
+            break
+        done += 1
+    return done
 
 
 def replay_to_table(stream: DataFrame, path: str | None = None, mode: str = "append") -> DataFrame:
@@ -55,56 +80,3 @@ def latest_per_key(updates: DataFrame, *keys: str) -> DataFrame:
         .agg(F.max_by(F.struct(*values), "batch_id").alias("_v"))
         .select(*keys, *[F.col(f"_v.{c}") for c in values])
     )
-
-
-@dataclass
-class Carried:
-    """A batch operator with carried state.
-
-    ``rows(batch, state, since)`` computes a micro-batch's rows from the previous state (None at
-    first) and the last event time before it. ``state(rows, state)`` derives the next state from
-    the rows as written, so nothing is computed twice. ``drop_late`` sends rows older than
-    ``since`` to the ``late`` table instead.
-    """
-
-    rows: Callable[[DataFrame, DataFrame | None, dt.datetime | None], DataFrame]
-    state: Callable[[DataFrame, DataFrame | None], DataFrame]
-    drop_late: bool = False
-
-
-def late_rows(spark: SparkSession, path: str) -> DataFrame | None:
-    """What a carried run under ``path`` set aside as late; None if it had no second micro-batch."""
-    try:
-        return spark.read.parquet(f"{path}/late")
-    except AnalysisException:
-        return None
-
-
-def run_carried(stream: DataFrame, op: Carried, path: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Replay a stream through a carried operator; the rows of all batches and the last state.
-
-    Only for operators whose rule is a clock common to all keys (sessions that time out); the others use
-    Spark's keyed state, see ``keyed``.
-    """
-    spark = stream.sparkSession
-    path = path or work_path(spark, "carried")
-
-    def on_batch(batch: DataFrame, batch_id: int) -> None:
-        session = batch.sparkSession
-        state, since = None, None
-        if batch_id > 0:
-            state = session.read.parquet(f"{path}/state/batch_id={batch_id - 1}")
-            since = session.read.parquet(f"{path}/clock/batch_id={batch_id - 1}").first()["ts"]
-            if op.drop_late and since is not None:
-                on_time = F.col("ts") >= F.lit(since).cast("timestamp_ntz")
-                write_batch(batch.where(~on_time), f"{path}/late", batch_id)
-                batch = batch.where(on_time)
-        write_batch(op.rows(batch, state, since), f"{path}/out", batch_id)
-        written = session.read.parquet(f"{path}/out/batch_id={batch_id}")
-        write_batch(op.state(written, state), f"{path}/state", batch_id)
-        last = F.max("ts") if since is None else F.greatest(F.max("ts"), F.lit(since).cast("timestamp_ntz"))
-        write_batch(batch.agg(last.alias("ts")), f"{path}/clock", batch_id)
-
-    replay(stream, on_batch, f"{path}/checkpoint")
-    done = spark.read.parquet(f"{path}/clock").agg(F.max("batch_id")).first()[0]
-    return spark.read.parquet(f"{path}/out"), spark.read.parquet(f"{path}/state/batch_id={done}")
