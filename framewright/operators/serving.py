@@ -25,7 +25,7 @@ def serve_messages(
     completed. A command inside a substream aborts it and is lost.
     """
     hot = hot_keys(session_events, ["addr"], hot_rows)
-    facts = session_facts(session_events, None, timeout, check_delay, hot)
+    facts = session_facts(session_events, timeout, check_delay, hot)
     opened = gate_open(facts).withColumnRenamed("addr", "conn")
     decoded = ms.decode_messages(wire).where(F.col("error").isNull())
     passed = lookup_join(decoded, opened, "conn", hot=hot and hot.renamed(conn=F.col("addr"))).where(F.col("ts") > F.col("open_ts"))

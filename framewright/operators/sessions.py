@@ -6,9 +6,6 @@ message kind) and ``device_id`` (null for a resolve that names no device).
 
 from __future__ import annotations
 
-import datetime as dt
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,29 +34,13 @@ def _base_change() -> Column:
     ).when(kind == "reset", _state("Expired"))
 
 
-def _merge(new: DataFrame, prev: DataFrame | None, earlier_wins: Sequence[str], later_wins: Sequence[str]) -> DataFrame:
-    """Per-address facts of a batch with those of the batches before."""
-    if prev is None:
-        return new
-    names = [*earlier_wins, *later_wins]
-    old = prev.select("addr", *[F.col(c).alias(f"_old_{c}") for c in names])
-    joined = new.join(old, "addr", "full_outer")
-    merged = {c: F.coalesce(f"_old_{c}", c) for c in earlier_wins} | {c: F.coalesce(c, f"_old_{c}") for c in later_wins}
-    return joined.select("addr", *[column.alias(c) for c, column in merged.items()])
-
-
-def _timers(events: DataFrame, timeout: float, seed: DataFrame | None, since: dt.datetime | None) -> DataFrame:
+def _timers(events: DataFrame, timeout: float) -> DataFrame:
     """One row per address whose resolve timeout falls due within these events.
 
     Only timers due by the last event exist, as in a replayed stream.
     """
     first = events.where(F.col("kind") == "new")
-    if seed is not None:
-        first = first.join(seed.select("addr"), "addr", "left_anti")
     due = first.groupBy("addr").agg((F.min("ts") + seconds_interval(timeout)).alias("ts"))
-    if seed is not None:
-        pending = seed.select("addr", F.col("due").alias("ts")).where(F.col("ts") > F.lit(since).cast("timestamp_ntz"))
-        due = due.unionByName(pending)
     return due.where(F.col("ts") <= events.agg(F.max("ts")).scalar())
 
 
@@ -69,57 +50,23 @@ def session_history(
     """Session state and device after every event from an address's first ``new`` on.
 
     First new -> Init; resolve with a device -> Active; reset -> Expired; a timer expires the
-    session unless a device is known by then.
-    """
-    return session_history_from(events, None, None, timeout, hot_rows).select(
-        "addr", "ts", "event_id", "kind", "state", "session_device"
-    )
-
-
-def session_history_from(
-    events: DataFrame,
-    seed: DataFrame | None,
-    since: dt.datetime | None,
-    timeout: float = RESOLVE_TIMEOUT,
-    hot_rows: int | None = None,
-) -> DataFrame:
-    """:func:`session_history` continued from a ``seed``: per address its last row and ``due``.
-
-    A seed row enters the log as a change to the state it holds; rows older than it drop out as
-    rows before the first ``new`` do. ``since`` is the last time the earlier batches saw. Each
-    step is a running count or a running last change over one window, so one shuffle serves all.
+    session unless a device is known by then. Each step is a running count or a running last change
+    over one window, so one shuffle serves all.
     """
-    no_due = F.lit(None).cast("timestamp_ntz")
-    log = events.select(
-        "addr", "ts", "event_id", "kind", "device_id", F.lit(None).cast("string").alias("_seed"), no_due.alias("due")
-    ).unionByName(
-        _timers(events, timeout, seed, since).select(
+    log = events.select("addr", "ts", "event_id", "kind", "device_id").unionByName(
+        _timers(events, timeout).select(
             "addr",
             "ts",
             F.lit(-1).cast("bigint").alias("event_id"),
             F.lit("timer").alias("kind"),
             F.lit(None).cast("string").alias("device_id"),
-            F.lit(None).cast("string").alias("_seed"),
-            no_due.alias("due"),
         )
     )
-    if seed is not None:
-        log = log.unionByName(
-            seed.select(
-                "addr",
-                "ts",
-                "event_id",
-                F.lit("seed").alias("kind"),
-                F.col("session_device").alias("device_id"),
-                F.col("state").alias("_seed"),
-                "due",
-            )
-        )
     log = log.withColumn("_late", (F.col("kind") == "timer").cast("int"))
     scan = KeyedScan(log, ["addr"], ["ts", "_late", "event_id"], hot_rows, events)
     w = scan.running
     last_row = F.struct("ts", "_late", "event_id")
-    rows = scan.rows.withColumn("_news", F.sum(F.col("kind").isin("new", "seed").cast("bigint")).over(w))
+    rows = scan.rows.withColumn("_news", F.sum((F.col("kind") == "new").cast("bigint")).over(w))
     rows = scan.carry(
         rows,
         [F.max("_news").alias("_n")],
@@ -127,11 +74,7 @@ def session_history_from(
         {"_news0": F.lit(0).cast("bigint")},
     )
     rows = rows.withColumn("_news", F.col("_news") + F.col("_news0")).where(F.col("_news") > 0)
-    change = (
-        F.when(F.col("kind") == "seed", F.struct(F.col("_seed").alias("state"), "device_id"))
-        .when((F.col("kind") == "new") & (F.col("_news") == 1), _state("Init"))
-        .otherwise(_base_change())
-    )
+    change = F.when((F.col("kind") == "new") & (F.col("_news") == 1), _state("Init")).otherwise(_base_change())
     rows = rows.withColumn("_change", change)
     rows = rows.withColumn("_base", F.last("_change", True).over(w))
     none = F.lit(None).cast("struct<state:string,device_id:string>")
@@ -152,19 +95,12 @@ def session_history_from(
     )
     now = F.coalesce("_now", "_now0")
     return rows.select(
-        "addr",
-        "ts",
-        "event_id",
-        "kind",
-        now["state"].alias("state"),
-        now["device_id"].alias("session_device"),
-        "due",
+        "addr", "ts", "event_id", "kind", now["state"].alias("state"), now["device_id"].alias("session_device")
     )
 
 
 def session_facts(
     events: DataFrame,
-    prev: DataFrame | None = None,
     timeout: float = RESOLVE_TIMEOUT,
     check_delay: float | None = None,
     hot: HotKeys | None = None,
@@ -176,7 +112,6 @@ def session_facts(
     (``early``) and after it (``late``), counting changes up to the probe only.
     """
     firsts = events.where(F.col("kind") == "new").groupBy("addr").agg(F.min(_here()).alias("first_new"))
-    firsts = _merge(firsts, prev, ["first_new"], [])
     resolves = events.where((F.col("kind") == "resolve") & F.col("device_id").isNotNull())
     replies = (
         lookup_join(resolves, firsts, "addr", hot=hot)
@@ -184,7 +119,6 @@ def session_facts(
         .groupBy("addr")
         .agg(F.min(_here()).alias("reply"))
     )
-    replies = _merge(replies, prev, ["reply"], [])
     probe = F.lit(None).cast("timestamp_ntz")
     if check_delay is not None:
         probe = F.col("reply.ts") + seconds_interval(check_delay)
@@ -202,7 +136,7 @@ def session_facts(
         F.max_by(F.when(before, F.col("_change")), F.when(before, _here())).alias("early"),
         F.max_by(F.when(~before, F.col("_change")), F.when(~before, _here())).alias("late"),
     )
-    return times.join(_merge(ends, prev, [], ["early", "late"]), "addr", "left")
+    return times.join(ends, "addr", "left")
 
 
 def _state_at(time: Column) -> Column:
@@ -219,7 +153,7 @@ def session_snapshot(
     events: DataFrame, probes: DataFrame, timeout: float = RESOLVE_TIMEOUT, hot_rows: int | None = None
 ) -> DataFrame:
     """Current state for each probed address; an unknown address counts as Expired."""
-    facts = session_facts(events, None, timeout, None, hot_keys(events, ["addr"], hot_rows))
+    facts = session_facts(events, timeout, None, hot_keys(events, ["addr"], hot_rows))
     now = facts.withColumn("_now", events.agg(F.max("ts")).scalar()).withColumn("_state", _state_at(F.col("_now")))
     states = now.select("addr", "_state.state", F.col("_state.device_id").alias("session_device"))
     return probes.join(states, "addr", "left").withColumn("state", F.coalesce("state", F.lit("Expired")))
@@ -262,4 +196,4 @@ def session_gate(
     the session state at that moment decides once for everything later.
     """
     hot = hot_keys(events, ["addr"], hot_rows)
-    return judge_messages(events, session_facts(events, None, timeout, check_delay, hot), hot)
+    return judge_messages(events, session_facts(events, timeout, check_delay, hot), hot)

@@ -10,9 +10,10 @@ from framewright.plans import fixtures as fx
 from framewright.plans.dataset_queries import PERCENT_SPLIT_SQL, SEED
 from framewright.plans.fixtures import with_views
 from framewright.plans.registry import query
-from framewright.plans.stream_queries import DELAY, WINDOW_DELAY, events_stream
+from framewright.plans.stream_queries import DELAY, EVENTS_SCHEMA, WINDOW_DELAY, events_stream
 from framewright.session import work_path
 from framewright.sources import image_folders, sinks, tables, tensor_records
+from framewright.streaming.runner import write_batch
 
 
 def image_bytes(pixels):
@@ -167,6 +168,31 @@ def fan_out_sinks(spark, sf_dir):
     return ms.merge_streams(*tagged)
 
 
+@query(
+    "fan_out_own_pace",
+    """WITH placed AS (
+      SELECT user_id AS device, event_id * 4 // (SELECT max(event_id) + 1 FROM events) AS slice FROM events),
+    consumers AS (SELECT * FROM (VALUES ('display', 0), ('recorder', 0), ('late', 2)) AS t(consumer, joined))
+    SELECT consumer, device, CAST(count(*) AS BIGINT) AS n FROM placed, consumers WHERE slice >= joined GROUP BY consumer, device""",
+)
+def fan_out_own_pace(spark, sf_dir):
+    """Consumers of one landed log with queries of their own; one takes two slices at once, one joins at the third."""
+    events, path = fx.table(spark, sf_dir, "events"), work_path(spark, "pace")
+    ids = events.agg(F.max("event_id")).first()[0] + 1
+    sliced = events.withColumn("slice", F.floor(F.col("event_id") * 4 / ids).cast("int"))
+    sliced.repartition("slice").write.partitionBy("slice").parquet(f"{path}/log")
+
+    def table(name):
+        return lambda batch, batch_id: write_batch(batch, f"{path}/out/{name}", batch_id)
+
+    wanted = [("display", 1, 0), ("recorder", 2, 0), ("late", 1, 2)]
+    consumers = [sinks.Consumer(name, table(name), files, joined) for name, files, joined in wanted]
+    for running in sinks.fan_out_log(spark, f"{path}/log", EVENTS_SCHEMA, consumers, f"{path}/checkpoints").values():
+        running.awaitTermination()
+    rows = [spark.read.parquet(f"{path}/out/{c.name}").select(F.lit(c.name).alias("consumer"), F.col("user_id").alias("device")) for c in consumers]
+    return ms.merge_streams(*rows).groupBy("consumer", "device").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     "notification_sink",
     with_views(

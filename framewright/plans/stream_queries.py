@@ -17,7 +17,7 @@ from framewright.sources.frames import frame_stream_scan
 from framewright.streaming import frames as sf
 from framewright.streaming import messages as sm
 from framewright.streaming import sessions as ss
-from framewright.streaming.runner import replay_stopping, replay_to_table, write_batch
+from framewright.streaming.runner import dropped_rows, replay_stopping, replay_to_table, write_batch
 
 EVENTS_SCHEMA = (
     "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -148,6 +148,32 @@ def stream_failure_breaker(spark, sf_dir):
     return sm.stream_failure_breaker(failures, fx.BREAKER_MAX, fx.BREAKER_WINDOW, delay=DELAY)
 
 
+@query(
+    "stream_late_failures",
+    with_views(
+        """WITH placed AS (
+          SELECT host, ts, event_id * 3 // (SELECT max(event_id) + 1 FROM events) AS third FROM host_ev)
+        SELECT CAST(count(*) FILTER (WHERE third = 0) AS BIGINT) AS late, CAST(count(*) FILTER (WHERE third > 0) AS BIGINT) AS in_time
+        FROM placed""",
+        "host_ev",
+    ),
+)
+def stream_late_failures(spark, sf_dir):
+    """Three slices that land newest first, without any delay allowed: what the watermark drops is counted.
+
+    The watermark that a micro-batch's rows are held against is the one before it, so the second slice is still in time.
+    """
+    events, path = fx.table(spark, sf_dir, "events"), work_path(spark, "late")
+    ids = events.agg(F.max("event_id")).first()[0] + 1
+    for third in (2, 1, 0):
+        part = events.where(F.floor(F.col("event_id") * 3 / ids) == third)
+        part.coalesce(1).write.mode("append").parquet(f"{path}/landed")
+    failures = fx.host_failures_view(frame_stream_scan(spark, f"{path}/landed", EVENTS_SCHEMA, ("ts",), max_files=1))
+    sm.stream_failure_breaker(failures, fx.BREAKER_MAX, fx.BREAKER_WINDOW, path)
+    late, seen = dropped_rows(spark, path), fx.host_failures(spark, sf_dir).agg(F.count("*").alias("n"))
+    return seen.select(F.lit(late).cast("bigint").alias("late"), (F.col("n") - late).alias("in_time"))
+
+
 def two_sided(events):
     commands = fx.commands_view(events).select("conn", "ts", "event_id", F.lit("cmd").alias("side"))
     return commands.unionByName(fx.replies_view(events).withColumn("side", F.lit("reply")))

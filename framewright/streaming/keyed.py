@@ -62,6 +62,8 @@ def _prepared(stream: DataFrame):
     spark = stream.sparkSession
     ship_package(spark)
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", _ROCKSDB)
+    # a micro-batch uploads what changed, not a whole snapshot
+    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
     return spark
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
@@ -46,32 +47,51 @@ def replay_stopping(stream: DataFrame, sink: Callable[[DataFrame, int], None], c
 
     What it has not seen is left for another run over the same checkpoint.
     """
-    writer = stream.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", checkpoint)
+    taken: list[int] = []
+
+    def noted(batch: DataFrame, batch_id: int) -> None:
+        sink(batch, batch_id)
+        taken.append(batch_id)
+
+    writer = stream.writeStream.foreachBatch(noted).outputMode(mode).option("checkpointLocation", checkpoint)
     done = 0
     while done < after:
+        taken.clear()
         query = started(writer.trigger(processingTime="1 day"))  # a micro-batch at once, the next one a day later
-        while query.isActive and not any(p["numInputRows"] for p in query.recentProgress):
-            if query.status["message"].startswith("Waiting for next trigger") or query.exception():
-                break
+        while query.isActive and not (taken and any(p["batchId"] == taken[0] for p in query.recentProgress)):
+            if not taken and query.status["message"].startswith("Waiting"):
+                break  # there is nothing to take
             time.sleep(0.02)
         query.stop()
-        failed = query.exception()
-        if failed:
-            raise failed
-        if not any(p["numInputRows"] for p in query.recentProgress):
+        if query.exception():
+            raise query.exception()
+        if not taken:
             break
         done += 1
     return done
 
 
 def replay_to_table(stream: DataFrame, path: str | None = None, mode: str = "append") -> DataFrame:
-    """Replay a stream into a parquet table with a ``batch_id`` column and read it back."""
+    """Replay a stream into a parquet table with a ``batch_id`` column and read it back.
+
+    Rows that came too late are counted, see ``dropped_rows``.
+    """
     spark = stream.sparkSession
     path = path or work_path(spark, "stream")
-    replay(stream, lambda batch, batch_id: write_batch(batch, f"{path}/out", batch_id), f"{path}/checkpoint", mode)
+    late = replay(stream, lambda batch, batch_id: write_batch(batch, f"{path}/out", batch_id), f"{path}/checkpoint", mode)
+    if late:
+        spark.range(1).select(F.lit(late).cast("bigint").alias("n")).write.mode("append").parquet(f"{path}/late")
     return spark.read.parquet(f"{path}/out")
 
 
+def dropped_rows(spark: SparkSession, path: str) -> int:
+    """How many rows the replays into a table have dropped as late."""
+    try:
+        return spark.read.parquet(f"{path}/late").agg(F.sum("n")).first()[0]
+    except AnalysisException:
+        return 0
+
+
 def latest_per_key(updates: DataFrame, *keys: str) -> DataFrame:
     """Current value of each key of an update-mode table."""
     values = [c for c in updates.columns if c not in (*keys, "batch_id")]

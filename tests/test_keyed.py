@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import datetime as dt
-import json
 import random
 
 import numpy as np
@@ -18,7 +17,7 @@ class State:
     """Stands for Spark's state of one key."""
 
     def __init__(self):
-        self.value = None
+        self.value, self.timeout, self.watermark, self.hasTimedOut = None, None, 0, False
 
     exists = property(lambda self: self.value is not None)
     get = property(lambda self: self.value)
@@ -26,6 +25,39 @@ class State:
     def update(self, value):
         self.value = value
 
+    def remove(self):
+        self.value = None
+
+    def getCurrentWatermarkMs(self):  # noqa: N802
+        return self.watermark
+
+    def setTimeoutTimestamp(self, ms):  # noqa: N802
+        assert ms >= self.watermark
+        self.timeout = ms
+
+
+def watched(make, rows, key, rng, delay):
+    """The output of a step over random micro-batches of all keys, with a watermark and timers as Spark has them."""
+    edges = [0, *sorted(rng.sample(range(1, len(rows) - 1), 6)), len(rows) - 1, len(rows), len(rows)]
+    states, out, top, before, watermark = {}, [], None, 0, 0
+    for a, z in zip(edges, edges[1:]):
+        batch = [r for r in rows[a:z] if r["ts"].value // 1000 > before * 1000]
+        assert len(batch) == z - a, "a row was late"
+        groups = {}
+        for r in batch:
+            groups.setdefault(r[key], []).append(r)
+        for k in {*groups, *states}:
+            state = states.setdefault(k, State())
+            state.watermark, state.hasTimedOut = watermark, k not in groups
+            if state.hasTimedOut:
+                if not state.exists or state.timeout is None or state.timeout >= watermark:
+                    continue
+            state.timeout = None
+            out += list(make()((k,), iter([pd.DataFrame(groups[k])] if k in groups else []), state))
+        top = max([r["ts"].value // 1_000_000 for r in rows[a:z]] + ([] if top is None else [top]))
+        before, watermark = watermark, max(watermark, top - delay // 1000)
+    return pd.concat(out, ignore_index=True)
+
 
 def run(step, rows, cuts, key=(7,)):
     """The output rows of a step over micro-batches of ``rows`` (dicts in arrival order)."""
@@ -58,35 +90,6 @@ def test_throttle(seed):
     assert kd._us(out["emit_ts"]).tolist() == emitted
 
 
-@pytest.mark.parametrize("seed", range(5))
-def test_grouped_within(seed):
-    rng = random.Random(seed)
-    rows = log(rng)
-    step = kd.GroupedWithin("device", 3, 5_000_000)
-    out, state = run(step, rows, cuts(rng, len(rows)))
-    found = {}
-    for r in out.itertuples():
-        found[(kd._us(pd.Series([r.window_start]))[0], int(r.batch))] = [f["event_id"] for f in json.loads(r.frames)]
-    held = json.loads(state.get[0])
-    if held["frames"]:
-        found[(held["start"], held["batch"])] = [f[1] for f in held["frames"]]
-    expected = {}
-    for r in rows:
-        us = r["ts"].value // 1000
-        mine = expected.setdefault(us // 5_000_000 * 5_000_000, [])
-        mine.append(r["event_id"])
-    expected = {(w, i // 3): ids[i : i + 3] for w, ids in expected.items() for i in range(0, len(ids), 3)}
-    assert found == expected
-
-
-def test_frames_of_a_closed_window_leave():
-    times = [0, 6, 1, 2, 7]
-    rows = [{"ts": pd.Timestamp(at(t)), "event_id": i} for i, t in enumerate(times)]
-    out, _ = run(kd.GroupedWithin("device", 3, 5_000_000), rows, [1, 2, 3, 4])
-    late = [f["event_id"] for r in out.itertuples() if r.batch is None for f in json.loads(r.frames)]
-    assert late == [2, 3]
-
-
 @pytest.mark.parametrize("seed", range(8))
 def test_chunk_streams(seed):
     rng = random.Random(seed)
@@ -98,17 +101,64 @@ def test_chunk_streams(seed):
     assert sorted(got) == sorted(expected)
 
 
+class Handle:
+    """Stands for a processor's states and timers of one key, and counts what is written."""
+
+    def __init__(self):
+        self.timers, self.value, self.map, self.writes = set(), None, {}, 0
+        self.registerTimer, self.deleteTimer = self.timers.add, self.timers.discard
+
+    def getValueState(self, *_):  # noqa: N802
+        self_ = self
+
+        class Value:
+            exists = staticmethod(lambda: self_.value is not None)
+            get = staticmethod(lambda: self_.value)
+
+            @staticmethod
+            def update(value):
+                self_.value = value
+
+        return Value
+
+    def getMapState(self, *_):  # noqa: N802
+        self_ = self
+
+        class Map:
+            getValue = staticmethod(lambda k: self_.map[k])
+            clear = staticmethod(lambda: self_.map.clear())
+
+            @staticmethod
+            def updateValue(k, v):  # noqa: N802
+                self_.map[k] = v
+                self_.writes += 1
+
+            @staticmethod
+            def removeKey(k):  # noqa: N802
+                del self_.map[k]
+                self_.writes += 1
+
+        return Map
+
+
 @pytest.mark.parametrize("seed", range(8))
 def test_request_reply(seed):
+    """What waits is written once and taken once, however long the queue is; closing fails what is left."""
     rng = random.Random(seed)
     rows = [r | {"side": rng.choice(["cmd", "reply"] if seed % 2 else ["cmd", "cmd", "reply"])} for r in log(rng)]
-    out, _ = run(kd.RequestReply(), rows, cuts(rng, len(rows)))
+    step, handle, out = kd.RequestReply(60_000), Handle(), []
+    step.init(handle)
+    for a, z in zip([0, *(edges := cuts(rng, len(rows)))], [*edges, len(rows)], strict=True):
+        handle.writes = 0
+        out += list(step.handleInputRows((7,), iter([pd.DataFrame(rows[a:z])]), None))
+        assert handle.writes <= z - a
+    (due,) = handle.timers
+    assert due == rows[-1]["ts"].value // 1_000_000 + 60_000
+    out += list(step.handleExpiredTimer((7,), None, None))
+    found = {int(r.seq): (int(r.cmd_id), r.reply_id and int(r.reply_id), r.status) for f in out for r in f.itertuples()}
     commands, replies = ([r["event_id"] for r in rows if r["side"] == s] for s in ("cmd", "reply"))
-    answered = {int(r.seq): (int(r.cmd_id), int(r.reply_id)) for r in out.itertuples() if r.reply_id is not None}
-    assert answered == {i: p for i, p in enumerate(zip(commands, replies, strict=False))}
-    waiting = [int(r.seq) for r in out.itertuples() if r.reply_id is None]
-    assert len(waiting) == len(set(waiting))
-    assert set(waiting) | set(answered) == set(range(len(commands))) | set(answered)
+    assert found == {i: (c, *((replies[i], "answered") if i < len(replies) else (None, "failed"))) for i, c in enumerate(commands)}
+    assert handle.map == {} and sum(len(f) for f in out) == len(commands)
 
 
 @pytest.mark.parametrize("seed", range(4))
