@@ -11,6 +11,7 @@ from framewright.operators import background as bg
 from framewright.operators import messages as ms
 from framewright.operators import dataset as ds
 from framewright.operators import handlers as ha
+from framewright.operators import minibatch as mb
 from framewright.operators import scoring as so
 from framewright.operators import training as tr
 from framewright.operators.images import resize_bilinear
@@ -154,6 +155,60 @@ def mlp_train_predict(spark, sf_dir):
     return tr.mlp_train_predict(rows, [64, 32, 10], max_iter=15)
 
 
+SGD_STEPS, SGD_RATE = 4, 0.25
+
+
+def sgd_layers():
+    """Fixed weights that any engine can write down: 64 -> 8 -> 10."""
+    i, j, k = np.arange(64)[:, None], np.arange(8)[None, :], np.arange(10)[None, :]
+    first, second = ((i * 7 + j * 3) % 11 - 5) / 32.0, ((j.T * 5 + k * 2) % 7 - 3) / 8.0
+    return [(first, np.full(8, 0.125)), (second, np.full(10, 0.125))]
+
+
+def sgd_sql() -> str:
+    """Each step's forward pass, loss, gradients and new weights, as tables."""
+    out = [
+        f"""WITH rows AS MATERIALIZED (
+          SELECT vec_id AS id, vec_id % {SGD_STEPS} AS batch, label AS y, embedding FROM embeddings),
+        x AS MATERIALIZED (SELECT id, batch, unnest(range(64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM rows),
+        a0 AS MATERIALIZED (SELECT i, j, ((i * 7 + j * 3) % 11 - 5) / 32.0::DOUBLE AS w FROM range(64) t(i), range(8) u(j)),
+        b0 AS MATERIALIZED (SELECT j, 0.125::DOUBLE AS w FROM range(8) t(j)),
+        c0 AS MATERIALIZED (SELECT j, k, ((j * 5 + k * 2) % 7 - 3) / 8.0::DOUBLE AS w FROM range(8) t(j), range(10) u(k)),
+        d0 AS MATERIALIZED (SELECT k, 0.125::DOUBLE AS w FROM range(10) t(k))"""
+    ]
+    for t in range(SGD_STEPS):
+        n = f"(SELECT count(*) FROM rows WHERE batch = {t})"
+        out.append(f"""
+        h{t} AS MATERIALIZED (
+          SELECT id, j, greatest(sum(v * a.w) + any_value(b.w), 0) AS v FROM x JOIN a{t} a USING (i) JOIN b{t} b USING (j)
+          WHERE batch = {t} GROUP BY id, j),
+        z{t} AS (SELECT id, k, sum(v * c.w) + any_value(d.w) AS v FROM h{t} JOIN c{t} c USING (j) JOIN d{t} d USING (k) GROUP BY id, k),
+        m{t} AS (SELECT id, max(v) AS m FROM z{t} GROUP BY id),
+        s{t} AS (SELECT id, any_value(m) + ln(sum(exp(v - m))) AS s FROM z{t} JOIN m{t} USING (id) GROUP BY id),
+        p{t} AS MATERIALIZED (
+          SELECT id, k, v - s AS log, exp(v - s) - CASE WHEN k = y THEN 1 ELSE 0 END AS d, k = y AS own
+          FROM z{t} JOIN s{t} USING (id) JOIN rows USING (id)),
+        e{t} AS MATERIALIZED (
+          SELECT id, j, sum(d * c.w) * CASE WHEN any_value(h.v) > 0 THEN 1 ELSE 0 END AS d
+          FROM p{t} JOIN c{t} c USING (k) JOIN h{t} h USING (id, j) GROUP BY id, j),
+        a{t + 1} AS MATERIALIZED (
+          SELECT i, j, any_value(w) - {SGD_RATE} * sum(v * d) / {n} AS w FROM x JOIN e{t} USING (id) JOIN a{t} USING (i, j) GROUP BY i, j),
+        b{t + 1} AS MATERIALIZED (SELECT j, any_value(w) - {SGD_RATE} * sum(d) / {n} AS w FROM e{t} JOIN b{t} USING (j) GROUP BY j),
+        c{t + 1} AS MATERIALIZED (
+          SELECT j, k, any_value(w) - {SGD_RATE} * sum(v * d) / {n} AS w FROM h{t} JOIN p{t} USING (id) JOIN c{t} USING (j, k) GROUP BY j, k),
+        d{t + 1} AS MATERIALIZED (SELECT k, any_value(w) - {SGD_RATE} * sum(d) / {n} AS w FROM p{t} JOIN d{t} USING (k) GROUP BY k)""")
+    losses = " UNION ALL ".join(f"SELECT {t} AS step, -avg(log) AS loss FROM p{t} WHERE own" for t in range(SGD_STEPS))
+    return ",".join(out) + f" SELECT CAST(step AS INTEGER) AS step, round(loss, 9) AS loss FROM ({losses})"
+
+
+@query("mlp_minibatch_loss", sgd_sql())
+def mlp_minibatch_loss(spark, sf_dir):
+    """The loss of each step of an epoch of training on the embeddings' labels."""
+    rows = _features(fx.table(spark, sf_dir, "embeddings")).withColumn("batch", F.col("vec_id") % SGD_STEPS)
+    _, losses = mb.train_minibatches(rows, sgd_layers(), SGD_STEPS, SGD_RATE)
+    return spark.createDataFrame(list(enumerate(losses)), "step int, loss double").withColumn("loss", F.round("loss", 9))
+
+
 @query("mlp_train_predict_events")
 def mlp_train_predict_events(spark, sf_dir):
     """The small classifier: four numeric columns of every event, one hidden layer of ten."""
