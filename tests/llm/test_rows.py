@@ -201,11 +201,54 @@ LINKS = "".join(f'<li><a href="/{i}">More about subject {i}</a></li>' for i in r
         (f"<article><p>{LONG}</p><p>{LONG}</p><ul><li>Milk</li><li>Eggs</li></ul></article>", f"{ONCE} {ONCE} Milk Eggs"),
     ],
 )
-def test_class_words_only_weigh(page, text):
+def test_class_words_of_wrappers(page, text):
     assert extraction.main_text(page) == text
 
 
-@pytest.mark.parametrize("page", ["<b>" * 20_000 + "</i>" * 20_000, "<div>" * 20_000, "<" * 20_000, "&" * 50_000])
+P = f"<p>{LONG}</p>"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        # parts of an article that are not its text go, however long they are
+        (f'<article>{P}{P}<div class="comments">{P * 20}</div></article>', f"{ONCE} {ONCE}"),
+        (f'<article>{P}<div class="advert">{P * 20}</div>{P}</article>', f"{ONCE} {ONCE}"),
+        (f"<article>{P}<form><p>{LONG * 20}</p></form></article>", ONCE),
+        (f'<div class="cookie-banner">{P * 9}</div><article>{P}</article>', ONCE),
+        (f'<div id="cookies">{P * 9}</div><div>{P}</div>', ONCE),
+        (f'<article>{P}</article><section id="comments"><article>{P * 9}</article></section>', ONCE),
+        (f'<article>{P}<article class="comment">{P * 9}</article></article><article class="comment">{P}</article>', ONCE),
+        (f'<div class="layout sidebar-left"><main>{P}</main><div class="related"><article>{P}</article></div></div>', ONCE),
+        (f'<div class="content">{P}{P}</div><div class="comment-list">{P * 9}</div>', f"{ONCE} {ONCE}"),
+        (f'<section class="comments"><article>{P}</article></section><div>{P}</div>', ONCE),
+        # headlines and short neighbours stay
+        (f'<article><header class="entry-header"><h1>Head</h1><p>By A</p></header>{P}</article>', f"Head {ONCE}"),
+        (f"<div><h1>Head</h1></div><div>{P}{P}</div><div><p>{ONCE[:60]}</p></div><div>Imprint</div>", f"Head {ONCE} {ONCE} {ONCE[:60]}"),
+        (f'<div><p>{"<a href=x>More about it</a> " * 9}</p></div><div>{P}{P}</div>', f"{ONCE} {ONCE}"),
+        (f'<article class="comments-open post">{P}</article><p>{LONG}</p>', ONCE),
+        ("<article><p>a" + "<b>" * 40 + "<div>b</div>c</article>", "a b c"),
+    ],
+)
+def test_parts_that_are_not_the_article(page, text):
+    assert extraction.main_text(page) == text
+
+
+def test_the_clusters_decide(monkeypatch):
+    """Without declared regions, what the upper cluster is decides what is returned."""
+    links = "".join(f"<div><a href={i}>Go to page {i}</a></div>" for i in range(8))
+    page = f"{links}<div>{P}{P}<p>Short.</p></div>{links}<div>Imprint</div>"
+    assert extraction.main_text(page) == f"{ONCE} {ONCE} Short."
+    for other in (lambda r: np.ones(len(r), bool), lambda r: np.arange(len(r)) == 0):
+        monkeypatch.setattr(extraction, "content_lines", other)
+        assert extraction.main_text(page) != f"{ONCE} {ONCE} Short."
+
+
+@pytest.mark.parametrize(
+    "page",
+    ["<b>" * 20_000 + "</i>" * 20_000, "<div>" * 20_000, "<" * 20_000, "&" * 50_000, "<p>a<b><i>" * 20_000]
+    + ["<div class=ad><article>a</article>" * 10_000, "<div class=search>a" * 10_000],
+)
 def test_broken_markup_takes_linear_time(page):
     extraction.main_text(page)
 
