@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,6 +35,30 @@ def handler_produce_stream(rows: DataFrame, handler: Callable[..., pd.Series], i
     return rows.withColumn("_items", items).select(*others, F.posexplode("_items").alias("pos", "item"))
 
 
+def handler_produce_table(
+    rows: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    handler: Callable[[], Callable[[pa.RecordBatch], Iterator[pa.Table]]],
+    schema: str,
+) -> DataFrame:
+    """Row to rows, in the order of a key's rows, by a table function over ``rows`` partitioned by ``keys``.
+
+    ``handler()`` is called once a key and returns what turns a batch of the key's rows, which come in ``order``, into
+    tables; it may keep state from batch to batch. A key of any size is a stream of batches. An empty table gives no rows.
+    """
+
+    class Produce:
+        def __init__(self):
+            self.produce = handler()
+
+        def eval(self, batch: pa.RecordBatch) -> Iterator[pa.Table]:
+            yield from self.produce(batch)
+
+    table = rows.asTable().partitionBy(*keys).orderBy(*order)
+    return F.arrow_udtf(Produce, returnType=schema)(table)
+
+
 def handler_consume_stream(
     rows: DataFrame,
     keys: Sequence[str],

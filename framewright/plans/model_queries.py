@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from framewright.functions.arrays import one_hot
@@ -414,6 +417,39 @@ def handler_produce_stream(spark, sf_dir):
     return ha.handler_produce_stream(rows, parts, ["event_id"], "string")
 
 
+class Numbered:
+    """Some parts of each message of a connection, numbered through."""
+
+    def __init__(self):
+        self.seq = 0
+
+    def __call__(self, batch: pa.RecordBatch) -> Iterator[pa.Table]:
+        n = np.minimum(batch.column("event_id").to_numpy() % 4, 3)
+        at = np.repeat(np.arange(len(n)), n)
+        pos = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+        event, conn = (batch.column(c).take(pa.array(at)) for c in ("event_id", "conn"))
+        items = [f"part {i} of {k}" for i, k in zip(pos.tolist(), (event.to_numpy() % 4).tolist(), strict=True)]
+        seq = pa.array(np.arange(self.seq, self.seq + len(at)))
+        self.seq += len(at)
+        yield pa.table({"event_id": event, "conn": conn, "seq": seq, "item": pa.array(items, pa.string())})
+
+
+@query(
+    "handler_produce_table",
+    with_views(
+        """SELECT event_id, conn, CAST(row_number() OVER (PARTITION BY conn ORDER BY ts, event_id, pos) - 1 AS BIGINT) AS seq,
+          'part ' || pos || ' of ' || (event_id % 4) AS item
+        FROM msgs, (SELECT unnest(range(3)) AS pos) WHERE pos < event_id % 4""",
+        "msgs",
+    ),
+)
+def handler_produce_table(spark, sf_dir):
+    """The parts of messages as one sequence per connection."""
+    rows = fx.messages(spark, sf_dir).select("event_id", "conn", "ts")
+    schema = "event_id bigint, conn bigint, seq bigint, item string"
+    return ha.handler_produce_table(rows, ["conn"], ["ts", "event_id"], Numbered, schema)
+
+
 @query(
     "handler_process_stream",
     with_views(

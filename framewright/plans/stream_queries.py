@@ -12,12 +12,13 @@ from framewright.plans.frame_queries import THROTTLE_SQL, TIMED_BATCHES_SQL, bat
 from framewright.plans.message_queries import CHUNK_TOTAL_SQL
 from framewright.plans.registry import ORACLES, query
 from framewright.plans.session_queries import GATE_SQL, HISTORY_SQL, known_ids
-from framewright.session import work_path
+from framewright.session import open_filesystem, work_path
 from framewright.sources.frames import frame_stream_scan
+from framewright.sources.grabs import frame_grabs, grab_counts
 from framewright.streaming import frames as sf
 from framewright.streaming import messages as sm
 from framewright.streaming import sessions as ss
-from framewright.streaming.runner import dropped_rows, replay_stopping, replay_to_table, write_batch
+from framewright.streaming.runner import dropped_rows, replay_stopping, replay_to_table, run, write_batch
 
 EVENTS_SCHEMA = (
     "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
@@ -87,6 +88,53 @@ def frame_stream_scan_query(spark, sf_dir):
     )
 
 
+#: Slices of grabs that land; each has one grab that failed.
+GRAB_SLICES = 3
+
+
+def land_grabs(rows: DataFrame) -> str:
+    """Write a table as slices of grabs and return their folder.
+
+    Every slice also has a row without a time, as an empty grab leaves it, and a file that breaks off, as a
+    failed one does.
+    """
+    path = work_path(rows.sparkSession, "grabs")
+    first, last = rows.agg(F.min("ts"), F.max("ts")).first()
+    empty = rows.limit(1).withColumn("ts", F.lit(None).cast("timestamp_ntz"))
+    for i in range(GRAB_SLICES):
+        part = rows.where(F.col("ts") >= first + i * (last - first) / GRAB_SLICES)
+        if i < GRAB_SLICES - 1:
+            part = part.where(F.col("ts") < first + (i + 1) * (last - first) / GRAB_SLICES)
+        part.unionByName(empty).write.parquet(f"{path}/{i:06d}")
+        filesystem, base = open_filesystem(f"{path}/{i:06d}")
+        with filesystem.open_output_stream(f"{base}/failed.parquet") as out:
+            out.write(b"PAR1 breaks off")
+    return path
+
+
+@query(
+    "frame_grab_scan",
+    with_views(
+        f"""SELECT device, CAST(count(*) AS BIGINT) AS n, min(ts) AS first_ts, max(ts) AS last_ts,
+          CAST({GRAB_SLICES} AS BIGINT) AS empty, CAST({GRAB_SLICES} AS BIGINT) AS failed FROM frames GROUP BY device""",
+        "frames",
+    ),
+)
+def frame_grab_scan(spark, sf_dir):
+    """The frames of a source some of whose grabs fail, and how many did."""
+    grabs = frame_grabs(spark, land_grabs(fx.table(spark, sf_dir, "events")), EVENTS_SCHEMA, ("ts", "event_id"))
+    path = work_path(spark, "grabbed")
+    counts: dict[str, int] = {}
+    writer = fx.frames_view(grabs).writeStream.foreachBatch(lambda batch, i: write_batch(batch, f"{path}/out", i))
+    run(writer, f"{path}/checkpoint", lambda query: counts.update(grab_counts(query)))
+    return (
+        spark.read.parquet(f"{path}/out")
+        .groupBy("device")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
+        .withColumns({name: F.lit(counts[name]).cast("bigint") for name in ("empty", "failed")})
+    )
+
+
 @query(
     "stream_frame_counters",
     ORACLES["client_frame_counters"],

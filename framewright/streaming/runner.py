@@ -18,10 +18,15 @@ def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
-def run(writer: DataStreamWriter, checkpoint: str) -> int:
-    """Run a stream over everything now available; how many of its rows the watermark had passed and dropped."""
+def run(writer: DataStreamWriter, checkpoint: str, after: Callable[[StreamingQuery], None] | None = None) -> int:
+    """Run a stream over everything now available; how many of its rows the watermark had passed and dropped.
+
+    ``after`` gets the query once it is done.
+    """
     query = started(writer.option("checkpointLocation", checkpoint).trigger(availableNow=True))
     query.awaitTermination()
+    if after is not None:
+        after(query)
     return late_rows(query)
 
 
