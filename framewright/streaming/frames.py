@@ -68,4 +68,4 @@ def stream_grouped_within_timer(frames: DataFrame, size: int, seconds: float, pa
     step = kd.TimedBatches(size, seconds)
     out = T.StructType([*kd._fields(slim, "device", "ts", "event_id"), T.StructField("batch", T.LongType())])
     numbered = kd.run_keyed(slim, ["device"], step, out, step.state, kd.fresh(frames.sparkSession, path, "timer"))
-    return collect_batches(numbered.withColumn("seeded", F.lit(False)))
+    return collect_batches(numbered)

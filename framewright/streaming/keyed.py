@@ -21,7 +21,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from framewright.operators.background import MixtureParams, PixelMixture
-from framewright.operators.batching import WalkBatches
+from framewright.operators.batching import walk
 from framewright.session import ship_package, work_path
 from framewright.streaming.runner import replay_to_table
 
@@ -170,19 +170,15 @@ class TimedBatches:
     state = "held bigint, deadline bigint, open_batch bigint"
 
     def __init__(self, size: int, seconds: float):
-        self.walk = WalkBatches(size, round(seconds * 1e6))
+        self.size = size
+        self.interval = round(seconds * 1e6)
 
     def __call__(self, key, pieces, state):
         rows = _in_order(pieces)
         held, deadline, number = state.get if state.exists else (0, None, 0)
-        rows = rows.assign(us=_us(rows["ts"]), seeded=False, held=held, deadline=deadline or 0, open_batch=number)
-        if deadline is not None:
-            rows = pd.concat([rows.head(1).assign(seeded=True), rows], ignore_index=True)
-        (walked,) = self.walk(key, iter([rows]))
-        last = walked.iloc[-1]
-        state.update((int(last["held"]), int(last["deadline"]), int(last["open_batch"])))
-        walked = walked[~walked["seeded"]]
-        yield walked[["device", "ts", "event_id"]].assign(batch=walked["batch"].astype(str))
+        batch, held, deadline, closed = walk(_us(rows["ts"]), self.size, self.interval, held, deadline)
+        state.update((held, deadline, number + closed))
+        yield rows[["device", "ts", "event_id"]].assign(batch=(number + batch).astype(str))
 
 
 class ChunkStreams:
