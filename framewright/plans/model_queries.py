@@ -168,11 +168,11 @@ def sgd_layers():
     return [(first, np.full(8, 0.125)), (second, np.full(10, 0.125))]
 
 
-def sgd_sql() -> str:
-    """Each step's forward pass, loss, gradients and new weights, as tables."""
+def sgd_steps_sql(trained: str = "true") -> str:
+    """Each step's forward pass, loss, gradients and new weights over the rows ``trained`` holds for, as tables."""
     out = [
         f"""WITH rows AS MATERIALIZED (
-          SELECT vec_id AS id, vec_id % {SGD_STEPS} AS batch, label AS y, embedding FROM embeddings),
+          SELECT vec_id AS id, CASE WHEN {trained} THEN vec_id % {SGD_STEPS} ELSE -1 END AS batch, label AS y, embedding FROM embeddings),
         x AS MATERIALIZED (SELECT id, batch, unnest(range(64)) AS i, CAST(unnest(embedding) AS DOUBLE) AS v FROM rows),
         a0 AS MATERIALIZED (SELECT i, j, ((i * 7 + j * 3) % 11 - 5) / 32.0::DOUBLE AS w FROM range(64) t(i), range(8) u(j)),
         b0 AS MATERIALIZED (SELECT j, 0.125::DOUBLE AS w FROM range(8) t(j)),
@@ -200,8 +200,12 @@ def sgd_sql() -> str:
         c{t + 1} AS MATERIALIZED (
           SELECT j, k, any_value(w) - {SGD_RATE} * sum(v * d) / {n} AS w FROM h{t} JOIN p{t} USING (id) JOIN c{t} USING (j, k) GROUP BY j, k),
         d{t + 1} AS MATERIALIZED (SELECT k, any_value(w) - {SGD_RATE} * sum(d) / {n} AS w FROM p{t} JOIN d{t} USING (k) GROUP BY k)""")
+    return ",".join(out)
+
+
+def sgd_sql() -> str:
     losses = " UNION ALL ".join(f"SELECT {t} AS step, -avg(log) AS loss FROM p{t} WHERE own" for t in range(SGD_STEPS))
-    return ",".join(out) + f" SELECT CAST(step AS INTEGER) AS step, round(loss, 9) AS loss FROM ({losses})"
+    return sgd_steps_sql() + f" SELECT CAST(step AS INTEGER) AS step, round(loss, 9) AS loss FROM ({losses})"
 
 
 @query("mlp_minibatch_loss", sgd_sql())
@@ -212,6 +216,37 @@ def mlp_minibatch_loss(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(losses)), "step int, loss double").withColumn("loss", F.round("loss", 9))
 
 
+def sgd_predict_sql() -> str:
+    """The trained layers over all rows, the first of the largest outputs, and how often it is the label."""
+    t = SGD_STEPS
+    return (
+        sgd_steps_sql("vec_id % 3 <> 0")
+        + f""",
+        hidden AS MATERIALIZED (
+          SELECT id, j, greatest(sum(v * a.w) + any_value(b.w), 0) AS v FROM x JOIN a{t} a USING (i) JOIN b{t} b USING (j) GROUP BY id, j),
+        outputs AS MATERIALIZED (
+          SELECT id, k, sum(v * c.w) + any_value(d.w) AS v FROM hidden JOIN c{t} c USING (j) JOIN d{t} d USING (k) GROUP BY id, k),
+        judged AS (
+          SELECT CASE WHEN id % 3 <> 0 THEN 'train' ELSE 'test' END AS dataset, CASE WHEN pred = y THEN 1 ELSE 0 END AS hit
+          FROM (SELECT id, arg_max(k, v) AS pred FROM outputs GROUP BY id) JOIN rows USING (id))
+        SELECT dataset, CAST(count(*) AS BIGINT) AS n, CAST(sum(hit) AS BIGINT) AS hits, round(avg(hit), 9) AS accuracy
+        FROM judged GROUP BY dataset"""
+    )
+
+
+@query("mlp_minibatch_predict", sgd_predict_sql())
+def mlp_minibatch_predict(spark, sf_dir):
+    """Two thirds of the embeddings train for an epoch; how often the layers then name the label, in both parts."""
+    rows = _features(fx.table(spark, sf_dir, "embeddings")).withColumn("batch", F.col("vec_id") % SGD_STEPS)
+    layers, _ = mb.train_minibatches(rows.where("vec_id % 3 != 0"), sgd_layers(), SGD_STEPS, SGD_RATE)
+    hit = (F.col("pred") == F.col("label")).cast("int")
+    return (
+        mb.predict(rows, layers)
+        .groupBy(F.when(F.col("vec_id") % 3 != 0, "train").otherwise("test").alias("dataset"))
+        .agg(F.count("*").alias("n"), F.sum(hit).alias("hits"), F.round(F.avg(hit), 9).alias("accuracy"))
+    )
+
+
 @query("mlp_train_predict_events")
 def mlp_train_predict_events(spark, sf_dir):
     """The small classifier: four numeric columns of every event, one hidden layer of ten."""
