@@ -297,6 +297,57 @@ def test_trees_learn_lexical_marks(spark):
     assert url.train(frame(spark, rows[:1], "url string, label int")) is None
 
 
+def test_trees_learn_suffixes_that_no_rule_names(spark):
+    """Hosts and paths alike, only the suffix tells; suffixes that no labelled URL has get the share of all."""
+    rng = random.Random(6)
+    def make(suffix):
+        return f"http://{''.join(rng.choice('abcdef') for _ in range(9))}.{suffix}/page"
+    rows = [(make(s), int(s in ("zzq", "qru"))) for s in ("zzq", "qru", "abd", "dec") for _ in range(150)]
+    rng.shuffle(rows)
+    model = url.train(frame(spark, rows[:400], "url string, label int"))
+    found = {r.suffix: (r.n, r.blocked) for r in model.counts["suffix"].collect()}
+    assert found == {s: (float(n), float(b)) for s in ("zzq", "qru", "abd", "dec") for own in [[y for u, y in rows[:400] if f".{s}/" in u]] for n, b in [(len(own), sum(own))]}
+    judged = url.url_verdicts(frame(spark, rows[400:], "url string, label int"), [], model).collect()
+    assert np.mean([(r.verdict == "block") == (r.label == 1) for r in judged]) > 0.97
+    odd = url.url_verdicts(frame(spark, [("http://a.new/",), (None,), ("x",)], "url string"), [], model).collect()
+    assert len(odd) == 3 and all(0 <= r.score <= 1 for r in odd)
+
+
+def test_a_frequent_url_leaves_the_others_in(spark):
+    rows = [("http://same.com/x", 1)] * 3000 + [(f"http://{'a9'[i % 2] * 5}{i}.com/", i % 2) for i in range(300)]
+    model = url.train(frame(spark, rows, "url string, label int"), rows=200)
+    judged = url.url_verdicts(frame(spark, rows[3000:], "url string, label int"), [], model).collect()
+    assert np.mean([(r.verdict == "block") == (r.label == 1) for r in judged]) > 0.9
+
+
+def test_clashing_names_of_url_tables(spark):
+    rows = [(f"http://{'a9'[i % 2] * 5}{i}.com/", i % 2) for i in range(60)]
+    model = url.train(frame(spark, rows, "url string, label int"))
+    names = ["_url_length", "_features", "features", "suffix", "directory", "n", "probability", "row", "a.b", "score", "host"]
+    wide = frame(spark, rows, "url string, label int").select("url", *[F.lit(i).alias(c) for i, c in enumerate(names)])
+    out = url.url_verdicts(wide, RULES, model)
+    assert out.columns == [*names[:-2], "url", "host", "path", "rule", "score", "verdict"]
+    assert {tuple(r)[: len(names) - 2] for r in out.collect()} == {tuple(range(len(names) - 2))}
+
+
+def test_registered_url_model_on_held_back_rules(spark):
+    """Fitted on four fifths of the URLs that rules judge, the trees agree with the rules on the rest."""
+    pages = read(spark, "/root/testdata/sf0.1", "pages").select("page_id", "url")
+    judged = url.url_verdicts(pages, RULES, None).where("rule is not null")
+    labelled = judged.select("url", (F.col("verdict") == "block").cast("int").alias("label"))
+    held = F.pmod(F.xxhash64("url", F.lit("held")), F.lit(5)) == 0
+    model = url.train(labelled.where(~held))
+    agree = url.url_verdicts(labelled.where(held), [], model).select((F.col("verdict") == "block").cast("int") == F.col("label"))
+    assert np.mean([r[0] for r in agree.collect()]) > 0.95
+    found = all_queries()["op8_url_filter"](spark, "/root/testdata/sf0.1").collect()
+    parts = {r.page_id: r for r in url.url_verdicts(pages, RULES, None).collect()}
+    assert len(found) == len(parts)
+    for r in found:
+        plain = parts[r.page_id]
+        assert (r.host, r.path, r.rule) == (plain.host, plain.path, plain.rule)
+        assert r.rule is None or r.verdict == plain.verdict
+
+
 def test_quality_on_held_out_labels(spark):
     """Fitted without the labels of every third document, the classifier must judge those."""
     folder = "/root/testdata/sf0.01"
