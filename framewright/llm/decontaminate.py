@@ -14,9 +14,16 @@ from framewright.llm.components import bit_filter, in_filter, prepare
 from framewright.llm.text import Words, mix, text_slices
 from framewright.session import pin
 
-#: The fixed masks: 1 takes part in the hash, 0 is ignored. Together they hit any 13 words in a row of which
-#: two are replaced (tests/llm tries all cases), and 98 % of the cases of 14 words of which three are.
-MASKS = ("1000110111", "1011001011", "1110100011", "1110101001")
+#: The fixed masks: 1 takes part in the hash, 0 is ignored. Any two of the ten places are ignored by some mask, so together
+#: they hit any ten words in a row of which two are replaced. An item of 10 to 14 words counts as found from overlaps that
+#: all hold such ten words, so none of these is missed (tests/llm tries all cases).
+MASKS = (
+    "0010111101", "0101100111", "0111011010", "1001011011", "1011100110", "1100111100", "1110010101", "1110101001", "1111000011",
+)
+#: Places beyond either end of a document that windows reach to, and what stands there: no word. An item may end with two
+#: words that the document lacks.
+BEYOND = 2
+_NO_WORD = np.uint64(0xD1B54A32D192ED03)
 #: Words that must agree in the overlap around a hit, and their least share of it.
 MIN_MATCHES = 10
 MIN_SHARE = 0.8
@@ -39,25 +46,35 @@ def masked(words: np.ndarray, mask: str, number: int) -> np.ndarray:
     return mix(total)
 
 
-def _seeds(words: Words, masks: tuple[str, ...], lengths: Sequence[int], phrase: int) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes of all windows within one text, under every mask, and the word each starts at; and of all
-    windows of the given lengths, those of fewer than ``phrase`` words only if they are the whole text."""
-    hashes, starts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+def _seeds(
+    words: Words, masks: tuple[str, ...], lengths: Sequence[int], phrase: int, beyond: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes of all windows of each text, under every mask, the text, and the place of the word each starts at; and
+    of all windows of the given lengths, those of fewer than ``phrase`` words only if they are the whole text. Windows of
+    masks reach ``beyond`` places over a text's ends."""
+    counts = np.diff(words.first)
+    shift = beyond * (2 * words.row + 1)
+    padded = np.full(len(words) + 2 * beyond * len(counts), _NO_WORD)
+    padded[np.arange(len(words)) + shift] = words.hash
+    of = np.repeat(np.arange(len(counts)), counts + 2 * beyond)
+    first = words.first[:-1] + 2 * beyond * np.arange(len(counts)) + beyond
+    hashes, rows, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for number, mask in enumerate(masks):
-        h = masked(words.hash, mask, number)
+        h = masked(padded, mask, number)
         if len(h):
-            at = np.flatnonzero(words.row[: len(h)] == words.row[len(mask) - 1 :])
+            at = np.flatnonzero(of[: len(h)] == of[len(mask) - 1 :])
             hashes.append(h[at])
-            starts.append(at)
-    counts = np.diff(words.first)
+            rows.append(of[at])
+            places.append(at - first[of[at]])
     for length in lengths:
         h = masked(words.hash, "1" * length, len(masks) + length)
         if len(h):
             row = words.row[: len(h)]
             at = np.flatnonzero((row == words.row[length - 1 :]) & ((counts[row] == length) | (length >= phrase)))
             hashes.append(h[at])
-            starts.append(at)
-    return np.concatenate(hashes), np.concatenate(starts)
+            rows.append(row[at])
+            places.append(at - words.first[row[at]])
+    return np.concatenate(hashes), np.concatenate(rows), np.concatenate(places)
 
 
 def _table(frame: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -73,7 +90,9 @@ def _hit_struct(hashes: np.ndarray, pos: np.ndarray, counts: np.ndarray) -> pa.A
     return pa.ListArray.from_arrays(pa.array(offsets), pairs)
 
 
-def _seed_rows(frame: DataFrame, masks: tuple[str, ...], lengths: Sequence[int], phrase: int, wanted=None) -> DataFrame:
+def _seed_rows(
+    frame: DataFrame, masks: tuple[str, ...], lengths: Sequence[int], phrase: int, beyond: int = 0, wanted=None
+) -> DataFrame:
     """Per row with seeds its id, the hashes of its words and its seeds; only seeds that pass the filter, if given."""
     kind = frame.schema["id"].dataType.simpleString()
 
@@ -81,20 +100,20 @@ def _seed_rows(frame: DataFrame, masks: tuple[str, ...], lengths: Sequence[int],
         for batch in batches:
             for first, data, offsets in text_slices(batch):
                 words = Words(data, offsets, lower=True)
-                hashes, at = _seeds(words, masks, lengths, phrase)
+                hashes, row, place = _seeds(words, masks, lengths, phrase, beyond)
                 if wanted is not None:
                     passed = in_filter(wanted.value, hashes)
-                    hashes, at = hashes[passed], at[passed]
-                order = np.argsort(at, kind="stable")
-                hashes, at = hashes[order], at[order]
-                counts = np.bincount(words.row[at], minlength=len(offsets) - 1)
+                    hashes, row, place = hashes[passed], row[passed], place[passed]
+                order = np.lexsort((place, row))
+                hashes, place = hashes[order], place[order]
+                counts = np.bincount(row, minlength=len(offsets) - 1)
                 rows = np.flatnonzero(counts)
                 if len(rows):
                     yield pa.RecordBatch.from_arrays(
                         [
                             batch.column(0).take(pa.array(first + rows)),
                             pa.array([words.hash[words.first[r] : words.first[r + 1]].tobytes() for r in rows], pa.binary()),
-                            _hit_struct(hashes, at - words.first[words.row[at]], counts[rows]),
+                            _hit_struct(hashes, place, counts[rows]),
                         ],
                         ["id", "words", "hits"],
                     )
@@ -136,8 +155,9 @@ def overlaps(
     lets each task drop nearly all hashes of documents; what is left joins the benchmark's hashes
     as a table of any size. Each alignment that a hit proposes is verified word by word: the overlap
     counts if at least ``min_matches`` words agree (``min_share`` of an item's words, if that is fewer) and they are at
-    least ``min_share`` of it. An item shorter than the masks has the hash of all its words instead, and all must agree; one
-    of fewer than ``PHRASE`` words is found only as a whole document.
+    least ``min_share`` of it; of several longest such stretches of an alignment the first is given. An item shorter than the
+    masks has the hash of all its words instead, and all must agree; one of fewer than ``PHRASE`` words is found only as a
+    whole document. Texts may be of any length; other columns, whatever their names, are left alone.
 
     Words are compared with A-Z lowered. Null or empty texts and empty tables give no row. Repeated rows each give their own rows; an item that two ids share gives rows for both.
     """
@@ -149,7 +169,7 @@ def overlaps(
     lengths = sorted(r.n for r in sizes.collect())
     item_seeds = items.select(F.col("id").alias("item_id"), F.inline("hits")).withColumnRenamed("pos", "item_pos").distinct()
     wanted = spark.sparkContext.broadcast(bit_filter(item_seeds, filter_bits))
-    found = _seed_rows(_table(docs, id_column, text_column), masks, lengths, PHRASE, wanted)
+    found = _seed_rows(_table(docs, id_column, text_column), masks, lengths, PHRASE, BEYOND, wanted)
     found = pin(found.withColumn("row", F.monotonically_increasing_id()))
     hits = found.select("row", F.inline("hits"))
     aligned = hits.join(item_seeds, "hash").select("row", "item_id", (F.col("pos") - F.col("item_pos")).alias("shift"))

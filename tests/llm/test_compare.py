@@ -163,6 +163,18 @@ def test_vector_edges(spark):
     assert ve.near_vectors(docs.limit(0)).collect() == []
 
 
+def test_vectors_of_many_lengths(spark, monkeypatch):
+    """More lengths than cells: most have no centre of their own."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for size in range(1, 301):
+        v = rng.standard_normal(size)
+        rows += [(3 * size, v.tolist()), (3 * size + 1, (v + 0.05 * rng.standard_normal(size)).tolist()), (3 * size + 2, (-v).tolist())]
+    monkeypatch.setattr(ve, "CHUNK", 8)
+    out = ve.near_vectors(frame(spark, rows, "vec_id bigint, embedding array<double>")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in out} == plain_vectors(rows)
+
+
 def test_pigeonhole_loses_nothing():
     rng = np.random.default_rng(0)
     a = ve.unit(rng.normal(size=(400, 64)))
