@@ -15,9 +15,11 @@ from framewright.llm.components import components, prepare, stored
 COSINE = 0.9
 #: Dimensions of a block of the rotated vectors.
 BLOCK = 16
-#: Vectors of a chunk, the unit that tasks compare, and the most cells the space is cut into.
+#: Vectors of a chunk, the unit that tasks compare, and the most cells the space is cut into: their centres go to every task.
 CHUNK = 1024
-MAX_CELLS = 256
+MAX_CELLS = 4096
+#: The cell of vectors of a length that no centre was drawn of.
+ALONE = -1
 
 
 @lru_cache(maxsize=8)
@@ -86,15 +88,16 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
 
 
 def _cells(ones: DataFrame, pivots) -> DataFrame:
-    """The rows with the cell of their nearest pivot, by dimension."""
+    """The rows with the cell of their nearest pivot, by dimension; ALONE where their length has no pivot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = pa.compute.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
             for size in np.unique(sizes):
                 part = batch.filter(pa.array(sizes == size))
-                centres = pivots.value[int(size)]
-                cell = np.argmax(unit(_matrix(part.column(2), size)) @ centres.T, axis=1)
+                centres, cell = pivots.value.get(int(size)), np.full(part.num_rows, ALONE)
+                if centres is not None:
+                    cell = np.argmax(unit(_matrix(part.column(2), size)) @ centres.T, axis=1)
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns, pa.array(np.full(len(cell), size, np.int64)), pa.array(cell.astype(np.int64))],
                     ["rep", "weight", "embedding", "size", "cell"],
@@ -109,8 +112,10 @@ def _chunks(celled: DataFrame, pivots) -> DataFrame:
     def pack(group: pa.Table) -> pa.Table:
         size, cell, chunk = (group.column(c)[0].as_py() for c in ("size", "cell", "chunk"))
         vectors = unit(_matrix(group.column("embedding").combine_chunks(), size))
-        away = (vectors - pivots.value[size][cell]) @ rotation(size)
-        radii = [float(np.sqrt((away[:, part] ** 2).sum(axis=1)).max()) for part in blocks(size)]
+        radii = []
+        if cell != ALONE:
+            away = (vectors - pivots.value[size][cell]) @ rotation(size)
+            radii = [float(np.sqrt((away[:, part] ** 2).sum(axis=1)).max()) for part in blocks(size)]
         packed = [group.column(c).to_numpy().astype(np.int64).tobytes() for c in ("rep", "weight")]
         return pa.table(
             {
@@ -120,7 +125,7 @@ def _chunks(celled: DataFrame, pivots) -> DataFrame:
                 "reps": pa.array(packed[:1], pa.binary()),
                 "weights": pa.array(packed[1:], pa.binary()),
                 "vectors": pa.array([vectors.tobytes()], pa.binary()),
-                "radii": [radii],
+                "radii": pa.array([radii], pa.list_(pa.float64())),
             }
         )
 
@@ -139,13 +144,13 @@ def _joinable(pivots: dict[int, np.ndarray], radii: list, budget: float) -> list
             continue
         reach = np.array([own[c] for c in cells.tolist()])
         turned = centres[cells] @ rotation(size)
-        near = np.zeros((len(cells), len(cells)), bool)
-        for k, part in enumerate(blocks(size)):
-            gap = np.sqrt(((turned[:, None, part] - turned[None, :, part]) ** 2).sum(axis=2))
-            share = np.sqrt(budget * (part.stop - part.start) / size)
-            near |= gap <= reach[:, None, k] + reach[None, :, k] + share + 1e-6
-        i, j = np.nonzero(np.triu(near))
-        found += [(size, int(cells[a]), int(cells[b])) for a, b in zip(i, j, strict=True)]
+        for a in range(len(cells)):
+            near = np.zeros(len(cells) - a, bool)
+            for k, part in enumerate(blocks(size)):
+                gap = np.sqrt(((turned[a:, part] - turned[a, part]) ** 2).sum(axis=1))
+                share = np.sqrt(budget * (part.stop - part.start) / size)
+                near |= gap <= reach[a, k] + reach[a:, k] + share + 1e-6
+            found += [(size, int(cells[a]), int(cells[a + b])) for b in np.flatnonzero(near)]
     return found
 
 
@@ -158,14 +163,15 @@ def near_vectors(
     counts the other vectors that link; component_id is the smallest id that links reach; kept marks it.
 
     1. Equal vectors are one with a weight, so a vector that a third of all rows repeat is compared once.
-    2. The space is cut into at most MAX_CELLS cells around vectors drawn by a hash; cells come in chunks of about CHUNK
-       vectors. The vectors are rotated and split into blocks of BLOCK dimensions. Two cells are joined if
+    2. The space is cut into at most MAX_CELLS cells around vectors drawn by a hash; vectors of a length that no drawn one has
+       are a cell of their own. Cells come in chunks of about CHUNK vectors. The vectors are rotated and split into blocks of BLOCK dimensions. Two cells are joined if
        in some block they can hold vectors within that block's share of the squared distance.
     3. In joined chunks, pairs within the share in some block are candidates and verified exactly. A task returns
        counts and one edge a vector, never the pairs of a group. Every pair of vectors meets in one pair of chunks only.
 
     Vectors that are null, zero or hold null or non-finite parts, and rows with a null id (whose
-    component is null), link with nothing. Rows that share an id are one vertex; links count different vectors.
+    component is null), link with nothing. Rows that share an id are one vertex; links count different vectors. An empty
+    table gives no rows; other columns, whatever their names, are left alone.
     """
     spark = rows.sparkSession
     prepare(spark)
@@ -179,14 +185,9 @@ def near_vectors(
 
     cells = min(max((ones.count() + CHUNK - 1) // CHUNK, 1), MAX_CELLS)
     drawn = ones.select("rep", "embedding").orderBy(F.xxhash64("rep"), "rep").limit(cells)
-    some = ones.select(F.size("embedding").alias("size")).distinct().limit(MAX_CELLS).collect()
     pivots: dict[int, list] = {}
     for row in drawn.collect():
         pivots.setdefault(len(row["embedding"]), []).append(row["embedding"])
-    for row in some:
-        if row["size"] not in pivots:
-            first = ones.where(F.size("embedding") == row["size"]).select("embedding").first()
-            pivots[row["size"]] = [first["embedding"]]
     centres = {size: unit(np.array(v)) for size, v in pivots.items()}
     shared = spark.sparkContext.broadcast(centres)
 
@@ -196,11 +197,13 @@ def near_vectors(
     parts = F.ceil(F.col("many") / CHUNK)
     celled = celled.withColumn("chunk", F.pmod(F.xxhash64("rep"), parts)).drop("many")
     chunks = stored(_chunks(celled, shared), "chunks")
-    longest = chunks.select("size", "cell", F.posexplode("radii")).groupBy("size", "cell", "pos").agg(F.max("col").alias("r"))
+    longest = chunks.where(F.col("cell") != ALONE).select("size", "cell", F.posexplode("radii")).groupBy("size", "cell", "pos").agg(F.max("col").alias("r"))
     radii = longest.groupBy("size", "cell").agg(F.sort_array(F.collect_list(F.struct("pos", "r"))).alias("l"))
     radii = radii.select("size", "cell", F.transform("l", lambda x: x.r).alias("radii")).collect()
     budget = 2 - 2 * cosine
     joined = spark.createDataFrame(_joinable(centres, radii, budget), "size bigint, cell bigint, other bigint")
+    alone = chunks.where(F.col("cell") == ALONE).select("size", "cell", F.col("cell").alias("other")).distinct()
+    joined = joined.unionByName(alone)
 
     left = chunks.select("size", "cell", F.col("chunk").alias("x"), *(F.col(c).alias(f"x_{c}") for c in ("reps", "weights", "vectors")))
     right = chunks.select("size", F.col("cell").alias("other"), F.col("chunk").alias("y"), *(F.col(c).alias(f"y_{c}") for c in ("reps", "weights", "vectors")))

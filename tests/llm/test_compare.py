@@ -197,6 +197,38 @@ def test_masks_tolerate_substitutions():
     assert all(hit(de.MASKS, 13, set(g)) for g in itertools.combinations(range(13), 2))
     three = [hit(de.MASKS, 14, set(g)) for g in itertools.combinations(range(14), 3)]
     assert np.mean(three) > 0.97
+    assert all(hit(de.MASKS, 10, set(g)) for g in itertools.combinations(range(10), 2))
+
+
+def promised(n, gone):
+    """Whether an item of n words counts as found where the words ``gone`` are replaced, every stretch tried."""
+    least = min(de.MIN_MATCHES, -(-4 * n // 5))
+    for a in range(n):
+        for b in range(a + 1, n + 1):
+            same = sum(i not in gone for i in range(a, b))
+            if same >= least and 5 * same >= 4 * (b - a):
+                return True
+    return False
+
+
+@pytest.mark.parametrize("n", [10, 11, 12, 13, 14])
+def test_every_promised_pattern_is_found(spark, n):
+    """All ways of replacing up to three words of an item, inside a document and at its ends with words cut off."""
+    words = [f"w{i}" for i in range(n)]
+    docs, expected = [], {}
+    for k in range(4):
+        for gone in itertools.combinations(range(n), k):
+            text = [w if i not in gone else "zz" for i, w in enumerate(words)]
+            docs.append(["before", *text, "after"])
+            expected[len(docs) - 1] = promised(n, set(gone))
+            for a, b in [(1, n), (0, n - 1), (2, n), (0, n - 2), (1, n - 1)]:
+                cut = {*gone, *range(a), *range(b, n)}
+                if len(cut) <= 3:
+                    docs.append(text[a:b])
+                    expected[len(docs) - 1] = promised(n, cut)
+    table = docs_of(spark, [(i, " ".join(d)) for i, d in enumerate(docs)])
+    found = {r.doc_id for r in de.overlaps(table, frame(spark, [(1, " ".join(words))], "item_id bigint, text string")).collect()}
+    assert found == {i for i, yes in expected.items() if yes}
 
 
 def item(rng, n):
