@@ -86,7 +86,7 @@ def op7_token_shards(spark, sf_dir):
     return index
 
 
-META = ["lang", "source", "n_chars"]
+META = ["lang", "source"]
 
 
 @query("op6_quality_classifier")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.llm.components import prepare, stored
-from framewright.llm.text import _SPACE, Words, text_slices
+from framewright.llm.text import _SPACE, Words, mix, text_slices
 
 #: Labelled rows the classifiers are fitted on, at most; which ones is decided by a hash of their ids.
 LABELLED_ROWS = 20_000
@@ -25,6 +25,10 @@ FOLDS = 5
 THRESHOLD = 0.5
 #: Buckets that hashed metadata values fall into.
 BUCKETS = 32
+#: Buckets that hashed words, and pairs of words, of a text fall into.
+WORD_BUCKETS = 64
+#: Ridge of these buckets, in multiples of that of the other features: single words need more rows to speak.
+WORD_RIDGE = 300.0
 
 _CLASS = np.zeros(256, np.uint8)  # of bytes: letters and others 0
 _CLASS[65:91] = 1
@@ -44,7 +48,8 @@ def _share(rows: np.ndarray, hit: np.ndarray, n: int, of: np.ndarray) -> np.ndar
 
 
 def text_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Per text its length, its shares of kinds of characters, and how often its words and word pairs repeat."""
+    """Per text its length, its shares of kinds of characters, how often its words and word pairs repeat, and the
+    square roots of the shares of its lower-cased words and word pairs by bucket."""
     n = len(offsets) - 1
     words = Words(data, offsets)
     sizes, counts = np.diff(offsets), np.diff(words.first)
@@ -63,7 +68,13 @@ def text_features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     repeated = [_share(words.row, same, n, counts), _share(words.row[order], ~new, n, counts), _share(words.row, short, n, counts)]
     lengths = [np.log1p(sizes), np.log1p(counts), np.log1p(sizes / np.maximum(counts, 1))]
     columns = np.column_stack([shares, *repeated])
-    return np.column_stack([np.ones(n), columns, np.sqrt(columns), *lengths])
+    lowered = Words(data, offsets, lower=True).hash
+    pairs = lowered[1:] * np.uint64(0x9E3779B97F4A7C15) + lowered[:-1]
+    place = words.row * WORD_BUCKETS
+    half = np.uint64(WORD_BUCKETS // 2)
+    hashed = [place + (mix(lowered) % half).astype(np.int64), (place[1:] + WORD_BUCKETS // 2 + (mix(pairs) % half).astype(np.int64))[words.row[1:] == words.row[:-1]]]
+    grams = np.bincount(np.concatenate(hashed), minlength=n * WORD_BUCKETS).reshape(n, WORD_BUCKETS) / np.maximum(counts, 1)[:, None]
+    return np.column_stack([np.ones(n), columns, np.sqrt(columns), *lengths, np.sqrt(grams)])
 
 
 def meta_features(batch: pa.RecordBatch, columns: list[str]) -> np.ndarray:
@@ -88,6 +99,8 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 #: The sum over all rows of the pool of what a function makes of both views' features.
 Total = Callable[[Callable[[list[np.ndarray]], np.ndarray]], np.ndarray | None]
+#: The ridge of each view: one for all of its features, or one a feature.
+Ridges = Sequence[float | np.ndarray]
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
@@ -166,9 +179,9 @@ def _each(x: list[np.ndarray], teachers: list[View], f: Callable, given: list) -
 
 
 def fit_views(
-    views: list[np.ndarray], labels: np.ndarray, held: np.ndarray, teachers: list[View] | None, total: Total, ridge: float = 1.0, steps: int = 50
+    views: list[np.ndarray], labels: np.ndarray, held: np.ndarray, teachers: list[View] | None, total: Total, ridges: Ridges = (1.0, 1.0), steps: int = 50
 ) -> list[View] | None:
-    """Both views fitted by Newton's method, with a ridge on all but the constant, on the labelled rows and, with
+    """Both views fitted by Newton's method, with a ridge each on all but the constant, on the labelled rows and, with
     ``teachers``, on every row of the pool that the other view is sure of. None if there is no such row."""
     own, y = [x[~held] for x in views], labels[~held]
 
@@ -193,7 +206,7 @@ def fit_views(
     for _ in range(steps):
         for k, (view, found) in enumerate(zip(fitted, summed(_slope, fitted), strict=True)):
             d = len(view.weights)
-            penalty = np.full(d, ridge)
+            penalty = np.full(d, ridges[k]) if np.isscalar(ridges[k]) else np.array(ridges[k])
             penalty[0] = 1e-6
             loss = found[-1] + 0.5 * penalty @ view.weights**2
             if loss > best[k][0] * (1 + 1e-9):  # too far
@@ -211,15 +224,17 @@ def fit_views(
     return fitted
 
 
-def co_train(views: list[np.ndarray], labels: np.ndarray, held: np.ndarray, pools: list[np.ndarray] | Total, rounds: int = ROUNDS) -> list[View]:
+def co_train(
+    views: list[np.ndarray], labels: np.ndarray, held: np.ndarray, pools: list[np.ndarray] | Total, rounds: int = ROUNDS, ridges: Ridges = (1.0, 1.0)
+) -> list[View]:
     """Fit both views on labelled rows, then let each label every pool row it is sure of for the other.
 
     The pool is given by both views' features or by sums over it.
     """
     total = pools if callable(pools) else lambda f: f(pools)
-    fitted = fit_views(views, labels, held, None, total)
+    fitted = fit_views(views, labels, held, None, total, ridges)
     for _ in range(rounds):
-        more = fit_views(views, labels, held, fitted, total)
+        more = fit_views(views, labels, held, fitted, total, ridges)
         if more is None:
             break
         fitted = more
@@ -304,7 +319,7 @@ def train(
     """The model of labelled documents (label 1 good, 0 bad), a bounded sample by hash, and of all unlabelled ones.
 
     Both views' features are computed once and stored; each round takes some passes over those of the unlabelled rows.
-    Rows that share an id and rows without one count each. An id with several labels has their rounded mean; null labels and ids are left out. With only one class, or too
+    Of labelled rows that share an id one counts, whatever the order of the rows; others and rows without an id count each. An id with several labels has their rounded mean; null labels and ids are left out. With only one class, or too
     few rows to hold some back, the model scores every document with the share of good ones (1 without labels).
     """
     prepare(docs.sparkSession)
@@ -317,7 +332,9 @@ def train(
     found = found.join(given, (found["at"] == given["labelled"]) & found["key"].isNotNull(), "left")
     found = stored(found.select("key", "y", "tx", "mx"), "quality")
     order = [F.xxhash64("key"), F.col("key")]
-    chosen = found.where("y is not null").dropDuplicates(["key"]).orderBy(*order).limit(labelled_rows)
+    # Of rows that share an id the one with the least hash of its features, so that the model depends on the rows alone.
+    one = F.min_by(F.struct("y", "tx", "mx"), F.struct(F.xxhash64("tx", "mx"), "tx", "mx")).alias("one")
+    chosen = found.where("y is not null").groupBy("key").agg(one).select("key", "one.*").orderBy(*order).limit(labelled_rows)
     rows = chosen.toArrow().sort_by("key")
     if not rows.num_rows:
         return Model(None, None, 1.0, names)
@@ -329,7 +346,9 @@ def train(
     prior = float(np.clip((good.sum() + 1) / (len(good) + 1), 0, 1))
     if any(len(set(part.tolist())) < 2 for part in (good[held], good[~held])):
         return Model(None, None, prior, names)
-    fitted = co_train(views, good, held, summed_over(found.where("y is null").select("tx", "mx")), rounds)
+    words = np.arange(views[0].shape[1]) >= views[0].shape[1] - WORD_BUCKETS
+    pool = summed_over(found.where("y is null").select("tx", "mx"))
+    fitted = co_train(views, good, held, pool, rounds, (np.where(words, WORD_RIDGE, 1.0), 1.0))
     return Model(fitted[0], fitted[1], float(np.clip(good.mean(), 1e-3, 1 - 1e-3)), names)
 
 

@@ -414,6 +414,27 @@ def test_quality_pool_is_the_corpus(spark):
     assert seen == [[rows.count() - known]] and seen[0][0] > 10_000
 
 
+def test_ties_of_labelled_ids_do_not_depend_on_the_order(spark):
+    docs = read(spark, "/root/testdata/sf0.001", "documents").select("doc_id", "text", *META)
+    labels = read(spark, "/root/testdata/sf0.001", "labels")
+    twice = docs.union(docs.withColumn("text", F.reverse("text")))
+    models = [quality.train(d, labels, META) for d in (twice.repartition(3), twice.orderBy(F.desc("doc_id")).repartition(5, "text"))]
+    for a, b in zip(models[0].text.__dict__.values(), models[1].text.__dict__.values(), strict=True):
+        assert np.allclose(a, b, rtol=1e-6, atol=1e-9)
+
+
+def test_words_are_features():
+    """Texts alike in every character statistic, told apart by their words."""
+    rng = random.Random(2)
+    good, bad = ["stone", "water", "light"], ["noset", "trawe", "thigl"]
+    texts = [" ".join(rng.choice(good if i % 2 else bad) for _ in range(20)) for i in range(200)]
+    raw = "".join(texts).encode()
+    x = quality.text_features(np.frombuffer(raw, np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+    y = np.arange(200) % 2
+    w = quality.fit_logistic(x[:150], y[:150].astype(float))
+    assert np.mean((x[150:] @ w > 0) == y[150:]) > 0.95
+
+
 def test_quality_edges(spark):
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint, key int"
     rows = [(1, None, None, None, None, 1), (1, None, None, None, None, 1), (None, "", "en", "s", 0, 1), (3, "x " * 50_000, "en", None, -5, 2)]
@@ -449,13 +470,33 @@ def test_shards_hold_every_sequence(spark, sf_dir, tmp_path, library):
         row = rows[slot]
         assert len(ids) == row.n_ids
         texts.setdefault(row.doc_id, {}).setdefault(row.seq_no, []).append(ids.tolist())
-    expected = {r.doc_id: library.encode_ordinary(r.text) for r in docs.where("doc_id is not null and text != ''").collect()}
+    expected = {r.doc_id: library.encode_ordinary(r.text) for r in docs.where("text != ''").collect()}
     assert {d: sum((s[n][0] for n in sorted(s)), []) for d, s in texts.items()} == expected
     assert next(shards.read_slots(folder, starts, 9)).tolist() == texts[rows[9].doc_id][rows[9].seq_no][0]
     again, _ = shards.training_order(docs.repartition(5), multilingual_encoder, 11, folder=str(tmp_path / "t"), shard_bytes=1 << 16)
     assert {r.slot: (r.doc_id, r.seq_no) for r in again.collect()} == {s: (r.doc_id, r.seq_no) for s, r in rows.items()}
 
 
+@pytest.mark.parametrize("named", [0, 40])
+def test_shards_of_rows_without_ids_and_of_large_vocabularies(spark, tmp_path, named):
+    """Every row keeps its sequences, spread over the shards, with ids beyond 16 bits."""
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abc") for _ in range(rng.randint(1, 40))) for _ in range(300)]
+    rows = [(i - 5 if i < named else None, t) for i, t in enumerate(texts)]
+    def encoder():
+        return lambda text: [ord(c) * 1000 for c in text]
+    index, folder = shards.training_order(frame(spark, rows), encoder, 3, str(tmp_path / "n"), length=8, shard_bytes=1 << 10, vocabulary=100_000)
+    starts = [tuple(r) for r in shards.manifest(index).collect()]
+    assert len(starts) > 3 and max(n for _, n, _ in starts) < index.count() / 2
+    starts = [tuple(r) for r in shards.manifest(index).select("shard", "n_records", "first_slot").collect()]
+    found = [ids.tolist() for ids in shards.read_slots(folder, starts, 0, length=8, vocabulary=100_000)]
+    expected = [[ord(c) * 1000 for c in t[i : i + 8]] for t in texts for i in range(0, len(t), 8)]
+    assert sorted(found) == sorted(expected)
+    assert sorted(r.n_ids for r in index.where("doc_id is null").collect()) == sorted(len(t[i : i + 8]) for t in texts[named:] for i in range(0, len(t), 8))
+    with pytest.raises(Exception, match="OverflowError|out of bounds"):
+        shards.training_order(frame(spark, rows), encoder, 3, str(tmp_path / "o"), length=8)
+
+
 def test_shards_of_nothing(spark, tmp_path):
     index, _ = shards.training_order(frame(spark, []), multilingual_encoder, 1, folder=str(tmp_path / "none"))
     assert index.collect() == []
