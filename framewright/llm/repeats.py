@@ -17,6 +17,8 @@ from framewright.llm.text import Words, mix, text_slices, whole_windows, window_
 WIDTH = 50
 #: Windows a task gathers before it combines them and sends them on.
 GATHER = 1 << 20
+#: Parts that the rows of one id are dealt into by a hash of their text; each has a list of repeated windows of its own.
+PARTS = 1 << 15
 _SECOND_BASE = 0xA24BAED4963EE407
 
 
@@ -61,23 +63,26 @@ def counted_anchors(data: np.ndarray, offsets: np.ndarray, width: int) -> np.nda
     return _distinct_per_text(words, whole_windows(words, width), anchors(words, width))
 
 
-def _combine(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
-    """Gathered windows, each once per document; of those that several documents here share, all but the
+def _combine(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
+    """Gathered windows, each once per part of a document; of those that several documents here share, all but the
     smallest document's are known to be repeated and only that one's has still to meet other tasks'."""
-    order = np.lexsort((doc, h2, h1))
-    h1, h2, doc = h1[order], h2[order], doc[order]
+    order = np.lexsort((part, doc, h2, h1))
+    h1, h2, doc, part = h1[order], h2[order], doc[order], part[order]
     new = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
-    other = new | np.r_[True, doc[1:] != doc[:-1]]
-    h1, h2, doc, new = h1[other], h2[other], doc[other], new[other]
-    columns = [pa.array(h1.view(np.int64)), pa.array(h2.astype(np.int64)), pa.array(doc), pa.array(~new)]
-    return pa.RecordBatch.from_arrays(columns, ["h1", "h2", "doc", "known"])
+    other = new | np.r_[True, (doc[1:] != doc[:-1]) | (part[1:] != part[:-1])]
+    h1, h2, doc, part, new = h1[other], h2[other], doc[other], part[other], new[other]
+    known = doc > doc[new][np.cumsum(new) - 1]
+    columns = [pa.array(h1.view(np.int64)), pa.array(h2.astype(np.int64)), pa.array(doc), pa.array(part, pa.int16()), pa.array(known)]
+    return pa.RecordBatch.from_arrays(columns, ["h1", "h2", "doc", "part", "known"])
 
 
 def _window_rows(docs: DataFrame, width: int, sketch) -> DataFrame:
+    """The windows of (doc_id, text, part) that the sketch lets through."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gathered, size = [], 0
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, parts = (batch.column(c).to_numpy(zero_copy_only=False) for c in (0, 2))
             for first, data, offsets in text_slices(batch):
                 words = Words(data, offsets)
                 ok = whole_windows(words, width)
@@ -85,8 +90,8 @@ def _window_rows(docs: DataFrame, width: int, sketch) -> DataFrame:
                     continue
                 passed = np.flatnonzero(ok)
                 passed = passed[may_repeat(anchors(words, width)[passed], sketch.value)]
-                doc = ids[first + words.row[passed]]
-                gathered.append((window_hash(words.hash, width)[passed], _second(words, width)[passed], doc))
+                row = first + words.row[passed]
+                gathered.append((window_hash(words.hash, width)[passed], _second(words, width)[passed], ids[row], parts[row]))
                 size += len(passed)
                 if size >= GATHER:
                     yield _combine(*(np.concatenate(c) for c in zip(*gathered, strict=True)))
@@ -94,7 +99,14 @@ def _window_rows(docs: DataFrame, width: int, sketch) -> DataFrame:
         if size:
             yield _combine(*(np.concatenate(c) for c in zip(*gathered, strict=True)))
 
-    return docs.mapInArrow(run, "h1 bigint, h2 bigint, doc bigint, known boolean")
+    return docs.mapInArrow(run, "h1 bigint, h2 bigint, doc bigint, part smallint, known boolean")
+
+
+def _flagged(docs: DataFrame, repeated: DataFrame) -> DataFrame:
+    """The texts with the hashes of the repeated windows of their part of their document."""
+    flags = repeated.groupBy(F.col("doc").alias("_doc"), F.col("part").alias("_part")).agg(F.collect_list("h1").alias("flags"))
+    same = (F.col("doc_id") == F.col("_doc")) & (F.col("part") == F.col("_part"))
+    return docs.join(flags, same, "left").select("doc_id", "text", "flags")
 
 
 def sketch_cells(texts: DataFrame, width: int) -> int:
@@ -113,24 +125,30 @@ def remove_repeats(
     an estimate are grouped exactly, by 96 bits of hash. A task combines its own before the shuffle, so a passage
     that a third of all documents share sends one row a task.
 
-    A null text has no words; ids are integers, a null id counts as the largest. Rows that share an id are one
-    document to the windows and each gets its own row. A text of fewer than ``width`` words is kept whole.
+    A null text has no words; ids are integers. A null id counts as larger than every other: such rows are documents of
+    their own that lose what documents with an id hold, and take nothing from each other. Rows that share an id are one
+    document to the windows and each gets its own row. A text of fewer than ``width`` words is kept whole; texts may be
+    of any length, an empty table gives no rows, and other columns, whatever their names, are left alone.
     """
     spark = docs.sparkSession
     prepare(spark)
     texts = docs.select(docs[id_column].cast("bigint").alias("doc_id"), docs[text_column].cast("string").alias("text"))
-    largest = (1 << 63) - 1
-    keyed = texts.select(F.coalesce("doc_id", F.lit(largest)).alias("doc_id"), "text")
     cells = cells or sketch_cells(texts, width)
     parts = partition_sketches(texts, lambda data, offsets: counted_anchors(data, offsets, width), cells)
     sketch = spark.sparkContext.broadcast(merged(parts, cells))
-    rows = _window_rows(keyed, width, sketch)
+    named = texts.where("doc_id is not null").withColumn("part", F.pmod(F.xxhash64("text"), F.lit(PARTS)).cast("smallint"))
+    rows = _window_rows(named, width, sketch)
     # Rows already known to be repeated pass the shuffle on a key of their own.
     same = Window.partitionBy("h1", "h2", F.when(F.col("known"), F.col("doc")))
     met = rows.withColumn("least", F.min("doc").over(same))
     repeated = met.where(F.col("known") | (F.col("doc") > F.col("least")))
-    flags = repeated.groupBy(F.col("doc").alias("_doc")).agg(F.collect_list("h1").alias("flags"))
-    joined = keyed.join(flags, F.col("doc_id") == F.col("_doc"), "left").select("doc_id", "text", "flags")
+    joined = _flagged(named, repeated)
+    if not texts.where("doc_id is null").isEmpty():
+        # without an id the hash of the text stands for it
+        keyed = texts.where("doc_id is null").select(F.xxhash64("text").alias("doc_id"), "text", F.lit(0).cast("smallint").alias("part"))
+        lost = _window_rows(keyed, width, sketch).join(rows.select("h1", "h2"), ["h1", "h2"], "left_semi")
+        nameless = _flagged(keyed, lost).withColumn("doc_id", F.lit(None).cast("bigint"))
+        joined = joined.unionByName(nameless)
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -157,5 +175,4 @@ def remove_repeats(
                 columns = [ids, pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "n_removed", "kept"])
 
-    out = joined.mapInArrow(remove, "doc_id bigint, n_words bigint, n_removed bigint, kept string")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != largest, F.col("doc_id")))
+    return joined.mapInArrow(remove, "doc_id bigint, n_words bigint, n_removed bigint, kept string")

@@ -57,6 +57,19 @@ def test_repeats_edges(spark):
     assert re_.remove_repeats(frame(spark, [])).collect() == []
 
 
+def test_many_rows_without_or_with_one_id(spark):
+    """Rows without an id lose what named documents hold and nothing to each other; the largest id is an id like others."""
+    passage, own = " ".join(f"p{i}" for i in range(12)), " ".join(f"o{i}" for i in range(10))
+    last = (1 << 63) - 1
+    rows = [(4, f"a {passage} b")] + [(None, f"x{i} {passage} {own}") for i in range(200)] + [(None, None), (None, ""), (None, own)]
+    rows += [(9, f"y{i} {passage}") for i in range(200)] + [(last, f"{passage} {own} {own}")]
+    found = re_.remove_repeats(docs_of(spark, rows), width=8).collect()
+    got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_removed, r.kept) for r in found)
+    expected = [(4, 0, f"a {passage} b"), (last, 12, f"{own} {own}"), (-1, 0, ""), (-1, 0, ""), (-1, 10, "")]
+    expected += [(-1, 22, f"x{i}") for i in range(200)] + [(9, 12, f"y{i}") for i in range(200)]
+    assert got == sorted(expected)
+
+
 def test_registered_repeats(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in read(spark, sf_dir, "documents").collect()]
     expected = {i: (n, g, sha(k)) for i, (n, g, k) in repeats(rows, 50).items()}
