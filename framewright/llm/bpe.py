@@ -12,23 +12,39 @@ from pyspark.sql import DataFrame
 
 from framewright.llm.components import prepare
 
-#: Characters of a leaf, which the library encodes at once.
-LEAF = 4096
+#: Characters of a leaf, which the library encodes at once. An ordinary text has several.
+LEAF = 512
 #: Characters each side of a joint that the first re-encoded window looks at.
 WINDOW = 16
 
-# A text can be cut for certain between a character that is no white space and white space after it:
-# the pattern never matches white space behind another character, and no match before the cut
-# looks further than the white space. Left of such a cut and right of it the tokens depend on their side alone.
+# A window begins and ends between a character that is no white space and white space after it. The patterns of this kind of
+# vocabulary never match white space behind another character, and no match before the cut looks further than the
+# white space, so left of such a cut and right of it the tokens depend on their side alone. A pattern that does match over
+# such a place is refused.
 _CUT = re.compile(r"(?<=\S)(?=[ \t\n\r])")
 
 
+def check_pattern(pattern: str) -> None:
+    """ValueError for a pattern with a match over the places where windows begin and end."""
+    import regex
+
+    find = regex.compile(pattern).finditer
+    for before in ("a", "Z", "7", ".", "'", "-", "_", "$", "\u00e9", "\u4e2d", "\U0001f600", "e\u0301"):
+        for space in " \t\n\r":
+            for after in ("", "b", "7", ".", " ", "\n", "\u4e2d"):
+                for first in ("", "x", "1", ".", " "):
+                    cut = len(first + before)
+                    if any(m.start() < cut < m.end() for m in find(first + before + space + after)):
+                        raise ValueError("the pattern matches white space together with what stands before it")
+
+
 class ByteBpe:
     """A byte-level vocabulary of tiktoken's rank file format."""
 
     def __init__(self, path: str, pattern: str):
         import tiktoken
 
+        check_pattern(pattern)
         with open(path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.tokens = [b""] * (max(ranks.values()) + 1)
@@ -49,23 +65,45 @@ class ByteBpe:
     def join(self, text: str, start: int, middle: int, end: int, left: list[int], right: list[int]) -> list[int]:
         """The ids of text[start:end] from those of its two parts.
 
-        A window around the joint grows until a certain cut, or the part's edge, bounds it on each
-        side. Tokens outside it are then final; those inside are encoded again.
+        A window around the joint grows on each side until it begins and ends at a cut, or at the part's edge, and until
+        the part's own tokens there are those of the window alone: tokens outside have then settled, whatever
+        stands beyond the joint. Those inside are encoded again.
         """
-        first, last, size = start, end, WINDOW
-        while first == start and middle - size > start:
-            first = max((m.start() for m in _CUT.finditer(text, middle - size, middle)), default=start)
-            size *= 2
+        first, size = middle, WINDOW
+        while True:
+            first, size = self._before(text, start, first, middle - size), 2 * size
+            dropped = self._leaf(text[first:middle])
+            if first == start or left[len(left) - len(dropped) :] == dropped:
+                break
+        last, size = middle, WINDOW
+        while True:
+            last, size = self._after(text, end, last, middle + size), 2 * size
+            skipped = self._leaf(text[middle:last])
+            if last == end or right[: len(skipped)] == skipped:
+                break
+        return left[: len(left) - len(dropped)] + self._leaf(text[first:last]) + right[len(skipped) :]
+
+    @staticmethod
+    def _before(text: str, start: int, at: int, reach: int) -> int:
+        """The last cut between ``reach`` and ``at``, or the last one before; ``start`` if there is none."""
+        size = WINDOW
+        while reach > start:
+            found = max((m.start() for m in _CUT.finditer(text, reach, at) if m.start() < at), default=start)
+            if found > start:
+                return found
+            reach, size = reach - size, 2 * size
+        return start
+
+    @staticmethod
+    def _after(text: str, end: int, at: int, reach: int) -> int:
+        """The first cut between ``at`` and ``reach``, or the first one behind; ``end`` if there is none."""
         size = WINDOW
-        while last == end and middle + size < end:
-            last = min((m.start() for m in _CUT.finditer(text, middle, middle + size)), default=end)
-            size *= 2
-        dropped = len(self._leaf(text[first:middle]))
-        skipped = len(self._leaf(text[middle:last]))
-        left = left[: len(left) - dropped]
-        left += self._leaf(text[first:last])
-        left += right[skipped:]
-        return left
+        while reach < end:
+            found = min((m.start() for m in _CUT.finditer(text, at, reach) if m.start() > at), default=end)
+            if found < end:
+                return found
+            reach, size = reach + size, 2 * size
+        return end
 
     def decode(self, ids: list[int], leaf: int = LEAF) -> bytes:
         """The bytes of some ids: leaves are concatenated, then neighbours up the tree."""

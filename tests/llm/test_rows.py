@@ -53,6 +53,27 @@ def test_long_runs_are_encoded(vocabulary, library, text):
     assert vocabulary.encode(text) == library.encode_ordinary(text)
 
 
+@pytest.mark.parametrize("pattern", [r"[^\s]+[\r\n]*|\s+", r".+|\n", r"\w+ ?|\s|[^\w\s]+"])
+def test_patterns_without_certain_cuts_are_refused(pattern):
+    with pytest.raises(ValueError, match="white space"):
+        bpe.check_pattern(pattern)
+    bpe.check_pattern(public_tokenizers.PATTERN)
+
+
+def test_ordinary_texts_are_trees(vocabulary, library, spark, sf_dir, monkeypatch):
+    """Most documents are encoded in parts that are joined."""
+    joined = []
+    real = bpe.ByteBpe.join
+    monkeypatch.setattr(bpe.ByteBpe, "join", lambda self, *a: joined.append(1) or real(self, *a))
+    texts = [r.text for r in read(spark, sf_dir, "documents").collect()]
+    trees = 0
+    for text in texts:
+        before = len(joined)
+        assert vocabulary.encode(text) == library.encode_ordinary(text)
+        trees += len(joined) > before
+    assert trees > len(texts) / 2
+
+
 def test_encode_decode_keeps_every_row(spark, library):
     rows = [(1, "Hello there", 9), (1, "Hello there", 9), (2, None, 9), (3, "", None), (None, "é" * 9000, 1)]
     out = bpe.encode_decode(frame(spark, rows, "doc_id bigint, text string, ids int"), PATH, public_tokenizers.PATTERN)
