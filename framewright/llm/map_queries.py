@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 import public_tokenizers
 import pyarrow as pa
@@ -76,7 +77,8 @@ TRAINING_KEY = 20260101
 
 
 def multilingual_encoder():
-    return vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).encode
+    known = vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return partial(known.encode, leaf=4096)
 
 
 @query("op7_token_shards")
