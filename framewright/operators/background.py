@@ -2,8 +2,9 @@
 
 The model of a pixel depends on all its earlier frames, so time cannot be split; pixels can. A
 frame is cut into tiles, (device, tile) is the shuffle key, and rows reach Python sorted by time
-within a partition and are read as a stream. A task holds one Arrow batch and one tile's model,
-however many frames the tile has.
+within a partition and are read as a stream. A task holds one block of rows and the models of the tiles
+in it, however many frames a tile has. The tiles of a block are worked on together, frame by frame, since a
+step of a small tile is little arithmetic and much overhead.
 """
 
 from __future__ import annotations
@@ -12,13 +13,19 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright.functions.arrays import places
 from framewright.operators.ordering import sorted_by_key
 
+#: Pixels whose mixtures take a step together, of several tiles if need be. It changes no result.
+STEP_PIXELS = 4096
+#: A task works on so many rows at once, or on fewer with so many bytes of pixels. It bounds memory and changes no result.
+BLOCK_ROWS, BLOCK_BYTES = 1 << 16, 1 << 20
+
 
 @dataclass(frozen=True)
 class MixtureParams:
@@ -55,8 +62,14 @@ class PixelMixture:
 
     def apply(self, pixels: np.ndarray) -> np.ndarray:
         """Classify a frame (1 = foreground) and learn from it."""
+        if len(pixels) != self.model.shape[2]:
+            raise ValueError(f"a frame of {len(pixels)} pixels for a model of {self.model.shape[2]}")
+        return self.apply_first(pixels)
+
+    def apply_first(self, pixels: np.ndarray) -> np.ndarray:
+        """As ``apply``, for the first pixels of the model only."""
         p, alpha = self.params, self.params.rate()
-        weight, mean, var = self.model
+        weight, mean, var = self.model[:, :, : len(pixels)]
         x = pixels.astype(np.float64)
         active = weight > 0
         off = x - mean
@@ -102,6 +115,38 @@ def tiles(frames: DataFrame, frame_pixels: int, tile_pixels: int) -> DataFrame:
     )
 
 
+def subtract_runs(
+    data: np.ndarray, start: np.ndarray, length: np.ndarray, edges: np.ndarray, models: list[bytes | None], params: MixtureParams
+) -> tuple[np.ndarray, list[bytes]]:
+    """Masks of the frames of some tiles, laid out as their ``data``, and the tiles' models after them.
+
+    Row i is ``data[start[i] : start[i] + length[i]]``; tile k has the rows from ``edges[k]`` to ``edges[k + 1]`` in the order
+    of time, at least one, and begins with ``models[k]``. Each step takes the next frame of many tiles of one size.
+    """
+    masks, after = np.zeros(len(data), np.uint8), list(models)
+    n, size = np.diff(edges), length[edges[:-1]]
+    if (length != np.repeat(size, n)).any():
+        raise ValueError("frames of one tile differ in size")
+    for pixels in np.unique(size).tolist():
+        own = np.flatnonzero(size == pixels)
+        own = own[np.argsort(-n[own], kind="stable")]  # so the tiles that have a t-th frame come first
+        many = max(1, STEP_PIXELS // max(pixels, 1))
+        for some in (own[i : i + many] for i in range(0, len(own), many)):
+            mixture = PixelMixture(len(some) * pixels, params)
+            for i, k in enumerate(some.tolist()):
+                if models[k] is not None:
+                    known = PixelMixture(pixels, params, models[k]).model
+                    mixture.model[:, :, i * pixels : (i + 1) * pixels] = known
+            row, frames, place = edges[some], n[some], np.arange(pixels)
+            left = np.searchsorted(-frames, -np.arange(int(frames[0])), side="left")  # tiles with more than t frames
+            for t, active in enumerate(left.tolist()):
+                at = (start[row[:active] + t][:, None] + place).ravel()
+                masks[at] = mixture.apply_first(data[at])
+            for i, k in enumerate(some.tolist()):
+                after[k] = mixture.model[:, :, i * pixels : (i + 1) * pixels].tobytes()
+    return masks, after
+
+
 _OUTPUT = "device string, tile int, ts timestamp_ntz, event_id bigint, mask binary, foreground int, model binary"
 
 
@@ -118,8 +163,9 @@ def subtract_tiles(
     if seed is not None:
         log = log.unionByName(seed.select("device", "tile", "ts", "event_id", "model"), allowMissingColumns=True)
     kind = log.schema["device"].dataType
-    in_order = sorted_by_key(log, ["device", "tile"], ["ts", "event_id"]).withColumn("device", F.col("device").cast("string"))
-    rows = in_order.mapInPandas(_SubtractTiles(params), _OUTPUT)
+    kinds = {"device": "string", "tile": "int", "ts": "timestamp_ntz", "event_id": "bigint"}
+    in_order = sorted_by_key(log, ["device", "tile"], ["ts", "event_id"]).withColumns({c: F.col(c).cast(k) for c, k in kinds.items()})
+    rows = in_order.mapInArrow(_SubtractTiles(params), _OUTPUT)
     return rows.withColumn("device", F.col("device").cast(kind))
 
 
@@ -127,33 +173,106 @@ class _SubtractTiles:
     def __init__(self, params: MixtureParams):
         self.params = params
 
-    def __call__(self, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["device", "tile", "ts", "event_id", "mask", "foreground", "model"]
-        key, mixture, last = None, None, None
-        for batch in batches:
-            out = []
-            for row in batch.itertuples(index=False):
-                if (row.device, row.tile) != key:
-                    if key is not None:
-                        out.append((*key, *last, None, None, mixture.pack()))
-                    key, mixture = (row.device, row.tile), None
-                last = (row.ts, row.event_id)
-                if row.model is not None:
-                    pixels = len(row.model) // (24 * self.params.components)
-                    mixture = PixelMixture(pixels, self.params, row.model)
-                    continue
-                pixels = np.frombuffer(row.data, dtype=np.uint8)
-                if mixture is None:
-                    mixture = PixelMixture(len(pixels), self.params)
-                mask = mixture.apply(pixels)
-                out.append((*key, *last, mask.tobytes(), int(mask.sum()), None))
-            yield _frame(out, names)
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # the tile that goes on: its key, its last row's time and id, and its model
+        key, last, model = None, None, None
+        for block in _blocks(batches):
+            device, tile, ts, event_id, data, seeds = block.columns
+            data = data.cast(pa.binary())
+            if data.null_count > len(data) - seeds.null_count:
+                raise TypeError("a frame without pixels")
+            new = np.ones(len(data), bool)
+            new[1:] = _differs(device) | _differs(tile)
+            goes_on = key == (device[0].as_py(), tile[0].as_py())
+            if key is not None and not goes_on:
+                yield from self._models([key], [last], [model])
+            seeded = seeds.is_valid().to_numpy(zero_copy_only=False)
+            edges = np.flatnonzero(new | seeded)  # a tile's rows begin, or a model that counts from here on
+            ends = np.r_[edges[1:], len(new)]
+            begin = [seeds[i].as_py() if seeded[i] else None for i in edges.tolist()]
+            if goes_on and not seeded[0]:
+                begin[0] = model
+            _, offsets, pixels = data.buffers()
+            offsets = np.frombuffer(offsets, np.int32, len(data) + 1, 4 * data.offset).astype(np.int64)
+            pixels = np.frombuffer(pixels, np.uint8)[offsets[0] : offsets[-1]] if pixels is not None else np.zeros(0, np.uint8)
+            offsets = offsets - offsets[0]
+            frames = np.flatnonzero(~seeded)
+            run = np.searchsorted(edges, frames, side="right") - 1
+            first = np.flatnonzero(np.r_[True, run[1:] != run[:-1]][: len(run)])
+            used = run[first]
+            for i in used.tolist():
+                size = len(begin[i]) // (24 * self.params.components) if begin[i] is not None else None
+                at = int(edges[i]) + bool(seeded[edges[i]])
+                if size is not None and size != offsets[at + 1] - offsets[at]:
+                    raise ValueError(f"a frame of {offsets[at + 1] - offsets[at]} pixels for a model of {size}")
+            masks, after = subtract_runs(
+                pixels, offsets[:-1][frames], np.diff(offsets)[frames], np.r_[first, len(frames)], [begin[i] for i in used.tolist()], self.params
+            )
+            for i, packed in zip(used.tolist(), after, strict=True):
+                begin[i] = packed
+            if len(frames):
+                yield self._masks(block, masks, offsets, frames)
+            done = [i for i, end in enumerate(ends.tolist()) if end < len(new) and new[end]]
+            at = ends[done] - 1
+            keys = list(zip(device.take(pa.array(at)).to_pylist(), tile.take(pa.array(at)).to_pylist(), strict=True))
+            yield from self._models(keys, list(zip(ts.take(pa.array(at)).to_pylist(), event_id.take(pa.array(at)).to_pylist(), strict=True)), [begin[i] for i in done])
+            key, last, model = (device[-1].as_py(), tile[-1].as_py()), (ts[-1].as_py(), event_id[-1].as_py()), begin[-1]
         if key is not None:
-            yield _frame([(*key, *last, None, None, mixture.pack())], names)
-
-
-def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=names).astype({"foreground": "Int32"})
+            yield from self._models([key], [last], [model])
+
+    def _masks(self, block: pa.RecordBatch, masks: np.ndarray, offsets: np.ndarray, frames: np.ndarray) -> pa.RecordBatch:
+        total = np.r_[0, np.cumsum(masks, dtype=np.int64)]
+        mask = pa.Array.from_buffers(pa.binary(), block.num_rows, [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(masks)])
+        foreground = pa.array(total[offsets[1:]] - total[offsets[:-1]], pa.int32())
+        columns = [*block.columns[:4], mask, foreground, pa.nulls(block.num_rows, pa.binary())]
+        found = pa.RecordBatch.from_arrays(columns, _NAMES)
+        return found if len(frames) == block.num_rows else found.take(pa.array(frames))
+
+    def _models(self, keys: list[tuple], last: list[tuple], models: list[bytes]) -> Iterator[pa.RecordBatch]:
+        """The rows of models, some megabytes at a time."""
+        i = 0
+        while i < len(keys):
+            j = i + max(1, (BLOCK_BYTES << 2) // max(len(models[i]), 1))
+            device, tile = zip(*keys[i:j], strict=True)
+            ts, event_id = zip(*last[i:j], strict=True)
+            kinds = [pa.string(), pa.int32(), pa.timestamp("us"), pa.int64()]
+            columns = [pa.array(c, k) for c, k in zip((device, tile, ts, event_id), kinds, strict=True)]
+            none = [pa.nulls(len(tile), k) for k in (pa.binary(), pa.int32())]
+            yield pa.RecordBatch.from_arrays([*columns, *none, pa.array(models[i:j], pa.binary())], _NAMES)
+            i = j
+
+
+_NAMES = ["device", "tile", "ts", "event_id", "mask", "foreground", "model"]
+
+
+def _differs(values: pa.Array) -> np.ndarray:
+    """Of each value but the first, whether it is another than the one before; nulls are equal."""
+    same = pc.equal(values[1:], values[:-1]).fill_null(False)
+    both = pc.and_(values[1:].is_null(), values[:-1].is_null())
+    return ~pc.or_(same, both).to_numpy(zero_copy_only=False)
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of a stream in blocks of some size."""
+    held, rows, size = [], 0, 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            rows += batch.num_rows
+            size += batch.nbytes
+        if rows >= BLOCK_ROWS or size >= 8 * BLOCK_BYTES:
+            yield from _cut(held)
+            held, rows, size = [], 0, 0
+    yield from _cut(held)
+
+
+def _cut(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    whole = pa.Table.from_batches(held).combine_chunks().to_batches() if held else []
+    for batch in whole:
+        pixels = pc.sum(pc.binary_length(batch.column(4))).as_py() or 0
+        step = -(-batch.num_rows // max(1, -(-pixels // BLOCK_BYTES)))
+        for i in range(0, batch.num_rows, step):
+            yield batch.slice(i, step)
 
 
 def background_subtraction(
