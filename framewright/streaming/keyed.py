@@ -1,7 +1,8 @@
 """Stateful streaming operators on Spark's keyed state.
 
 Each operator is a function of one key's new rows and its state, which Spark keeps in its RocksDB store: a
-micro-batch touches the state of the keys it holds and no other. Rows of a key are taken in the order they
+micro-batch touches the state of the keys it holds and no other. Operators whose clients are many and have little to do
+are called for a lane of clients at once, see ``in_lanes``. Rows of a client are taken in the order they
 arrive, inside a micro-batch by (ts, event_id). Without a timer nothing is late and nothing is dropped; operators with
 one follow the watermark, and rows that it has passed are dropped and counted. A key's rows
 of one micro-batch are in one task: ``max_files`` of the source bounds them.
@@ -14,19 +15,23 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from framewright.operators.background import MixtureParams, PixelMixture
+from framewright.operators.background import MixtureParams, subtract_runs
 from framewright.operators.batching import walk
 from framewright.session import ship_package, work_path
 from framewright.streaming.runner import replay_to_table
 
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
+#: Lanes that clients are dealt to.
+LANES = 1024
+
 Step = Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]
 
 
@@ -78,6 +83,24 @@ def run_keyed(
     return replay_to_table(keyed(stream, keys, step, out, state, watermark), path).select(*out.names)
 
 
+def in_lanes(stream: DataFrame, client: Column) -> DataFrame:
+    """The stream with the ``_lane`` of each client and its name, ``_client``, as text.
+
+    A call of a step costs a millisecond or more whatever it does, a state's read and write besides. By lane a micro-batch makes
+    at most ``LANES`` calls instead of one for each client. A lane's state is that of its clients, the ``LANES``-th part of all.
+    """
+    name = client.cast("string")
+    return stream.withColumns({"_client": name, "_lane": F.pmod(F.xxhash64(name), F.lit(LANES)).cast("int")})
+
+
+def _by_client(rows: pd.DataFrame) -> tuple[list[str | None], np.ndarray, np.ndarray]:
+    """The clients of some rows, an order that puts each one's rows together as they were, and where they begin in it."""
+    code, names = pd.factorize(rows["_client"], use_na_sentinel=False)
+    order = np.argsort(code, kind="stable")
+    edges = np.searchsorted(code[order], np.arange(len(names) + 1))
+    return [None if pd.isna(n) else n for n in names], order, edges
+
+
 def timeout_ms(state: GroupState, us: int) -> None:
     """Let the key be called once the watermark has reached a time in microseconds."""
     state.setTimeoutTimestamp(max(-(-us // 1000) - 1, state.getCurrentWatermarkMs()))
@@ -332,32 +355,53 @@ class FailureBreaker:
 
 
 class Background:
-    """State per device and tile: its mixture."""
+    """State of a lane: the mixtures of its tiles."""
 
-    state = "model binary"
+    state = "models binary"
 
     def __init__(self, params: MixtureParams):
         self.params = params
 
     def __call__(self, key, pieces, state):
         rows = _in_order(pieces)
-        mixture = None
-        masks = []
-        for data in rows["data"]:
-            pixels = np.frombuffer(data, np.uint8)
-            if mixture is None:
-                mixture = PixelMixture(len(pixels), self.params, state.get[0] if state.exists else None)
-            masks.append(mixture.apply(pixels))
-        state.update((mixture.pack(),))
+        names, order, edges = _by_client(rows)
+        rows = rows.take(order)
+        data = rows["data"].tolist()
+        if any(d is None for d in data):
+            raise TypeError("a frame without pixels")
+        models = _unpacked(state.get[0]) if state.exists else {}
+        known = [models.get(name) for name in names]
+        length = np.fromiter(map(len, data), np.int64, len(data))
+        for name, model, size in zip(names, known, length[edges[:-1]].tolist(), strict=True):
+            if model is not None and len(model) != 24 * self.params.components * size:
+                raise ValueError(f"a frame of {size} pixels of tile {name}, whose model has another size")
+        start = np.cumsum(length) - length
+        masks, after = subtract_runs(np.frombuffer(b"".join(data), np.uint8), start, length, edges, known, self.params)
+        models.update(zip(names, after, strict=True))
+        state.update((_packed(models),))
+        total = np.r_[0, np.cumsum(masks, dtype=np.int64)]
         yield pd.DataFrame(
             {
-                "device": [key[0]] * len(rows),
-                "ts": rows["ts"],
-                "event_id": rows["event_id"],
-                "foreground": [str(int(m.sum())) for m in masks],
+                "device": rows["device"].to_numpy(),
+                "ts": rows["ts"].to_numpy(),
+                "event_id": rows["event_id"].to_numpy(),
+                "foreground": (total[start + length] - total[start]).astype(str),
             }
         )
 
 
+def _packed(models: dict[str, bytes]) -> bytes:
+    batch = pa.record_batch([pa.array(models.keys(), pa.string()), pa.array(models.values(), pa.binary())], ["key", "model"])
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batch.schema) as writer:
+        writer.write_batch(batch)
+    return out.getvalue().to_pybytes()
+
+
+def _unpacked(packed: bytes) -> dict[str, bytes]:
+    table = pa.ipc.open_stream(pa.py_buffer(bytes(packed))).read_all()
+    return dict(zip(table["key"].to_pylist(), table["model"].to_pylist(), strict=True))
+
+
 def fresh(spark, path: str | None, name: str) -> str:
     return path or work_path(spark, name)
