@@ -20,10 +20,11 @@ def stream_frame_counters(frames: DataFrame, path: str | None = None, key: str =
 def stream_throttle(
     frames: DataFrame, period_seconds: float, burst: int, path: str | None = None, key: str = "device"
 ) -> DataFrame:
-    """Paced frames; the state per client is its frame count and running maximum. Nothing is dropped."""
+    """Paced frames; the state of a client is its frame count and running maximum. Nothing is dropped."""
     fields = [*frames.schema.fields, T.StructField("n", T.LongType()), T.StructField("emit_ts", T.TimestampNTZType())]
     step = kd.Throttle(period_seconds, burst)
-    return kd.run_keyed(frames, [key], step, T.StructType(fields), step.state, kd.fresh(frames.sparkSession, path, "throttle"))
+    dealt = kd.in_lanes(frames, F.col(key))
+    return kd.run_keyed(dealt, ["_lane"], step, T.StructType(fields), step.state, kd.fresh(frames.sparkSession, path, "throttle"))
 
 
 #: Times inside a batch keep their microseconds.

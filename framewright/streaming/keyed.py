@@ -123,9 +123,9 @@ def _times(us: np.ndarray) -> np.ndarray:
 
 
 class Throttle:
-    """State: frames so far and the running maximum of ts - n * d."""
+    """State of a lane, as JSON: each client, its frames so far and the running maximum of ts - n * d."""
 
-    state = "n bigint, peak bigint"
+    state = "seen string"
 
     def __init__(self, period_seconds: float, burst: int):
         self.d = round(period_seconds * 1e9)
@@ -133,16 +133,23 @@ class Throttle:
 
     def __call__(self, key, pieces, state):
         rows = _in_order(pieces)
-        before, peak = state.get if state.exists else (0, None)
+        seen = {name: (n, peak) for name, n, peak in json.loads(state.get[0])} if state.exists else {}
+        names, order, edges = _by_client(rows)
+        rows = rows.take(order)
+        first, size = edges[:-1], np.diff(edges)
+        before = np.array([seen.get(name, (0, None))[0] for name in names], np.int64)
         ns = _us(rows["ts"]) * 1000
-        n = before + np.arange(len(rows))
+        n = np.arange(len(rows)) + np.repeat(before - first, size)
         lead = ns - n * self.d
-        if peak is not None:
-            lead[0] = max(lead[0], peak)
-        top = np.maximum.accumulate(lead)
+        for name, i in zip(names, first.tolist(), strict=True):
+            if name in seen:
+                lead[i] = max(lead[i], seen[name][1])
+        top = pd.Series(lead).groupby(np.repeat(np.arange(len(names)), size)).cummax().to_numpy()
         emit = np.maximum(ns, (n + 1 - self.burst) * self.d + top) // 1000
-        state.update((int(n[-1]) + 1, int(top[-1])))
-        yield rows.assign(n=[str(x) for x in n], emit_ts=_times(emit))
+        last = edges[1:] - 1
+        seen.update(zip(names, zip((n[last] + 1).tolist(), top[last].tolist(), strict=True), strict=True))
+        state.update((json.dumps([[name, *held] for name, held in seen.items()]),))
+        yield rows.drop(columns=["_client", "_lane"]).assign(n=[str(x) for x in n], emit_ts=_times(emit))
 
 
 class GroupedWithin:

@@ -49,3 +49,22 @@ def test_background_lane():
         want = {i: str(int(alone.setdefault(c, PixelMixture(8, params)).apply(d).sum())) for i, (c, d) in enumerate(zip(clients, data, strict=True))}
         assert dict(zip(found["event_id"], found["foreground"], strict=True)) == want
     assert kd._unpacked(state.get[0]) == {c: m.pack() for c, m in alone.items()}
+
+
+def test_throttle_lane():
+    random, state, step = np.random.default_rng(2), State(), kd.Throttle(20.0, 2)
+    alone = {c: (State(), kd.Throttle(20.0, 2)) for c in ("a", "b", None)}
+    for batch in range(3):
+        clients = random.choice(np.array(["a", "b", None], object), 30).tolist()
+        rows = _rows(clients, batch * 300 + np.sort(random.integers(0, 300, 30)))
+        (found,) = step(("0",), iter([rows]), state)
+        for name, (own, single) in alone.items():
+            mine = rows[[c == name for c in clients]]
+            (want,) = single(("0",), iter([mine]), own)
+            got = found[found["event_id"].isin(mine["event_id"])].sort_values("event_id", ignore_index=True)
+            pd.testing.assert_frame_equal(got, want.sort_values("event_id", ignore_index=True))
+    assert list(found.columns) == ["ts", "event_id", "n", "emit_ts"]
+    # the bucket by hand: burst of two, then one each 20 seconds
+    (found,) = kd.Throttle(20.0, 2)(("0",), iter([_rows(["x", "y"] * 4, [0, 0, 1, 50, 2, 51, 3, 52])]), State())
+    emitted = found.assign(s=(found["emit_ts"] - START).dt.total_seconds()).sort_values(["event_id"])["s"].tolist()
+    assert emitted == [0, 0, 1, 50, 20, 51, 40, 70]
