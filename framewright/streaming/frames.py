@@ -42,17 +42,19 @@ def grouped_batches(frames: DataFrame, size: int, window: str, key: str = "devic
     rest = [c for c in frames.columns if c not in (key, "ts", "event_id")]
     payload = F.struct("ts", "event_id", *rest)
     slim = frames.select(key, F.col("ts").cast("timestamp").alias("ts"), "event_id", F.to_json(payload, _JSON).alias("payload"))
+    dealt = kd.in_lanes(slim.withWatermark("ts", delay), F.col(key)).drop(key)
     fields = [
-        *kd._fields(frames, key),
+        T.StructField(key, T.StringType()),
         T.StructField("window_start", T.TimestampNTZType()),
         T.StructField("batch", T.LongType()),
         T.StructField("frames", T.StringType()),
     ]
     step = kd.GroupedWithin(key, size, width)
-    batches = kd.keyed(slim.withWatermark("ts", delay), [key], step, T.StructType(fields), step.state, watermark=True)
+    batches = kd.keyed(dealt, ["_lane"], step, T.StructType(fields), step.state, watermark=True)
     kind = f"array<{frames.select(payload.alias('p')).schema['p'].dataType.simpleString()}>"
     batches = batches.withColumn("frames", F.from_json("frames", kind, _JSON))
-    return batches.select(key, "window_start", "batch", F.size("frames").cast("bigint").alias("n"), "frames")
+    client = F.col(key).cast(frames.schema[key].dataType).alias(key)
+    return batches.select(client, "window_start", "batch", F.size("frames").cast("bigint").alias("n"), "frames")
 
 
 def stream_grouped_within(

@@ -153,8 +153,8 @@ class Throttle:
 
 
 class GroupedWithin:
-    """State: the open windows as JSON, each with the number of its next batch and its waiting frames, fewer than a
-    batch. The key's timer is the end of the first open window; it flushes the frames that wait."""
+    """State of a lane, as JSON: the clients' open windows, each with the number of its next batch and its waiting frames, fewer
+    than a batch. The lane's timer is the end of the first open window; it flushes the frames that wait."""
 
     state = "open string"
 
@@ -162,34 +162,41 @@ class GroupedWithin:
         self.key, self.size, self.width = key, size, width
 
     def __call__(self, key, pieces, state):
-        held = json.loads(state.get[0]) if state.exists else {}
+        held = {(name, window): entry for name, window, *entry in json.loads(state.get[0])} if state.exists else {}
         out = []
         if not state.hasTimedOut:
             rows = _in_order(pieces)
-            start, payloads = _us(rows["ts"]) // self.width * self.width, rows["payload"].to_numpy(object)
-            for window in np.unique(start).tolist():
-                entry = held.setdefault(str(window), [0, []])
-                entry[1] += payloads[start == window].tolist()
-                while len(entry[1]) >= self.size:
-                    out.append((window, entry[0], entry[1][: self.size]))
-                    entry[0], entry[1] = entry[0] + 1, entry[1][self.size :]
+            code, names = pd.factorize(rows["_client"], use_na_sentinel=False)
+            names = [None if pd.isna(n) else n for n in names]
+            start = _us(rows["ts"]) // self.width * self.width
+            order = np.lexsort((start, code))
+            code, start, payloads = code[order], start[order], rows["payload"].to_numpy(object)[order].tolist()
+            edges = np.flatnonzero(np.r_[True, (code[1:] != code[:-1]) | (start[1:] != start[:-1]), True]).tolist()
+            for i, j in zip(edges[:-1], edges[1:], strict=True):
+                client, window = names[code[i]], int(start[i])
+                entry = held.setdefault((client, window), [0, []])
+                number, waiting = entry[0], entry[1] + payloads[i:j]
+                whole = len(waiting) // self.size * self.size
+                for k in range(0, whole, self.size):
+                    out.append((client, window, number + k // self.size, waiting[k : k + self.size]))
+                entry[0], entry[1] = number + whole // self.size, waiting[whole:]
         now = state.getCurrentWatermarkMs() * 1000
-        for window in sorted(w for w in map(int, held) if w + self.width <= now):
-            number, frames = held.pop(str(window))
+        for client, window in [k for k in held if k[1] + self.width <= now]:
+            number, frames = held.pop((client, window))
             if frames:
-                out.append((window, number, frames))
+                out.append((client, window, number, frames))
         if held:
-            state.update((json.dumps(held),))
-            timeout_ms(state, min(map(int, held)) + self.width)
+            state.update((json.dumps([[*k, *entry] for k, entry in held.items()]),))
+            timeout_ms(state, min(w for _, w in held) + self.width)
         elif state.exists:
             state.remove()
         if out:
             yield pd.DataFrame(
                 {
-                    self.key: [key[0]] * len(out),
-                    "window_start": _times(np.array([w for w, _, _ in out], np.int64)),
-                    "batch": [str(b) for _, b, _ in out],
-                    "frames": ["[" + ",".join(f) + "]" for _, _, f in out],
+                    self.key: [c for c, _, _, _ in out],
+                    "window_start": _times(np.array([w for _, w, _, _ in out], np.int64)),
+                    "batch": [str(b) for _, _, b, _ in out],
+                    "frames": ["[" + ",".join(f) + "]" for _, _, _, f in out],
                 }
             )
 

@@ -68,3 +68,22 @@ def test_throttle_lane():
     (found,) = kd.Throttle(20.0, 2)(("0",), iter([_rows(["x", "y"] * 4, [0, 0, 1, 50, 2, 51, 3, 52])]), State())
     emitted = found.assign(s=(found["emit_ts"] - START).dt.total_seconds()).sort_values(["event_id"])["s"].tolist()
     assert emitted == [0, 0, 1, 50, 20, 51, 40, 70]
+
+
+def test_grouped_lane():
+    day = 86_400 * 1_000_000
+    step, state = kd.GroupedWithin("device", 2, day), State()
+    clients = ["a", None, "a", "b", "a", None, "b"]
+    rows = _rows(clients, [0, 1, 2, 3, 4, 86_400, 86_401], payload=list("0123456"))
+    (found,) = step(("0",), iter([rows]), state)
+    assert found[["device", "batch", "frames"]].values.tolist() == [["a", "0", "[0,2]"]]
+    first = int(START.value // 1000) + day
+    assert state.timer == first // 1000 - 1
+    state.watermark = first // 1000
+    (found,) = step(("0",), iter([_rows(["b"], [86_402], payload=["7"])]), state)
+    got = {(r.device, r.window_start, r.batch, r.frames) for r in found.itertuples()}
+    later = START + pd.Timedelta(days=1)
+    assert got == {("b", later, "0", "[6,7]"), ("a", START, "1", "[4]"), (None, START, "0", "[1]"), ("b", START, "0", "[3]")}
+    state.hasTimedOut, state.watermark = True, (first + day) // 1000
+    (found,) = step(("0",), iter([]), state)
+    assert found.values.tolist() == [[None, later, "0", "[5]"]] and not state.exists
