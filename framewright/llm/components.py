@@ -26,10 +26,10 @@ def prepare(spark: SparkSession) -> None:
         spark.conf.set(size, str(BATCH_BYTES))
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The rows written to the shared folder and read again: computed once, and no lost executor takes them along."""
+def stored(df: DataFrame, name: str, **options) -> DataFrame:
+    """The rows written to the shared folder, with Spark's ``options``, and read again: computed once, and no lost executor takes them along."""
     path = work_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

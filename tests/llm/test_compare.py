@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import itertools
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -188,6 +189,54 @@ def test_vectors_of_many_lengths(spark, monkeypatch):
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in out} == plain_vectors(rows)
 
 
+def held(spark):
+    """Bytes of shuffles on this machine's disk and of tables in the shared folder."""
+    local = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    return sum(p.stat().st_size for top in (*local, shared) for p in Path(top).rglob("*") if p.is_file())
+
+
+def test_vectors_move_once(spark, monkeypatch):
+    """What is written follows the input, and not the pairs of chunks."""
+    monkeypatch.setattr(ve, "CHUNK", 40)
+    monkeypatch.setattr(ve, "LEAST_BYTES", 64 << 10, raising=False)
+    rng = np.random.default_rng(11)
+    vectors = rng.standard_normal((3000, 64)).astype(np.float32)
+    vectors[1500:1600] = vectors[:100] + 0.1 * vectors[100:200]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<float>")
+    before, limit = held(spark), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as the tables were large
+    try:
+        out = ve.near_vectors(table).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    written = held(spark) - before
+    assert written < 8 * vectors.nbytes, written
+    ones = ve.unit(vectors)
+    assert {r.vec_id: r.n_links for r in out} == dict(enumerate(((ones @ ones.T >= 0.9).sum(axis=1) - 1).tolist()))
+
+
+def test_vectors_in_small_blocks(spark, monkeypatch):
+    """Cells dealt to several blocks, lengths that the sample lacks, dense groups, copies and repeated rows and ids."""
+    for name, value in (("CHUNK", 16), ("LEAST_BYTES", 4 << 10), ("BLOCK_BYTES", 8 << 10), ("MAX_CELLS", 6)):
+        monkeypatch.setattr(ve, name, value, raising=False)
+    rng = np.random.default_rng(12)
+    base = rng.standard_normal((20, 48))
+    near = base[rng.integers(0, 20, 300)] + rng.standard_normal((300, 48)) * rng.choice([0.05, 0.3, 0.45], (300, 1))
+    vectors = [v.astype(np.float32).tolist() for v in (*base, *near, *base[:1].repeat(40, axis=0), *base[1:4].repeat(3, axis=0))]
+    vectors += [rng.standard_normal(n).astype(np.float32).tolist() for n in (1, 2, 3, 3, 7)]
+    rows = list(enumerate(vectors))
+    for kind in ("float", "double"):
+        out = ve.near_vectors(frame(spark, rows + rows[::3] + rows[20:21] * 60, f"vec_id bigint, embedding array<{kind}>").repartition(5)).collect()
+        assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in out} == plain_vectors(rows)
+        assert len(out) == len(rows) + len(rows[::3]) + 60
+
+
+def test_signed_zeros_are_equal(spark):
+    out = ve.near_vectors(frame(spark, [(1, [0.0, 1.0]), (2, [-0.0, 1.0]), (3, [-0.0, 0.0]), (4, [1.0, -1.0])], "vec_id bigint, embedding array<float>")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in out} == {1: (1, 1), 2: (1, 1), 3: (0, 3), 4: (0, 4)}
+
+
 def test_pigeonhole_loses_nothing():
     rng = np.random.default_rng(0)
     a = ve.unit(rng.normal(size=(400, 64)))
