@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +25,11 @@ LEAST_BYTES = 1 << 20
 BLOCKS = 20
 #: The cell of vectors of a length that no centre was drawn of.
 ALONE = -1
-#: Columns of a tile that is compared at once, and the share of candidates from which a tile is multiplied whole.
-TILE = 2048
+#: Rows and columns of a tile that is compared at once, and the share of candidates from which a tile is multiplied whole.
+TILE = 512, 1024
 DENSE = 0.01
+#: Edges that a task keeps of two blocks, besides one for each vector.
+EDGES = 1 << 20
 
 
 @lru_cache(maxsize=8)
@@ -75,6 +78,17 @@ class Side:
             self.head = np.column_stack([turned, rest]).astype(np.float32)
 
 
+def places(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.nonzero() of a mask that has few; it looks at 64 places at once, then at eight."""
+    flat, eight = mask.ravel(), np.arange(8)
+    whole = flat.size & ~63
+    words = flat[:whole].view(np.uint64)
+    at = (np.flatnonzero((words != 0).view(np.uint64))[:, None] * 8 + eight).ravel()
+    at = (at[words[at] != 0][:, None] * 8 + eight).ravel()
+    at = np.concatenate([at, np.arange(whole, flat.size)])
+    return np.divmod(at[flat[at]], mask.shape[1])
+
+
 def tile(x: Side, y: Side, rows: slice, columns: slice, cosine: float) -> tuple[np.ndarray, np.ndarray] | np.ndarray | None:
     """The pairs of a tile with a cosine of at least ``cosine``: their places, or in a dense tile a mask; None if there are none.
 
@@ -86,14 +100,17 @@ def tile(x: Side, y: Side, rows: slice, columns: slice, cosine: float) -> tuple[
     if not many:
         return None
     if many <= DENSE * near.size:
-        i, j = np.nonzero(near)
+        i, j = places(near)
         keep = verified(x, y, i + rows.start, j + columns.start, cosine)
         return (i[keep], j[keep]) if keep.any() else None
-    product = x.single[rows] @ y.single[columns].T
-    near = product >= sure
-    i, j = np.nonzero((product >= maybe) & ~near)
+    cosines = x.single[rows] @ y.single[columns].T
+    near = cosines >= sure
+    i, j = places((cosines >= maybe) & ~near)
     near[i, j] = verified(x, y, i + rows.start, j + columns.start, cosine)
-    return near
+    many = np.count_nonzero(near)
+    if many > DENSE * near.size:
+        return near
+    return places(near) if many else None
 
 
 def verified(x: Side, y: Side, i: np.ndarray, j: np.ndarray, cosine: float) -> np.ndarray:
@@ -158,10 +175,10 @@ class Block:
 
 
 def _runs(where: np.ndarray, ends: np.ndarray) -> Iterator[slice]:
-    """The rows of the chunks ``where``, neighbours together up to TILE rows."""
+    """The rows of the chunks ``where``, neighbours together up to a tile's columns."""
     start = stop = -1
     for k in where.tolist():
-        if start >= 0 and ends[k] == stop and ends[k + 1] - start <= TILE:
+        if start >= 0 and ends[k] == stop and ends[k + 1] - start <= TILE[1]:
             stop = int(ends[k + 1])
             continue
         if start >= 0:
@@ -180,12 +197,13 @@ def compared(left: Block, right: Block, cosine: float) -> tuple[np.ndarray, np.n
     for size in left.of.keys() & right.of.keys():
         (p, x, a_ends, a_centres, a_radii), (q, y, b_ends, b_centres, b_radii) = left.of[size], right.of[size]
         for k in range(len(a_radii)):
-            rows = slice(int(a_ends[k]), int(a_ends[k + 1]))
             gap = np.sqrt(((b_centres - a_centres[k]) ** 2).sum(axis=1))
             joined = gap <= a_radii[k] + b_radii + reach
             if own:
                 joined[:k] = False
-            for columns in _runs(np.flatnonzero(joined), b_ends):
+            first, last = int(a_ends[k]), int(a_ends[k + 1])
+            tops = [slice(r, min(r + TILE[0], last)) for r in range(first, last, TILE[0])]
+            for rows, columns in product(tops, [*_runs(np.flatnonzero(joined), b_ends)]):
                 found = tile(x, y, rows, columns, cosine)
                 if found is None:
                     continue
@@ -194,8 +212,8 @@ def compared(left: Block, right: Block, cosine: float) -> tuple[np.ndarray, np.n
                     i, j = found[0] + i0, found[1] + j0
                     if own:
                         i, j = i[i < j], j[i < j]
-                    n[: len(left.reps)] += np.bincount(i, right.weights[j], len(left.reps))
-                    n[shift : shift + len(right.reps)] += np.bincount(j, left.weights[i], len(right.reps))
+                    np.add.at(n, i, right.weights[j])
+                    np.add.at(n, j + shift, left.weights[i])
                 else:
                     if own:
                         found &= np.arange(i0, i0 + found.shape[0])[:, None] < np.arange(j0, j0 + found.shape[1])[None, :]
@@ -207,6 +225,10 @@ def compared(left: Block, right: Block, cosine: float) -> tuple[np.ndarray, np.n
                     edges.append((moved + i0, label[moved] + i0))
                     i, j = below[j] + i0, j + j0
                 edges.append((i, j + shift))
+                if sum(len(i) for i, _ in edges) > EDGES + len(ids):
+                    label = least_reached(len(ids), *(np.concatenate(e) for e in zip(*edges, strict=True)))
+                    moved = np.flatnonzero(label != np.arange(len(ids)))
+                    edges = [(moved, label[moved])]
     hit = np.flatnonzero(n)
     if not len(hit):
         return ids[:0], ids[:0], ids[:0]
