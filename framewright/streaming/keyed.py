@@ -93,9 +93,14 @@ def in_lanes(stream: DataFrame, client: Column) -> DataFrame:
     return stream.withColumns({"_client": name, "_lane": F.pmod(F.xxhash64(name), F.lit(LANES)).cast("int")})
 
 
-def _by_client(rows: pd.DataFrame) -> tuple[list[str | None], np.ndarray, np.ndarray]:
+def _named(rows: pd.DataFrame, name: str, key: tuple) -> pd.Series:
+    """A column that names the rows' client; the key does where the rows don't."""
+    return rows[name] if name in rows else pd.Series(key[0], rows.index)
+
+
+def _by_client(rows: pd.DataFrame, key: tuple) -> tuple[list[str | None], np.ndarray, np.ndarray]:
     """The clients of some rows, an order that puts each one's rows together as they were, and where they begin in it."""
-    code, names = pd.factorize(rows["_client"], use_na_sentinel=False)
+    code, names = pd.factorize(_named(rows, "_client", key), use_na_sentinel=False)
     order = np.argsort(code, kind="stable")
     edges = np.searchsorted(code[order], np.arange(len(names) + 1))
     return [None if pd.isna(n) else n for n in names], order, edges
@@ -134,7 +139,7 @@ class Throttle:
     def __call__(self, key, pieces, state):
         rows = _in_order(pieces)
         seen = {name: (n, peak) for name, n, peak in json.loads(state.get[0])} if state.exists else {}
-        names, order, edges = _by_client(rows)
+        names, order, edges = _by_client(rows, key)
         rows = rows.take(order)
         first, size = edges[:-1], np.diff(edges)
         before = np.array([seen.get(name, (0, None))[0] for name in names], np.int64)
@@ -149,7 +154,7 @@ class Throttle:
         last = edges[1:] - 1
         seen.update(zip(names, zip((n[last] + 1).tolist(), top[last].tolist(), strict=True), strict=True))
         state.update((json.dumps([[name, *held] for name, held in seen.items()]),))
-        yield rows.drop(columns=["_client", "_lane"]).assign(n=[str(x) for x in n], emit_ts=_times(emit))
+        yield rows.drop(columns=["_client", "_lane"], errors="ignore").assign(n=[str(x) for x in n], emit_ts=_times(emit))
 
 
 class GroupedWithin:
@@ -166,7 +171,7 @@ class GroupedWithin:
         out = []
         if not state.hasTimedOut:
             rows = _in_order(pieces)
-            code, names = pd.factorize(rows["_client"], use_na_sentinel=False)
+            code, names = pd.factorize(_named(rows, "_client", key), use_na_sentinel=False)
             names = [None if pd.isna(n) else n for n in names]
             start = _us(rows["ts"]) // self.width * self.width
             order = np.lexsort((start, code))
@@ -215,7 +220,7 @@ class TimedBatches:
         held, deadline, number = state.get if state.exists else (0, None, 0)
         batch, held, deadline, closed = walk(_us(rows["ts"]), self.size, self.interval, held, deadline)
         state.update((held, deadline, number + closed))
-        yield rows[["device", "ts", "event_id"]].assign(batch=(number + batch).astype(str))
+        yield rows.assign(device=_named(rows, "device", key))[["device", "ts", "event_id"]].assign(batch=(number + batch).astype(str))
 
 
 class ChunkStreams:
@@ -378,7 +383,7 @@ class Background:
 
     def __call__(self, key, pieces, state):
         rows = _in_order(pieces)
-        names, order, edges = _by_client(rows)
+        names, order, edges = _by_client(rows, [str(k) for k in key])
         rows = rows.take(order)
         data = rows["data"].tolist()
         if any(d is None for d in data):
@@ -396,7 +401,7 @@ class Background:
         total = np.r_[0, np.cumsum(masks, dtype=np.int64)]
         yield pd.DataFrame(
             {
-                "device": rows["device"].to_numpy(),
+                "device": _named(rows, "device", key).to_numpy(),
                 "ts": rows["ts"].to_numpy(),
                 "event_id": rows["event_id"].to_numpy(),
                 "foreground": (total[start + length] - total[start]).astype(str),
